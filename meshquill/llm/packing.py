@@ -37,7 +37,7 @@ SCHEMA = pa.schema(
 )
 _SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:$%&*#|]*)")
 #: White space beyond space, tab, newline and return: texts with one are cut at those four only.
-_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _SURE_SPACE = re.compile(r"[ \t\r\n]+")
 
 

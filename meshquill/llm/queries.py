@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, tokens
+from . import exact_dedup, language, mixing, near_dedup, packing, quality, tokens, toxicity
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_counts": tokens.op3_token_counts,
+    "op5_language_id": language.op5_language_id,
     "op6_poisson_mix": mixing.op6_poisson_mix,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
 }
 

@@ -26,7 +26,7 @@ GROUP_BYTES, BATCH_BYTES = 1 << 20, 1 << 18
 CACHE_PIECES = 600_000
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Other characters that some engines take for white space: texts with one are cut only after a sure non-space.
-_OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _SURE_CUT = re.compile(r"(?<=[A-Za-z0-9.,;:!?])(?=[ \n])")
 
 #: Loaded once in each Python worker.
