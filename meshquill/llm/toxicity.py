@@ -29,8 +29,8 @@ from .shared import Memo, fold
 BITS = 20
 FOLDS = 5
 #: Labelled documents that the fit uses at most, and passes over them.
-MAX_TRAIN, EPOCHS = 12_000, 2
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 2.0, 0.5
+MAX_TRAIN, EPOCHS = 12_000, 3
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 12.0, 1.0
 _WORD = re.compile(r"\w+")
 _MASK = np.uint32((1 << BITS) - 1)
 #: Odd factors that tell the orders apart: word, pair, pair with one and with two words skipped, triple.
@@ -62,11 +62,9 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     if not rows:
         return
     model = Ftrl(1 << BITS, 1, ALPHA, BETA, L1, L2)
-    positive = max(sum(t for _, t in rows), 1.0)
-    lift = min(max((len(rows) - positive) / positive, 1.0), 10.0)
     for _ in range(EPOCHS):
         for at, toxic in rows:
-            model.step(at, np.ones(len(at)), np.array([toxic]), lift if toxic else 1.0)
+            model.step(at, np.ones(len(at)), np.array([toxic]))
     w = model.weights()[:, 0]
     at = np.flatnonzero(w)
     yield pd.DataFrame({"feature": at.astype(np.int64), "weight": w[at]})
