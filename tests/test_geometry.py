@@ -92,7 +92,8 @@ def test_unit_square_area(spark):
 
 
 def test_axes_and_features(spark):
-    df = frame(spark, grid(), grid(dent=0.05))
+    lean = lambda m: (m[0] + np.c_[np.zeros((len(m[0]), 2)), 0.3 * m[0][:, 1] ** 3 + 0.2 * m[0][:, 1]], m[1])  # noqa: E731  alike left and right only
+    df = frame(spark, lean(grid()), lean(grid(dent=0.05)))
     found = normalise.detect_axes(df)
     assert found.left[0] == 0 and found.right_handed()
     assert normalise.AxisConvention.loads(found.dumps()).matrix().tolist() == found.matrix().tolist()
@@ -123,7 +124,7 @@ def test_validation_codes(spark):
     p, t = grid(5)
     nan, flat = p.copy(), np.zeros_like(p)
     nan[5, 1] = np.nan
-    df = frame(spark, (p, t), (nan, t), (flat, t), (p, np.r_[t, [(5, 5, 6)]]), (p, t))
+    df = frame(spark, (p, t), (nan, t), (flat, t), (p * 1.1, np.r_[t, [(5, 5, 6)]]), (p, t))
     codes = {}
     for r in validation.issues(df).collect():
         codes.setdefault(r["capture_key"], set()).add(r["code"])
