@@ -16,6 +16,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 BUCKETS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,8 +52,11 @@ class DigestIndex:
         writer = rows.repartition(self.buckets, "digest").write.format("parquet")
         writer.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
-    def add(self, docs: DataFrame) -> None:
-        """Append the digests of the batch that the index does not hold yet.
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Append the digests of the batch that the index does not hold yet, and return them.
+
+        They are written to the shared folder first: what the batch adds must not be computed again once
+        the index holds it.
 
         Copies within the batch are folded map-side first, so a group that holds a third of all rows
         reaches its reducer as one row from each task.
@@ -63,7 +68,9 @@ class DigestIndex:
         )
         if self.exists():
             groups = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        groups = materialise(groups, "digests")
         self._append(groups)
+        return groups
 
     def annotate(self, docs: DataFrame) -> DataFrame:
         """Each row with the index entry of its digest; only ids and digests are shuffled.
@@ -83,15 +90,10 @@ class DigestIndex:
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Rows of the batch whose text is new to the index, one for each text; the index then holds them."""
-    if index.exists():
-        known = index.read().select("digest").hint("merge")
-        docs = docs.withColumn("__digest", digest("text")).join(known.withColumnRenamed("digest", "__digest"), "__digest", "left_anti").drop("__digest")
-    groups = docs.select("doc_id", digest("text").alias("digest")).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index._append(groups)
-    ids = index.read().select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
+    ids = index.add(docs).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
     marked = docs.withColumn("__digest", digest("text"))
     stays = (marked["doc_id"] == ids["__keep"]) & (marked["__digest"] == ids["__digest"])
-    # Joined on both keys: a text of any group size meets exactly one index row. Repeated rows fold into one.
+    # Joined on both keys: a text of any group size meets exactly one row. Repeated rows fold into one.
     return marked.join(ids, stays, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
