@@ -19,7 +19,8 @@ def cell(x):
         return None
     if isinstance(x, decimal.Decimal) or hasattr(x, "dtype") and x.dtype.kind == "f":
         return float(x)
-    return x.item() if hasattr(x, "item") else x
+    x = x.item() if hasattr(x, "item") else x
+    return float(x) if isinstance(x, int) and not isinstance(x, bool) else x  # pandas turns integers with gaps into doubles
 
 
 def rows(df):
