@@ -9,8 +9,8 @@
    probability that its similarity reaches the threshold, given the matches so far, falls below MISS.
 4. Survivors are verified exactly on their full sets, and the links give components.
 5. Pairs that a star can't see (two classes of a bucket that are in different components so far) are
-   then compared in blocks of bounded size; rows of the bucket's largest component are not compared
-   with each other. Survivors are verified exactly and join components. No pair is dropped.
+   then compared in blocks of bounded size, by size, signatures and full sets; rows of the bucket's
+   largest component are not compared with each other. Only links leave a block. No pair is dropped.
 
 Defined cases: texts are lower-cased for A-Z only; null texts and texts without words have no
 shingles and are linked with nothing; a text with fewer words than a shingle has its whole sequence as
@@ -141,44 +141,72 @@ def _prune_pairs(frames: Iterator[pd.DataFrame], bounds: list[int]) -> Iterator[
         yield pairs[["a", "b"]].iloc[alive]
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity, exactly."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _intersect(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for pairs in frames:
-        keep = []
-        for x, y in zip(pairs["set_a"], pairs["set_b"], strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                keep.append(False)
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= percent * (len(a) + len(b) - both))
+        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pairs["set_a"], pairs["set_b"], strict=True)]
         yield pairs.loc[keep, ["a", "b"]]
 
 
-def _compare_block(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
-    """All pairs of one block against another (or itself) that lie in different components."""
+def _compare_block(rows: pd.DataFrame, bounds: list[int], percent: int) -> pd.DataFrame:
+    """Exact links of one block with another (or itself) between different components.
+
+    Sizes prune first, then signatures, and the sets decide. A link joins its components here too, so
+    that no further link between the same two is looked for.
+    """
     first = rows[rows["side"] == 0]
-    second = rows[rows["side"] == 1]
     inside = bool(rows["same"].iloc[0])
-    if inside:
-        second = first
+    second = first if inside else rows[rows["side"] == 1]
+    if not len(first) or not len(second):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    label: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := label.get(c, c)) != c:
+            c = up
+        return c
+
     a_ids, b_ids = first["rep"].to_numpy(), second["rep"].to_numpy()
     a_comp, b_comp = first["component"].to_numpy(), second["component"].to_numpy()
-    a_sig, b_sig = (_matrix(first["signature"]), _matrix(second["signature"])) if len(first) and len(second) else (None, None)
+    a_sig, b_sig = _matrix(first["signature"]), _matrix(second["signature"])
+    a_set, b_set = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (first, second))
+    b_size = np.array([len(x) for x in b_set])
     found = []
     for i in range(len(a_ids)):
-        others = np.flatnonzero((b_comp != a_comp[i]) & ((b_ids > a_ids[i]) if inside else True))
-        if len(others):
-            alive = bayes_prune(np.broadcast_to(a_sig[i], (len(others), PERMUTATIONS)), b_sig[others], bounds)
-            found += [(min(a_ids[i], j), max(a_ids[i], j)) for j in b_ids[others[alive]]]
+        n = len(a_set[i])
+        near = (100 * np.minimum(b_size, n) >= percent * np.maximum(b_size, n)) & (b_comp != a_comp[i])
+        if inside:
+            near &= b_ids > a_ids[i]
+        others = np.flatnonzero(near)
+        if not len(others):
+            continue
+        for j in others[bayes_prune(np.broadcast_to(a_sig[i], (len(others), PERMUTATIONS)), b_sig[others], bounds)]:
+            x, y = find(a_comp[i]), find(b_comp[j])
+            if x != y and linked(a_set[i], b_set[j], percent):
+                label[max(x, y)] = min(x, y)
+                found.append((min(a_ids[i], b_ids[j]), max(a_ids[i], b_ids[j])))
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the documents with the given ids (id)."""
+    ids = small(materialise(ids.distinct(), "near-ids"))
+    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
+    return materialise(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "near-sets").dropDuplicates(["doc_id"])
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Exact links among the pairs, on the full sets of both texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = small(materialise(ids, "near-ids"))
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    sets = materialise(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "near-sets").dropDuplicates(["doc_id"])
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInPandas(lambda it: _intersect(it, percent), "a long, b long")
@@ -207,7 +235,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     tops = F.sequence(F.lit(0), F.col("inner") - 1)
     partner = F.when(is_top, others).otherwise(F.concat(tops, others))
     return placed.withColumn("other", F.explode(partner)).select(
-        "band", "rep", "component", "signature",
+        "band", "rep", "component", "signature", "shingles",
         F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
         F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("mine") == F.col("other")).alias("same"),
     )
@@ -244,10 +272,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # What the stars leave: members of one bucket in different components.
     labelled = buckets.join(component, buckets["rep"] == component["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rows = materialise(labelled.join(open_bands, "band", "left_semi").join(signatures, "rep"), "near-open")
-    more = _blocks(rows).groupBy("band", "i", "j").applyInPandas(lambda g: _compare_block(g, bounds), "a long, b long").distinct()
-    more = materialise(more, "near-more")
-    extra = materialise(_verify(docs, more, percent), "near-more-links")
+    rows = materialise(labelled.join(open_bands, "band", "left_semi"), "near-open")
+    sets = _full_sets(docs, rows.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep")
+    rows = rows.join(signatures.join(sets, "rep"), "rep")
+    found = _blocks(rows).groupBy("band", "i", "j").applyInPandas(lambda g: _compare_block(g, bounds, percent), "a long, b long")
+    extra = materialise(found.distinct(), "near-more-links")
     if extra.count():
         component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
 
