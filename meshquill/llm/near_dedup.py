@@ -10,7 +10,8 @@
 4. Survivors are verified exactly on their full sets, and the links give components.
 5. Pairs that a star can't see (two classes of a bucket that are in different components so far) are
    then compared in blocks of bounded size, by size, signatures and full sets; rows of the bucket's
-   largest component are not compared with each other. Only links leave a block. No pair is dropped.
+   largest component are not compared with each other. Only joined components leave a block. No pair is
+   dropped.
 
 Defined cases: texts are lower-cased for A-Z only; null texts and texts without words have no
 shingles and are linked with nothing; a text with fewer words than a shingle has its whole sequence as
@@ -158,7 +159,7 @@ def _intersect(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
 
 
 def _compare_block(rows: pd.DataFrame, bounds: list[int], percent: int) -> pd.DataFrame:
-    """Exact links of one block with another (or itself) between different components.
+    """Components that exact links of one block with another (or itself) join, as pairs (a, b).
 
     Sizes prune first, then signatures, and the sets decide. A link joins its components here too, so
     that no further link between the same two is looked for.
@@ -193,7 +194,7 @@ def _compare_block(rows: pd.DataFrame, bounds: list[int], percent: int) -> pd.Da
             x, y = find(a_comp[i]), find(b_comp[j])
             if x != y and linked(a_set[i], b_set[j], percent):
                 label[max(x, y)] = min(x, y)
-                found.append((min(a_ids[i], b_ids[j]), max(a_ids[i], b_ids[j])))
+                found.append((a_comp[i], b_comp[j]))
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
@@ -276,12 +277,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = _full_sets(docs, rows.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep")
     rows = rows.join(signatures.join(sets, "rep"), "rep")
     found = _blocks(rows).groupBy("band", "i", "j").applyInPandas(lambda g: _compare_block(g, bounds, percent), "a long, b long")
-    extra = materialise(found.distinct(), "near-more-links")
-    if extra.count():
-        component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
-
-    labelled = members.join(component, members["rep"] == component["node"], "left")
-    component_id = F.coalesce("component", "rep", "doc_id")
+    extra = materialise(found, "near-more-links")
+    labelled = members.join(component, members["rep"] == component["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("near"))
+    # The second pass joins components, not documents: its graph has only what the blocks added.
+    merged = connected_components(extra)
+    labelled = labelled.join(merged, labelled["near"] == merged["node"], "left")
+    component_id = F.coalesce("component", "near", "doc_id")
     return labelled.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
