@@ -14,6 +14,11 @@ column of such a name is replaced.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ SEED = 20
 TEMPER = 0.5
 #: Sources that may be broadcast with their tables of thresholds.
 MAX_SOURCES = 10_000
+#: Largest rate whose table starts from exp(-rate); the draw is the same inversion above it.
+DIRECT = 700.0
 
 
 def rates(docs: DataFrame, weights: DataFrame | None = None, temper: float = TEMPER, epochs: float = 1.0) -> DataFrame:
@@ -46,24 +53,40 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temper: float = TEM
     )
 
 
-def thresholds(rate) -> F.Column:
-    """P(X <= k) for k = 0, 1, ... up to where the tail is below the resolution of the draw.
+def lowest(rate) -> F.Column:
+    """The first k of a rate's table: below it lies less mass than the draw resolves; 0 up to DIRECT."""
+    return F.when(rate > DIRECT, F.floor(rate - 12 * F.sqrt(rate) - 20)).otherwise(F.lit(0)).cast("long")
+
 
-    The mass at k follows from that at k - 1. Rates are split as the exponent allows: exp(-rate) is
-    positive up to 700, beyond which the draw is made at 700 (a repetition no corpus asks for).
+def cumulated(rate: float, low: int) -> np.ndarray:
+    """P(X <= k) for k = low, low + 1, ... up to where the tail is below the resolution of the draw.
+
+    The mass at k follows from that at k - 1. Up to DIRECT it starts from exp(-rate), which is positive
+    there; above, masses are taken relative to that at the mode and divided by their sum. The table
+    grows with the root of the rate.
     """
-    bounded = F.least(rate, F.lit(700.0))
-    last = F.ceil(bounded + 12 * F.sqrt(bounded) + 20).cast("int")
-    start = F.struct(F.exp(-bounded).alias("mass"), F.array(F.exp(-bounded)).alias("cdf"))
-    return F.aggregate(
-        F.sequence(F.lit(1), last),
-        start,
-        lambda acc, k: F.struct(
-            (acc["mass"] * bounded / k).alias("mass"),
-            F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["mass"] * bounded / k)).alias("cdf"),
-        ),
-        lambda acc: acc["cdf"],
-    )
+    last = math.ceil(rate + 12 * math.sqrt(rate) + 20)
+    if rate <= DIRECT:
+        mass = total = math.exp(-rate)
+        cdf = [total]
+        for k in range(1, last + 1):
+            mass = mass * rate / k
+            total += mass
+            cdf.append(total)
+        return np.array(cdf)
+    mode = math.floor(rate)
+    up = np.cumprod(rate / np.arange(mode + 1, last + 1))
+    down = np.cumprod(np.arange(mode, low, -1) / rate)
+    mass = np.concatenate([down[::-1], [1.0], up])
+    return np.cumsum(mass) / mass.sum()
+
+
+def _with_thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `cumulated` to each source; one row for each, never one for each document."""
+    for batch in batches:
+        pairs = zip(batch.column("rate").to_pylist(), batch.column("__low").to_pylist(), strict=True)
+        tables = pa.array([None if rate is None else cumulated(rate, low) for rate, low in pairs], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, tables], [*batch.schema.names, "__cdf"])
 
 
 def uniform(seed: int, *parts: F.Column) -> F.Column:
@@ -76,10 +99,12 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, temper: float =
     """Documents times their Poisson count, with copy, copies, rate and shuffle_key; order: `shuffled`."""
     own = [c for c in docs.columns if c not in ("copy", "copies", "rate", "shuffle_key")]
     docs = docs.select(*own)
-    table = rates(docs, weights, temper, epochs).select(F.col("source").alias("__source"), "rate", thresholds(F.col("rate")).alias("__cdf"))
+    table = rates(docs, weights, temper, epochs).select(F.col("source").alias("__source"), "rate", lowest(F.col("rate")).alias("__low"))
+    kind = table.schema["__source"].dataType.simpleString()
+    table = table.mapInArrow(_with_thresholds, f"__source {kind}, rate double, __low long, __cdf array<double>")
     joined = docs.join(small(table, MAX_SOURCES), F.col("source").eqNullSafe(F.col("__source")), "inner")
     draw = uniform(seed, F.col("doc_id"))
-    counted = joined.withColumn("__u", draw).withColumn("copies", F.size(F.filter("__cdf", lambda c: c < F.col("__u"))).cast("long"))
+    counted = joined.withColumn("__u", draw).withColumn("copies", F.col("__low") + F.size(F.filter("__cdf", lambda c: c < F.col("__u"))))
     counted = counted.where("copies > 0")
     copies = counted.select(*own, "copies", "rate", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return copies.withColumn("shuffle_key", uniform(seed + 1, F.col("doc_id"), F.col("copy")))

@@ -177,6 +177,23 @@ def test_poisson_rates(spark):
     assert keys == sorted(keys)
 
 
+def test_poisson_rates_above_the_exponent(spark):
+    """Ten documents with half of a corpus of 36,010 equal documents: rate 1800.5, not a bounded one."""
+    docs = spark.range(36_010).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") < 10, "a").otherwise("b").alias("source"))
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    got = mixing.replicate(docs, weights).where("source = 'a'").groupBy("doc_id").agg(F.count("copy").alias("n"), F.max("copies").alias("copies"), F.first("rate").alias("rate")).collect()
+    assert len(got) == 10 and {r["rate"] for r in got} == {1800.5} and all(r["n"] == r["copies"] for r in got)
+    assert abs(sum(r["n"] for r in got) - 18_005) < 5 * 18_005**0.5 and len({r["n"] for r in got}) > 5
+
+
+@pytest.mark.parametrize("rate", [0.0, 3.5, 700.0, 700.5, 5000.0, 1e6])
+def test_poisson_tables(rate):
+    low = 0 if rate <= 700 else int(rate - 12 * rate**0.5 - 20)
+    cdf = mixing.cumulated(rate, low)
+    mass, k = np.diff(cdf, prepend=0), low + np.arange(len(cdf))
+    assert abs(cdf[-1] - 1) < 1e-12 and abs((mass * k).sum() - rate) < 1e-6 * max(rate, 1) and abs((mass * (k - rate) ** 2).sum() - rate) < 1e-6 * max(rate, 1)
+
+
 def test_models_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     truth = pd.read_parquet(f"{sf}/documents.parquet")
