@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMN = "participant_id"
-#: Groups whose sizes may come to the driver for the greedy folds.
-MAX_GREEDY = 1_000_000
 
 
 class LeakageError(AssertionError):
@@ -39,24 +37,51 @@ def participant_split(table: DataFrame, test_size: float = 0.2, seed: int = 42,
     return table.join(chosen, column, "left").withColumn("side", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
+def _runs(loads: list[int], n: int, k: int) -> list[tuple[int, list[int]]]:
+    """(first rank, folds in turn) by which k groups of n rows each go to the lightest fold so far; adds them to loads.
+
+    A fold takes its j-th group at load + j * n, so folds are taken in turn, ordered by load modulo n,
+    from the level load div n on; a further fold joins at each level that one starts from.
+    """
+    levels = sorted({load // n for load in loads})
+    before, runs, rank = list(loads), [], 0
+    for level, until in zip(levels, [*levels[1:], None], strict=True):
+        turn = sorted((i for i, load in enumerate(before) if load // n <= level), key=lambda i: (before[i] % n, i))
+        runs.append((rank, turn))
+        here = k - rank if until is None else min(k - rank, (until - level) * len(turn))
+        for at, i in enumerate(turn):
+            loads[i] += n * (here // len(turn) + (at < here % len(turn)))
+        rank += here
+        if rank == k:
+            break
+    return runs
+
+
 def participant_folds(table: DataFrame, n_splits: int = 5, column: str = COLUMN) -> DataFrame:
-    """Adds fold 0..n_splits-1: the largest groups first, each to the lightest fold so far.
+    """Adds fold 0..n_splits-1: the largest groups first, each to the lightest fold so far; of equal sizes the smallest id first.
 
-    Group sizes come to the driver up to MAX_GREEDY groups; beyond, groups are dealt by a hash of the id,
-    which balances as well once groups are that many.
+    One rule at every size. The driver gets one row for each distinct size (at most the root of twice the
+    rows) and works out the turns that folds take; groups are ranked among those of their size within
+    ranges of (size, id), with offsets added over the ranges.
     """
-    n = _require(table, column, n_splits)
+    _require(table, column, n_splits)
     sizes = table.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    if n <= MAX_GREEDY:
-        loads, fold_of = [0] * n_splits, []
-        for row in sizes.orderBy(F.desc("n"), column).toLocalIterator():
-            fold = min(range(n_splits), key=lambda i: (loads[i], i))
-            loads[fold] += row["n"]
-            fold_of.append((row[column], fold))
-        folds = table.sparkSession.createDataFrame(fold_of, f"{column} {table.schema[column].dataType.simpleString()}, fold int")
-    else:
-        folds = sizes.select(column, F.pmod(F.xxhash64(column), F.lit(n_splits)).cast("int").alias("fold"))
-    return table.join(folds, column)
+    loads, turns = [0] * n_splits, []
+    for row in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
+        runs = _runs(loads, row["n"], row["k"])
+        turns.append((row["n"], [r for r, _ in runs], [t for _, t in runs]))
+    turns = table.sparkSession.createDataFrame(turns, "n long, firsts array<long>, turns array<array<int>>")
+    # A given number of ranges: adaptive execution leaves them as they are, so both uses see the same ones.
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sizes.repartitionByRange(parts, "n", column).withColumn("part", F.spark_partition_id())
+    before = ranged.groupBy("n", "part").agg(F.count(F.lit(1)).alias("size"))  # one row for each size and range that has it
+    before = before.select("n", "part", (F.sum("size").over(Window.partitionBy("n").orderBy("part")) - F.col("size")).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("n", "part").orderBy(column)) - 1
+    ranked = ranged.withColumn("inside", inside).join(F.broadcast(before), ["n", "part"]).join(F.broadcast(turns), "n").withColumn("rank", F.col("offset") + F.col("inside"))
+    ranked = ranked.withColumn("run", F.size(F.filter("firsts", lambda first: first <= F.col("rank"))))
+    turn = F.element_at("turns", F.col("run"))
+    place = (F.col("rank") - F.element_at("firsts", F.col("run"))) % F.size(turn) + 1
+    return table.join(ranked.select(column, F.element_at(turn, place.cast("int")).alias("fold")), column)
 
 
 def leaked(train: DataFrame, test: DataFrame, column: str = COLUMN) -> DataFrame:
