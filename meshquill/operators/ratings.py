@@ -147,10 +147,14 @@ def complete_block(ratings: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def icc(block: DataFrame) -> DataFrame:
-    """ICC(2,1) and ICC(2,k) of a complete block (participant_id, rater_id, v), as one row; no pivot."""
-    row, col = Window.partitionBy("participant_id"), Window.partitionBy("rater_id")
+    """ICC(2,1) and ICC(2,k) of a complete block (participant_id, rater_id, v), as one row; no pivot.
+
+    The means of raters, one row for each, are broadcast: a few raters would be a few tasks in a window.
+    """
+    row = Window.partitionBy("participant_id")
+    raters = block.groupBy(F.col("rater_id").alias("__rater")).agg(F.avg("v").alias("c"))
     totals = F.broadcast(block.agg(F.avg("v").alias("g"), F.countDistinct("participant_id").alias("n"), F.countDistinct("rater_id").alias("k")))
-    m = block.withColumns({"r": F.avg("v").over(row), "c": F.avg("v").over(col)}).crossJoin(totals)
+    m = block.withColumn("r", F.avg("v").over(row)).join(F.broadcast(raters), F.col("rater_id").eqNullSafe(F.col("__rater"))).crossJoin(totals)
     s = m.agg(
         F.max("n").alias("n_participants"), F.max("k").alias("n_raters"),
         (F.sum(F.pow(F.col("r") - F.col("g"), 2)) / F.max(F.col("n") - 1)).alias("ms_rows"),

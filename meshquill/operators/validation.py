@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import vertices
@@ -137,8 +137,17 @@ def render(found: DataFrame, statuses: DataFrame) -> str:
 
 
 def duplicate_flags(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key occurs more than once."""
-    return df.withColumn("duplicated", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1)
+    """Adds duplicated: the row's key occurs more than once.
+
+    Keys are counted map-side on digests of texts, and only the repeated ones are joined back; the rows of
+    a large group are a skewed streamed side, which AQE splits across tasks.
+    """
+    kind = dict(df.dtypes)
+    sides = {f"__key{i}": F.sha2(F.col(k).cast("binary"), 256) if kind[k] in ("string", "binary") else F.col(k) for i, k in enumerate(keys)}
+    marked = df.withColumns(sides)
+    repeated = marked.groupBy(*(F.col(k).alias(f"{k}r") for k in sides)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}r")) for k in sides]
+    return marked.join(repeated, same, "left").select(*df.columns, F.col("__n").isNotNull().alias("duplicated"))
 
 
 def orphan_vertices(captures: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ CONVENTION = normalise.AxisConvention((0, 1), (1, 1), (2, 1))
 TURNED = normalise.AxisConvention((1, -1), (2, 1), (0, -1))
 MARKS = landmarks.LandmarkSet({"nasion": 3, "subnasale": 7, "menton": 20, "left_gonion": 1, "right_gonion": 12, "left_zygion": 5, "right_zygion": 16}, tables.N_POINTS)
 SCALE = ratings.RatingScale(1.0, 45.0)
+#: Captures in a cloud of `_dense`.
+CLOUD = 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -121,10 +123,13 @@ def midline_landmarks(spark, sf):
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
-    """Larger meshes: the captures of each label as one cloud of points, so that midline curves are filled."""
+    """Larger meshes: each CLOUD captures with keys in a row as one cloud of points, so that midline curves are filled.
+
+    Clouds keep their size and grow in number with the input.
+    """
     v = tables.vertices(tables.captures(spark, sf), "participant_id")
     point = F.struct("x", "y", "z")
-    return v.groupBy((F.col("capture_key") % 25).alias("capture_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("participant_id").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), "vid", point.alias("p")))), lambda s: s["p"]).alias("points"))
+    return v.groupBy(F.floor(F.col("capture_key") / CLOUD).alias("capture_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("participant_id").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"), "vid", point.alias("p")))), lambda s: s["p"]).alias("points"))
 
 
 # --- normalisation -------------------------------------------------------------------------------
