@@ -3,9 +3,10 @@
 Each task tokenises the documents of its partition and packs them in one pass, without a shuffle:
 whole windows of the longest tier are cut off, the remainder of a document is routed to the shortest
 tier that holds it, each tier is packed from the longest down, gaps of long windows are filled from
-shorter tiers (best fit first, then by cutting a piece), and the finished windows are dealt to step
-groups of equal token counts. What is left at the end of a partition goes to windows that shrink by
-powers of two. Memory is one pool of POOL_TOKENS and the longest document.
+shorter tiers (best fit first, then by cutting a piece). What is left at the end of a partition goes to
+windows that shrink by powers of two. Memory is one pool of POOL_TOKENS and the longest document. The
+pieces are then written once, and the windows of all tasks are dealt to step groups of equal token counts
+by their place among all windows of their context: only the last group of a context is partial.
 
 Defined cases: a null text is empty and holds the end id only; null and repeated doc_ids are packed
 like others (rows of the same id are told apart by nothing but their place); an empty input gives an
@@ -16,14 +17,15 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Memo
+from .shared import Memo, materialise
 from .tokens import load_tokenizer
 
 TIERS = (512, 1024, 2048, 4096)
@@ -31,9 +33,11 @@ END_ID = 2
 STEP_TOKENS = 65_536
 POOL_TOKENS = 1 << 21
 OUT_BYTES = 8 << 20
+#: Ids of sequences and step groups hold the partition, or the context, above so many bits.
+PART_BITS = 40
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]
-    + [("sequence_id", pa.int64()), ("offset", pa.int64()), ("context", pa.int32()), ("step_group", pa.int64())]
+    + [("sequence_id", pa.int64()), ("offset", pa.int64()), ("context", pa.int32()), ("place", pa.int64())]
 )
 _SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:$%&*#|]*)")
 #: White space beyond space, tab, newline and return: texts with one are cut at those four only.
@@ -87,10 +91,10 @@ _encoders: dict[str, WordEncoder] = {}
 class Packer:
     """Packs pieces (doc_id, start, ids, doc_tokens) into windows; emits rows of SCHEMA."""
 
-    def __init__(self, base: int, tiers: tuple[int, ...], step_tokens: int):
-        self.tiers, self.longest, self.step_tokens = sorted(tiers), max(tiers), step_tokens
-        self.next_sequence = self.next_group = base
-        self.open_groups: dict[int, list[int]] = {}  # context: [group, tokens]
+    def __init__(self, base: int, tiers: tuple[int, ...]):
+        self.tiers, self.longest = sorted(tiers), max(tiers)
+        self.next_sequence = base
+        self.places: Counter[int] = Counter()  # windows of each context so far
         self.pool: list[tuple] = []
         self.pooled = 0
         self.rows: list[tuple] = []
@@ -106,15 +110,11 @@ class Packer:
             self.pooled += doc_tokens - start
 
     def _emit(self, window: list[tuple], context: int) -> None:
-        if context not in self.open_groups or self.open_groups[context][1] + context > self.step_tokens:
-            self.open_groups[context] = [self.next_group, 0]
-            self.next_group += 1
-        group = self.open_groups[context]
-        group[1] += context
-        offset = 0
+        place, offset = self.places[context], 0
+        self.places[context] += 1
         for doc_id, start, ids, doc_tokens in window:
             length = len(ids) // 4
-            self.rows.append((doc_id, start, length, ids, doc_tokens, self.next_sequence, offset, context, group[0]))
+            self.rows.append((doc_id, start, length, ids, doc_tokens, self.next_sequence, offset, context, place))
             self.out_bytes += len(ids) + 64
             offset += length
         self.next_sequence += 1
@@ -166,11 +166,11 @@ class Packer:
         return batch
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     encoder, end = _encoders[path], end_id.to_bytes(4, "little")
-    packer = Packer(TaskContext.get().partitionId() << 40, tiers, step_tokens)
+    packer = Packer(TaskContext.get().partitionId() << PART_BITS, tiers)
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
             ids = encoder.encode(text.as_py() or "") + end
@@ -183,19 +183,36 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tupl
     yield packer.drain()
 
 
+def _pieces(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...]) -> DataFrame:
+    """One row for each piece; place counts the windows of its context before it in the same task."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, place long"
+    return rows.mapInArrow(lambda it: _pack(it, tokenizer, end_id, tiers), schema)
+
+
+def _grouped(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """place replaced by step_group: pieces are written once, windows counted by task and context, and the counts added up."""
+    pieces = materialise(pieces, "packed").withColumn("__part", F.shiftright("sequence_id", PART_BITS))
+    counts = pieces.groupBy("context", "__part").agg((F.max("place") + 1).alias("n"))  # a few rows for each task
+    running = F.sum("n").over(Window.partitionBy("context").orderBy("__part")) - F.col("n")
+    before = counts.select(F.col("context").alias("__context"), F.col("__part").alias("__task"), running.alias("__before"))
+    joined = pieces.join(F.broadcast(before), (F.col("context") == F.col("__context")) & (F.col("__part") == F.col("__task")))
+    nth = F.floor((F.col("__before") + F.col("place")) / F.greatest(F.floor(F.lit(step_tokens) / F.col("context")), F.lit(1)))
+    group = F.shiftleft(F.col("context").cast("long"), PART_BITS) + nth
+    return joined.select(*(c for c in pieces.columns if c not in ("place", "__part")), group.alias("step_group"))
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row for each piece, with its ids (binary, little-endian unsigned 32-bit), context and step_group."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
-    return rows.mapInArrow(lambda it: _pack(it, tokenizer, end_id, tiers, step_tokens), schema)
+    return _grouped(_pieces(docs, tokenizer, end_id, tiers), step_tokens)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group"
+    pieces = _pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, TIERS)
+    return _grouped(
+        pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "place"), STEP_TOKENS
     )
 
 

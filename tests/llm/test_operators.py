@@ -168,6 +168,16 @@ def test_packing_round_trip(spark, documents, odd):
     assert packing.pack(odd.where("false"), path).count() == 0
 
 
+def test_step_groups_are_full_across_tasks(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).repartition(16, "doc_id")
+    rows = packing.pack(docs, path, step_tokens=8192).select("sequence_id", "context", "step_group").distinct().toPandas()
+    assert rows["sequence_id"].is_unique and (rows["sequence_id"] // 2**40).nunique() > 8
+    groups = rows.groupby(["context", "step_group"]).size().reset_index(name="n")
+    assert groups["step_group"].is_unique and (groups["n"] * groups["context"] <= 8192).all()
+    assert ((groups["n"] * groups["context"] < 8192).groupby(groups["context"]).sum() <= 1).all()
+
+
 def test_poisson_rates(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
