@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each distinct text."""
-    return exact_dedup.deduplicate(docs, exact_dedup.new_index(spark)).select(*COLUMNS)
+    return exact_dedup.distinct_texts(docs, exact_dedup.new_index(spark)).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

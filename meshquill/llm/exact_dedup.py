@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import materialise
 
 BUCKETS = 64
+#: Parts in which a whole table is fed to an index.
+BATCHES = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -32,10 +34,11 @@ def digest(text: str | Column = "text") -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, group_size) in the warehouse, bucketed and sorted by digest.
+    """A table (digest, keep_id, group_size, batch) in the warehouse, bucketed and sorted by digest.
 
-    The bucketing keeps lookups free of a shuffle on the index side: a batch is shuffled to the
-    index's buckets, anti-joined by sort-merge, and what is new is appended with the same layout.
+    Each batch leaves one entry for each of its digests; `read` adds the batches of a digest up. The
+    bucketing keeps lookups free of a shuffle on the index side: a batch is shuffled to the index's
+    buckets, joined by sort-merge, and appended with the same layout.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = BUCKETS):
@@ -44,33 +47,43 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
-    def read(self) -> DataFrame:
+    def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def read(self) -> DataFrame:
+        """One row for each digest, over all batches."""
+        return self.entries().groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
     def _append(self, rows: DataFrame) -> None:
         # One shuffle to the index's own buckets, so that each task writes one file for each of its buckets.
         writer = rows.repartition(self.buckets, "digest").write.format("parquet")
         writer.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Append the digests of the batch that the index does not hold yet, and return them.
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
+        """Append the batch, and return its digests that the index did not hold yet.
 
-        They are written to the shared folder first: what the batch adds must not be computed again once
-        the index holds it.
+        A batch whose name the index has is one delivered again and adds nothing; without a name, the
+        name is a fingerprint of the batch's rows. What the batch adds is written to the shared folder
+        first: it must not be computed again once the index holds it.
 
         Copies within the batch are folded map-side first, so a group that holds a third of all rows
         reaches its reducer as one row from each task.
         """
-        groups = (
-            docs.select("doc_id", digest("text").alias("digest"))
-            .groupBy("digest")
-            .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        )
-        if self.exists():
-            groups = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        rows = docs.select("doc_id", digest("text").alias("digest"))
+        if batch is None:
+            mark = F.xxhash64("doc_id", "digest")
+            batch = ":".join(str(x) for x in rows.agg(F.count(F.lit(1)), F.sum(mark.cast("decimal(38,0)")), F.bit_xor(mark)).first())
+        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = groups.withColumn("batch", F.lit(batch))
+        if not self.exists():
+            self._append(self.spark.createDataFrame([], groups.schema))
+        elif self.entries().where(F.col("batch") == batch).limit(1).count():
+            return self.spark.createDataFrame([], groups.schema).drop("batch")
         groups = materialise(groups, "digests")
-        self._append(groups)
-        return groups
+        held = self.entries().select("digest").hint("merge")
+        fresh = materialise(groups.join(held, "digest", "left_anti"), "digests-new")
+        self._append(fresh.unionByName(materialise(groups.join(held, "digest", "left_semi"), "digests-held")))
+        return fresh.drop("batch")
 
     def annotate(self, docs: DataFrame) -> DataFrame:
         """Each row with the index entry of its digest; only ids and digests are shuffled.
@@ -88,24 +101,38 @@ class DigestIndex:
         )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Rows of the batch whose text is new to the index, one for each text; the index then holds them."""
-    ids = index.add(docs).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
+def _staying(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    ids = groups.select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
     marked = docs.withColumn("__digest", digest("text"))
     stays = (marked["doc_id"] == ids["__keep"]) & (marked["__digest"] == ids["__digest"])
     # Joined on both keys: a text of any group size meets exactly one row. Repeated rows fold into one.
     return marked.join(ids, stays, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
 
 
+def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """Rows of the batch whose text is new to the index, one for each text; the index then holds them."""
+    return _staying(docs, index.add(docs))
+
+
+def feed(docs: DataFrame, index: DigestIndex, batches: int = BATCHES) -> DigestIndex:
+    """All of docs into the index, in batches by a hash of the id."""
+    for i in range(batches):
+        index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i), f"{i} of {batches}")
+    return index
+
+
+def distinct_texts(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """One row for each text, the one with the largest id over all batches."""
+    return _staying(docs, feed(docs, index).read())
+
+
 def new_index(spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index = new_index(spark)
-    index.add(docs)
-    return index.annotate(docs)
+    return feed(docs, new_index(spark)).annotate(docs)
 
 
 ORACLE_SQL = """

@@ -135,6 +135,17 @@ def test_exact_dedup_index_persists(spark, odd):
     assert len(rows) == 10 and {r["group_size"] for r in rows if r["keep_id"] == 5} == {4}
 
 
+def test_exact_dedup_adds_batches_up(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
+    two = spark.createDataFrame([(9, "a"), (4, "c")], "doc_id long, text string")
+    index = exact_dedup.new_index(spark, 4)
+    index.add(one)
+    assert [r["keep_id"] for r in index.add(two).collect()] == [4]
+    rows = index.annotate(one.union(two)).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in rows} == {1: (9, 3, False), 2: (9, 3, False), 9: (9, 3, True), 3: (3, 1, True), 4: (4, 1, True)}
+    assert sorted(r["doc_id"] for r in exact_dedup.distinct_texts(one.union(two), exact_dedup.new_index(spark, 4)).collect()) == [3, 4, 9]
+
+
 def test_token_counts(spark, documents, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = tokens.load_tokenizer(path)
