@@ -1,23 +1,27 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. One pass over the texts gives each document's number of distinct word shingles, a signature of
-   PERMUTATIONS minima, its band keys, and a digest of its words. Documents with the same words are
-   one class from here on, so a group of copies of any size costs one row.
+1. One pass over the texts gives each row's number of distinct word shingles, a signature of
+   PERMUTATIONS minima, its band keys, and a digest of its words. Rows with the same words are one
+   class from here on, so a group of copies of any size costs one row. A class has a number of its own
+   (its place in a written table), never that of a document: a doc_id may carry several texts.
 2. Classes that share a band key are candidates. Within a bucket every class is first compared with
    the bucket's smallest id (a star: as many pairs as rows, never all pairs).
 3. A candidate's signatures are compared batch by batch; it is pruned as soon as the posterior
    probability that its similarity reaches the threshold, given the matches so far, falls below MISS.
-4. Survivors are verified exactly on their full sets, and the links give components.
+4. Survivors are verified exactly on their full sets, and the links give components. Classes that
+   share a doc_id are linked too, unless rows are to be told apart.
 5. Pairs that a star can't see (two classes of a bucket that are in different components so far) are
    then compared in blocks of bounded size, by size, signatures and full sets; rows of the bucket's
    largest component are not compared with each other. Only joined components leave a block. No pair is
    dropped.
 
 Defined cases: texts are lower-cased for A-Z only; null texts and texts without words have no
-shingles and are linked with nothing; a text with fewer words than a shingle has its whole sequence as
-its only shingle; rows with a null doc_id are not linked (component_id null, kept true); rows that
-share a doc_id count as one node of the graph; an empty input gives an empty result. Further columns
-are ignored.
+shingles and are linked with nothing (their class is not linked by a shared doc_id either, unless
+another row of that id has words); a text with fewer words than a shingle has its whole sequence as
+its only shingle; rows that share a doc_id count as one node of the graph, whatever their texts; rows
+with a null doc_id take part with their text, have a null component_id, and are kept only where no row
+with an id is in their component (then the rows of one class are); repeated rows each keep one result
+row; an empty input gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,12 +91,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("raw"),
                 pa.array(counts, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array([x.tobytes() for x in table.astype(np.uint16)], pa.binary()),
                 pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), BANDS).cast(pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "words", "signature", "bands"],
+            ["doc_id", "raw", "n_shingles", "words", "signature", "bands"],
         )
 
 
@@ -100,7 +105,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = hash_cache()
     for batch in batches:
         found = [shingles(t.as_py() or "", cache)[0].tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], ["rep", "shingles"])
 
 
 def least_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> list[int]:
@@ -198,18 +203,19 @@ def _compare_block(rows: pd.DataFrame, bounds: list[int], percent: int) -> pd.Da
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents with the given ids (id)."""
-    ids = small(materialise(ids.distinct(), "near-ids"))
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    return materialise(texts.mapInArrow(_sets, "doc_id long, shingles binary"), "near-sets").dropDuplicates(["doc_id"])
+def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, shingles) of the classes with the given numbers (rep), from one row of each class."""
+    heads = classes.select("rep", F.col("low").alias("__low"), F.col("raw").alias("__raw")).join(reps.distinct(), "rep", "left_semi")
+    heads = small(materialise(heads, "near-heads"))
+    texts = docs.join(heads, docs["doc_id"].eqNullSafe(heads["__low"]) & (docs["raw"] == heads["__raw"])).select("rep", "text")
+    return materialise(texts.mapInArrow(_sets, "rep long, shingles binary"), "near-sets").dropDuplicates(["rep"])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Exact links among the pairs, on the full sets of both texts."""
-    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")))
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInPandas(lambda it: _intersect(it, percent), "a long, b long")
 
 
@@ -242,48 +248,80 @@ def _blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _labels(component: DataFrame, merged: DataFrame) -> DataFrame:
+    """node, label of all nodes with a link: `component` after `merged` has joined its components."""
+    own = [df.select(F.col(c).alias("node"), F.col(c).alias("label")) for df, c in ((component, "component"), (merged, "node"), (merged, "component"))]
+    first = component.select("node", F.col("component").alias("label"))
+    # A node that leads elsewhere has one entry besides its own, the smaller one.
+    first = first.unionAll(own[0]).unionAll(own[1]).unionAll(own[2]).groupBy("node").agg(F.min("label").alias("label"))
+    onward = merged.select(F.col("node").alias("__node"), F.col("component").alias("__to"))
+    return first.join(onward, first["label"] == onward["__node"], "left").select("node", F.coalesce("__to", "label").alias("label"))
+
+
+def near_rows(docs: DataFrame, percent: int = PERCENT, join_ids: bool = True) -> DataFrame:
+    """doc_id, raw (a hash of the text), n_shingles, component_id and kept for each row of docs (doc_id, text).
+
+    With join_ids the nodes are doc_ids. Without, rows are told apart by their texts: repeated and null
+    doc_ids join nothing, and of each component the rows of one text stay: that of the smallest doc_id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("raw"))
     bounds = least_matches(percent / 100)
-    schema = "doc_id long, n_shingles long, words binary, signature binary, bands array<long>"
+    schema = "doc_id long, raw long, n_shingles long, words binary, signature binary, bands array<long>"
     signed = materialise(docs.mapInArrow(_sign, schema), "near-signed")
 
-    usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = usable.groupBy("words").agg(F.min("doc_id").alias("rep"))
-    members = materialise(
-        signed.select("doc_id", "n_shingles", "words").join(reps, "words", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "near-members"
-    )
-    heads = members.where(F.col("doc_id") == F.col("rep")).select("rep").distinct()
-    classes = usable.join(heads, usable["doc_id"] == heads["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "signature", "bands")
-    classes = materialise(classes.dropDuplicates(["rep"]), "near-classes")
+    # One row for each class: the one of its smallest id, which also tells where its text is found.
+    usable = signed.where("n_shingles > 0")
+    lows = usable.groupBy("words").agg(F.min("doc_id").alias("low"))
+    lows = lows.select(F.col("words").alias("__words"), "low")
+    heads = usable.join(lows, (F.col("words") == F.col("__words")) & F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").dropDuplicates(["words"])
+    classes = heads.select(F.monotonically_increasing_id().alias("rep"), "words", F.col("doc_id").alias("low"), "raw", "signature", "bands")
+    classes = materialise(classes, "near-classes")
+    numbers = classes.select("rep", "low", F.col("words").alias("__words"), F.col("raw").alias("__raw"))
+    members = signed.select("doc_id", "raw", "n_shingles", "words").join(numbers, F.col("words") == F.col("__words"), "left")
+    members = materialise(members.select("doc_id", "raw", "n_shingles", "rep", "low", F.coalesce(F.col("raw") == F.col("__raw"), F.lit(True)).alias("head")), "near-members")
 
     # Buckets of two or more classes, each row with the smallest class of its bucket.
     bands = classes.select("rep", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = materialise(bands.join(hubs, "band").where("rep <> hub"), "near-buckets")
-    signatures = classes.drop("bands")
+    signatures = classes.select("rep", "signature")
 
     stars = buckets.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     survivors = _with_signatures(stars, signatures).mapInPandas(lambda it: _prune_pairs(it, bounds), "a long, b long")
     survivors = materialise(survivors, "near-stars")
-    links = materialise(_verify(docs, survivors, percent), "near-star-links")
+    links = _verify(docs, classes, survivors, percent)
+    if join_ids:
+        shared = members.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last")
+        shared = shared.select(F.col("doc_id").alias("__id"), "first")
+        links = links.unionAll(members.join(shared, F.col("doc_id") == F.col("__id")).select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b"))
     component = connected_components(links)
 
     # What the stars leave: members of one bucket in different components.
     labelled = buckets.join(component, buckets["rep"] == component["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     rows = materialise(labelled.join(open_bands, "band", "left_semi"), "near-open")
-    sets = _full_sets(docs, rows.select(F.col("rep").alias("id"))).withColumnRenamed("doc_id", "rep")
+    sets = _full_sets(docs, classes, rows.select("rep"))
     rows = rows.join(signatures.join(sets, "rep"), "rep")
     found = _blocks(rows).groupBy("band", "i", "j").applyInPandas(lambda g: _compare_block(g, bounds, percent), "a long, b long")
-    extra = materialise(found, "near-more-links")
-    labelled = members.join(component, members["rep"] == component["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("near"))
     # The second pass joins components, not documents: its graph has only what the blocks added.
-    merged = connected_components(extra)
-    labelled = labelled.join(merged, labelled["near"] == merged["node"], "left")
-    component_id = F.coalesce("component", "near", "doc_id")
-    return labelled.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+    merged = connected_components(found)
+
+    # Each component's smallest doc_id, and the first of its classes that has it (or, without any id, the first of all).
+    nodes = _labels(component, merged).join(classes.select(F.col("rep").alias("__rep"), "low"), F.col("node") == F.col("__rep")).select("node", "label", "low")
+    rank = F.struct(F.col("low").isNull().alias("none"), "low", "node")
+    best = nodes.groupBy("label").agg(F.min(rank).alias("best")).select(F.col("label").alias("__label"), "best")
+    nodes = nodes.join(best, F.col("label") == F.col("__label")).select("node", F.col("best.low").alias("least"), F.col("best.node").alias("winner"))
+    labelled = members.join(nodes, members["rep"] == nodes["node"], "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "low", "doc_id"))
+    own_class = F.coalesce("winner", "rep", F.lit(-1)) == F.coalesce("rep", F.lit(-1))
+    stays = F.col("doc_id").eqNullSafe(F.coalesce("least", "low", F.when(F.col("rep").isNull(), F.col("doc_id"))))
+    kept = stays & (F.col("doc_id").isNotNull() | own_class) if join_ids else stays & own_class & F.col("head")
+    return labelled.select("doc_id", "raw", "n_shingles", component_id.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
+    return near_rows(docs, percent).drop("raw")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,42 @@ def test_near_duplicates_equal_brute_force(spark, documents, odd):
     assert near_dedup.near_duplicates(odd.where("false")).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with two texts joins the components of both; told apart by rows, it joins none."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(5, a), (5, b), (6, [*a, "x"]), (7, [*b, "y"]), (None, [*a, "z"]), (None, ["n"] * 9), (None, ["n", "n"] * 5), (8, []), (None, []), (9, ["q"] * 7), (9, ["q"] * 7)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()]
+    assert Counter(got) == Counter([(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (None, None, False), (None, None, True), (None, None, False), (8, 8, True), (None, None, True), (9, 9, True), (9, 9, True)])
+    got = near_dedup.near_rows(df, join_ids=False).where("kept").join(df.select("text", F.xxhash64("text").alias("raw")).distinct(), "raw").collect()
+    kept = Counter((r["doc_id"], r["text"].split(" ")[0][:1]) for r in got)
+    assert kept == Counter({(5, "a"): 1, (5, "b"): 1, (None, "n"): 1, (8, ""): 1, (None, ""): 1, (9, "q"): 2})
+
+
+def test_near_duplicates_with_many_repeated_ids_equal_brute_force(spark):
+    """Ids drawn with repeats and nulls over chains of altered texts."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        words = [f"t{k}w{i}" for i in range(80)]
+        for _ in range(int(rng.integers(1, 6))):
+            rows.append((int(rng.integers(0, 90)) if rng.random() < 0.9 else None, " ".join(words)))
+            words = [w if rng.random() > 0.012 else f"{w}x" for w in words]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(76)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) or (rows[i][0] is not None and rows[i][0] == rows[j][0]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {c: min((r[0] for r, x in zip(rows, label, strict=True) if x == c and r[0] is not None), default=None) for c in set(label)}
+    want = Counter((i, len(s), None if i is None else least[c]) for (i, _), s, c in zip(rows, sets, label, strict=True))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+
+
 def test_blocks_find_what_stars_miss(spark):
     """a is like b and b like c, but a is not like c, with all in one bucket."""
     w = [f"w{i}" for i in range(400)]
