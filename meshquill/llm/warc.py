@@ -3,11 +3,15 @@
 Pages are written as WARC records, one gzip member each: a `response` for the smallest page_id of each
 payload of REVISIT_BYTES or more (and for every smaller payload), a `revisit` for the others. Each task
 sorts its captures by URL key and timestamp and writes an archive and a sorted run of index lines with
-a sparse table of offsets. The runs are then merged: a first pass while there are more than FAN_IN of
-them, then one pass in which each task takes a range of keys, seeks to it in every run, and merges
-with a loser tree. The result is the capture history in global order of (range, position), and the
+a sparse table of offsets. The runs are then merged: passes of FAN_IN runs a task while there are more
+than FAN_IN of them, then one pass in which each task takes a range of keys, seeks to it in every run,
+and merges with a loser tree. The result is the capture history in global order of (range, position), and the
 archives are read back through it.
 
+Only urls go through Python before the archives are written, and only ids and digests are shuffled to
+find equal payloads (payloads themselves move where more of them repeat than a broadcast may hold).
+Ids pass through Python as text or Arrow integers, so none is rounded.
+
 Files go through pyarrow's file systems, to the folder the session shares, under names of their own for
 each task attempt; only the names that a finished task returns are read, so lost executors leave at
 worst unread files.
@@ -31,15 +35,19 @@ from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .shared import materialise, scratch
+from .shared import materialise, scratch, small
 
 REVISIT_BYTES = 100
 #: Index lines between two entries of a run's sparse table; runs that one task merges; lines of history for each task.
 SPARSE, FAN_IN, RANGE_LINES = 256, 64, 200_000
 BUFFER = 1 << 18
+#: Repeated payloads (a digest and an id each: 40 MB at most) that may be broadcast once counted.
+MAX_REPEATED = 500_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 CAPTURE = "page_id long, urlkey string, ts string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 _CONTROL = re.compile(r"[\x00-\x20]")
@@ -139,7 +147,7 @@ def _write(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame
                 out, run = _open_out(archive), _RunWriter(folder)
             payload = (row.html or "").encode()
             at = EPOCH + timedelta(seconds=int(row.ts))
-            page_id = None if pd.isna(row.page_id) else int(row.page_id)
+            page_id = None if row.page_id is None else int(row.page_id)  # ids arrive as text
             headers = [("WARC-Payload-Digest", f"sha256:{row.digest}"), ("X-Page-Id", str(page_id)), ("X-Payload-Length", str(len(payload)))]
             revisit = row.record_type == "revisit"
             refers_to = int(row.refers_to) if revisit else None
@@ -225,84 +233,73 @@ def _merge_group(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.Dat
             yield pd.DataFrame([run.close()])
 
 
-def _merge_range(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The captures of each range of keys, in order, from all runs."""
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            high = row.high if isinstance(row.high, str) else None
-            sources = [_lines(path, int(at), row.low, high) for path, at in zip(row.paths, row.starts, strict=True)]
+    for batch in batches:
+        for row in batch.to_pylist():
+            sources = [_lines(path, at, row["low"], row["high"]) for path, at in zip(row["paths"], row["starts"], strict=True)]
             out = []
             for position, (_, line) in enumerate(LoserTree(sources)):
-                out.append({"range": row.range, "position": position, **from_line(line)})
+                out.append({"range": row["range"], "position": position, **from_line(line)})
                 if len(out) == 5_000:
-                    yield _history_frame(out)
+                    yield pa.RecordBatch.from_pylist(out, HISTORY)
                     out = []
-            yield _history_frame(out)
-
-
-def _history_frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["range", "position", *FIELDS])
-    for c in ("page_id", "refers_to"):
-        frame[c] = frame[c].astype("Int64")
-    return frame
+            yield pa.RecordBatch.from_pylist(out, HISTORY)
 
 
 def merge_runs(runs: DataFrame, folder: str, fan_in: int = FAN_IN, range_lines: int = RANGE_LINES) -> DataFrame:
     """The history (range, position, capture) in global order, from locally sorted runs."""
+    if fan_in < 4:
+        raise ValueError("fan_in: at least 4")
     spark = runs.sparkSession
     n = runs.count()
     while n > fan_in:
+        # About 2 n / fan_in groups of half of fan_in each; those that chance makes larger are sliced. From 4 on, this always leaves fewer runs.
         numbered = runs.select("run", F.pmod(F.xxhash64("run"), F.lit(-(-n * 2 // fan_in))).alias("group"))
         groups = numbered.groupBy("group").agg(F.array_sort(F.collect_list("run")).alias("paths"))
         groups = groups.select(F.explode(F.expr(f"transform(sequence(0, CAST((size(paths) - 1) DIV {fan_in} AS INT)), i -> slice(paths, i * {fan_in} + 1, {fan_in}))")).alias("paths"))
         runs = materialise(groups.repartition(n // fan_in + 1).mapInPandas(lambda it: _merge_group(it, folder), RUN), "warc-runs")
-        now = runs.count()
-        if now >= n:
-            break
-        n = now
-    # Split keys: every so many entries of all sparse tables in order; a range holds range_lines lines or so.
-    sparse = runs.select(F.explode("keys").alias("key"))
-    step = max(range_lines // SPARSE, 1)
-    parts = max(-(-sparse.count() // step), 1)
-    ranked = sparse.repartitionByRange(parts, "key").select("key", F.spark_partition_id().alias("part"))
-    splits = [r["key"] for r in ranked.groupBy("part").agg(F.min("key").alias("key")).orderBy("key").collect()]  # one for each task of the merge
-    bounds = [(i, "" if i == 0 else key, splits[i + 1] if i + 1 < len(splits) else None) for i, key in enumerate(splits)]
-    ranges = spark.createDataFrame(bounds, "range int, low string, high string")
-    table = runs.select("run", F.arrays_zip("keys", "offsets").alias("entries"))
-    # At most fan_in runs meet each range: the last sparse entry below its start tells where to seek.
-    started = ranges.crossJoin(F.broadcast(table)).select(
-        "range", "low", "high", "run",
-        F.coalesce(F.array_max(F.transform(F.filter("entries", lambda e: e["keys"] < F.col("low")), lambda e: e["offsets"])), F.lit(0)).alias("start"),
-    )
+        n = runs.count()
+    # Every so many entries of all sparse tables, in order, start a range of range_lines lines or so.
+    entries = runs.select("run", F.explode(F.arrays_zip("keys", "offsets")).alias("e")).select("run", F.col("e.keys").alias("key"), F.col("e.offsets").alias("offset"))
+    parts = max(-(-entries.count() // max(range_lines // SPARSE, 1)), 1)
+    dealt = materialise(entries.repartitionByRange(parts, "key").select("run", "key", "offset", F.spark_partition_id().alias("part")), "warc-entries")
+    lows = [(r["part"], r["key"]) for r in dealt.groupBy("part").agg(F.min("key").alias("key")).orderBy("part").collect()]  # one row for each task of the merge
+    bounds = [(i, part, "" if i == 0 else key, lows[i + 1][1] if i + 1 < len(lows) else None) for i, (part, key) in enumerate(lows)]
+    ranges = spark.createDataFrame(bounds, "range int, part int, low string, high string")
+    # At most fan_in runs meet each range. A run is read from its last entry before the range, which is the last of its earlier parts.
+    names = F.array(*(F.lit(r["run"]) for r in runs.select("run").collect())).cast("array<string>")
+    last = dealt.groupBy("run", "part").agg(F.max("offset").alias("offset")).withColumnsRenamed({"run": "__run", "part": "__part"})
+    met = ranges.withColumn("run", F.explode(names))
+    met = met.join(last, (F.col("run") == F.col("__run")) & (F.col("part") == F.col("__part")), "left")
+    earlier = Window.partitionBy("run").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    started = met.select("range", "low", "high", "run", F.coalesce(F.max("offset").over(earlier), F.lit(0)).alias("start"))
     tasks = started.groupBy("range", "low", "high").agg(F.array_sort(F.collect_list(F.struct("run", "start"))).alias("runs"))
     tasks = tasks.select("range", "low", "high", F.col("runs.run").alias("paths"), F.col("runs.start").alias("starts"))
-    return tasks.repartition(max(len(bounds), 1), "range").mapInPandas(_merge_range, f"range int, position long, {CAPTURE}")
+    return tasks.repartition(max(len(bounds), 1), "range").mapInArrow(_merge_range, f"range int, position long, {CAPTURE}")
 
 
-def _read_back(frames: Iterator[pd.DataFrame], sink: Callable = parse_member) -> Iterator[pd.DataFrame]:
+def _read_back(batches: Iterator[pa.RecordBatch], sink: Callable = parse_member) -> Iterator[pa.RecordBatch]:
     """Records at the index's places; rows arrive sorted by file and offset, so each archive is read forwards once."""
     source, name = None, None
-    for frame in frames:
+    for batch in batches:
         out = []
-        for row in frame.itertuples(index=False):
-            if row.file != name:
+        for row in batch.to_pylist():
+            if row["file"] != name:
                 if source is not None:
                     source.close()
-                source, name = _open_in(row.file), row.file
-            source.seek(int(row.offset))
-            headers, payload = sink(source.read(int(row.length)))
+                source, name = _open_in(row["file"]), row["file"]
+            source.seek(row["offset"])
+            headers, payload = sink(source.read(row["length"]))
             revisit = headers["WARC-Type"] == "revisit"
             page_id = headers["X-Page-Id"]
             out.append({
-                "range": row.range, "position": row.position, "page_id": None if page_id == "None" else int(page_id), "url": headers["WARC-Target-URI"], "html": None if revisit else payload.decode(),
+                "range": row["range"], "position": row["position"], "page_id": None if page_id == "None" else int(page_id), "url": headers["WARC-Target-URI"], "html": None if revisit else payload.decode(),
                 "payload_bytes": int(headers["X-Payload-Length"]) if revisit else len(payload),
                 "payload_digest": headers["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
                 "record_type": headers["WARC-Type"], "refers_to": int(headers["X-Refers-To-Page-Id"]) if revisit else None,
             })
-        result = pd.DataFrame(out, columns=["range", "position", "page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        for c in ("page_id", "refers_to"):
-            result[c] = result[c].astype("Int64")
-        yield result
+        yield pa.RecordBatch.from_pylist(out, RECORDS)
     if source is not None:
         source.close()
 
@@ -310,30 +307,39 @@ def _read_back(frames: Iterator[pd.DataFrame], sink: Callable = parse_member) ->
 RECORD = "range int, position long, page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split(" ") for field in schema.split(", "))])
+
+
+HISTORY, RECORDS = _arrow(f"range int, position long, {CAPTURE}"), _arrow(RECORD)
+
+
+@F.pandas_udf(StringType())
+def _url_keys(urls: pd.Series) -> pd.Series:
+    return urls.map(lambda u: _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url_key(u)))  # no key holds the separators of a line
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Archives and sorted runs of the pages (page_id, url, html, and ts: seconds since EPOCH); the table of runs."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string"), "html", "ts")
     marked = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
     long_enough = F.coalesce(F.octet_length("html"), F.lit(0)) >= REVISIT_BYTES
-    # One row for each payload; a payload that a third of the pages share is folded before the shuffle.
-    first = marked.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = marked.join(first, "digest", "left")
+    # One row for each repeated payload; one that a third of the pages share is folded before the shuffle.
+    first = marked.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = small(materialise(first.select(F.col("digest").alias("__digest"), "first"), "warc-repeated"), MAX_REPEATED)
+    # Shorter payloads look for nothing: a key of their own keeps a common one from being hot where the join shuffles.
+    sought = F.when(long_enough, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = marked.withColumn("__sought", sought).join(first, F.col("__sought") == F.col("__digest"), "left")
     revisit = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
-    typed = joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first"))})
-    keyed = typed.mapInPandas(_with_key, "page_id long, url string, html string, ts long, digest string, record_type string, refers_to long, urlkey string")
-    ordered = keyed.sortWithinPartitions("urlkey", "ts", "page_id")
+    typed = joined.select(
+        F.col("page_id").cast("string").alias("page_id"), "url", "html", "ts", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisit, F.col("first")).cast("string").alias("refers_to"), _url_keys("url").alias("urlkey"), F.col("page_id").alias("__order"),
+    )
+    ordered = typed.sortWithinPartitions("urlkey", "ts", "__order").drop("__order")
     return materialise(ordered.mapInPandas(lambda it: _write(it, folder), RUN), "warc-manifest")
 
 
-def _with_key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = frame[["page_id", "url", "html", "ts", "digest", "record_type", "refers_to"]].copy()
-        for c in ("page_id", "refers_to"):
-            out[c] = out[c].astype("Int64")
-        out["urlkey"] = [_CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url_key(u)) for u in frame["url"]]  # no key holds the separators of a line
-        yield out
-
-
 def history(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write, merge: the capture history in order of (range, position)."""
     folder = folder or scratch(pages.sparkSession, "warc")
@@ -343,7 +349,7 @@ def history(pages: DataFrame, folder: str | None = None) -> DataFrame:
 def read_records(captures: DataFrame) -> DataFrame:
     """The records at the captures' places, payloads included."""
     ordered = captures.select("range", "position", "file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return ordered.mapInPandas(_read_back, RECORD)
+    return ordered.mapInArrow(_read_back, RECORD)
 
 
 def op7_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,21 @@ def test_warc_history_is_ordered(spark):
     assert warc.history(pages.where("false")).count() == 0
 
 
+def test_warc_keeps_ids_whole_and_odd_rows(spark):
+    """Ids beyond the integers of a double, with and without nulls; repeated ids; clashing columns; many passes."""
+    html, big = "<p>" + "x" * 200, 2**53
+    rows = [(big + 1, "http://a.b/1", html, 0, "f", 1), (big + 3, "http://a.b/2", html, 0, "f", 1), (big + 5, None, None, 1, None, None), (7, "http://c.d/", "y" * 150, 2, "g", 2), (7, "http://c.d/", "y" * 150, 2, "g", 2), (-3, "http://c.d/", "y" * 150, 2, "g", 2)]
+    for more in ([], [(None, "http://a.b/", html, 1, "f", 1)]):
+        pages = spark.createDataFrame(rows + more, "page_id long, url string, html string, ts long, file string, first long").repartition(3)
+        back = Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_records(warc.history(pages)).collect())
+        want = [(big + 1, "response", None, 203), (big + 3, "revisit", big + 1, 203), (big + 5, "response", None, 0), (7, "revisit", -3, 150), (7, "revisit", -3, 150), (-3, "response", None, 150)]
+        assert back == Counter(want + [(None, "response", None, 203) for _ in more])
+    runs = warc.write_archives(spark.range(200).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("x").alias("html"), F.lit(0).alias("ts")).repartition(30), folder := shared.scratch(spark, "warc-test"))
+    assert runs.count() == 30 and [r["page_id"] for r in warc.merge_runs(runs, folder, fan_in=4, range_lines=40).orderBy("range", "position").collect()] == sorted(range(200), key=str)
+    with pytest.raises(ValueError):
+        warc.merge_runs(runs, folder, fan_in=2)
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     runs = [sorted((f"{x:05d}", b"") for x in rng.integers(0, 500, n)) for n in (0, 1, 50, 200, 7)]
