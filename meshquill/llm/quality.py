@@ -1,18 +1,27 @@
 """Quality rules: base rules on repetition, and robust multivariate outliers.
 
 Each document that passes the base rules gives a vector of transformed statistics. For each language
-and source, a minimum-covariance-determinant estimate is fitted over all of its documents: from two
-robust starts, concentration steps keep the half with the smallest Mahalanobis distances and refit,
-the smaller determinant wins, and one reweighting step makes the estimate efficient. Documents far
-from the centre of their group are rejected.
+and source, however small, a minimum-covariance-determinant estimate is fitted over all of its
+documents: from two robust starts, concentration steps keep the CORE_SHARE of the group with the
+smallest Mahalanobis distances and refit until no determinant falls any more, and the start with the
+smaller determinant wins. One reweighting step (all documents within the 97.5 % ellipsoid) makes the
+estimate efficient. Documents far from the centre of their group are rejected.
 
-A step costs two aggregations over the narrow table of statistics; map-side combining leaves one row
-for each group and task, so a source with a third of all rows is no hot spot. Groups of fewer than
-MIN_GROUP documents use the estimate of their language, or of the whole corpus.
+Small groups are no special case: the moments that reweighting leaves are drawn towards those of the
+language (all of its sources together), and these towards those of the corpus, with the weight of
+PRIOR documents: an estimate is (n own + PRIOR parent) / (n + PRIOR) in centre and covariance, so a
+group of 10 is nearly its language's, one of 10,000 its own, and nothing changes at any size at once.
+
+Every covariance is regularised by the identity in units of the least scales below (a minimum
+regularised covariance determinant): where nearly all of a group has one value, a deviation below that
+scale counts by the scale and not by the spread of zero.
+
+A step costs two aggregations over the narrow table of vectors; map-side combining leaves one row for
+each group and task, so a source with a third of all rows is no hot spot.
 
 Defined cases: a null text has no words and fails the base rules; null lang and null source are
-groups of their own; rows with null or repeated doc_ids each keep one result row; when no group is
-large enough to fit, base-passing documents are kept; an empty input gives an empty result. Further
+groups of their own; rows with null or repeated doc_ids each keep one result row; a document that is
+alone in its corpus is kept if it passes the base rules; an empty input gives an empty result. Further
 columns are ignored.
 """
 
@@ -30,9 +39,10 @@ from .shared import Memo, hash_cache, materialise, small, windows, word_hashes
 
 MIN_WORDS = 20
 REPEAT_WINDOW, REPEAT_PERCENT = 8, 30
-#: Share of a group that the concentration steps keep, and their number.
-CORE_SHARE, STEPS = 0.75, 4
-MIN_GROUP = 200
+#: Share of a group that the concentration steps keep; the fall of a log determinant that counts as none; steps at most.
+CORE_SHARE, SETTLED, STEPS = 0.75, 1e-3, 30
+#: Documents that the estimate of the next wider group counts for.
+PRIOR = 50.0
 MAX_GROUPS = 10_000
 #: Statistic vector and, in its units, the least scale that counts as a deviation of one: the words of a
 #: clean text vary this much by chance, also where more than half of a group has exactly the same value.
@@ -118,34 +128,57 @@ def vector() -> list[Column]:
 
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+KEYS = ["lang", "source"]
+SUMS = ["n", *(f"s{i}" for i in range(D)), *(f"q{i}_{j}" for i, j in PAIRS)]
 
 
-def _moments(prefix: str = "x") -> list[Column]:
-    v = lambda i: F.col(f"{prefix}{i}")
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(v(i)).alias(f"s{i}") for i in range(D)), *(F.sum(v(i) * v(j)).alias(f"q{i}_{j}") for i, j in PAIRS)]
+def _moments() -> list[Column]:
+    v = lambda i: F.col(f"x{i}")
+    return [F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(v(i)).alias(f"s{i}") for i in range(D)), *(F.sum(v(i) * v(j)).alias(f"q{i}_{j}") for i, j in PAIRS)]
 
 
-def _solve(rows: pd.DataFrame, left: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre, inverse covariance and log determinant of each row of moments; unit ridge in scaled units."""
-    n = rows["n"].to_numpy(float)[:, None]
-    centre = rows[[f"s{i}" for i in range(D)]].to_numpy(float) / n
+def _estimate(rows: pd.DataFrame, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of each row of sums."""
+    n = np.maximum(rows[f"{prefix}n"].to_numpy(float), 1.0)[:, None]
+    centre = rows[[f"{prefix}s{i}" for i in range(D)]].to_numpy(float) / n
     cov = np.zeros((len(rows), D, D))
     for i, j in PAIRS:
-        cov[:, i, j] = cov[:, j, i] = rows[f"q{i}_{j}"].to_numpy(float) / n[:, 0] - centre[:, i] * centre[:, j]
+        cov[:, i, j] = cov[:, j, i] = rows[f"{prefix}q{i}_{j}"].to_numpy(float) / n[:, 0] - centre[:, i] * centre[:, j]
+    return centre, cov
+
+
+def regularised(cov: np.ndarray, left: float) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse and log determinant, with the truncated variance made up for and unit ridge in scaled units."""
     cov = cov / left + np.eye(D)  # a deviation below the least scale never counts as more than it
-    return centre, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+    return np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
 
 
 #: The groups' estimates: few rows, solved inside tasks of Spark, never on the driver.
-MODEL = "level int, lang string, source string, start int, size long, logdet double, centre array<double>, inverse array<double>"
+MODEL = "lang string, source string, start int, logdet double, fall double, centre array<double>, inverse array<double>"
 
 
-def _model_rows(frames: Iterator[pd.DataFrame], left: float) -> Iterator[pd.DataFrame]:
+def _core_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in frames:
         if len(rows):
-            centre, inverse, logdet = _solve(rows, left)
-            out = rows[["level", "lang", "source", "start", "size"]].copy()
-            out["logdet"], out["centre"], out["inverse"] = logdet, list(centre), list(inverse.reshape(len(rows), -1))
+            centre, cov = _estimate(rows)
+            inverse, logdet = regularised(cov, LEFT_CORE / CORE_SHARE)
+            out = rows[[*KEYS, "start"]].copy()
+            out["logdet"], out["fall"] = logdet, rows["before"].to_numpy(float) - logdet
+            out["centre"], out["inverse"] = list(centre), list(inverse.reshape(len(rows), -1))
+            yield out
+
+
+def _shrunk_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each group's estimate drawn to that of its language, and that to the corpus's."""
+    for rows in frames:
+        if len(rows):
+            centre, cov = _estimate(rows, "all_")
+            for prefix in ("lang_", ""):
+                own, spread = _estimate(rows, prefix)
+                share = (rows[f"{prefix}n"].to_numpy(float) / (rows[f"{prefix}n"].to_numpy(float) + PRIOR))[:, None]
+                centre, cov = share * own + (1 - share) * centre, share[:, :, None] * spread + (1 - share[:, :, None]) * cov
+            out = rows[KEYS].copy()
+            out["centre"], out["inverse"] = list(centre), list(regularised(cov, LEFT_WEIGHT / 0.975)[0].reshape(len(rows), -1))
             yield out
 
 
@@ -159,106 +192,82 @@ def distance(centre: str = "centre", inverse: str = "inverse") -> Column:
     return total
 
 
-KEYS = ["level", "lang", "source"]
-
-
-def _match(rows: DataFrame, model: DataFrame) -> DataFrame:
-    right = model.select(*(F.col(k).alias(f"m_{k}") for k in KEYS), *(c for c in model.columns if c not in KEYS))
-    same = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in KEYS]
-    return rows.join(right, same, "inner").drop(*(f"m_{k}" for k in KEYS))
+def _match(rows: DataFrame, model: DataFrame, keys: list[str] = KEYS, how: str = "inner") -> DataFrame:
+    right = model.select(*(F.col(k).alias(f"m_{k}") for k in keys), *(c for c in model.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
+    return rows.join(right, same, how).drop(*(f"m_{k}" for k in keys))
+
+
+def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Start 0: medians, the median absolute deviations on the diagonal. Start 1: the covariance of tanh scores about them, which no far point can dominate."""
+    for g in frames:
+        for start in (0, 1):
+            if not len(g):
+                continue
+            cov = np.tile(np.eye(D), (len(g), 1, 1))
+            for i, j in PAIRS:
+                if start == 0 and i == j:
+                    cov[:, i, i] += (1.4826 * g[f"madx{i}"].to_numpy(float)) ** 2
+                if start == 1:
+                    cov[:, i, j] += g[f"t{i}_{j}"].to_numpy(float)
+                    cov[:, j, i] = cov[:, i, j]
+            out = g[KEYS].copy()
+            out["start"], out["logdet"], out["fall"] = start, np.inf, np.inf
+            out["centre"] = list(g[[f"medx{i}" for i in range(D)]].to_numpy(float))
+            out["inverse"] = list(np.linalg.inv(cov).reshape(len(g), -1))
+            yield out
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """One MCD estimate for each group of at least MIN_GROUP documents.
-
-    Levels: 0 language and source, 1 language, 2 all; the key columns that a level ignores hold "*".
-    """
-    good = stats.where(~F.col("base_failed")).select("lang", "source", *vector())
-    star = F.lit("*")
-    levels = F.array(
-        F.struct(F.lit(0).alias("level"), F.col("lang").alias("l"), F.col("source").alias("s")),
-        F.struct(F.lit(1).alias("level"), F.col("lang").alias("l"), star.alias("s")),
-        F.struct(F.lit(2).alias("level"), star.alias("l"), star.alias("s")),
-    )
-    rows = good.select(F.explode(levels).alias("key"), *X).select("key.level", F.col("key.l").alias("lang"), F.col("key.s").alias("source"), *X)
-
-    # Start 0: medians with the median absolute deviations on the diagonal. Start 1: the covariance of
-    # tanh scores about the medians, which no far point can dominate.
-    middle = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("size"), *(F.percentile_approx(x, 0.5, 2000).alias(f"med{x}") for x in X)).where(F.col("size") >= MIN_GROUP)
+    """lang, source, centre, inverse: one estimate for each language and source with a document that passes the base rules."""
+    rows = materialise(stats.where(~F.col("base_failed")).select(*KEYS, *vector()), "quality-vectors")
+    middle = rows.groupBy(*KEYS).agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"med{x}") for x in X))
     middle = materialise(middle, "quality-middle")
     hint = F.broadcast if middle.count() <= MAX_GROUPS else (lambda df: df)  # no later table has more than two rows for each of these
-    centred = _match(rows, hint(middle)).select(*KEYS, "size", *(F.col(f"med{x}") for x in X), *((F.col(x) - F.col(f"med{x}")).alias(x) for x in X))
+    centred = _match(rows, hint(middle)).select(*KEYS, *(F.col(f"med{x}") for x in X), *((F.col(x) - F.col(f"med{x}")).alias(x) for x in X))
     spread = centred.groupBy(*KEYS).agg(
-        F.max("size").alias("size"),
         *(F.max(f"med{x}").alias(f"med{x}") for x in X),
         *(F.percentile_approx(F.abs(x), 0.5, 2000).alias(f"mad{x}") for x in X),
         *(F.avg(F.tanh(F.col(f"x{i}")) * F.tanh(F.col(f"x{j}"))).alias(f"t{i}_{j}") for i, j in PAIRS),
     )
-
-    def starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in frames:
-            for start in (0, 1):
-                if not len(g):
-                    continue
-                cov = np.tile(np.eye(D), (len(g), 1, 1))
-                for i, j in PAIRS:
-                    if start == 0 and i == j:
-                        cov[:, i, i] += (1.4826 * g[f"madx{i}"].to_numpy(float)) ** 2
-                    if start == 1:
-                        cov[:, i, j] += g[f"t{i}_{j}"].to_numpy(float)
-                        cov[:, j, i] = cov[:, i, j]
-                out = g[[*KEYS, "size"]].copy()
-                out["start"], out["logdet"] = start, np.linalg.slogdet(cov)[1]
-                out["centre"] = list(g[[f"medx{i}" for i in range(D)]].to_numpy(float))
-                out["inverse"] = list(np.linalg.inv(cov).reshape(len(g), -1))
-                yield out[["level", "lang", "source", "start", "size", "logdet", "centre", "inverse"]]
-
-    model = materialise(spread.mapInPandas(starts, MODEL), "quality-start")
-    keys = [*KEYS, "start"]
+    model = materialise(spread.mapInPandas(_starts, MODEL), "quality-start")
+    # Estimates that have settled leave the steps; the others go on.
+    done, active = [], model
     for _ in range(STEPS):
-        model = _concentrate(rows, model, keys, hint)
-    best = model.withColumn("best", F.min(F.struct("logdet", "start")).over(_group_window())).where(F.col("best.start") == F.col("start")).drop("best")
-    # One reweighting step: all documents within the 97.5 % ellipsoid of the core estimate.
+        active = _concentrate(rows, active, hint)
+        done.append(active.where(F.col("fall") <= SETTLED))
+        active = active.where(F.col("fall") > SETTLED)
+        if not active.limit(1).count():
+            break
+    done.append(active)
+    model = done[0]
+    for more in done[1:]:
+        model = model.unionAll(more)
+    best = model.groupBy(*KEYS).agg(F.min_by(F.struct("centre", "inverse"), F.struct("logdet", "start")).alias("best"))
+    best = materialise(best.select(*KEYS, "best.centre", "best.inverse"), "quality-core")
     near = _match(rows, hint(best)).where(distance() <= CHI_WEIGHT)
-    final = near.groupBy(*keys).agg(F.max("size").alias("size"), *_moments())
-    return materialise(final.mapInPandas(lambda it: _model_rows(it, LEFT_WEIGHT / 0.975), MODEL), "quality-model")
-
+    own = materialise(near.groupBy(*KEYS).agg(*_moments()), "quality-moments")
+    wider = own.groupBy("lang").agg(*(F.sum(c).alias(f"lang_{c}") for c in SUMS))
+    whole = own.agg(*(F.sum(c).alias(f"all_{c}") for c in SUMS)).first()
+    # A group whose every document lies outside its ellipsoid still has its language's and the corpus's estimate.
+    joined = _match(_match(best.select(*KEYS), own, how="left").na.fill(0.0, SUMS), wider, ["lang"], "left").na.fill(0.0, [f"lang_{c}" for c in SUMS])
+    joined = joined.select("*", *(F.lit(float(whole[f"all_{c}"] or 0.0)).alias(f"all_{c}") for c in SUMS))
+    return materialise(joined.mapInPandas(_shrunk_rows, "lang string, source string, centre array<double>, inverse array<double>"), "quality-model")
 
-def _group_window():
-    from pyspark.sql import Window
 
-    return Window.partitionBy(*KEYS)
-
-
-def _concentrate(rows: DataFrame, model: DataFrame, keys: list[str], hint) -> DataFrame:
+def _concentrate(rows: DataFrame, model: DataFrame, hint) -> DataFrame:
     """One concentration step: refit each estimate on the share of its group that lies nearest."""
-    measured = _match(rows, hint(model)).select(*keys, distance().alias("d2"))
+    keys = [*KEYS, "start"]
+    measured = _match(rows, hint(model)).select(*keys, "logdet", distance().alias("d2"), *X)
     cuts = measured.groupBy(*keys).agg(F.percentile_approx("d2", CORE_SHARE, 2000).alias("cut"))
-    core = _match(rows, hint(_join_null_safe(model, cuts, keys))).where(distance() <= F.col("cut"))
-    moments = core.groupBy(*keys).agg(F.max("size").alias("size"), *_moments())
-    return materialise(moments.mapInPandas(lambda it: _model_rows(it, LEFT_CORE / CORE_SHARE), MODEL), "quality-step")
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    right = right.select(*(F.col(k).alias(f"r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    return left.join(right, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys], "inner").drop(*(f"r_{k}" for k in keys))
+    core = _match(measured, hint(cuts), keys).where(F.col("d2") <= F.col("cut"))
+    moments = core.groupBy(*keys).agg(F.max("logdet").alias("before"), *_moments())
+    return materialise(moments.mapInPandas(_core_rows, MODEL), "quality-step")
 
 
 def judge(stats: DataFrame, model: DataFrame) -> DataFrame:
-    """distance2 to the finest estimate there is, and kept."""
-    model = small(model, MAX_GROUPS)
-    out = stats
-    for level in (0, 1, 2):
-        part = model.where(F.col("level") == level).select(
-            F.col("lang").alias(f"l{level}"), F.col("source").alias(f"s{level}"), F.col("centre").alias(f"c{level}"), F.col("inverse").alias(f"i{level}")
-        )
-        on = F.lit(True)
-        if level < 2:
-            on = F.col("lang").eqNullSafe(F.col(f"l{level}"))
-        if level == 0:
-            on = on & F.col("source").eqNullSafe(F.col("s0"))
-        out = out.join(F.broadcast(part) if level else part, on, "left")
-    chosen = out.select(*stats.columns, *vector(), F.coalesce("c0", "c1", "c2").alias("centre"), F.coalesce("i0", "i1", "i2").alias("inverse"))
+    """distance2 to the estimate of the row's language and source, and kept."""
+    chosen = _match(stats.select("*", *vector()), small(model, MAX_GROUPS), how="left")
     scored = chosen.withColumn("distance2", F.when(~F.col("base_failed"), distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CHI_REJECT)
     return scored.withColumn("kept", kept).drop("centre", "inverse", *X)

@@ -80,6 +80,66 @@ def test_mcd_is_not_pulled_by_outliers(spark):
     assert all(kept[i] for i in range(600)) and not any(kept[i] for i in range(600, 690))
 
 
+def brute_mcd(groups):
+    """The estimates of quality.fit in plain NumPy: {(lang, source): vectors} to {(lang, source): (centre, covariance)}."""
+    eye = np.eye(quality.D)
+    cut = lambda d, share: np.sort(d)[max(int(np.ceil(share * len(d))), 1) - 1]
+    far = lambda x, centre, cov: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+    kept = {}
+    for key, x in groups.items():
+        middle = np.sort(x, axis=0)[max(int(np.ceil(0.5 * len(x))), 1) - 1]
+        gap = x - middle
+        mad = np.sort(np.abs(gap), axis=0)[max(int(np.ceil(0.5 * len(x))), 1) - 1]
+        found = []
+        for cov in (np.diag((1.4826 * mad) ** 2) + eye, np.tanh(gap).T @ np.tanh(gap) / len(x) + eye):
+            centre, before = middle, np.inf
+            while True:
+                d = far(x, centre, cov)
+                core = x[d <= cut(d, quality.CORE_SHARE)]
+                centre, cov = core.mean(axis=0), np.cov(core.T, bias=True) / (quality.LEFT_CORE / quality.CORE_SHARE) + eye
+                now = np.linalg.slogdet(cov)[1]
+                if before - now <= quality.SETTLED:
+                    break
+                before = now
+            found.append((now, centre, cov))
+        _, centre, cov = min(found, key=lambda f: f[0])
+        kept[key] = x[far(x, centre, cov) <= quality.CHI_WEIGHT]
+    out = {}
+    for key in groups:
+        parts = [np.concatenate(list(kept.values())), np.concatenate([v for k, v in kept.items() if k[0] == key[0]]), kept[key]]
+        centre, cov = parts[0].mean(axis=0), np.cov(parts[0].T, bias=True)
+        for x in parts[1:]:
+            share = len(x) / (len(x) + quality.PRIOR)
+            if len(x):
+                centre, cov = share * x.mean(axis=0) + (1 - share) * centre, share * np.cov(x.T, bias=True) + (1 - share) * cov
+        out[key] = centre, cov / (quality.LEFT_WEIGHT / 0.975) + eye
+    return out, far
+
+
+def test_quality_verdicts_equal_plain_mcd(spark):
+    """Every verdict over the test table equals that of the NumPy version, groups of one included."""
+    got = quality.quality_rules(spark.read.parquet(f"{SF}/documents.parquet")).select("*", *quality.vector()).toPandas()
+    good = got[~got.base_failed]
+    groups = {k: g[quality.X].to_numpy(float) for k, g in good.groupby(["lang", "source"])}
+    assert min(map(len, groups.values())) == 1 or len(groups) > 20
+    model, far = brute_mcd(groups)
+    for k, g in good.groupby(["lang", "source"]):
+        d = far(g[quality.X].to_numpy(float), *model[k])
+        assert np.allclose(d, g.distance2, rtol=1e-6, atol=1e-6)
+        assert ((d <= quality.CHI_REJECT) == g.kept).all()
+    assert got.kept.mean() > 0.7 and not got[got.base_failed].kept.any()
+
+
+def test_quality_shrinks_small_groups_smoothly(spark):
+    """The weight of a group's own estimate grows with its size, without a step; groups of one and null keys have estimates."""
+    rng = np.random.default_rng(1)
+    stats = [(i, lang, source, 400, 2000, 0, 0, 0, int(rng.integers(20, 40)), int(rng.integers(0, 20)), 4) for i, (lang, source) in enumerate([("en", "a")] * 300 + [("en", "b")] + [(None, None)] * 3)]
+    df = spark.createDataFrame(stats, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.STATS)).withColumn("base_failed", F.lit(False))
+    model = {(r["lang"], r["source"]): np.array(r["centre"]) for r in quality.fit(df).collect()}
+    assert set(model) == {("en", "a"), ("en", "b"), (None, None)} and np.abs(model["en", "a"] - model["en", "b"]).max() < 0.1
+    assert all(r["kept"] for r in quality.judge(df, quality.fit(df)).collect())
+
+
 def test_near_duplicates_equal_brute_force(spark, documents, odd):
     sets = {}
     for i, t in zip(documents.doc_id, documents.text, strict=True):
