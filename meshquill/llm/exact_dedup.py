@@ -5,8 +5,10 @@ empty. Of equal texts the row with the largest doc_id stays.
 
 Defined cases: a null text equals an empty one; rows with a null doc_id take part in group sizes but
 never stay unless the whole group has no id (then keep_id is null and kept is false); repeated rows
-(same doc_id and text) each get a result row, and all rows that carry the id that stays are kept; an
-empty input gives an empty result and leaves the index as it was. Further columns are ignored.
+(same doc_id and text) each get a result row, and all rows that carry the id that stays are kept;
+where whole rows are returned (`distinct_texts`), one row of each text stays, also of a text whose rows
+have no id; an empty input gives an empty result and leaves the index as it was. Further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .shared import materialise
 
-BUCKETS = 64
 #: Parts in which a whole table is fed to an index.
 BATCHES = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,12 +42,20 @@ class DigestIndex:
     buckets, joined by sort-merge, and appended with the same layout.
     """
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = BUCKETS):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+        """buckets: as many as shuffles have partitions, unless given; an index that exists keeps its own."""
+        self.spark, self.table = spark, table
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.exists():
+            facts = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+            self.buckets = int(facts["data_type"]) if facts else self.buckets
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -104,9 +113,9 @@ class DigestIndex:
 def _staying(docs: DataFrame, groups: DataFrame) -> DataFrame:
     ids = groups.select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
     marked = docs.withColumn("__digest", digest("text"))
-    stays = (marked["doc_id"] == ids["__keep"]) & (marked["__digest"] == ids["__digest"])
+    stays = marked["doc_id"].eqNullSafe(ids["__keep"]) & (marked["__digest"] == ids["__digest"])
     # Joined on both keys: a text of any group size meets exactly one row. Repeated rows fold into one.
-    return marked.join(ids, stays, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    return marked.join(ids, stays, "left_semi").dropDuplicates(["__digest"]).drop("__digest")
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -121,18 +130,26 @@ def feed(docs: DataFrame, index: DigestIndex, batches: int = BATCHES) -> DigestI
     return index
 
 
-def distinct_texts(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """One row for each text, the one with the largest id over all batches."""
-    return _staying(docs, feed(docs, index).read())
+def distinct_texts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """One row for each text, the one with the largest id over all batches; without an index, through one that is dropped again."""
+    mine = index or new_index(docs.sparkSession)
+    groups = feed(docs, mine).read().select("digest", "keep_id")
+    if index is None:
+        groups = materialise(groups, "digests-kept")
+        mine.drop()
+    return _staying(docs, groups)
 
 
-def new_index(spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
+def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return feed(docs, new_index(spark)).annotate(docs)
+    index = new_index(spark)
+    result = materialise(feed(docs, index).annotate(docs), "digests-of-rows")
+    index.drop()  # the query's index is its own; one that lasts is made by name
+    return result
 
 
 ORACLE_SQL = """

@@ -16,9 +16,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set, as in tests."""
+    """The shared folder named by the session; a local one only where none is set and all runs on one machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
