@@ -242,6 +242,21 @@ def test_exact_dedup_adds_batches_up(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.distinct_texts(one.union(two), exact_dedup.new_index(spark, 4)).collect()) == [3, 4, 9]
 
 
+def test_exact_dedup_without_ids_and_rows(spark, odd):
+    """Of a text without any id one row stays; an empty table gives none; an index is found again by its name, and dropped."""
+    docs = spark.createDataFrame([(None, "a"), (None, "A"), (3, "b"), (3, "b"), (None, "b")], "doc_id long, text string")
+    rows = exact_dedup.distinct_texts(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in rows) == [(0, "a"), (3, "b")]
+    assert exact_dedup.distinct_texts(docs.where("false")).count() == 0
+    index = exact_dedup.new_index(spark, 4)
+    index.add(docs)
+    again = exact_dedup.DigestIndex(spark, index.table, 16)
+    assert again.buckets == 4 and again.annotate(docs.where("false")).count() == 0 and again.add(docs.where("false")).count() == 0
+    assert {(r["keep_id"], r["group_size"]) for r in again.annotate(docs).collect()} == {(None, 2), (3, 3)}
+    index.drop()
+    assert not again.exists()
+
+
 def test_token_counts(spark, documents, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = tokens.load_tokenizer(path)
@@ -390,3 +405,52 @@ def test_pipeline(spark, documents):
     assert 0 < good <= sizes[3]
     packed = corpus_pipeline.pack(spark, docs, SF)
     assert packed.agg(F.sum("length")).first()[0] >= docs.count()
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on its own input, with null and repeated ids, null texts and keys among the rows."""
+    table = pd.read_parquet(f"{SF}/documents.parquet")
+    extra = table.head(40).copy()
+    extra["doc_id"] = [None if i % 2 else 7 for i in range(40)]
+    extra["text"] = [t if i % 4 else f"{t} altered" for i, t in enumerate(extra["text"])]
+    extra.loc[extra.index[:2], "text"] = None
+    extra.loc[extra.index[3:6], "lang"] = None
+    plain = [[None if pd.isna(x) else int(x) if c in ("doc_id", "n_chars") else x for c, x in r.items()] for r in pd.concat([table, extra])[corpus_pipeline.COLUMNS].astype(object).to_dict("records")]
+    docs = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = lambda df: Counter(map(tuple, df.select("doc_id", "text", "lang", "source").collect()))
+
+    verdicts = quality.quality_rules(docs).toPandas()
+    kept = shared.materialise(corpus_pipeline.quality_rules(spark, docs, SF), "test-stage")
+    assert kept.count() == verdicts.kept.sum() and rows(kept) - rows(docs) == Counter()
+    assert {(r[2], r[3]) for r in rows(kept)} >= {(None, r[3]) for r in rows(kept) if r[2] is None}
+
+    lower = lambda t: t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    best = {}
+    for i, t, *_ in kept.collect():
+        best[lower(t)] = max(best.get(lower(t), -1), -1 if i is None else i)
+    unique = shared.materialise(corpus_pipeline.exact(spark, kept, SF), "test-stage")
+    assert Counter((lower(r["text"]), -1 if r["doc_id"] is None else r["doc_id"]) for r in unique.collect()) == Counter(best.items())
+
+    found = [(r["doc_id"], r["text"]) for r in unique.collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (lower(t).encode().split() for _, t in found)]
+    label, holds = list(range(len(found))), defaultdict(list)
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in holds[x]).items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+        for x in s:
+            holds[x].append(i)
+    single = shared.materialise(corpus_pipeline.near(spark, unique, SF), "test-stage")
+    stays = [(r["doc_id"], r["text"]) for r in single.collect()]
+    of = {}
+    for row, c in zip(found, label, strict=True):
+        of[row] = c
+    ids = defaultdict(list)
+    for (i, _), c in zip(found, label, strict=True):
+        ids[c].append(np.inf if i is None else i)
+    assert Counter(of[row] for row in stays) == Counter(set(label))
+    assert all((np.inf if row[0] is None else row[0]) == min(ids[of[row]]) for row in stays)
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
