@@ -3,10 +3,16 @@
 Each task tokenises the documents of its partition and packs them in one pass, without a shuffle:
 whole windows of the longest tier are cut off, the remainder of a document is routed to the shortest
 tier that holds it, each tier is packed from the longest down, gaps of long windows are filled from
-shorter tiers (best fit first, then by cutting a piece). What is left at the end of a partition goes to
-windows that shrink by powers of two. Memory is one pool of POOL_TOKENS and the longest document. The
-pieces are then written once, and the windows of all tasks are dealt to step groups of equal token counts
-by their place among all windows of their context: only the last group of a context is partial.
+shorter tiers: by the largest whole piece that fits, and only where none does by a cut. A cut leaves
+two pieces of more than LEAST_CUT tokens wherever there is a piece long enough: for a smaller gap the
+window's last piece goes back to its tier and a longer one is cut in its place.
+
+What is left at the end of a partition (less than a window) is packed together with what all other
+partitions leave, in as many tasks as it has pools; only the end of this second pass goes to windows
+that shrink by powers of two, so that nothing is padded. Memory is one pool of POOL_TOKENS and the
+longest document. The pieces are written once, and the windows of all tasks are dealt to step groups of
+equal token counts by their place among all windows of their context: only the last group of a context
+is partial.
 
 Defined cases: a null text is empty and holds the end id only; null and repeated doc_ids are packed
 like others (rows of the same id are told apart by nothing but their place); an empty input gives an
@@ -25,16 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Memo, materialise
+from .shared import Memo, materialise, small
 from .tokens import load_tokenizer
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 STEP_TOKENS = 65_536
 POOL_TOKENS = 1 << 21
+#: A cut that leaves no more than so many tokens on a side is avoided.
+LEAST_CUT = 32
 OUT_BYTES = 8 << 20
 #: Ids of sequences and step groups hold the partition, or the context, above so many bits.
 PART_BITS = 40
+#: The second pass numbers its tasks from here on.
+SECOND_PASS = 1 << 61
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]
     + [("sequence_id", pa.int64()), ("offset", pa.int64()), ("context", pa.int32()), ("place", pa.int64())]
@@ -141,7 +151,7 @@ class Packer:
 
         while shelf:
             context = next(t for t in self.tiers if t >= sizes[-1])
-            if total < context:  # too little for a window of this tier: it shrinks, or waits for the next pool
+            if total < context:  # too little for a window of this tier: it shrinks, or waits for more
                 if not last:
                     break
                 context = 1 << (total.bit_length() - 1)
@@ -151,7 +161,11 @@ class Packer:
                 if at >= 0:
                     piece = take(at)
                 else:
-                    piece, rest = cut(take(0), gap)
+                    if gap <= LEAST_CUT and window and sizes[-1] > gap + size(window[-1]) + LEAST_CUT:
+                        gap += size(window[-1])
+                        put(window.pop())
+                    long_enough = bisect.bisect_right(sizes, gap + LEAST_CUT)
+                    piece, rest = cut(take(long_enough if long_enough < len(sizes) else len(sizes) - 1), gap)
                     put(rest)
                 window.append(piece)
                 gap -= size(piece)
@@ -159,6 +173,12 @@ class Packer:
             self._emit(window, context)
         self.pool, self.pooled = shelf, total
 
+    def leave(self) -> None:
+        """What waits in the pool becomes rows without a sequence."""
+        for doc_id, start, ids, doc_tokens in self.pool:
+            self.rows.append((doc_id, start, len(ids) // 4, ids, doc_tokens, None, None, None, None))
+        self.pool, self.pooled = [], 0
+
     def drain(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows, strict=True)) if self.rows else [[] for _ in SCHEMA]
         batch = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
@@ -179,24 +199,53 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tupl
                 packer.flush(last=False)
             if packer.out_bytes >= OUT_BYTES:
                 yield packer.drain()
+    packer.flush(last=False)
+    packer.leave()
+    yield packer.drain()
+
+
+def _pack_rest(batches: Iterator[pa.RecordBatch], tiers: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The second pass: pieces that first-pass tasks left, of any of them."""
+    packer = Packer(SECOND_PASS + (TaskContext.get().partitionId() << PART_BITS), tiers)
+    for batch in batches:
+        for row in batch.to_pylist():
+            packer.pool.append((row["doc_id"], row["start"], row["ids"], row["doc_tokens"]))
+            packer.pooled += len(row["ids"]) // 4
+        if packer.pooled >= POOL_TOKENS:
+            packer.flush(last=False)
+        if packer.out_bytes >= OUT_BYTES:
+            yield packer.drain()
     packer.flush(last=True)
     yield packer.drain()
 
 
-def _pieces(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...]) -> DataFrame:
-    """One row for each piece; place counts the windows of its context before it in the same task."""
+def _pieces(docs: DataFrame, tokenizer: str, end_id: int, tiers: tuple[int, ...], ids: bool) -> DataFrame:
+    """One row for each piece, written once; place counts the windows of its context before it in the same task. Without `ids`, only their crc32 is kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, place long"
-    return rows.mapInArrow(lambda it: _pack(it, tokenizer, end_id, tiers), schema)
+    crc = F.crc32("ids").alias("ids_crc32")
+    first = rows.mapInArrow(lambda it: _pack(it, tokenizer, end_id, tiers), schema)
+    if not ids:
+        first = first.withColumns({"ids_crc32": crc, "ids": F.when(F.col("sequence_id").isNull(), F.col("ids"))})
+    first = materialise(first, "packed")
+    left = first.where("sequence_id is null")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    rest = left.select("doc_id", "start", "ids", "doc_tokens").repartition(max(-(-tokens // POOL_TOKENS), 1))
+    second = rest.mapInArrow(lambda it: _pack_rest(it, tiers), schema)
+    if not ids:
+        second = second.withColumn("ids_crc32", crc)
+    second = materialise(second, "packed-rest")
+    pieces = first.where("sequence_id is not null").unionByName(second)
+    return pieces if ids else pieces.drop("ids")
 
 
 def _grouped(pieces: DataFrame, step_tokens: int) -> DataFrame:
-    """place replaced by step_group: pieces are written once, windows counted by task and context, and the counts added up."""
-    pieces = materialise(pieces, "packed").withColumn("__part", F.shiftright("sequence_id", PART_BITS))
+    """place replaced by step_group: windows are counted by task and context, and the counts added up."""
+    pieces = pieces.withColumn("__part", F.shiftright("sequence_id", PART_BITS))
     counts = pieces.groupBy("context", "__part").agg((F.max("place") + 1).alias("n"))  # a few rows for each task
     running = F.sum("n").over(Window.partitionBy("context").orderBy("__part")) - F.col("n")
     before = counts.select(F.col("context").alias("__context"), F.col("__part").alias("__task"), running.alias("__before"))
-    joined = pieces.join(F.broadcast(before), (F.col("context") == F.col("__context")) & (F.col("__part") == F.col("__task")))
+    joined = pieces.join(small(before), (F.col("context") == F.col("__context")) & (F.col("__part") == F.col("__task")))
     nth = F.floor((F.col("__before") + F.col("place")) / F.greatest(F.floor(F.lit(step_tokens) / F.col("context")), F.lit(1)))
     group = F.shiftleft(F.col("context").cast("long"), PART_BITS) + nth
     return joined.select(*(c for c in pieces.columns if c not in ("place", "__part")), group.alias("step_group"))
@@ -204,16 +253,16 @@ def _grouped(pieces: DataFrame, step_tokens: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row for each piece, with its ids (binary, little-endian unsigned 32-bit), context and step_group."""
-    return _grouped(_pieces(docs, tokenizer, end_id, tiers), step_tokens)
+    return _grouped(_pieces(docs, tokenizer, end_id, tiers, ids=True), step_tokens)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
+    """The contract's columns, context and step_group."""
     import public_tokenizers
 
-    pieces = _pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, TIERS)
-    return _grouped(
-        pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "place"), STEP_TOKENS
-    )
+    pieces = _pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, TIERS, ids=False)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "place"]
+    return _grouped(pieces.select(*columns), STEP_TOKENS)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,28 @@ def test_step_groups_are_full_across_tasks(spark):
     assert ((groups["n"] * groups["context"] < 8192).groupby(groups["context"]).sum() <= 1).all()
 
 
+def test_packing_of_null_and_repeated_ids_and_few_small_pieces(spark, documents):
+    """Each id of each row lies in one piece, rows without or with repeated ids included; cuts leave few small pieces; tails of all tasks share theirs."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = packing.load_tokenizer(path)
+    texts = list(documents.text) + [None, "", "word"]
+    ids = [None if i % 9 == 0 else int(i) % 50 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(8)
+    rows = packing.pack(docs, path).toPandas()
+    counts = [len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    want, got = defaultdict(Counter), defaultdict(Counter)
+    for i, t in zip(ids, texts, strict=True):
+        want[i].update(plain.encode(t or "", add_special_tokens=False).ids + [2])
+    for i, b in zip(rows.doc_id, rows.ids, strict=True):
+        got[None if pd.isna(i) else int(i)].update(np.frombuffer(b, "<u4").tolist())
+    assert got == want
+    total = rows.groupby("sequence_id")["length"].sum()
+    assert ((total & (total - 1)) == 0).all() and (total < 512).sum() <= 9
+    assert (rows.length <= 16).sum() <= sum(c <= 16 for c in counts) + 9
+    digest = packing.packed_digest(docs).toPandas()
+    assert digest.length.sum() == sum(counts) and set(digest.columns) >= {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
 def test_poisson_rates(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
