@@ -2,12 +2,15 @@
 
 Document frequencies of hashed 1- to 3-grams are counted over all training documents. The classifier
 is fitted by follow-the-regularised-leader with elastic-net penalties, in one task, on a bounded sample
-of them (MAX_TRAIN rows, the smallest by a seeded hash of the id); a further sample (MAX_CALIBRATE
-rows) that the fit has not seen sets the temperature of the softmax. Every document is predicted on its whole text in
-one Arrow pass without a shuffle.
+of them: every language gets an equal share of MAX_TRAIN rows (all of its rows where it has fewer), by
+a hash of id and text, and the sample ends at MAX_BYTES of text. Every fifth row of the sample is kept
+from the fit and sets the temperature of the softmax, however small the sample. The table of hashed
+n-grams is halved for each doubling of the languages beyond 256, so that a model has 2^24 weights at
+most. Every document is predicted on its whole text in one Arrow pass without a shuffle.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and so is every text
-when nothing can be learned; rows with a null lang are never learned from; rows with null or repeated doc_ids each keep one
+when nothing can be learned; rows with a null lang are never learned from; a language none of whose
+rows is in the sample, or has a letter, is not learned; rows with null or repeated doc_ids each keep one
 result row (a null id counts as fold 0: it is not held out); an empty input gives an empty result.
 Further columns are ignored.
 """
@@ -24,18 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, probabilities
-from .shared import fold
+from .shared import bounded_sample, fold, materialise, small
 
-BITS = 16
-SIZE = 1 << BITS
+#: Hashed n-grams for up to 2^8 languages, and weights of any model, as powers of two.
+BITS, WEIGHT_BITS = 16, 24
 FOLDS, HELD_OUT = 3, 1
-#: Bounds of the samples that the fit and the calibration use; bound on the number of languages.
-MAX_TRAIN, MAX_CALIBRATE, MAX_LANGUAGES = 6_000, 1_500, 1_000
-EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 1e-3, 1e-3
+#: Rows and bytes of text that the sample holds at most; every so-manieth of its rows is for calibration.
+MAX_TRAIN, MAX_BYTES, CALIBRATE = 7_500, 64 << 20, 5
+EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.3, 1e-3
 #: Code points that are handled at a time, so that long texts need little memory.
 BLOCK = 1 << 20
 UND = "und"
-_SHIFT = np.uint32(32 - BITS)
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _letters: list[np.ndarray] = []
 
@@ -47,7 +49,11 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def gram_counts(text: str) -> np.ndarray | None:
+def table_bits(languages: int) -> int:
+    return max(min(BITS, WEIGHT_BITS - max(languages - 1, 1).bit_length()), 10)
+
+
+def gram_counts(text: str, bits: int = BITS) -> np.ndarray | None:
     """Counts of hashed 1-, 2- and 3-grams over letters, each run of other characters as one space; None without a letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letter_table()[points]
@@ -57,22 +63,23 @@ def gram_counts(text: str) -> np.ndarray | None:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     points = np.concatenate([[32], points[keep], [32]]).astype(np.uint32)
-    total = np.zeros(SIZE, np.int64)
+    size, shift = 1 << bits, np.uint32(32 - bits)
+    total = np.zeros(size, np.int64)
     for at in range(0, len(points), BLOCK):
         p = points[at : at + BLOCK + 2]  # two more, so that no n-gram is lost at the seam
         one, two, three = p[:BLOCK] * _A, p[:-1][:BLOCK] * _B + p[1:][:BLOCK], p[:-2][:BLOCK] * _C
         three = (three + p[1:-1][:BLOCK]) * _B + p[2:][:BLOCK]
         for grams in (one, two * _A, three * _A):
             grams = (grams ^ (grams >> np.uint32(15))) * _C
-            total += np.bincount(grams >> _SHIFT, minlength=SIZE)
+            total += np.bincount(grams >> shift, minlength=size)
     return total
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = np.zeros(SIZE, np.int64), 0
+def _frequencies(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    total, n = np.zeros(1 << bits, np.int64), 0
     for batch in batches:
         for value in batch.column("text"):
-            counts = gram_counts(value.as_py() or "")
+            counts = gram_counts(value.as_py() or "", bits)
             n += 1
             if counts is not None:
                 total += counts > 0
@@ -80,11 +87,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([n, *total[at]], pa.int64())], ["gram", "documents"])
 
 
-def inverse_frequencies(train: DataFrame) -> np.ndarray:
-    """log((1 + n) / (1 + df)) + 1 of each hashed n-gram, over all rows of train; SIZE + 1 sums reach the driver."""
-    found = train.select("text").mapInArrow(_frequencies, "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents")).toPandas()
+def inverse_frequencies(train: DataFrame, bits: int = BITS) -> np.ndarray:
+    """log((1 + n) / (1 + df)) + 1 of each hashed n-gram, over all rows of train; 2^bits + 1 sums reach the driver."""
+    found = train.select("text").mapInArrow(lambda it: _frequencies(it, bits), "gram long, documents long").groupBy("gram").agg(F.sum("documents").alias("documents")).toPandas()
     table = dict(zip(found["gram"], found["documents"], strict=True))
-    df = np.zeros(SIZE)
+    df = np.zeros(1 << bits)
     for gram, documents in table.items():
         if gram >= 0:
             df[gram] = documents
@@ -93,7 +100,7 @@ def inverse_frequencies(train: DataFrame) -> np.ndarray:
 
 def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Distinct n-gram ids and values of unit length; None without a letter."""
-    counts = gram_counts(text)
+    counts = gram_counts(text, len(idf).bit_length() - 1)
     if counts is None:
         return None
     at = np.flatnonzero(counts)
@@ -117,15 +124,14 @@ def _temperature(scores: np.ndarray, truth: np.ndarray) -> float:
 
 
 def _train(frames: Iterator[pd.DataFrame], idf: np.ndarray, languages: list[str]) -> Iterator[pd.DataFrame]:
-    """One task over the bounded samples, in hash order. Yields feature -1 for the temperature."""
+    """One task over the bounded sample, in hash order. Yields feature -1 for the temperature."""
     index = {lang: i for i, lang in enumerate(languages)}
-    k = len(languages)
-    columns = k if k > 1 else 2
-    model, rows, held = Ftrl(SIZE, columns, ALPHA, BETA, L1, L2), [], []
+    columns = max(len(languages), 2)
+    model, rows, held = Ftrl(len(idf), columns, ALPHA, BETA, L1, L2), [], []
     for frame in frames:
-        for text, lang, calibrate in zip(frame["text"], frame["lang"], frame["calibrate"], strict=True):
+        for text, lang in zip(frame["text"], frame["lang"], strict=True):
             if (x := tfidf(text or "", idf)) is not None:
-                (held if calibrate else rows).append((*x, index[lang]))
+                (held if (len(rows) + len(held)) % CALIBRATE == 1 else rows).append((*x, index[lang]))
     eye = np.eye(columns)
     for _ in range(EPOCHS):
         for at, values, truth in rows:
@@ -139,24 +145,31 @@ def _train(frames: Iterator[pd.DataFrame], idf: np.ndarray, languages: list[str]
     yield pd.DataFrame({"feature": np.r_[-1, at], "weights": [np.full(columns, temperature), *w[at]]})
 
 
-def fit(docs: DataFrame, train_rows: int = MAX_TRAIN, calibrate_rows: int = MAX_CALIBRATE) -> dict | None:
+def _uniform(seed: int, *parts: str) -> F.Column:
+    return F.xxhash64(*parts, F.lit(seed)) / F.lit(2.0**64) + 0.5
+
+
+def training_sample(train: DataFrame, most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """text, lang of the rows that the model learns from; repeated rows (and ties of the hash) count as they come, up to the bounds."""
+    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.select(F.col("lang").alias("__lang"), "n"), "language-counts")
+    share = most / max(counts.count(), 1)
+    drawn = train.join(small(counts), F.col("lang") == F.col("__lang")).where(_uniform(5, "doc_id", "text") < F.lit(share) / F.col("n"))
+    ordered = drawn.select("doc_id", "text", "lang", _uniform(6, "doc_id", "text").alias("rank"))
+    return bounded_sample(ordered, ["rank", "doc_id", "lang"], most, most_bytes)
+
+
+def fit(docs: DataFrame, most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> dict | None:
     """idf, weights, languages and temperature; None if there is nothing to learn from."""
     train = docs.where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    languages = sorted(r["lang"] for r in train.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    sample = materialise(training_sample(train, most, most_bytes), "language-sample")
+    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # no more than the sample has rows
     if not languages:
         return None
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    idf = inverse_frequencies(train)
-    most = train_rows + calibrate_rows
-    ranked = train.select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("rank"))
-    # The ranks alone find the bound of the sample; then only the texts below it move.
-    bound = ranked.select("rank").orderBy("rank").limit(most).agg(F.max("rank")).first()[0]
-    split = ranked.select("rank").orderBy("rank").limit(train_rows).agg(F.max("rank")).first()[0]
-    sample = train.withColumn("rank", F.xxhash64(F.col("doc_id"), F.lit(5))).where(F.col("rank") <= bound)
-    one = sample.repartition(1).sortWithinPartitions("rank", "doc_id").select("text", "lang", (F.col("rank") > split).alias("calibrate"))
+    idf = inverse_frequencies(train, table_bits(len(languages)))
+    one = sample.repartition(1).sortWithinPartitions("rank", "doc_id", "lang").select("text", "lang")
     found = one.mapInPandas(lambda it: _train(it, idf, languages), "feature int, weights array<double>").toPandas()
-    weights = np.zeros((SIZE, max(len(languages), 2)), np.float32)
+    weights = np.zeros((len(idf), max(len(languages), 2)), np.float32)
     rows = found[found["feature"] >= 0]
     if len(rows):
         weights[rows["feature"].to_numpy()] = np.stack(rows["weights"].to_numpy())
@@ -184,7 +197,7 @@ def _predict(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE rows of one weight for each language
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^WEIGHT_BITS weights at most
     rows = docs.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lambda it: _predict(it, sent), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -46,10 +46,11 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temper: float = TEM
         given = weights.select(F.col("source").alias("__source"), F.col("weight").cast("double").alias("weight"))
         shares = sizes.join(given, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
         shares = shares.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    # One row of two sums, joined to one row for each source.
     totals = shares.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
     rate = F.col("weight") / F.col("all_weight") * F.col("all_bytes") / F.col("bytes") * epochs
     return shares.crossJoin(F.broadcast(totals)).select(
-        "source", F.when(F.col("bytes") > 0, F.round(rate, 6)).otherwise(F.lit(1.0)).alias("rate")
+        "source", F.when(F.col("bytes") > 0, rate).otherwise(F.lit(1.0)).alias("rate")
     )
 
 
@@ -111,8 +112,13 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, temper: float =
 
 
 def shuffled(copies: DataFrame) -> DataFrame:
-    """Global order by the hash: a range exchange, so that partition i holds the i-th slice of the order."""
-    return copies.orderBy("shuffle_key", "doc_id", "copy")
+    """Global order by the hash: partition i holds the i-th slice of the order.
+
+    The key is uniform by construction, so equal slices are known without sampling, and the copies are
+    made once, not a second time for a sample.
+    """
+    parts = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartitionById(parts, F.floor(F.col("shuffle_key") * parts).cast("int")).sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +133,7 @@ WITH RECURSIVE sizes AS (
 ), totals AS (
   SELECT sum(bytes) AS all_bytes, sum(pow(CAST(bytes AS DOUBLE), {TEMPER})) AS all_weight FROM sizes
 ), rates AS (
-  SELECT source, CASE WHEN bytes > 0 THEN round(pow(CAST(bytes AS DOUBLE), {TEMPER}) / all_weight * all_bytes / bytes, 6) ELSE 1.0 END AS rate
+  SELECT source, CASE WHEN bytes > 0 THEN pow(CAST(bytes AS DOUBLE), {TEMPER}) / all_weight * all_bytes / bytes ELSE 1.0 END AS rate
   FROM sizes, totals
 ), masses AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS mass, exp(-rate) AS cdf FROM rates
@@ -142,7 +148,7 @@ WITH RECURSIVE sizes AS (
 ), numbers AS (
   SELECT DISTINCT CAST(k + 1 AS BIGINT) AS copy FROM masses
 )
-SELECT c.doc_id, c.source, n.copy, c.copies, c.rate,
+SELECT c.doc_id, c.source, n.copy, c.copies, round(c.rate, 6) AS rate,
        (CAST(CAST('0x' || substr(md5('{SEED + 1}:' || coalesce(CAST(c.doc_id AS VARCHAR), 'null') || ':' || CAST(n.copy AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS shuffle_key
 FROM counted c JOIN numbers n ON n.copy <= c.copies
 """

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that may be broadcast once they have been counted (two longs each: 16 MB at most).
@@ -44,6 +44,13 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def bounded_sample(rows: DataFrame, order: list[str], most_rows: int, most_bytes: int) -> DataFrame:
+    """The first rows in order, at most so many, and of these the ones before which texts hold fewer than so many bytes; one partition."""
+    first = rows.orderBy(*order).limit(most_rows)
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return first.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) < most_bytes).drop("__before")
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))

@@ -24,6 +24,9 @@ CONTEXT = 1024
 #: Bytes of text that are looked up together, and bytes of unseen pieces in one call of the encoder.
 GROUP_BYTES, BATCH_BYTES = 1 << 20, 1 << 18
 CACHE_PIECES = 600_000
+#: Characters from which texts are cut for sentencepiece models, and of each part.
+LONG_TEXT, PART_CHARS = 1 << 18, 1 << 16
+_WORD_GAP = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Other characters that some engines take for white space: texts with one are cut only after a sure non-space.
 _OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -47,6 +50,10 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class LengthEncoder:
     """Token counts of texts by .json (tokenizers) or .model (sentencepiece) files."""
 
@@ -57,6 +64,10 @@ class LengthEncoder:
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+            # Cuts between words are safe where no piece goes on behind a word's end and a part starts as a word does.
+            inner = any("\u2581" in self.model.id_to_piece(i).lstrip("\u2581") for i in range(self.model.get_piece_size()))
+            whole, parts = self.model.encode("one two a"), self.model.encode(["one", "two", "a"])
+            self.cut_words = not inner and whole == sum(parts, [])
         else:
             self.model = load_tokenizer(path)
 
@@ -64,15 +75,27 @@ class LengthEncoder:
         batch, size = [], 0
         for i, piece in enumerate(new):
             batch.append(piece)
-            size += len(piece)
+            size += _bytes(piece)
             if size >= BATCH_BYTES or i == len(new) - 1:
                 found = self.model.encode_batch_fast(batch, add_special_tokens=False)
                 self.lengths.update(zip(batch, map(len, found), strict=True))
                 batch, size = [], 0
 
+    def _parts(self, text: str) -> list[str]:
+        """A long text cut at single spaces between ASCII words, which start every part as they start a word; others whole."""
+        if len(text) < LONG_TEXT or not self.cut_words:
+            return [text]
+        parts, start = [], 0
+        while start < len(text):
+            at = _WORD_GAP.search(text, start + PART_CHARS)
+            end = at.start() if at else len(text)
+            parts.append(text[start:end])
+            start = end + 1
+        return parts
+
     def counts(self, texts: list[str]) -> list[int]:
-        if self.pieces:  # a sentencepiece model may merge across spaces: whole texts only
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
+        if self.pieces:
+            return [sum(len(x) for x in self.model.encode(self._parts(t), num_threads=1)) for t in texts]
         cut = [pieces_of(t) for t in texts]
         if len(self.lengths) > CACHE_PIECES:
             self.lengths.clear()
@@ -96,7 +119,7 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         for value in batch.column("text"):
             text = value.as_py() or ""
             group.append(text)
-            size += len(text)
+            size += _bytes(text)
             if size >= GROUP_BYTES:
                 counts += encoder.counts(group)
                 group, size = [], 0

@@ -1,14 +1,17 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-The classifier is fitted in one task on a bounded sample of labelled documents (MAX_TRAIN rows, the
-smallest by a seeded hash of the id); the L1 penalty leaves few weights, which are broadcast. All
-documents are scored on their whole text in one Arrow pass without a shuffle.
+A word counts as itself and as its stems (its first PREFIXES characters), so that inflected and
+compounded forms of a word share weights; pairs, pairs with one and with two words skipped, and
+triples are of whole words. The classifier is fitted in one task on a bounded sample of labelled
+documents (MAX_TRAIN rows and MAX_BYTES of text at most, in the order of a seeded hash of the id); the
+L1 penalty leaves few weights, which are broadcast. All documents are scored on their whole text in one
+Arrow pass without a shuffle.
 
 Defined cases: null and empty texts get the score of the bias alone; rows with a null toxic label or
-a null id in labels are not learned from; repeated labels of one id are learned from once (the larger
-label); rows with null or repeated doc_ids each keep one result row (a null id counts as fold 0, held
-out); without any usable label all scores are 0.5; an empty input gives an empty result. Further
-columns are ignored.
+a null id in labels are not learned from; repeated labels of one id are one (the larger label); of
+repeated doc_ids each text is learned from with that label; rows with null or repeated doc_ids each
+keep one result row (a null id counts as fold 0, held out); without any usable label all scores are
+0.5; an empty input gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,30 +27,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, probabilities
-from .shared import Memo, fold
+from .shared import bounded_sample, fold, small
 
 BITS = 20
 FOLDS = 5
-#: Labelled documents that the fit uses at most, and passes over them.
-MAX_TRAIN, EPOCHS = 12_000, 3
+#: Labelled documents, and bytes of their texts, that the fit uses at most; passes over them.
+MAX_TRAIN, MAX_BYTES, EPOCHS = 12_000, 64 << 20, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 12.0, 1.0
 _WORD = re.compile(r"\w+")
 _MASK = np.uint32((1 << BITS) - 1)
 #: Odd factors that tell the orders apart: word, pair, pair with one and with two words skipped, triple.
 _PAIR, _SKIP1, _SKIP2, _TRIPLE = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
+#: Characters at the start of a longer word that count as a stem of it.
+PREFIXES = (3, 4, 5, 6, 7)
 BIAS = 0
+CACHE_WORDS = 200_000
 
 
-def word_cache() -> Memo:
-    return Memo(lambda word: zlib.crc32(word.encode()) or 1)
+class WordTable:
+    """Hashes of words and of their stems, a row for each word; forgets all of them when full."""
 
+    def __init__(self, most: int = CACHE_WORDS):
+        self.most, self.rows, self.table = most, {}, np.empty((1024, 1 + len(PREFIXES)), np.uint32)
 
-def features(text: str, cache: Memo) -> np.ndarray:
-    """Hashed n-gram and skip-gram ids of a whole text, in place order and with repeats."""
-    words = _WORD.findall(text.lower())
-    h = np.fromiter(map(cache.__getitem__, words), np.uint32, len(words))
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    parts = [h, h[:-1] * _PAIR + h[1:], h[:-2] * _SKIP1 + h[2:], h[:-3] * _SKIP2 + h[3:], (h[:-2] * _PAIR + h[1:-1]) * _TRIPLE + h[2:]]
+    def _add(self, word: str) -> int:
+        at = self.rows[word] = len(self.rows)
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        whole = zlib.crc32(word.encode()) or 1
+        self.table[at] = [whole, *(zlib.crc32(f"{word[:k]}*".encode()) if len(word) > k else whole for k in PREFIXES)]
+        return at
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.rows) >= self.most:
+            self.rows.clear()
+        rows = self.rows
+        at = [rows[w] if w in rows else self._add(w) for w in words]
+        return self.table[at] if at else self.table[:0]
+
+
+def features(text: str, cache: WordTable) -> np.ndarray:
+    """Hashed n-gram, skip-gram and stem ids of a whole text, in place order and with repeats."""
+    found = cache(_WORD.findall(text.lower()))
+    found = (found ^ (found >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    h = found[:, 0]
+    parts = [found.T.reshape(-1), h[:-1] * _PAIR + h[1:], h[:-2] * _SKIP1 + h[2:], h[:-3] * _SKIP2 + h[3:], (h[:-2] * _PAIR + h[1:-1]) * _TRIPLE + h[2:]]
     x = np.concatenate(parts)
     x = (x ^ (x >> np.uint32(13))) * np.uint32(0x297A2D39)
     return np.maximum((x ^ (x >> np.uint32(16))) & _MASK, np.uint32(1)).astype(np.int64)  # 0 is the bias
@@ -55,7 +79,7 @@ def features(text: str, cache: Memo) -> np.ndarray:
 
 def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task over the bounded sample; rows arrive in hash order, so the fit is repeatable."""
-    cache, rows = word_cache(), []
+    cache, rows = WordTable(), []
     for frame in frames:
         for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
             rows.append((np.concatenate([[BIAS], np.unique(features(text or "", cache))]).astype(np.int32), float(toxic)))
@@ -70,14 +94,13 @@ def _train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"feature": at.astype(np.int64), "weight": w[at]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids and weights (at most 2^BITS, mostly zero under L1) of the fitted model."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", FOLDS) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64(F.col("doc_id"), F.lit(2))
-    sample = known.withColumn("rank", order).orderBy("rank", "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("rank", "doc_id", "text", "toxic")
-    one = rows.repartition(1).sortWithinPartitions("rank", "doc_id").select("text", "toxic")
+    sample = known.withColumn("rank", F.xxhash64(F.col("doc_id"), F.lit(2))).orderBy("rank", "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").join(small(sample), "doc_id").select("rank", "doc_id", F.xxhash64("text").alias("tie"), "text", "toxic")
+    one = bounded_sample(rows, ["rank", "doc_id", "tie"], most, most_bytes).select("text", "toxic")
     found = one.mapInPandas(_train, "feature long, weight double").toPandas()
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
@@ -86,7 +109,7 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
     at, weights = model.value
     table = np.zeros(1 << BITS)
     table[at] = weights
-    cache = word_cache()
+    cache = WordTable()
     for batch in batches:
         scores = []
         for value in batch.column("text"):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshquill.llm import components, exact_dedup, language, licenses, mixing, near_dedup, packing, quality, queries, shared, tokens, toxicity, warc
+from meshquill.llm import components, exact_dedup, ftrl, language, licenses, mixing, near_dedup, packing, quality, queries, shared, tokens, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -274,6 +274,20 @@ def test_pieces_keep_the_count(text):
     assert "".join(tokens.pieces_of(text)) == text
 
 
+def test_sentencepiece_lengths(spark, odd):
+    """Long texts are cut between words, and count as whole ones do."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoder = tokens.LengthEncoder(path)
+    texts = ["one two  three\n", "", " lead", "word " * 80_000 + "end", "a-b c.d, " * 40_000]
+    assert encoder.cut_words and len(encoder._parts(texts[3])) > 3
+    assert encoder.counts(texts) == [len(model.encode(t)) for t in texts]
+    whole = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    assert all(r["n_tokens"] == len(model.encode(whole[r["doc_id"]])) for r in tokens.count_tokens(odd, path).collect())
+
+
 def test_packing_round_trip(spark, documents, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = packing.load_tokenizer(path)
@@ -340,6 +354,17 @@ def test_poisson_rates_above_the_exponent(spark):
     assert abs(sum(r["n"] for r in got) - 18_005) < 5 * 18_005**0.5 and len({r["n"] for r in got}) > 5
 
 
+def test_poisson_odd_rows(spark, odd):
+    """Null sources, empty texts, repeated rows, clashing columns and an empty table; very small rates are not rounded away."""
+    got = mixing.replicate(odd.withColumn("copy", F.lit("own")).withColumn("rate", F.lit("own"))).collect()
+    n = Counter((r["doc_id"], r["text"]) for r in got)
+    assert all(v % 2 == 0 for k, v in n.items() if k[0] == 4) and {r["copy"] for r in got} <= set(range(1, 100)) and all(r["copies"] >= r["copy"] for r in got)
+    assert mixing.shuffled(mixing.replicate(odd.where("false"))).count() == 0
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 999, "a").otherwise("b").alias("source"))
+    rates = {r["source"]: r["rate"] for r in mixing.rates(docs, spark.createDataFrame([("a", 1.0), ("b", 1e-12)], "source string, weight double")).collect()}
+    assert 0 < rates["b"] < 1e-8
+
+
 @pytest.mark.parametrize("rate", [0.0, 3.5, 700.0, 700.5, 5000.0, 1e6])
 def test_poisson_tables(rate):
     low = 0 if rate <= 700 else int(rate - 12 * rate**0.5 - 20)
@@ -359,6 +384,65 @@ def test_models_on_held_out_documents(spark):
     assert len(scored) and (scored[scored.held_out].predicted == scored[scored.held_out].toxic).mean() > 0.85
 
 
+def test_toxicity_finds_most_of_each_language(spark):
+    """Held-out rows at sf0.1: precision, and the share of toxic documents found, by language."""
+    sf = "/root/testdata/sf0.1"
+    scored = toxicity.op2_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet")).merge(pd.read_parquet(f"{sf}/documents.parquet")[["doc_id", "lang"]])
+    held = scored[scored.held_out]
+    toxic = held[held.toxic == 1]
+    assert held[held.predicted == 1].toxic.mean() > 0.95 and toxic.predicted.mean() > 0.8
+    assert toxic.groupby("lang").predicted.mean().min() >= 0.6
+
+
+def test_language_model_is_sparse_and_calibrated(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs)
+    seen = model["idf"] < model["idf"].max()
+    assert (model["weights"][seen] == 0).mean() > 0.5 and model["temperature"] != 1.0
+    assert language.table_bits(4) == 16 and language.table_bits(256) == 16 and language.table_bits(4096) == 12
+
+
+def test_samples_are_bounded(spark):
+    """A repeated or null id brings no more rows than the bounds allow, and every language is in the sample."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("same text").alias("text"), F.when(F.col("id") % 100 == 0, "fr").otherwise("en").alias("lang"))
+    varied = docs.withColumn("text", F.concat("text", F.monotonically_increasing_id().cast("string")))
+    sample = language.training_sample(varied, 200).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample}["fr"] == 30 and 60 < {r["lang"]: r["count"] for r in sample}["en"] < 140
+    assert language.training_sample(docs, 200).count() <= 200 and language.training_sample(varied, 200, 100).count() <= 10
+    assert language.training_sample(docs.where("false")).count() == 0
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.chr(F.col("id") + 20_000)).alias("text"), F.col("id").cast("string").alias("lang"))
+    assert language.predict(many, language.fit(many)).count() == 400
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs.withColumn("doc_id", F.lit(1).cast("long")), labels.withColumn("doc_id", F.lit(1).cast("long")), 50)) == 2
+
+
+def test_ftrl_equals_plain_loops():
+    """Per-coordinate updates, one number at a time."""
+    rng = np.random.default_rng(3)
+    for classes in (1, 3):
+        model = ftrl.Ftrl(12, classes, 0.4, 1.0, 0.05, 0.2)
+        z, n = [[0.0] * classes for _ in range(12)], [[0.0] * classes for _ in range(12)]
+
+        def weight(i, c, z=z, n=n):
+            return 0.0 if abs(z[i][c]) <= 0.05 else -(z[i][c] - np.sign(z[i][c]) * 0.05) / ((1.0 + n[i][c] ** 0.5) / 0.4 + 0.2)
+
+        for _ in range(60):
+            at, truth = np.sort(rng.choice(12, 4, replace=False)), int(rng.integers(0, max(classes, 2)))
+            values = rng.random(4)
+            target = np.array([truth]) if classes == 1 else np.eye(classes)[truth]
+            scores = [sum(v * weight(i, c) for i, v in zip(at, values, strict=True)) for c in range(classes)]
+            p = [1 / (1 + np.exp(-scores[0]))] if classes == 1 else [np.exp(s) / sum(map(np.exp, scores)) for s in scores]
+            assert np.allclose(model.step(at, values, target.astype(float)), p)
+            old = {(i, c): weight(i, c) for i in at for c in range(classes)}
+            for i, v in zip(at, values, strict=True):
+                for c in range(classes):
+                    g = v * (p[c] - target[c])
+                    sigma = ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / 0.4
+                    z[i][c] += g - sigma * old[i, c]
+                    n[i][c] += g * g
+        assert np.allclose(model.weights(), [[weight(i, c) for c in range(classes)] for i in range(12)])
+
+
 def test_models_on_odd_rows(spark, odd):
     rows = language.predict(odd, language.fit(odd)).collect()
     assert len(rows) == 10 and {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"und"}
