@@ -3,7 +3,8 @@
 Texts are cut into sentences twice, by lines and by paragraphs (where a sentence may run over line
 ends); sentences are normalised and mapped to the identifiers of known licence sentences; a licence is
 found where the identifiers of its rule stand in a row, sentences that are not known in between do
-not count. All of it is per-row expressions, without a shuffle, on whole texts.
+not count. A full text has a rule for each SPAN of its characteristic sentences, so that one altered
+clause hides only the span that it is in. All of it is per-row expressions, without a shuffle, on whole texts.
 
 Defined cases: null and empty texts have no sentence and no licence; rows with null or repeated
 doc_ids each keep one result row; an empty input gives an empty result. Further columns are ignored.
@@ -16,9 +17,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licence_texts import ACCEPTANCE, CREATIVE_COMMONS, SENTENCES_OF
+
 #: Where sentences end, in lines and in paragraphs; the same in Java, RE2 and Python.
 BREAKS = {"lines": r"\n|[.!?;]+[ \t\r\n]+", "paragraphs": r"\n[ \t\r]*\n|[.!?;]+[ \t\r\n]+"}
 _DROP = "[^a-z0-9]+"
+#: Sentences of a full text that make a rule; where there are no more than these, each is one.
+SPAN = 4
 
 # Names of licences as notices give them.
 NAMES = {
@@ -95,6 +100,12 @@ def build() -> tuple[dict[str, str], list[tuple[str, str]]]:
     for licence, texts in TEXTS.items():
         for text in texts:
             add(licence, text)
+    for licence, found in SENTENCES_OF.items():
+        span = SPAN if len(found) > SPAN else 1
+        for at in range(0, len(found), span):
+            add(licence, ". ".join(found[at : at + span]))
+    for licence, title in CREATIVE_COMMONS.items():
+        add(licence, ACCEPTANCE.format(title))
     for licence, names in NAMES.items():
         for name in names:
             for opening in OPENINGS:

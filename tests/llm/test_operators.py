@@ -1,7 +1,9 @@
 """Operators against brute force, round trips and held-out accuracy, and on odd inputs."""
 
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshquill.llm import components, exact_dedup, ftrl, language, licenses, mixing, near_dedup, packing, quality, queries, shared, tokens, toxicity, warc
+from meshquill.llm import components, exact_dedup, ftrl, language, licence_texts, licenses, mixing, near_dedup, packing, quality, queries, shared, tokens, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -462,6 +464,22 @@ def test_license_rules(spark, odd):
     assert licenses.scan(odd).count() == 10
 
 
+def test_license_full_and_altered_texts(spark, odd):
+    """Full texts as systems ship them, with one clause altered, and reflowed; other prose between; odd rows and an empty table."""
+    shipped = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    folder = Path("/usr/share/common-licenses")
+    texts = {k: (folder / f).read_text() for k, f in shipped.items() if (folder / f).exists()}
+    texts |= {k: "Some words before.\n\n" + ".\n\nWords in between, of no licence.\n\n".join(v) + ".\nEnd." for k, v in licence_texts.SENTENCES_OF.items() if k not in texts}
+    texts |= {k: f"Intro. {licence_texts.ACCEPTANCE.format(t)}. Outro." for k, t in licence_texts.CREATIVE_COMMONS.items()}
+    altered = {k: t.replace(licence_texts.SENTENCES_OF[k][0].split(" ")[-1], "whatever", 1) if k in licence_texts.SENTENCES_OF else t for k, t in texts.items()}
+    reflowed = {k: "\n\n".join("\n".join(textwrap.wrap(p, 50)) for p in t.split("\n\n")) for k, t in texts.items()}
+    for table in (texts, altered, reflowed):
+        got = {r["doc_id"]: r["licences"] for r in licenses.scan(spark.createDataFrame(list(table.items()), "doc_id string, text string")).collect()}
+        assert all(k in got[k] for k in table), {k: v for k, v in got.items() if k not in v}
+    rows = {r["doc_id"]: (r["line_ids"], r["licences"]) for r in licenses.scan(odd).collect()}
+    assert set(map(repr, rows.values())) == {"([], [])"} and licenses.scan(odd.where("false")).count() == 0
+
+
 def test_warc_history_is_ordered(spark):
     html = "<p>" + "x" * 200
     rows = [(i, f"http://www.host{i % 7}.org/p{i % 13}?q=a b", html if i % 3 else f"{html}{i}", i % 5) for i in range(300)] + [(300, None, None, 0), (None, "http://a.b/", html, 1), (301, "u", "short", 2), (302, "u", "short", 2)]
