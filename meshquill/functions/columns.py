@@ -18,11 +18,6 @@ def known(c: Column | str) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def norm_key(c: Column) -> Column:
-    """Canonical form of a JSON key: lower case without underscores, spaces and hyphens."""
-    return F.translate(F.lower(c), "_ -", "")
-
-
 def skewness(c: str) -> Column:
     """Population skewness as an aggregate; 0 for constants, where Spark's own raises."""
     m, s = F.avg(c), F.stddev_pop(c)

@@ -81,6 +81,7 @@ def long_form(wide: DataFrame, marks: landmarks.LandmarkSet | None = None) -> Da
         **dict.fromkeys(LANDMARKS, "no landmark is defined" if not marks.indices else "landmark not defined or on another topology"),
     }
     rows = F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("value"), F.lit(source_of(f)).alias("source"), F.when(F.col(f).isNull(), reasons[f]).alias("reason")) for f in FEATURES])
+    wide = wide.select("capture_key", *IDS, *FEATURES)
     return wide.select("capture_key", *IDS, F.explode(rows).alias("f")).select("capture_key", *IDS, "f.*")
 
 

@@ -73,6 +73,12 @@ def evaluate(predictions: DataFrame) -> dict:
     return m
 
 
+def with_demographics(predictions: DataFrame, demographics: DataFrame, column: str) -> DataFrame:
+    """Predictions with the group of their participant (grp; NULL where none is known); further columns of the groups stay out."""
+    groups = demographics.select(F.col("participant_id").alias("__participant"), F.col(column).alias("grp"))
+    return predictions.drop("grp").join(groups, F.col("participant_id") == F.col("__participant"), "left").drop("__participant")
+
+
 def group_metrics(predictions: DataFrame, group: str = "grp", least: int = MIN_GROUP) -> DataFrame:
     """Errors by group; groups are for audit only and never an input of a model. Groups below `least` are flagged."""
     present = predictions.where(F.col(group).isNotNull())

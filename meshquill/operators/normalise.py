@@ -129,14 +129,47 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def to_face_local(captures: DataFrame) -> DataFrame:
+    """Points of world-space captures brought back into the face's own frame by the inverse of their anchor transform.
+
+    Adds frame_error: world-space captures without a transform, or with one that is not affine or has no
+    inverse, keep their points and say so. Captures without the columns transform and coordinate_space, and
+    all that are not world-space, are face-local already. Row expressions only.
+    """
+    if not {"transform", "coordinate_space"} <= set(captures.columns):
+        return captures.withColumn("frame_error", F.lit(None).cast("string"))
+    m = lambda i, j: F.col("transform")[4 * i + j]
+    minor = lambda i, j: (
+        m((i + 1) % 3, (j + 1) % 3) * m((i + 2) % 3, (j + 2) % 3) - m((i + 1) % 3, (j + 2) % 3) * m((i + 2) % 3, (j + 1) % 3)
+    )
+    world = F.coalesce(F.col("coordinate_space") == "world", F.lit(False))
+    determinant = sum((m(0, j) * minor(0, j) for j in range(3)), F.lit(0.0))
+    affine = (m(3, 0) == 0) & (m(3, 1) == 0) & (m(3, 2) == 0) & (m(3, 3) == 1)
+    error = F.when(world & F.col("transform").isNull(), "world-space vertices without an anchor transform")
+    error = error.when(world & ~affine, "world-space vertices with an anchor transform that is not affine")
+    error = error.when(world & ((determinant == 0) | F.isnan(determinant)), "world-space vertices with an anchor transform without inverse")
+    inverse = F.array(*(F.try_divide(minor(j, i), determinant) for i in range(3) for j in range(3)))  # the adjugate over the determinant
+
+    def back(inv: Column) -> Column:
+        gap = lambda p: [p[a] - m(i, 3) for i, a in enumerate(AXES)]
+        return F.transform("points", lambda p: F.struct(*(sum((inv[3 * i + j] * g for j, g in enumerate(gap(p))), F.lit(0.0)).alias(a) for i, a in enumerate(AXES))))
+
+    moved = F.when(world & error.isNull(), _let(inverse, back)).otherwise(F.col("points"))
+    return captures.withColumns({"frame_error": error, "points": moved})
+
+
 def normalise(captures: DataFrame, convention: AxisConvention, origin: str = "centroid", scale: str = "centroid_size") -> DataFrame:
-    """Adds origin_x..z, scale_reference and error, and puts points into the canonical frame.
+    """Adds origin_x..z, scale_reference, side_resolved, notes and error, and puts points into the canonical frame.
+
+    World-space captures are brought into the face's own frame first (`to_face_local`); eye transforms are
+    relative to the face in any case.
 
     Row expressions only: the geometry of a capture is nested in its row, so nothing is shuffled.
     Captures that can't be normalised keep their row, with NULL points and the reason.
     """
     if origin not in ORIGINS or scale not in SCALES:
         raise ValueError(f"origin must be one of {ORIGINS} and scale one of {SCALES}")
+    captures = to_face_local(captures)
     has_eyes = {"left_eye", "right_eye"} <= set(captures.columns)
     eye = lambda e, a: convention.columns(F.col(e))[AXES.index(a)] if has_eyes else F.lit(None).cast("double")
     total = lambda points, f: F.aggregate(points, F.lit(0.0), lambda acc, p: acc + f(p))
@@ -162,7 +195,7 @@ def normalise(captures: DataFrame, convention: AxisConvention, origin: str = "ce
 
     def moved(points: Column, g: Column) -> Column:
         o, r = g["o"], g["r"]
-        error = F.when(o["x"].isNull(), "no eyes for the origin").when(~(r > 0) | r.isNull(), "scale reference is not positive")
+        error = F.when(F.col("frame_error").isNotNull(), F.col("frame_error")).when(o["x"].isNull(), "no eyes for the origin").when(~(r > 0) | r.isNull(), "scale reference is not positive")
         move = lambda p: F.struct(*(((p[a] - o[a]) / r).alias(a) for a in AXES))
         out = [F.when(error.isNull(), F.transform(points, move)).alias("points"), *(o[a].alias(f"origin_{a}") for a in AXES), r.alias("scale_reference"), error.alias("error")]
         if has_eyes:
@@ -173,7 +206,14 @@ def normalise(captures: DataFrame, convention: AxisConvention, origin: str = "ce
     raw = F.transform("points", lambda p: F.struct(*convention.columns(p)))
     c = captures.withColumn("__n", _let(raw, framed))
     made = ["points", *(f"origin_{a}" for a in AXES), "scale_reference", "error", *(("left_eye", "right_eye") if has_eyes else ())]
-    return c.select(*(x for x in captures.columns if x not in made), *(F.col(f"__n.{x}").alias(x) for x in made))
+    seen = F.col("left_eye").isNotNull() & F.col("right_eye").isNotNull() if has_eyes else F.lit(False)
+    sided = seen | F.lit(convention.evidence.get("left_right_sign") != "unresolved")
+    notes = F.array_compact(F.array(
+        F.lit(None if convention.confirmed_by_user else "axis convention not confirmed by eye"), F.when(~sided, "left and right unresolved: features of one side say nothing"),
+        F.lit("origin at the most anterior vertex, not at a picked landmark" if origin == "nose_tip_extremum" else None),
+    ))
+    kept = [x for x in captures.columns if x not in (*made, "frame_error", "side_resolved", "notes")]
+    return c.select(*kept, *(F.col(f"__n.{x}").alias(x) for x in made), sided.alias("side_resolved"), notes.alias("notes"))
 
 
 def in_metres(normalised: DataFrame) -> DataFrame:
@@ -211,7 +251,10 @@ def mean_shape(captures: DataFrame) -> np.ndarray:
 
 
 def generalised_procrustes(captures: DataFrame, rounds: int = 3, tolerance: float = 1e-7) -> tuple[DataFrame, np.ndarray]:
-    """Rounds of aligning to the mean shape, until it moves less than the tolerance. All meshes must have the same vertices."""
+    """Rounds of aligning to the mean shape, until it moves less than the tolerance: the captures as the last round turned them, and their mean.
+
+    All meshes must have the same vertices.
+    """
     if captures.select(F.size("points").alias("n")).distinct().limit(2).count() > 1:
         raise ValueError("captures have different vertex counts")
     first = captures.orderBy("capture_key").select("points").first()
@@ -219,10 +262,12 @@ def generalised_procrustes(captures: DataFrame, rounds: int = 3, tolerance: floa
         raise ValueError("no captures to align")
     mean = point_array(first["points"])
     mean = mean - mean.mean(axis=0)
+    aligned = captures.select("capture_key", "points")
     for _ in range(rounds):
-        new = mean_shape(align(captures, mean))  # always from the given points: rotations to a shape don't pile up
+        aligned = align(captures, mean)  # always from the given points: rotations to a shape don't pile up
+        new = mean_shape(aligned)
         moved = float(np.linalg.norm(new - mean))
         mean = new
         if moved < tolerance:
             break
-    return align(captures, mean), mean
+    return aligned, mean

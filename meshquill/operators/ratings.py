@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known
@@ -74,8 +75,15 @@ def problems(ratings: DataFrame, scale: RatingScale = RatingScale(), captures: D
     return out.where("n > 0")
 
 
+def t_expanded(df: Column, confidence: float) -> Column:
+    """Quantile of Student's t by its expansion in 1 / df about the normal quantile; exact to 1e-12 above MAX_DF degrees of freedom."""
+    z = NormalDist().inv_cdf(0.5 + confidence / 2)
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    return sum((F.lit(t) / F.pow(df, k) for k, t in enumerate(terms)), F.lit(0.0))
+
+
 def t_table(spark: SparkSession, confidence: float = 0.95) -> DataFrame:
-    """(n, t) for group sizes 2..MAX_DF + 1; larger groups use the last."""
+    """(n, t) for group sizes 2..MAX_DF + 1; for larger groups there is `t_expanded`."""
     return spark.createDataFrame([(df + 1, t_quantile(0.5 + confidence / 2, df)) for df in range(1, MAX_DF + 1)], "n_key int, t double")
 
 
@@ -85,15 +93,29 @@ def consensus(ratings: DataFrame, confidence: float = 0.95) -> DataFrame:
         F.avg("rating").alias("mean_rating"), F.median("rating").alias("median_rating"), F.stddev_samp("rating").alias("std_rating"),
         F.count("rating").alias("n_ratings"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"),
     )
-    g = g.withColumn("sem_rating", F.col("std_rating") / F.sqrt("n_ratings")).withColumn("n_key", F.least(F.col("n_ratings"), F.lit(MAX_DF + 1)).cast("int"))
+    g = g.withColumn("sem_rating", F.col("std_rating") / F.sqrt("n_ratings")).withColumn("n_key", F.least(F.col("n_ratings"), F.lit(MAX_DF + 2)).cast("int"))
     g = g.join(F.broadcast(t_table(ratings.sparkSession, confidence)), "n_key", "left")
-    half = F.col("t") * F.col("sem_rating")
+    t = F.when(F.col("n_ratings") > MAX_DF + 1, t_expanded(F.col("n_ratings") - 1, confidence)).otherwise(F.col("t"))
+    half = t * F.col("sem_rating")
     return g.select(
         "participant_id", "mean_rating", "median_rating", "std_rating", "sem_rating", "n_ratings",
         (F.col("mean_rating") - half).alias("ci_low"), (F.col("mean_rating") + half).alias("ci_high"), (2 * half).alias("ci_width"), "min_rating", "max_rating",
     )
 
 
+def targets(ratings: DataFrame, confidence: float = 0.95, min_ratings: int = 0) -> DataFrame:
+    """The consensus of participants with enough ratings, in the order of their ids."""
+    return consensus(ratings, confidence).where(F.col("n_ratings") >= min_ratings).orderBy("participant_id")
+
+
+def target_summary(consensus: DataFrame) -> DataFrame:
+    """One row on a cohort's targets: participants, ratings of each, spread between and within participants, width of the intervals."""
+    return consensus.agg(
+        F.count(F.lit(1)).alias("n_participants"), F.median("n_ratings").alias("median_ratings"), F.min("n_ratings").alias("min_ratings"), F.max("n_ratings").alias("max_ratings"),
+        F.avg("mean_rating").alias("mean_rating"), F.stddev_samp("mean_rating").alias("sd_between"), F.median("std_rating").alias("median_sd_within"), F.median("ci_width").alias("median_ci_width"),
+    )
+
+
 def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 2000, seed: int = 0) -> DataFrame:
     """Percentile bootstrap interval of the mean. Ratings are first counted by value, so that a
     participant of any popularity is one small row; resampling counts is a multinomial draw."""

@@ -178,7 +178,7 @@ def measure(points: np.ndarray, triangles: np.ndarray | None, normal=(1.0, 0.0,
         notes.append("no triangles: distances are to the nearest vertex")
     e = (surface_distance(image, points, np.asarray(triangles)) if surface else to_vertex) / size
     rms, floor = float(np.sqrt((e * e).mean())), spacing / size
-    effective = 0.0 if surface or pairing >= 0.5 else floor
+    effective = 0.0 if surface else floor * (1.0 - pairing)  # vertices with a mirror partner add nothing to it
     return {
         "symmetry_rms": rms, "symmetry_mean": float(e.mean()), "symmetry_max": float(e.max()), "symmetry_p95": float(np.quantile(e, 0.95)),
         "discretization_floor": floor, "effective_floor": effective, "pairing": pairing, "exceeds_floor": bool(rms > FLOOR_TIMES * effective),
@@ -223,8 +223,19 @@ def measure_symmetry(captures: DataFrame, method: str = "point_to_surface", fit_
     return captures.select("capture_key", "points", "triangles").mapInPandas(run, f"capture_key {key}, {SCHEMA}")
 
 
+def effective_floor(symmetry: DataFrame) -> DataFrame:
+    """Adds effective_floor, exceeds_floor and verdict to nearest-vertex measures (rms, discretization_floor, pairing)."""
+    s = symmetry.withColumn("effective_floor", F.col("discretization_floor") * (1.0 - F.col("pairing")))
+    s = s.withColumn("exceeds_floor", F.col("rms") > FLOOR_TIMES * F.col("effective_floor"))
+    named = s.withColumns({"method": F.lit("nearest_vertex"), "error": F.lit(None).cast("string")})
+    return verdict(named).drop("method", "error")
+
+
 def verdict(symmetry: DataFrame) -> DataFrame:
-    """Adds a sentence on whether the asymmetry stands out from what the sampling of the mesh causes."""
+    """Adds what a measure says: distances to the surface and mirror-paired meshes have no floor; below the
+    floor of the others, symmetric and asymmetric faces can't be told apart."""
     text = F.when(F.col("error").isNotNull(), F.concat(F.lit("not measured: "), F.col("error")))
-    text = text.when(F.col("exceeds_floor"), "asymmetry above the discretization floor").otherwise("asymmetry within the discretization floor")
-    return symmetry.withColumn("verdict", text)
+    text = text.when(F.col("method") == "point_to_surface", "unbiased: distances to the surface have no floor")
+    text = text.when(F.col("effective_floor") < 1e-9, "unbiased: the mesh is mirror-paired")
+    text = text.when(F.col("exceeds_floor"), "above the floor of nearest vertices")
+    return symmetry.withColumn("verdict", text.otherwise("ambiguous: within the floor of nearest vertices, to be measured to the surface"))

@@ -98,6 +98,27 @@ def cohort_issues(captures: DataFrame) -> DataFrame:
     return vertex.unionByName(triangle).unionByName(twins)
 
 
+def cohort_notes(captures: DataFrame) -> DataFrame:
+    """(note, detail, n) on the cohort as a whole: each count of vertices or triangles where there are several, and each group with one geometry.
+
+    A group is known by its hash and its first member; members are counted, not listed, so a group of any size is one row.
+    """
+    c = counts(captures)
+    out = None
+    for column, note in (("nv", "vertex counts differ"), ("nt", "triangle counts differ")):
+        by = c.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        several = by.agg(F.count(F.lit(1)).alias("__kinds")).where("__kinds > 1")
+        rows = by.join(F.broadcast(several)).select(F.lit(note).alias("note"), F.col(column).cast("string").alias("detail"), "n")  # one row decides on all
+        out = rows if out is None else out.unionByName(rows)
+    groups = c.groupBy("geometry_hash").agg(F.count(F.lit(1)).alias("n"), F.min("capture_key").alias("first")).where("n > 1")
+    return out.unionByName(groups.select(F.lit("captures share one geometry").alias("note"), F.concat_ws(" ", F.col("geometry_hash"), F.lit("first:"), F.col("first").cast("string")).alias("detail"), "n"))
+
+
+def exit_code(statuses: DataFrame) -> int:
+    """1 if any capture fails, as the validate command returns it."""
+    return int(statuses.where("status = 'FAIL'").limit(1).count())
+
+
 def issues(captures: DataFrame, **options) -> DataFrame:
     return capture_issues(captures, **options).unionByName(cohort_issues(captures))
 

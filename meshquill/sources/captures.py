@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 ALIASES: dict[str, list[str]] = {
     "capture_id": ["capture_id", "captureId", "capture", "id", "frame_id", "frameId", "metadata.capture_id"],
     "participant_id": ["participant_id", "participantId", "subject_id", "subjectId", "participant", "subject", "pid", "metadata.participant_id"],
+    "session_id": ["session_id", "sessionId", "session"],
     "timestamp": ["timestamp", "time", "captured_at", "capturedAt", "date", "metadata.timestamp"],
     "vertices": ["vertices", "verts", "vertexList", "geometry.vertices", "faceGeometry.vertices", "mesh.vertices", "points"],
     "triangle_indices": ["triangleIndices", "triangle_indices", "indices", "faces", "triangles", "geometry.triangleIndices", "faceGeometry.triangleIndices", "mesh.indices"],
@@ -32,22 +33,45 @@ ALIASES: dict[str, list[str]] = {
     "right_eye_transform": ["rightEyeTransform", "right_eye_transform", "rightEye.transform", "eyes.right"],
     "look_at_point": ["lookAtPoint", "look_at_point", "gaze"],
     "camera": ["camera", "cameraMetadata", "camera_metadata", "cameraInfo", "metadata.camera"],
+    "camera_transform": ["cameraTransform", "camera_transform", "camera.transform", "viewMatrix"],
+    "camera_intrinsics": ["cameraIntrinsics", "camera_intrinsics", "camera.intrinsics", "intrinsics"],
+    "device_model": ["deviceModel", "device_model", "device", "metadata.device"],
+    "tracking_state": ["trackingState", "tracking_state", "trackingQuality"],
     "coordinate_space": ["coordinateSpace", "coordinate_space", "space", "vertexSpace", "frame_of_reference"],
     "units": ["units", "unit", "lengthUnits"],
+    "schema_version": ["schemaVersion", "schema_version", "version", "formatVersion"],
 }
 REQUIRED = ("participant_id", "vertices", "triangle_indices")
 # Metres in a unit, and names of the two coordinate spaces.
-UNITS = {"m": 1.0, "meter": 1.0, "meters": 1.0, "metre": 1.0, "metres": 1.0, "cm": 0.01, "mm": 0.001}
-SPACES = {"face": "face_local", "facelocal": "face_local", "anchor": "face_local", "local": "face_local", "world": "world", "global": "world"}
+UNITS = {
+    "m": 1.0, "meter": 1.0, "meters": 1.0, "metre": 1.0, "metres": 1.0,
+    "cm": 0.01, "centimeter": 0.01, "centimeters": 0.01,
+    "mm": 0.001, "millimeter": 0.001, "millimeters": 0.001,
+}
+SPACES = {
+    "face": "face_local", "facelocal": "face_local", "anchor": "face_local", "local": "face_local", "model": "face_local",
+    "world": "world", "global": "world", "scene": "world",
+}
 MAX_DEPTH = 4
 _POINT = "struct<x:double,y:double,z:double>"
 SCHEMA = (
     f"path string, capture_key string, participant_id string, capture_id string, timestamp string, timestamp_epoch double, units string, coordinate_space string, "
     f"points array<{_POINT}>, triangles array<struct<i:int,j:int,k:int>>, uv array<struct<u:double,v:double>>, transform array<double>, left_eye {_POINT}, right_eye {_POINT}, look_at {_POINT}, "
-    "blend_shapes map<string,double>, camera string, declared_vertices int, declared_triangles int, "
+    "blend_shapes map<string,double>, camera string, session_id string, camera_transform string, camera_intrinsics string, device_model string, tracking_state string, schema_version string, declared_vertices int, declared_triangles int, "
     "resolved map<string,string>, missing array<string>, assumptions array<string>, error string"
 )
-FIELDS = ["path", "capture_key", "participant_id", "capture_id", "timestamp", "timestamp_epoch", "units", "coordinate_space", "points", "triangles", "uv", "transform", "left_eye", "right_eye", "look_at", "blend_shapes", "camera", "declared_vertices", "declared_triangles", "resolved", "missing", "assumptions", "error"]
+#: Fields that are kept as they are: texts, and JSON of anything else.
+BUNDLE = ("session_id", "camera_transform", "camera_intrinsics", "device_model", "tracking_state", "schema_version")
+FIELDS = ["path", "capture_key", "participant_id", "capture_id", "timestamp", "timestamp_epoch", "units", "coordinate_space", "points", "triangles", "uv", "transform", "left_eye", "right_eye", "look_at", "blend_shapes", "camera", *BUNDLE, "declared_vertices", "declared_triangles", "resolved", "missing", "assumptions", "error"]
+
+
+def load_aliases(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], tuple[str, ...]]:
+    """(aliases, required fields) of a JSON file {"fields": {name: [key paths]}, "required": [names]}, in any store that Spark reads."""
+    found = spark.read.text(path, wholetext=True).first()
+    blob = json.loads(found["value"]) if found else {}
+    if not isinstance(blob, dict) or not isinstance(blob.get("fields"), dict):
+        raise ValueError(f"{path} holds no field map")
+    return {k: list(v) for k, v in blob["fields"].items()}, tuple(blob.get("required", REQUIRED))
 
 
 class Unusable(ValueError):
@@ -228,7 +252,7 @@ def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: di
         if not isinstance(blob, dict):
             raise Unusable("the top level is not an object")
         got = {}
-        for field, paths in aliases.items():
+        for field, paths in ({f: [f] for f in ALIASES} | aliases).items():  # a field that a map lacks goes by its own name
             got[field], at = resolve(blob, paths, strict)
             if at is None:
                 row["missing"].append(field)
@@ -267,6 +291,7 @@ def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: di
         row["uv"] = [{"u": float(a), "v": float(b)} for a, b in uv] if isinstance(uv, list) and all(isinstance(p, list) and len(p) == 2 for p in uv) else None
         row["blend_shapes"] = coerce_blend_shapes(got["blend_shapes"], notes)
         row["camera"] = json.dumps(got["camera"]) if got["camera"] is not None else None
+        row |= {f: v if isinstance(v, str) else json.dumps(v) for f in BUNDLE if (v := got.get(f)) is not None}
         row["declared_vertices"], row["declared_triangles"] = (int(v) if isinstance(v, int | float) and not isinstance(v, bool) else None for v in (got["vertex_count"], got["triangle_count"]))
     except UnicodeDecodeError as e:
         row["error"] = f"not UTF-8: byte {e.start}"
@@ -289,17 +314,53 @@ def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, lis
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def load_captures(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
+def load_captures(spark: SparkSession, root: str, strict: bool = True, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
+    """All *.json files below a folder, in no order (`path` sorts them); like all of Spark's readers, without names that start with _ or a dot."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
-    return parse_captures(files, strict)
+    return parse_captures(files, strict, aliases)
 
 
 def loaded(captures: DataFrame) -> DataFrame:
     return captures.where("error IS NULL")
 
 
+#: Arrays of objects up to this length are looked into, by their first element; characters of a text that a preview shows.
+MAX_ARRAY, MAX_TEXT = 6, 60
+
+
+def describe(value: Any) -> str:
+    """A line on a JSON value: its kind and size, and its first few items."""
+    if isinstance(value, dict):
+        return f"object of {len(value)} keys"
+    if isinstance(value, list):
+        if not value:
+            return "empty array"
+        head = value[0]
+        if isinstance(head, dict):
+            return f"array of {len(value)} objects with keys {', '.join(sorted(head)[:5])}"
+        if isinstance(head, list):
+            return f"array of {len(value)} arrays of {len(head)}"
+        return f"array of {len(value)}: {', '.join(json.dumps(v) for v in value[:3])}"
+    text = json.dumps(value, ensure_ascii=False)
+    return text if len(text) <= MAX_TEXT else text[: MAX_TEXT - 3] + "..."
+
+
+def tree_rows(node: Any, depth: int, level: int = 0, prefix: str = "") -> Iterator[tuple[str, int, Any]]:
+    """(path, level, value) of all keys, in the order of their names; short arrays of objects go on with path[0]."""
+    if not isinstance(node, dict) or level > depth:
+        return
+    for key in sorted(node):
+        value, path = node[key], f"{prefix}.{key}" if prefix else key
+        yield path, level, value
+        if isinstance(value, dict):
+            yield from tree_rows(value, depth, level + 1, path)
+        elif isinstance(value, list) and value and isinstance(value[0], dict) and len(value) <= MAX_ARRAY:
+            yield from tree_rows(value[0], depth, level + 1, f"{path}[0]")
+
+
 def key_tree(documents: DataFrame, column: str = "content", depth: int = MAX_DEPTH) -> DataFrame:
-    """(path, key_path, depth, kind) of every key of every document."""
+    """(path, key_path, depth, kind, preview) of every key of every document; a document that is no JSON object has none."""
+    kinds = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -307,13 +368,26 @@ def key_tree(documents: DataFrame, column: str = "content", depth: int = MAX_DEP
             for path, text in zip(frame["path"], frame[column], strict=True):
                 try:
                     blob = json.loads(text)
-                except ValueError:
+                except (ValueError, TypeError):
                     continue
-                out += [(path, p, p.count("."), {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(v), "number")) for p, _, v in keys_below(blob, depth)]
-            yield pd.DataFrame(out, columns=["path", "key_path", "depth", "kind"])
+                out += [(path, p, level, kinds.get(type(v), "number"), describe(v)) for p, level, v in tree_rows(blob, depth)]
+            yield pd.DataFrame(out, columns=["path", "key_path", "depth", "kind", "preview"])
 
     kind = documents.schema["path"].dataType.simpleString()
-    return documents.select("path", column).mapInPandas(run, f"path {kind}, key_path string, depth int, kind string")
+    return documents.select("path", column).mapInPandas(run, f"path {kind}, key_path string, depth int, kind string, preview string")
+
+
+def summaries(captures: DataFrame) -> DataFrame:
+    """A capture's facts in one row: sizes, declared frame, bounds and diagonal in metres, what is there and what is not."""
+    side = lambda f, a: f(F.transform("points", lambda p: p[a]))
+    bounds = {f"{name}_{a}": side(f, a) for a in "xyz" for name, f in (("min", F.array_min), ("max", F.array_max))}
+    c = captures.where("error IS NULL").withColumns(bounds)
+    diagonal = F.sqrt(sum((F.pow(F.col(f"max_{a}") - F.col(f"min_{a}"), 2) for a in "xyz"), F.lit(0.0)))
+    return c.select(
+        "capture_key", "participant_id", "capture_id", "timestamp", "coordinate_space", "units", F.size("points").alias("n_vertices"), F.size("triangles").alias("n_triangles"), *bounds,
+        diagonal.alias("bbox_diagonal"), F.coalesce(F.size("blend_shapes"), F.lit(0)).alias("n_blend_shapes"), (F.col("left_eye").isNotNull() & F.col("right_eye").isNotNull()).alias("has_eyes"),
+        F.array_join("missing", ", ").alias("unresolved"), F.array_join("assumptions", ", ").alias("assumed"),
+    )
 
 
 def inspect_schema(captures: DataFrame) -> DataFrame:
