@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import stores
 from . import metrics, splits
 from .features import usable_columns
 
@@ -129,11 +131,31 @@ class Fitted:
             return self.model.transform(ready)
         return self.model.transform(ready).drop("x", "__y").withColumnRenamed("prediction", "predicted")
 
-    def importance(self) -> pd.DataFrame:
-        """Tree importances or absolute coefficients, largest first."""
+    def save(self, path: str, spark: SparkSession, report: dict | None = None) -> str:
+        """A description in JSON, with the weights of a ridge; pipelines by Spark's own writer beside it."""
+        about = {"name": self.name, "features": self.features, "values": self.values, "report": report}
+        if isinstance(self.model, Ridge):
+            m = self.model
+            about["ridge"] = {"centre": m.centre.tolist(), "scale": m.scale.tolist(), "coefficients": m.coefficients.tolist(), "intercept": m.intercept, "alpha": m.alpha}
+        else:
+            self.model.write().overwrite().save(f"{path}/pipeline")
+        stores.write_document(spark, about, f"{path}/about.json")
+        return path
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> Fitted:
+        about = stores.read_document(spark, f"{path}/about.json")
+        if ridge := about.get("ridge"):
+            model = Ridge(about["features"], np.array(ridge["centre"]), np.array(ridge["scale"]), np.array(ridge["coefficients"]), ridge["intercept"], ridge["alpha"])
+        else:
+            model = PipelineModel.load(f"{path}/pipeline")
+        return cls(about["name"], about["features"], about["values"], model)
+
+    def importance(self, top: int | None = None) -> pd.DataFrame:
+        """Tree importances or absolute coefficients, largest first; the first `top` of them if given."""
         last = self.model if isinstance(self.model, Ridge) else self.model.stages[-1]
         values = np.abs(last.coefficients.toArray() if hasattr(last.coefficients, "toArray") else last.coefficients) if hasattr(last, "coefficients") else last.featureImportances.toArray()
-        return pd.DataFrame({"feature": self.features, "importance": values}).sort_values(["importance", "feature"], ascending=[False, True], ignore_index=True)
+        return pd.DataFrame({"feature": self.features, "importance": values}).sort_values(["importance", "feature"], ascending=[False, True], ignore_index=True).head(top or len(values))
 
 
 def fit(train: DataFrame, features: list[str], name: str, label: str = "mean_rating", weight: str | None = None, seed: int = 42, **sizes) -> Fitted:
@@ -171,12 +193,29 @@ def train_final(data: TrainingData, name: str, test_size: float = 0.2, seed: int
     return fitted, metrics.evaluate(predictions(fitted, train, label)), metrics.evaluate(held), held
 
 
-def compare(data: TrainingData, names: tuple[str, ...] = MODELS, **options) -> tuple[str, dict[str, dict], list[str]]:
-    """(best, metrics of each, warnings): the best has the largest out-of-fold R2."""
-    scores = {n: metrics.evaluate(cross_validate(data, n, **options)) for n in names}
+#: Participants below which scores are unstable; growth of R2 from held-out to training rows that counts as overfitting.
+SMALL_COHORT, OVERFIT = 30, 0.25
+
+
+def compare(data: TrainingData, names: tuple[str, ...] = MODELS, n_splits: int = 5, test_size: float = 0.2, seed: int = 42, **options) -> tuple[str, dict[str, dict], list[str]]:
+    """(best, out-of-fold, training and held-out metrics of each, warnings): the best has the largest out-of-fold R2."""
     n = data.table.select("participant_id").distinct().count()
-    warnings = [f"only {n} participants: scores are unstable"] if n < 30 else []
-    return max(scores, key=lambda m: -np.inf if scores[m]["r2"] is None else scores[m]["r2"]), scores, warnings
+    warnings = [f"only {n} participants: scores depend on who is held out"] if n < SMALL_COHORT else []
+    results = {}
+    for name in names:
+        _, train, test, _ = train_final(data, name, test_size, seed, **options)
+        results[name] = {"cv": metrics.evaluate(cross_validate(data, name, n_splits, **options)), "train": train, "test": test}
+        if train["r2"] is not None and test["r2"] is not None and train["r2"] - test["r2"] > OVERFIT:
+            warnings.append(f"{name}: training R2 exceeds held-out R2 by {train['r2'] - test['r2']:.2f}, overfitting")
+    return max(results, key=lambda m: -np.inf if results[m]["cv"]["r2"] is None else results[m]["cv"]["r2"]), results, warnings
+
+
+def report(data: TrainingData, best: str, results: dict[str, dict], warnings: list[str], weight: str | None = "n_ratings", seed: int = 42) -> dict:
+    """What a training run says of itself, as one document."""
+    return {
+        "trained_at": datetime.now(UTC).isoformat(), "n_rows": data.table.count(), "n_participants": data.table.select("participant_id").distinct().count(), "features": data.features,
+        "dropped_features": data.dropped, "sample_weighting": weight, "seed": seed, "results": results, "best_model": best, "warnings": warnings, "note": NOTE,
+    }
 
 
 def permutation_importance(fitted: Fitted, df: DataFrame, label: str = "mean_rating", repeats: int = 20, seed: int = 42) -> DataFrame:

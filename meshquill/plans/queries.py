@@ -581,3 +581,6 @@ def model_importance(spark, sf):
     fitted = models.fit(_training(spark, sf), _TRAIN, "ridge")
     frame = fitted.importance()
     return rounded(spark.createDataFrame([(r.feature, float(np.round(r.importance, 6))) for r in frame.itertuples()], "feature string, importance double"))
+
+
+from . import frames  # noqa: E402, F401 - further queries, registered on import
