@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +36,91 @@ def source_of(name: str) -> str:
     return "landmark_free" if name in LANDMARK_FREE else "derived_midline" if name in MIDLINE else "eye_transform" if name in EYES else "landmark"
 
 
+#: What the kernel gives of each capture, in order.
+MEASURED = [f for f in FEATURES if f in LANDMARK_FREE or f in MIDLINE]
+_OUTSIDE = ("scale_reference_m", "surface_area", "convexity")
+KERNEL = [f for f in MEASURED if f not in _OUTSIDE]
+
+
+def _quotient(a: float, b: float) -> float:
+    return a / b if b else np.nan
+
+
+def _profile(p: np.ndarray) -> dict[str, float]:
+    """Bands as `mesh.bands` and `mesh.profile_summary` have them."""
+    y, n = p[:, 1], mesh.BANDS
+    lo, hi = y.min(), y.max()
+    band = sum((y >= lo + i * (hi - lo) / n).astype(int) for i in range(1, n))
+    width, depth = np.full(n, np.nan), np.full(n, np.nan)
+    for i in np.unique(band):
+        here = p[band == i]
+        width[i], depth[i] = np.ptp(here[:, 0]), here[:, 2].max()
+    out = {f"{c}_band_{i}": v[i] for c, v in (("width", width), ("depth", depth)) for i in range(n)}
+    out |= {"width_lower_upper_ratio": _quotient(width[1], width[6]), "width_mid_upper_ratio": _quotient(width[4], width[6])}
+    for c, v in (("width", width), ("depth", depth)):
+        at = int(np.nanargmax(v))  # the first on ties
+        out |= {f"{c}_profile_max": v[at], f"{c}_profile_argmax_frac": at / (n - 1)}
+    return out
+
+
+def _midline(p: np.ndarray) -> dict[str, float]:
+    """Midline landmarks and measures as `midline.midline_features` has them."""
+    x, w = np.abs(p[:, 0]), np.ptp(p[:, 0])
+    half = midline.BAND * w if (x <= midline.BAND * w).sum() >= midline.BINS // 2 else 3 * midline.BAND * w
+    strip = p[x <= half]
+    if not len(strip) or not (step := (strip[:, 1].max() - strip[:, 1].min()) / midline.BINS) > 0:
+        return {}
+    y, lo = strip[:, 1], strip[:, 1].min()
+    edges = lo + np.arange(midline.BINS + 1) * step
+    place = np.clip(np.searchsorted(edges, y, side="right") - 1, 0, midline.BINS)
+    below = (place < midline.BINS) & (y < y.max())
+    z = np.full(midline.BINS, -np.inf)
+    np.maximum.at(z, place[below], strip[below, 2])
+    at = np.flatnonzero(z > -np.inf)
+    n, z, y = len(at), z[at], 0.5 * (edges[at] + edges[at + 1])
+    if n < midline.FEWEST:
+        return {}
+    total = z.copy()
+    for k in range(1, midline.WINDOW // 2 + 1):
+        total = total + np.r_[np.full(k, z[0]), z[:-k]] + np.r_[z[k:], np.full(k, z[-1])]
+    s = total / midline.WINDOW
+    inner = np.arange(max(midline.MARGIN, 1), n - max(midline.MARGIN, 1))
+    low = inner[(s[inner] < s[inner - 1]) & (s[inner] < s[inner + 1])]
+    high = inner[(s[inner] > s[inner - 1]) & (s[inner] > s[inner + 1])]
+    tip, men = int(np.argmax(s)), 0
+    nas, sub = min(low[low > tip], default=None), max(low[low < tip], default=None)
+    pog = None if sub is None else max(high[high < sub], default=None)
+    gap = lambda a, b: np.nan if a is None or b is None else abs(y[a] - y[b])
+    reach = lambda a, b: np.nan if a is None or b is None else s[a] - s[b]
+    return {
+        "middle_third_height": gap(nas, sub), "lower_third_height": gap(sub, men), "nasion_menton_height": gap(nas, men), "upper_region_height": np.nan if nas is None else p[:, 1].max() - y[nas],
+        "third_ratio_middle_lower": _quotient(gap(nas, sub), gap(sub, men)), "nose_projection": reach(tip, sub), "nose_height": gap(tip, sub),
+        "chin_projection": reach(pog, sub), "chin_height": np.nan if sub is None else gap(pog, men), "nasion_depth": reach(tip, nas),
+    }
+
+
+def measure(p: np.ndarray, triangles: np.ndarray, surface: bool, fit_plane: bool) -> dict[str, float | None]:
+    """KERNEL of one capture, with hull_area; NaN where there is no value."""
+    if not len(p) or not np.isfinite(p).all():
+        return {}
+    w, h, d = np.ptp(p, axis=0)
+    out = {"face_width": w, "face_height": h, "face_depth": d, "width_height_ratio": _quotient(w, h), "depth_height_ratio": _quotient(d, h), "depth_width_ratio": _quotient(d, w)}
+    if len(p) > 1:
+        l3, l2, l1 = np.linalg.eigvalsh(np.cov(p.T))
+        out |= {"pca_elongation": _quotient(l2, l1), "pca_flatness": _quotient(l3, l1)}
+    if found := hull.convex_hull(p):
+        out |= {"convex_hull_volume": found[0], "hull_area": found[1]}
+    sym = symmetry.measure(p, triangles, surface=surface, fit=fit_plane)
+    if sym["error"] is None:
+        out |= {f"symmetry_{k}": sym[f"symmetry_{k}"] for k in ("rms", "p95", "max")} | {"symmetry_midplane_tilt_deg": sym["tilt_deg"], "symmetry_discretization_floor": sym["effective_floor"]}
+    return out | _profile(p) | _midline(p)
+
+
 def extract(normalised: DataFrame, marks: landmarks.LandmarkSet | None = None, method: str = "point_to_surface", fit_plane: bool = True) -> DataFrame:
     """capture_key, ids and the 70 features of normalised captures; unavailable values are NULL.
 
-    Each group of measures is one aggregate or pass over the captures; all are joined on the key, by
-    which they are already partitioned.
+    One pass over the captures: row expressions for what points, eyes and landmarks give by themselves, one
+    kernel for hulls, symmetry, profiles and midlines. Nothing is joined or shuffled.
     """
     marks = marks or landmarks.LandmarkSet()
     n = normalised.where("error IS NULL") if "error" in normalised.columns else normalised
@@ -47,28 +131,26 @@ def extract(normalised: DataFrame, marks: landmarks.LandmarkSet | None = None, m
     eye = lambda e, a: F.col(e)[a] if eyes else F.lit(None).cast("double")
     lo = F.array_min(F.transform("points", lambda p: p["y"]))
     apart = F.sqrt(sum((F.pow(eye("left_eye", a) - eye("right_eye", a), 2) for a in "xyz"), F.lit(0.0)))
-    base = n.select(
-        "capture_key", *IDS, F.col("scale_reference").alias("scale_reference_m"), apart.alias("interocular_distance"),
-        ((eye("left_eye", "y") + eye("right_eye", "y")) / 2 - lo).alias("__eye_height"), F.abs(eye("left_eye", "y") - eye("right_eye", "y")).alias("eye_vertical_disparity"),
-    )
-    size = mesh.extents(n).select("capture_key", F.col("width").alias("face_width"), F.col("height").alias("face_height"), F.col("depth").alias("face_depth"), "width_height_ratio", "depth_height_ratio", "depth_width_ratio")
-    area = mesh.surface_area(n).select("capture_key", "surface_area")
-    hulls = hull.convex_hulls(n).select("capture_key", F.col("hull_volume").alias("convex_hull_volume"), "hull_area")
-    pca = mesh.shape_pca(n).select("capture_key", F.col("elongation").alias("pca_elongation"), F.col("flatness").alias("pca_flatness"))
-    at = lambda c, i: F.max(F.when(F.col("band") == i, F.col(c))).alias(f"{c}_band_{i}")
-    bands = mesh.bands(n).groupBy("capture_key").agg(*(at(c, i) for c in ("width", "depth") for i in range(mesh.BANDS)))
-    profile = mesh.profile_summary(n).select(
-        "capture_key", F.col("lower_upper").alias("width_lower_upper_ratio"), F.col("mid_upper").alias("width_mid_upper_ratio"), F.col("width_max").alias("width_profile_max"),
-        F.col("width_at").alias("width_profile_argmax_frac"), F.col("depth_max").alias("depth_profile_max"), F.col("depth_at").alias("depth_profile_argmax_frac"),
-    )
-    sym = symmetry.measure_symmetry(n, method, fit_plane).select(
-        "capture_key", "symmetry_rms", "symmetry_p95", "symmetry_max", F.col("tilt_deg").alias("symmetry_midplane_tilt_deg"), F.col("effective_floor").alias("symmetry_discretization_floor")
-    )
-    out = base
-    for part in (size, area, hulls, pca, bands, profile, sym, midline.midline_features(n), landmarks.landmark_features(n, marks)):
-        out = out.join(part, "capture_key", "left")
+    given = {
+        "scale_reference_m": F.col("scale_reference").cast("double"), "surface_area": mesh.area(), "interocular_distance": apart,
+        "__eye_height": (eye("left_eye", "y") + eye("right_eye", "y")) / 2 - lo, "eye_vertical_disparity": F.abs(eye("left_eye", "y") - eye("right_eye", "y")),
+        **{name: marks.distance(a, b) for name, (a, b) in landmarks.DISTANCES.items()},
+    }
+    rows = n.select("capture_key", *IDS, "points", "triangles", *(v.alias(k) for k, v in given.items()))
+    keep = ["capture_key", *IDS, *given]
+    made = [*KERNEL, "hull_area"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [measure(symmetry.point_array(p), symmetry.triangle_array(t), method == "point_to_surface", fit_plane) for p, t in zip(frame["points"], frame["triangles"], strict=True)]
+            yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(found, columns=made, dtype=float)], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` double" for c in made)])
+    out = rows.mapInPandas(run, schema).withColumns({c: known(c) for c in [*given, *made]})
     out = out.withColumns({
         "convexity": ratio("hull_area", "surface_area"), "interocular_face_width_ratio": ratio("interocular_distance", "face_width"), "eye_height_frac": ratio("__eye_height", "face_height"),
+        "lm_jaw_cheekbone_ratio": ratio("lm_jaw_width", "lm_cheekbone_width"), "lm_mouth_nose_ratio": ratio("lm_mouth_width", "lm_nose_width"),
     })
     return out.select("capture_key", *IDS, *(known(F.col(f).cast("double")).alias(f) for f in FEATURES))
 

@@ -12,7 +12,7 @@ from .symmetry import point_array
 
 
 def convex_hull(points: np.ndarray) -> tuple[float, float] | None:
-    """(volume, area) of the hull by adding the farthest outside point of a face, until none has one; None if flat."""
+    """(volume, area) of the hull by adding the farthest point outside, until none is; None if flat."""
     p = np.unique(np.asarray(points, float), axis=0)
     if len(p) < 4 or not np.isfinite(p).all():
         return None
@@ -30,32 +30,33 @@ def convex_hull(points: np.ndarray) -> tuple[float, float] | None:
         return None
     middle = p[[a, b, c, d]].mean(axis=0)
 
-    def face(i: int, j: int, k: int, outside: np.ndarray) -> dict:
-        normal = np.cross(p[j] - p[i], p[k] - p[i])
-        length = np.linalg.norm(normal)
-        normal = normal / length if length > 0 else normal
-        if normal @ (p[i] - middle) < 0:
-            j, k, normal = k, j, -normal
-        gap = (p[outside] - p[i]) @ normal
-        mine = gap > eps
-        return {"v": (i, j, k), "n": normal, "d": normal @ p[i], "out": outside[mine], "far": int(outside[mine][np.argmax(gap[mine])]) if mine.any() else -1}
+    def planes(tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Faces that turn outwards, with their unit normals and offsets."""
+        n = np.cross(p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]])
+        n /= np.maximum(np.linalg.norm(n, axis=1), 1e-300)[:, None]
+        inward = ((p[tri[:, 0]] - middle) * n).sum(1) < 0
+        tri, n = np.where(inward[:, None], tri[:, [0, 2, 1]], tri), np.where(inward[:, None], -n, n)
+        return tri, n, (n * p[tri[:, 0]]).sum(1)
 
+    tri, n, offset = planes(np.array([(a, b, c), (a, b, d), (a, c, d), (b, c, d)]))
     rest = np.setdiff1d(np.arange(len(p)), [a, b, c, d])
-    faces = [face(i, j, k, rest) for i, j, k in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
-    while (top := next((f for f in faces if f["far"] >= 0), None)) is not None:
-        apex = top["far"]
-        seen = [f for f in faces if f["n"] @ p[apex] - f["d"] > eps]
-        faces = [f for f in faces if not any(f is s for s in seen)]
-        edges = {(f["v"][i], f["v"][(i + 1) % 3]) for f in seen for i in range(3)}
-        outside = np.unique(np.concatenate([f["out"] for f in seen]))
-        outside = outside[outside != apex]
-        faces += [face(i, j, apex, outside) for i, j in sorted(edges) if (j, i) not in edges]
-    area = volume = 0.0
-    for f in faces:
-        q = p[list(f["v"])] - middle
-        area += 0.5 * float(np.linalg.norm(np.cross(q[1] - q[0], q[2] - q[0])))
-        volume += abs(float(np.linalg.det(q))) / 6.0
-    return volume, area
+    gap = p[rest] @ n.T - offset  # how far each point lies outside each face
+    while True:
+        outside = (gap > eps).any(axis=1)  # a point inside the hull stays inside
+        rest, gap = rest[outside], gap[outside]
+        if not len(rest):
+            break
+        at = int(np.argmax(gap.max(axis=1)))
+        seen = gap[at] > eps
+        edges = tri[seen][:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2)
+        horizon = edges[~np.isin(edges @ [len(p), 1], edges @ [1, len(p)])]  # seen from one side only
+        new, normals, offsets = planes(np.c_[horizon, np.full(len(horizon), rest[at])])
+        rest, gap = np.delete(rest, at), np.delete(gap, at, axis=0)
+        tri = np.r_[tri[~seen], new]
+        gap = np.c_[gap[:, ~seen], p[rest] @ normals.T - offsets]
+    q = p[tri] - middle
+    area = 0.5 * float(np.linalg.norm(np.cross(q[:, 1] - q[:, 0], q[:, 2] - q[:, 0]), axis=1).sum())
+    return float(np.abs(np.linalg.det(q)).sum()) / 6.0, area
 
 
 def convex_hulls(captures: DataFrame) -> DataFrame:

@@ -41,11 +41,14 @@ def _cross_norm(p: Column, q: Column, r: Column) -> Column:
     return F.sqrt(F.pow(uy * vz - uz * vy, 2) + F.pow(uz * vx - ux * vz, 2) + F.pow(ux * vy - uy * vx, 2))
 
 
-def surface_area(captures: DataFrame) -> DataFrame:
+def area() -> Column:
     """Half the sum of the cross products' lengths; triangles reach into their own row's points."""
     at = lambda i: F.get("points", i)
-    total = F.aggregate("triangles", F.lit(0.0), lambda acc, t: acc + 0.5 * _cross_norm(at(t["i"]), at(t["j"]), at(t["k"])))
-    return captures.select("capture_key", F.size("triangles").cast("long").alias("n_triangles"), total.alias("surface_area"))
+    return F.aggregate("triangles", F.lit(0.0), lambda acc, t: acc + 0.5 * _cross_norm(at(t["i"]), at(t["j"]), at(t["k"])))
+
+
+def surface_area(captures: DataFrame) -> DataFrame:
+    return captures.select("capture_key", F.size("triangles").cast("long").alias("n_triangles"), area().alias("surface_area"))
 
 
 def shape_pca(captures: DataFrame) -> DataFrame:
@@ -67,16 +70,15 @@ def bands(captures: DataFrame, n: int = BANDS) -> DataFrame:
     """Width (extent of x) and depth (largest z) in n equal slabs of y; the last slab is closed, empty ones are NULL.
 
     A point's slab is found by comparing with the edges themselves, not by dividing, so that no point
-    on an edge changes sides by rounding.
+    on an edge changes sides by rounding. Points stay nested: each row is cut into its slabs without a shuffle.
     """
-    v = vertices(captures).join(
-        vertices(captures).groupBy("capture_key").agg(F.min("y").alias("lo"), F.max("y").alias("hi")), "capture_key"
-    )
+    side = lambda points, a, f: f(F.transform(points, lambda p: p[a]))
+    rows = captures.select("capture_key", "points", side("points", "y", F.array_min).alias("lo"), side("points", "y", F.array_max).alias("hi"))
+    rows = rows.select("capture_key", "points", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("band"))
     edge = lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / n
-    above = sum((F.when(F.col("y") >= edge(i), 1).otherwise(0) for i in range(1, n)), F.lit(0))
-    found = v.groupBy("capture_key", above.alias("band")).agg((F.max("x") - F.min("x")).alias("width"), F.max("z").alias("depth"))
-    frame = captures.select("capture_key", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("band"))
-    return frame.join(found, ["capture_key", "band"], "left")
+    inside = lambda p: ((F.col("band") == 0) | (p["y"] >= edge(F.col("band")))) & ((F.col("band") == n - 1) | (p["y"] < edge(F.col("band") + 1)))
+    cut = rows.select("capture_key", "band", F.filter("points", inside).alias("points"))
+    return cut.select("capture_key", "band", (side("points", "x", F.array_max) - side("points", "x", F.array_min)).alias("width"), side("points", "z", F.array_max).alias("depth"))
 
 
 def profile_summary(captures: DataFrame) -> DataFrame:

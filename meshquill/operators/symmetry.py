@@ -30,31 +30,30 @@ def reflect(v: DataFrame, normal: tuple[float, float, float], offset: str = "0.0
 
 def nearest_vertices(captures: DataFrame, normal: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
     """(capture_key, vid, spacing, mirror): distance to the nearest other vertex, and of the mirror image
-    (in the plane through the centroid) to the nearest vertex. Points stay nested: no shuffle."""
-    length = sum(c * c for c in normal) ** 0.5
-    unit = [c / length for c in normal]
-    mean = lambda c: F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p[c]) / F.size("points")
-    offset = sum((mean(c) * u for c, u in zip("xyz", unit, strict=True)), F.lit(0.0))
-    rows = captures.select("capture_key", "points", offset.alias("offset")).select("capture_key", "points", "offset", F.posexplode("points").alias("vid", "p"))
-    gap = sum((F.col(f"p.{c}") * u for c, u in zip("xyz", unit, strict=True)), F.lit(0.0)) - F.col("offset")
-    rows = rows.withColumn("gap", gap).withColumn("m", F.struct(*((F.col(f"p.{c}") - 2 * F.col("gap") * u).alias(c) for c, u in zip("xyz", unit, strict=True))))
-    square = lambda a, b: F.pow(a["x"] - b["x"], 2) + F.pow(a["y"] - b["y"], 2) + F.pow(a["z"] - b["z"], 2)
-    others = F.transform("points", lambda q, i: F.when(i != F.col("vid"), square(F.col("p"), q)))
-    images = F.transform("points", lambda q: square(F.col("m"), q))
-    return rows.select("capture_key", "vid", F.sqrt(F.array_min(others)).alias("spacing"), F.sqrt(F.array_min(images)).alias("mirror"))
+    (in the plane through the centroid) to the nearest vertex. A kernel on each capture, in blocks; no shuffle."""
+    unit = np.asarray(normal, float) / np.linalg.norm(normal)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            spacing, mirror = [], []
+            for cell in frame["points"]:
+                p = point_array(cell)
+                spacing.append(nearest(p, p, 2)[0][:, 1] if len(p) > 1 else np.full(len(p), np.nan))
+                mirror.append(nearest(mirrored(p, unit, float(unit @ p.mean(axis=0))), p)[0][:, 0] if len(p) else np.empty(0))
+            sizes = [len(m) for m in mirror]
+            ids = np.concatenate([np.arange(k) for k in sizes]).astype(np.int32) if sizes else np.empty(0, np.int32)
+            out = pd.DataFrame({"capture_key": np.repeat(frame["capture_key"].to_numpy(), sizes), "vid": ids, "spacing": np.concatenate([*spacing, []]), "mirror": np.concatenate([*mirror, []])})
+            yield out.astype({"spacing": "Float64"})  # NaN: no other vertex, NULL
+
+    key = captures.schema["capture_key"].dataType.simpleString()
+    return captures.select("capture_key", "points").mapInPandas(run, f"capture_key {key}, vid int, spacing double, mirror double")
 
 
 def symmetry_fixed(captures: DataFrame) -> DataFrame:
-    """Nearest-vertex symmetry in the fixed plane x = centroid: rms, mean, max, 95th percentile, floor, pairing."""
-    d = nearest_vertices(captures)
-    v = vertices(captures).groupBy("capture_key").agg(F.var_pop("x").alias("a"), F.var_pop("y").alias("b"), F.var_pop("z").alias("c"))
-    size = v.select("capture_key", F.sqrt(F.col("a") + F.col("b") + F.col("c")).alias("size"))
-    m = d.groupBy("capture_key").agg(F.median("spacing").alias("m"))
-    j = d.join(m, "capture_key").join(size, "capture_key").where("size > 0")
-    e = F.col("mirror") / F.col("size")
-    return j.groupBy("capture_key").agg(
-        F.sqrt(F.avg(e * e)).alias("rms"), F.avg(e).alias("mean"), F.max(e).alias("max"), F.percentile(e, 0.95).alias("p95"),
-        (F.max("m") / F.max("size")).alias("discretization_floor"), F.avg((F.col("mirror") < PAIRED * F.col("m")).cast("int")).alias("pairing"),
+    """Nearest-vertex symmetry in the fixed plane x = centroid: rms, mean, max, 95th percentile, floor, pairing; none for a mesh without size."""
+    m = measure_symmetry(captures, "nearest_vertex", fit_plane=False).where("error IS NULL")
+    return m.select(
+        "capture_key", F.col("symmetry_rms").alias("rms"), F.col("symmetry_mean").alias("mean"), F.col("symmetry_max").alias("max"), F.col("symmetry_p95").alias("p95"), "discretization_floor", "pairing"
     )
 
 

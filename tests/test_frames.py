@@ -184,6 +184,35 @@ def test_tables_and_documents_round_trip(spark, training, tmp_path):
     assert {r["grp"]: r["n"] for r in metrics.group_metrics(grouped).collect()} == {0: 27, 1: 30} and grouped.count() == 60
 
 
+def test_feature_table_equals_its_parts(spark):
+    """The kernel against the operators that SQL confirms, on the test captures and on clouds with full midlines."""
+    from meshquill.plans import queries
+
+    dense = queries._dense(spark, queries_sf).withColumns({"participant_id": F.lit("p"), "triangles": F.expr("array(named_struct('i', 0, 'j', 1, 'k', 2))")})
+    for caps in (queries.tables.captures(spark, queries_sf), dense):
+        n = caps.select("capture_key", "participant_id", "points", "triangles")
+        table = features.extract(n, queries.MARKS, fit_plane=False)
+        got = {r["capture_key"]: r for r in table.collect()}
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and (caps is dense or "Exchange" not in plan)
+        bands = queries.mesh.bands(n).collect()
+        assert all(near_or_none(got[r["capture_key"]][f"{c}_band_{r['band']}"], r[c]) for r in bands for c in ("width", "depth"))
+        names = {"lower_upper": "width_lower_upper_ratio", "mid_upper": "width_mid_upper_ratio", "width_max": "width_profile_max", "width_at": "width_profile_argmax_frac", "depth_max": "depth_profile_max", "depth_at": "depth_profile_argmax_frac"}
+        parts = [(queries.mesh.profile_summary(n), names), (queries.midline.midline_features(n), {f: f for f in features.MIDLINE}), (queries.landmarks.landmark_features(n, queries.MARKS), {f: f for f in features.LANDMARKS})]
+        parts += [(queries.mesh.shape_pca(n), {"elongation": "pca_elongation", "flatness": "pca_flatness"}), (queries.mesh.extents(n), {"width": "face_width", "depth_height_ratio": "depth_height_ratio"})]
+        for part, to in parts:
+            for r in part.collect():
+                assert all(near_or_none(got[r["capture_key"]][b], r[a]) for a, b in to.items()), (r, got[r["capture_key"]])
+    assert any(r["middle_third_height"] is not None for r in got.values())
+
+
+queries_sf = "/root/testdata/sf0.001"
+
+
+def near_or_none(a, b):
+    return (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-7, abs=1e-9))
+
+
 def test_commands(spark, tmp_path, capsys):
     """A project from captures to an audit: every command, what it writes, and its exit code."""
     points, triangles = grid(7)
