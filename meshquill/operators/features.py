@@ -160,7 +160,7 @@ def long_form(wide: DataFrame, marks: landmarks.LandmarkSet | None = None) -> Da
     marks = marks or landmarks.LandmarkSet()
     reasons = {
         **dict.fromkeys(LANDMARK_FREE, "not measurable on this mesh"), **dict.fromkeys(MIDLINE, "midline extremum not present in the curve"), **dict.fromkeys(EYES, "no eye transforms in the capture"),
-        **dict.fromkeys(LANDMARKS, "no landmark is defined" if not marks.indices else "landmark not defined or on another topology"),
+        **{f: landmarks.missing(marks, f) for f in LANDMARKS},
     }
     rows = F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("value"), F.lit(source_of(f)).alias("source"), F.when(F.col(f).isNull(), reasons[f]).alias("reason")) for f in FEATURES])
     wide = wide.select("capture_key", *IDS, *FEATURES)

@@ -67,17 +67,24 @@ class LandmarkSet:
         return F.sqrt(sum((F.pow(p[c] - q[c], 2) for c in "xyz"), F.lit(0.0)))
 
 
+#: Ratios of two distances.
+RATIOS = {"lm_jaw_cheekbone_ratio": ("lm_jaw_width", "lm_cheekbone_width"), "lm_mouth_nose_ratio": ("lm_mouth_width", "lm_nose_width")}
+
+
 def landmark_features(captures: DataFrame, marks: LandmarkSet) -> DataFrame:
     """The distances and two ratios; row expressions, NULL where a landmark is missing."""
     d = captures.select("capture_key", *(marks.distance(a, b).alias(n) for n, (a, b) in DISTANCES.items()))
-    return d.withColumns({"lm_jaw_cheekbone_ratio": F.try_divide("lm_jaw_width", "lm_cheekbone_width"), "lm_mouth_nose_ratio": F.try_divide("lm_mouth_width", "lm_nose_width")})
+    return d.withColumns({name: F.try_divide(a, b) for name, (a, b) in RATIOS.items()})
 
 
-def reason(marks: LandmarkSet) -> Column:
-    """Why landmark features are missing."""
+def missing(marks: LandmarkSet, feature: str) -> str:
+    """Why a landmark feature has no value, as far as the set tells: nothing is defined, the landmarks that lack, or the mesh."""
     if not marks.indices:
-        return F.lit("no landmark is defined")
-    return F.when(~marks.applies(), "landmarks belong to another mesh topology").otherwise("this landmark is not defined")
+        return "no landmark is defined"
+    needed = {n for d in RATIOS.get(feature, (feature,)) for n in DISTANCES[d]}
+    if lacking := sorted(needed - set(marks.indices)):
+        return f"not defined: {', '.join(lacking)}"
+    return "landmarks belong to another mesh topology"
 
 
 def check(captures: DataFrame, marks: LandmarkSet) -> DataFrame:

@@ -231,13 +231,14 @@ def permutation_importance(fitted: Fitted, df: DataFrame, label: str = "mean_rat
     rows = hashed.withColumns({"__r": F.row_number().over(bucket.orderBy("__h", *fitted.features)), "__n": F.count(F.lit(1)).over(bucket)}).drop("__h")
     base = metrics.finite(predictions(fitted, rows, label)).agg(F.avg(F.abs("e"))).first()[0]
     rng = np.random.default_rng(seed)
-    shifts = [int(s) for s in rng.integers(1, 1 << 30, repeats)]
-    out = []
-    for f in fitted.features:
-        gains = []
-        for s in shifts:
-            moved = rows.select(F.col(f).alias("__v"), "__b", (F.pmod(F.col("__r") + s, F.col("__n")) + 1).cast("int").alias("__r"))
-            swapped = rows.drop(f).join(moved, ["__b", "__r"]).withColumnRenamed("__v", f)
-            gains.append(metrics.finite(predictions(fitted, swapped, label)).agg(F.avg(F.abs("e"))).first()[0] - base)
-        out.append((f, float(np.mean(gains)), float(np.std(gains))))
-    return df.sparkSession.createDataFrame(out, "feature string, increase double, spread double").orderBy(F.desc("increase"), "feature")
+    shifts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(int(s)).alias("s")) for k, s in enumerate(rng.integers(1, 1 << 30, repeats))))
+    # One join for each repeat gives the moved values of all columns; a row then stands once for each column that moves.
+    sought = rows.withColumn("__shift", F.explode(shifts)).withColumn("__at", (F.pmod(F.col("__r") + F.col("__shift.s"), F.col("__n")) + 1).cast("int"))
+    moved = rows.select(F.col("__b").alias("__mb"), F.col("__r").alias("__mr"), *(F.col(f).alias(f"__m_{f}") for f in fitted.features))
+    pairs = sought.join(moved, (F.col("__b") == F.col("__mb")) & (F.col("__at") == F.col("__mr")))
+    pairs = pairs.withColumn("__feature", F.explode(F.array(*map(F.lit, fitted.features))))
+    swapped = pairs.withColumns({f: F.when(F.col("__feature") == f, F.col(f"__m_{f}")).otherwise(F.col(f)) for f in fitted.features})
+    keys = swapped.withColumn("__k", F.col("__shift.k")).select("__feature", "__k", label, *fitted.features)
+    gains = metrics.finite(predictions(fitted, keys, label), "__feature", "__k").groupBy("__feature", "__k").agg((F.avg(F.abs("e")) - F.lit(base)).alias("gain"))
+    found = gains.groupBy(F.col("__feature").alias("feature")).agg(F.avg("gain").alias("increase"), F.stddev_pop("gain").alias("spread"))
+    return found.orderBy(F.desc("increase"), "feature")

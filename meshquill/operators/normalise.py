@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import skewness
 from ..sources.tables import vertices
-from .symmetry import nearest_vertices, point_array
+from .symmetry import nearest, point_array
 
 AXES = "xyz"
 ORIGINS = ("centroid", "eye_midpoint", "nose_tip_extremum")
@@ -54,15 +54,25 @@ class AxisConvention:
 
 
 def mirror_error(captures: DataFrame) -> DataFrame:
-    """(capture_key, axis, error): rms distance of the mirror image across each axis to the nearest vertex, over the centroid size."""
-    size = vertices(captures).groupBy("capture_key").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("size"))
-    out = None
-    for axis in range(3):
-        normal = tuple(1.0 if a == axis else 0.0 for a in range(3))
-        d = nearest_vertices(captures, normal).groupBy("capture_key").agg(F.sqrt(F.avg(F.col("mirror") * F.col("mirror"))).alias("rms"))
-        d = d.join(size, "capture_key").select("capture_key", F.lit(axis).alias("axis"), F.try_divide("rms", "size").alias("error"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    """(capture_key, axis, error): rms distance of the mirror image across each axis to the nearest vertex, over the centroid size.
+
+    A kernel on each capture; NULL for a mesh without size.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, cell in zip(frame["capture_key"], frame["points"], strict=True):
+                p = point_array(cell)
+                p = p - p.mean(axis=0)
+                size = float(np.sqrt((p * p).sum(axis=1).mean())) if len(p) else 0.0
+                for axis in range(3):
+                    d = nearest(np.where(np.arange(3) == axis, -p, p), p)[0][:, 0] if size > 0 else None
+                    out.append((key, axis, None if d is None else float(np.sqrt((d * d).mean())) / size))
+            yield pd.DataFrame(out, columns=["capture_key", "axis", "error"])
+
+    kind = captures.schema["capture_key"].dataType.simpleString()
+    return captures.select("capture_key", "points").mapInPandas(run, f"capture_key {kind}, axis int, error double")
 
 
 def axis_skewness(captures: DataFrame) -> DataFrame:
@@ -70,12 +80,21 @@ def axis_skewness(captures: DataFrame) -> DataFrame:
 
 
 def axis_taper(captures: DataFrame, superior: str = "y", lateral: str = "x") -> DataFrame:
-    """Mean absolute lateral coordinate of the top quarter less that of the bottom quarter."""
-    v = vertices(captures)
-    q = v.groupBy("capture_key").agg(F.percentile(superior, 0.25).alias("q25"), F.percentile(superior, 0.75).alias("q75"))
-    side = F.abs(F.col(lateral))
-    a = v.join(q, "capture_key").groupBy("capture_key").agg((F.avg(F.when(F.col(superior) >= F.col("q75"), side)) - F.avg(F.when(F.col(superior) <= F.col("q25"), side))).alias("taper"))
-    return a
+    """Mean absolute lateral coordinate of the top quarter less that of the bottom quarter; points stay nested."""
+    heights = F.array_sort(F.transform("points", lambda p: p[superior]))
+
+    def quartile(y: Column, share: float) -> Column:
+        at = (F.size(y) - 1) * share
+        low, high = F.get(y, F.floor(at).cast("int")), F.get(y, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    def mean_side(inside) -> Column:
+        sides = F.transform(F.filter("points", inside), lambda p: F.abs(p[lateral]))
+        return F.try_divide(F.aggregate(sides, F.lit(0.0), lambda acc, x: acc + x), F.size(sides))
+
+    rows = captures.select("capture_key", "points", heights.alias("__y"))
+    rows = rows.select("capture_key", "points", quartile(F.col("__y"), 0.25).alias("q25"), quartile(F.col("__y"), 0.75).alias("q75"))
+    return rows.select("capture_key", (mean_side(lambda p: p[superior] >= F.col("q75")) - mean_side(lambda p: p[superior] <= F.col("q25"))).alias("taper"))
 
 
 def eye_votes(captures: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMN = "participant_id"
+#: Hexadecimal digits by which ids are counted to find a cut: 65,536 counts.
+DIGITS = 4
 
 
 class LeakageError(AssertionError):
@@ -30,10 +32,19 @@ def _require(table: DataFrame, column: str, least: int) -> int:
 def participant_split(table: DataFrame, test_size: float = 0.2, seed: int = 42, column: str = COLUMN) -> DataFrame:
     """Adds side: `test` for ceil(test_size * groups) participants, the first by a seeded hash, `train` for the others.
 
-    The ranks are taken on the distinct ids alone, by a sort that stops at the first of them.
+    Ids are counted by the first digits of their hash (16^DIGITS counts at most reach the driver); only those of the
+    one prefix in which the cut falls are sorted.
     """
     n = _require(table, column, 2)
-    chosen = table.select(column).distinct().orderBy(_order(column, seed), column).limit(math.ceil(test_size * n)).withColumn("__test", F.lit(True))
+    ids = table.select(column).distinct().withColumn("__order", _order(column, seed)).withColumn("__prefix", F.substring("__order", 1, DIGITS))
+    left, edge = math.ceil(test_size * n), ""
+    for row in ids.groupBy("__prefix").agg(F.count(F.lit(1)).alias("n")).orderBy("__prefix").collect():
+        edge = row["__prefix"]
+        if row["n"] >= left:
+            break
+        left -= row["n"]
+    rest = ids.where(F.col("__prefix") == edge).orderBy("__order", column).limit(left)
+    chosen = ids.where(F.col("__prefix") < edge).unionAll(rest).select(column, F.lit(True).alias("__test"))
     return table.join(chosen, column, "left").withColumn("side", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 

@@ -106,10 +106,9 @@ _CURVE = f"""{PTS}, wid AS (SELECT capture_key, max(x) - min(x) AS w FROM pts GR
  thin AS (SELECT p.capture_key, w.w, sum(CASE WHEN abs(p.x) <= {midline.BAND} * w.w THEN 1 ELSE 0 END) AS n FROM pts p JOIN wid w ON w.capture_key = p.capture_key GROUP BY p.capture_key, w.w),
  strip AS (SELECT p.* FROM pts p JOIN thin t ON t.capture_key = p.capture_key WHERE abs(p.x) <= CASE WHEN t.n < {midline.BINS // 2} THEN {3 * midline.BAND} ELSE {midline.BAND} END * t.w),
  lim AS (SELECT capture_key, min(y) AS lo, max(y) AS hi FROM strip GROUP BY capture_key),
- edges AS (SELECT capture_key, unnest(range({midline.BINS})) AS b, lo, (hi - lo) / {midline.BINS} AS h FROM lim),
+ edges AS (SELECT capture_key, unnest(range({midline.BINS})) AS b, lo, hi, (hi - lo) / {midline.BINS} AS h FROM lim),
  curve AS (SELECT e.capture_key, CAST(e.b AS INTEGER) AS bin, 0.5 * (e.lo + e.b * e.h + e.lo + (e.b + 1) * e.h) AS y, max(s.z) AS z FROM edges e JOIN strip s ON s.capture_key = e.capture_key
-   AND s.y >= e.lo + e.b * e.h AND s.y < e.lo + (e.b + 1) * e.h AND s.y < (SELECT max(hi) FROM lim l WHERE l.capture_key = e.capture_key) GROUP BY e.capture_key, e.b, e.lo, e.h)"""
-_CURVE = _CURVE.replace(" AND s.y < (SELECT max(hi) FROM lim l WHERE l.capture_key = e.capture_key)", " AND s.y < e.hi").replace("lo, (hi - lo)", "lo, hi, (hi - lo)")
+   AND s.y >= e.lo + e.b * e.h AND s.y < e.lo + (e.b + 1) * e.h AND s.y < e.hi GROUP BY e.capture_key, e.b, e.lo, e.h)"""
 
 
 @query(f"WITH {_CURVE} SELECT capture_key, bin, {r6('y', 'y')}, {r6('z', 'z')} FROM curve")
