@@ -27,8 +27,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{scratch_root(spark)}/meshquill/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one, among those of this application."""
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/meshquill/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: for when its results have been saved, as they may read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

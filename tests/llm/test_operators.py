@@ -455,6 +455,32 @@ def test_models_on_odd_rows(spark, odd):
     assert {r["score"] for r in toxicity.score(odd, toxicity.fit(odd, labels.where("false"))).collect()} == {0.5}
 
 
+def test_empty_tables_and_clashing_columns(spark, odd):
+    """Empty inputs give empty results; columns named like results or helpers change nothing."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    clash = odd.withColumns({c: F.lit("own") for c in ("n_tokens", "rep", "raw", "words", "digest", "keep_id", "batch", "licences", "held_out", "toxic", "rank", "n_words", "distance2", "__id", "__low")})
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, toxic int")
+    model, lang = toxicity.fit(odd, labels), language.fit(odd)
+    runs = [
+        lambda d: tokens.count_tokens(d, path), licenses.scan, near_dedup.near_duplicates, quality.quality_rules, lambda d: toxicity.score(d, model), lambda d: language.predict(d, lang),
+        lambda d: exact_dedup.feed(d, exact_dedup.new_index(spark, 4)).annotate(d),
+    ]
+    key = lambda df: Counter(map(repr, df.collect()))
+    for run in runs:
+        assert run(odd.where("false")).count() == 0
+        plain, other = run(odd), run(clash)
+        assert key(plain.select(*other.columns)) == key(other.select(*plain.columns)) and plain.count() == 10
+    assert len(toxicity.fit(clash, labels)[0]) == len(model[0]) and language.fit(clash)["languages"] == lang["languages"]
+
+
+def test_scratch_is_deleted(spark):
+    made = shared.materialise(spark.range(5).toDF("id"), "test-scratch")
+    folder = shared.scratch(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    assert made.count() == 5 and any("test-scratch" in p.name for p in Path(folder).iterdir())
+    shared.discard(spark)
+    assert not Path(folder).exists()
+
+
 def test_license_rules(spark, odd):
     mit = licenses.TEXTS["MIT"][0]
     wrapped = "/* Copyright 2020\n\n" + "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70)).replace("\n\n\n", "\n\n")
