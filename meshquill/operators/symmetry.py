@@ -75,6 +75,35 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int = 1) -> tuple[np.nda
     return np.take_along_axis(dist, order, 1), np.take_along_axis(ids, order, 1)
 
 
+class NearestOfMoving:
+    """Nearest distances of query points that move a little from call to call, exactly.
+
+    Each query keeps the k points nearest to where it once stood. Any other point is at least as far from
+    there as the last of them, so a nearest candidate within that distance less the query's move is the
+    nearest of all; queries that have moved too far are searched anew.
+    """
+
+    def __init__(self, points: np.ndarray, k: int = 24):
+        self.points, self.k, self.base = points, min(k, len(points)), None
+
+    def _look(self, queries: np.ndarray, at: np.ndarray) -> None:
+        dist, ids = nearest(queries[at], self.points, self.k)
+        self.ids[at], self.base[at] = ids, queries[at]
+        self.reach[at] = dist[:, -1] if self.k < len(self.points) else np.inf
+
+    def __call__(self, queries: np.ndarray) -> np.ndarray:
+        if self.base is None:
+            self.base, self.ids, self.reach = queries.copy(), np.empty((len(queries), self.k), np.int64), np.empty(len(queries))
+            self._look(queries, np.arange(len(queries)))
+        moved = np.linalg.norm(queries - self.base, axis=1)
+        best = np.linalg.norm(queries[:, None, :] - self.points[self.ids], axis=2).min(axis=1)
+        doubtful = np.flatnonzero(best > self.reach - moved)
+        if len(doubtful):
+            self._look(queries, doubtful)
+            best[doubtful] = np.linalg.norm(queries[doubtful, None, :] - self.points[self.ids[doubtful]], axis=2).min(axis=1)
+        return best
+
+
 def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Distance of points to triangles (row by row): to the plane where the foot is inside, else to the nearest edge."""
     dot = lambda u, v: (u * v).sum(1)
@@ -158,11 +187,12 @@ def measure(points: np.ndarray, triangles: np.ndarray | None, normal=(1.0, 0.0,
     n = np.asarray(normal, float) / np.linalg.norm(normal)
     offset, converged, notes = float(n @ centre), True, []
     if fit:
+        distances = NearestOfMoving(points)
 
         def error(q: np.ndarray) -> float:
             if np.linalg.norm(q[:3]) < 1e-9:
                 return 1e9
-            return float((nearest(mirrored(points, q[:3], q[3]), points)[0] ** 2).mean())
+            return float((distances(mirrored(points, q[:3], q[3])) ** 2).mean())
 
         best, converged = minimise(error, np.r_[n, offset])
         n, offset = best[:3] / np.linalg.norm(best[:3]), float(best[3])

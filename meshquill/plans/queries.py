@@ -230,7 +230,7 @@ def symmetry_surface_nofit(spark, sf):
 @query()
 def symmetry_fitted(spark, sf):
     c = tables.captures(spark, sf)
-    return rounded(symmetry.verdict(symmetry.measure_symmetry(c.repartition(8, "capture_key"))).drop("normal", "notes", "per_vertex"), 4)
+    return rounded(symmetry.verdict(symmetry.measure_symmetry(c.repartition("capture_key"))).drop("normal", "notes", "per_vertex"), 4)
 
 
 @query()

@@ -30,6 +30,15 @@ def test_floor_is_conservative_on_real_asymmetry():
     assert exact["exceeds_floor"] and exact["effective_floor"] == 0.0
 
 
+def test_moving_queries_find_the_nearest():
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(300, 3))
+    queries, moving = rng.normal(size=(200, 3)), symmetry.NearestOfMoving(points, 8)
+    for scale in (0.0, 0.001, 0.05, 0.5, 3.0, 0.001):
+        queries = queries + rng.normal(scale=scale, size=queries.shape)
+        assert np.array_equal(moving(queries), symmetry.nearest(queries, points)[0][:, 0])
+
+
 def test_world_space_needs_its_transform(spark):
     rng = np.random.default_rng(2)
     q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
