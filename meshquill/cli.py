@@ -15,7 +15,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import features, metrics, models, normalise, ratings, validation
+from .operators import features, metrics, models, normalise, ratings, shap, validation
 from .session import session
 from .sources import captures, stores
 
@@ -111,7 +111,13 @@ def evaluate(spark: SparkSession, at: stores.Layout, args) -> int:
             table.orderBy("grp").show(args.top, False)
             metrics.fairness(table).show(1, False)
     if args.model:
-        print(models.Fitted.load(args.model, spark).importance(args.top).to_string(index=False))
+        fitted = models.Fitted.load(args.model, spark)
+        print(fitted.importance(args.top).to_string(index=False))
+        if args.shap:
+            table = stores.read_features(spark, f"{at.processed}/features.parquet")
+            values = shap.shap_values(fitted, table, f"{at.outputs}/shap_model", ["participant_id", "capture_id"])
+            stores.write_table(values, f"{at.outputs}/shap_values.parquet")
+            shap.shap_importance(stores.read_table(spark, f"{at.outputs}/shap_values.parquet"), args.top).show(args.top, False)
         print(models.NOTE)
     return int(not (args.predictions or args.model))
 
@@ -151,6 +157,7 @@ def parser() -> argparse.ArgumentParser:
     e = add("evaluate", evaluate)
     for name in ("--model", "--predictions", "--demographics", "--group-column"):
         e.add_argument(name)
+    e.add_argument("--shap", action="store_true")
     return p
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, normalise, ratings, symmetry, validation
+from ..operators import metrics, models, normalise, ratings, shap, splits, symmetry, validation
 from ..sources import captures as json_captures
 from ..sources import tables
-from .queries import _GROUPS, _ISSUES, _NN, _UNEVEN, CONVENTION, ORACLES, PRED, PTS, RAT, TARGETS, WIDE, _encoded, _uneven, query, r6, rounded
+from .queries import _GROUPS, _ISSUES, _NN, _TRAIN, _UNEVEN, CONVENTION, ORACLES, PRED, PTS, RAT, TARGETS, WIDE, _encoded, _training, _uneven, query, r6, rounded
 
 
 # --- world-space captures ------------------------------------------------------------------------
@@ -163,3 +165,13 @@ _WIDE_COLUMNS = ["f_quantity", "f_discount", "f_price", "f_rare", "f_constant",
 ORACLES["drop_constant_columns"] = f"WITH {WIDE}, {TARGETS.replace(' HAVING count(*) >= 140', '')}, j AS (SELECT w.* FROM wide w JOIN tgt t ON t.participant_id = w.participant_id) " + " UNION ALL ".join(
     f"SELECT '{c}' AS name, coalesce(min({c}) <> max({c}), false) AS kept FROM j" for c in _WIDE_COLUMNS
 )
+
+
+@query()
+def shap_importance(spark, sf):
+    """Mean absolute Shapley values of a forest of 5 trees over its held-out rows."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    t = splits.participant_split(_training(spark, sf))
+    fitted = models.fit(t.where("side = 'train'"), _TRAIN, "random_forest", trees=5)
+    values = shap.shap_values(fitted, t.where("side = 'test'"), f"{folder.rstrip('/')}/meshquill/shap-{uuid.uuid4().hex}", ["l_orderkey", "l_linenumber"])
+    return rounded(shap.shap_importance(values), 4)

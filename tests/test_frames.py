@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meshquill import cli
 from meshquill.functions.special import t_quantile
-from meshquill.operators import features, hull, metrics, models, normalise, ratings, splits, symmetry
+from meshquill.operators import features, hull, metrics, models, normalise, ratings, shap, splits, symmetry
 from meshquill.sources import captures as c
 from meshquill.sources import stores
 
@@ -159,6 +159,38 @@ def test_permutation_importance_ranks_columns(training):
     assert [r["feature"] for r in rows] == ["b", "a", "c"] and rows[0]["increase"] > rows[2]["increase"] > 0
 
 
+def test_shapley_values_equal_sums_over_all_sets(spark, training, tmp_path):
+    """Every value from its definition, over all sets of known features; values add up to the prediction."""
+    x, _, df = training
+    for name, options in (("random_forest", {"trees": 3}), ("gbt", {"rounds": 3})):
+        fitted = models.fit(df, ["a", "b", "c"], name, **options)
+        trees = shap.tree_nodes(fitted, f"{tmp_path}/{name}", spark)
+
+        def mean(nodes, row, known, at=0):
+            n = nodes[at]
+            if n["leftChild"] < 0:
+                return n["prediction"]
+            left, right = n["leftChild"], n["rightChild"]
+            if n["feature"] in known:
+                return mean(nodes, row, known, left if row[n["feature"]] <= n["threshold"] else right)
+            return sum(mean(nodes, row, known, k) * nodes[k]["cover"] for k in (left, right)) / n["cover"]
+
+        value = lambda row, known: sum(w * mean(t, row, known) for w, t in trees)  # noqa: E731, B023
+        got = {(r["capture_id"], r["feature"]): r["shap"] for r in shap.shap_values(fitted, df, f"{tmp_path}/{name}", ["capture_id"]).collect()}
+        predicted = {r["capture_id"]: r["predicted"] for r in fitted.transform(df).collect()}
+        base = shap.expected(shap.leaves(trees))
+        for i in range(60):
+            assert base + sum(got[i, f] for f in "abc") == pytest.approx(predicted[i], abs=1e-9)
+        for i in range(8):
+            for f in range(3):
+                others = [k for k in range(3) if k != f]
+                sets = [[], [others[0]], [others[1]], others]
+                want = sum((1 / 3 if len(s) in (0, 2) else 1 / 6) * (value(x[i], [*s, f]) - value(x[i], s)) for s in sets)
+                assert got[i, "abc"[f]] == pytest.approx(want, abs=1e-9)
+    with pytest.raises(ValueError):
+        shap.tree_nodes(models.fit(df, ["a"], "ridge"), str(tmp_path), spark)
+
+
 def test_models_are_saved_and_read_back(spark, training, tmp_path):
     _, _, df = training
     data = models.TrainingData(df, ["a", "b", "c"])
