@@ -401,7 +401,7 @@ def rating_problems(spark, sf):
 
 @query()
 def rating_bootstrap(spark, sf):
-    return rounded(ratings.bootstrap(tables.ratings(spark, sf), resamples=500), 4)
+    return rounded(ratings.bootstrap(tables.ratings(spark, sf)), 4)
 
 
 def _icc_sql(where: str) -> str:
@@ -534,6 +534,13 @@ def feature_table(spark, sf):
     return rounded(wide, 5)
 
 
+@query()
+def feature_table_fitted(spark, sf):
+    """With the library's default, a midplane fitted to each capture."""
+    wide, _ = features.build_feature_table(tables.captures(spark, sf).repartition("capture_key"), CONVENTION, marks=MARKS)
+    return rounded(wide, 4)
+
+
 @query()
 def feature_table_long(spark, sf):
     wide, _ = features.build_feature_table(tables.captures(spark, sf), CONVENTION, marks=MARKS, fit_plane=False)
@@ -565,14 +572,14 @@ for _name, _key, _options in (("linear", "ols_fit", {}), ("ridge", "ridge_loo",
 @query()
 def cross_validation(spark, sf):
     d = models.TrainingData(_training(spark, sf), _TRAIN)
-    return rounded(metrics.regression_metrics(models.cross_validate(d, "ridge", 3)), 4)
+    return rounded(metrics.regression_metrics(models.cross_validate(d, "ridge")), 4)
 
 
 @query()
 def permutation_importance(spark, sf):
     t = splits.participant_split(_training(spark, sf))
     fitted = models.fit(t.where("side = 'train'"), _TRAIN, "ridge")
-    return rounded(models.permutation_importance(fitted, t.where("side = 'test'"), repeats=3), 3)
+    return rounded(models.permutation_importance(fitted, t.where("side = 'test'")), 3)
 
 
 @query()

@@ -11,7 +11,7 @@ import pytest
 from meshquill.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-HEAVY = {"symmetry_fitted", "random_forest", "gbt", "cross_validation", "permutation_importance"}
+HEAVY = {"symmetry_fitted", "random_forest", "gbt", "cross_validation", "permutation_importance", "feature_table_fitted"}
 
 
 def cell(x):
