@@ -137,7 +137,7 @@ def bayes_prune(left: np.ndarray, right: np.ndarray, bounds: list[int]) -> np.nd
     return alive
 
 
-def _matrix(values: pd.Series) -> np.ndarray:
+def _matrix(values: pd.Series | list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), PERMUTATIONS)
 
 
@@ -163,17 +163,19 @@ def _intersect(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.Data
         yield pairs.loc[keep, ["a", "b"]]
 
 
-def _compare_block(rows: pd.DataFrame, bounds: list[int], percent: int) -> pd.DataFrame:
-    """Components that exact links of one block with another (or itself) join, as pairs (a, b).
+def _compare_block(rows: pa.Table, bounds: list[int], percent: int) -> list[tuple[int, int]]:
+    """Components that exact links of one block with another (or itself) join, as pairs.
 
     Sizes prune first, then signatures, and the sets decide. A link joins its components here too, so
     that no further link between the same two is looked for.
     """
-    first = rows[rows["side"] == 0]
-    inside = bool(rows["same"].iloc[0])
-    second = first if inside else rows[rows["side"] == 1]
+    reps, components, side = (rows.column(c).to_numpy() for c in ("rep", "component", "side"))
+    inside = rows.column("same")[0].as_py()
+    first = np.flatnonzero(side == 0)
+    second = first if inside else np.flatnonzero(side == 1)
     if not len(first) or not len(second):
-        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        return []
+    signatures, sets = _matrix(rows.column("signature").to_pylist()), [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     label: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -181,26 +183,41 @@ def _compare_block(rows: pd.DataFrame, bounds: list[int], percent: int) -> pd.Da
             c = up
         return c
 
-    a_ids, b_ids = first["rep"].to_numpy(), second["rep"].to_numpy()
-    a_comp, b_comp = first["component"].to_numpy(), second["component"].to_numpy()
-    a_sig, b_sig = _matrix(first["signature"]), _matrix(second["signature"])
-    a_set, b_set = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (first, second))
-    b_size = np.array([len(x) for x in b_set])
+    sizes = np.array([len(x) for x in sets])
+    b_size, b_comp, b_ids, b_sig = sizes[second], components[second], reps[second], signatures[second]
     found = []
-    for i in range(len(a_ids)):
-        n = len(a_set[i])
-        near = (100 * np.minimum(b_size, n) >= percent * np.maximum(b_size, n)) & (b_comp != a_comp[i])
+    for i in first:
+        n = sizes[i]
+        near = (100 * np.minimum(b_size, n) >= percent * np.maximum(b_size, n)) & (b_comp != components[i])
         if inside:
-            near &= b_ids > a_ids[i]
+            near &= b_ids > reps[i]
         others = np.flatnonzero(near)
         if not len(others):
             continue
-        for j in others[bayes_prune(np.broadcast_to(a_sig[i], (len(others), PERMUTATIONS)), b_sig[others], bounds)]:
-            x, y = find(a_comp[i]), find(b_comp[j])
-            if x != y and linked(a_set[i], b_set[j], percent):
+        for j in second[others[bayes_prune(np.broadcast_to(signatures[i], (len(others), PERMUTATIONS)), b_sig[others], bounds)]]:
+            x, y = find(int(components[i])), find(int(components[j]))
+            if x != y and linked(sets[i], sets[j], percent):
                 label[max(x, y)] = min(x, y)
-                found.append((a_comp[i], b_comp[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                found.append((int(components[i]), int(components[j])))
+    return found
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch], bounds: list[int], percent: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of blocks of a partition, whose rows arrive sorted by (band, i, j); a pair of blocks is held at a time."""
+    pair = lambda found: pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not len(table):
+            continue
+        keys = np.stack([table.column(c).to_numpy() for c in ("band", "i", "j")])
+        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+        found = [f for low, high in zip(starts, starts[1:]) for f in _compare_block(table.slice(low, high - low), bounds, percent)]  # noqa: B905
+        held = table.slice(starts[-1])  # the next batch may go on with it
+        yield pair(found)
+    if held is not None:
+        yield pair(_compare_block(held, bounds, percent))
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
@@ -302,7 +319,8 @@ def near_rows(docs: DataFrame, percent: int = PERCENT, join_ids: bool = True) ->
     rows = materialise(labelled.join(open_bands, "band", "left_semi"), "near-open")
     sets = _full_sets(docs, classes, rows.select("rep"))
     rows = rows.join(signatures.join(sets, "rep"), "rep")
-    found = _blocks(rows).groupBy("band", "i", "j").applyInPandas(lambda g: _compare_block(g, bounds, percent), "a long, b long")
+    dealt = _blocks(rows).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    found = dealt.mapInArrow(lambda it: _compare_blocks(it, bounds, percent), "a long, b long")
     # The second pass joins components, not documents: its graph has only what the blocks added.
     merged = connected_components(found)
 
