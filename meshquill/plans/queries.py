@@ -319,7 +319,7 @@ def dead_groups(spark, sf):
 # --- JSON ----------------------------------------------------------------------------------------
 @query("SELECT event_id AS path, 'k' AS key_path, 0 AS depth, 'number' AS kind FROM events")
 def json_key_tree(spark, sf):
-    return json_captures.key_tree(tables.table(spark, sf, "events").select(F.col("event_id").alias("path"), F.col("props").alias("content")))
+    return json_captures.key_tree(tables.table(spark, sf, "events").select(F.col("event_id").alias("path"), F.col("props").alias("content"))).drop("preview")
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
