@@ -111,11 +111,12 @@ class DigestIndex:
 
 
 def _staying(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    ids = groups.select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__digest", digest("text"))
-    stays = marked["doc_id"].eqNullSafe(ids["__keep"]) & (marked["__digest"] == ids["__digest"])
-    # Joined on both keys: a text of any group size meets exactly one row. Repeated rows fold into one.
-    return marked.join(ids, stays, "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+    keyed = lambda df, key: df.withColumns({"__id": F.coalesce(F.col(key), F.lit(0).cast("long")), "__none": F.col(key).isNull()})
+    ids = keyed(groups, "keep_id").select("__id", "__none", F.col("digest").alias("__digest"))
+    marked = keyed(docs, "doc_id").withColumn("__digest", digest("text"))
+    # Joined on id and digest: a text of any group size meets exactly one row. Repeated rows fold into one, by the same partitioning.
+    keys = ["__id", "__none", "__digest"]
+    return marked.join(ids, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
