@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, licenses, mixing, near_dedup, packing, quality, tokens, toxicity, warc
+from . import exact_dedup, filter_audit, language, licenses, mixing, near_dedup, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_poisson_mix": mixing.ORACLE_SQL,
     "op7_warc_merge": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }

@@ -40,7 +40,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations"):
         db.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = db.sql(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
