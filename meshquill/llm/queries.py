@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, filter_audit, language, licenses, mixing, near_dedup, packing, quality, tokens, toxicity, warc
+from . import conversations, exact_dedup, filter_audit, language, licenses, mixing, near_dedup, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_warc_merge": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_conversation_repair": conversations.ORACLE_SQL,
 }
