@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .grouped import Joined, compare_blocks, compare_hubs, labels_after, sides
 from .shared import hash_cache, materialise, mix64, small, windows, word_hashes
 
 SHINGLE, PERCENT = 5, 75
@@ -44,7 +45,6 @@ BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 #: Signature positions compared at a time, and the posterior probability below which a pair is pruned.
 BATCH, MISS = 16, 1e-7
-BLOCK = 512
 SEED = 9
 
 
@@ -157,35 +157,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _intersect(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    for pairs in frames:
-        keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(pairs["set_a"], pairs["set_b"], strict=True)]
-        yield pairs.loc[keep, ["a", "b"]]
+def _linked_sets(x: bytes, y: bytes, percent: int) -> bool:
+    return linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
 
 
 def _compare_block(rows: pa.Table, bounds: list[int], percent: int) -> list[tuple[int, int]]:
     """Components that exact links of one block with another (or itself) join, as pairs.
 
-    Sizes prune first, then signatures, and the sets decide. A link joins its components here too, so
-    that no further link between the same two is looked for.
+    Sizes prune first, then signatures, and the sets decide.
     """
-    reps, components, side = (rows.column(c).to_numpy() for c in ("rep", "component", "side"))
-    inside = rows.column("same")[0].as_py()
-    first = np.flatnonzero(side == 0)
-    second = first if inside else np.flatnonzero(side == 1)
+    reps, components = (rows.column(c).to_numpy() for c in ("rep", "component"))
+    first, second, inside = sides(rows)
     if not len(first) or not len(second):
         return []
     signatures, sets = _matrix(rows.column("signature").to_pylist()), [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-    label: dict[int, int] = {}
-
-    def find(c: int) -> int:
-        while (up := label.get(c, c)) != c:
-            c = up
-        return c
-
     sizes = np.array([len(x) for x in sets])
     b_size, b_comp, b_ids, b_sig = sizes[second], components[second], reps[second], signatures[second]
-    found = []
+    joined = Joined()
     for i in first:
         n = sizes[i]
         near = (100 * np.minimum(b_size, n) >= percent * np.maximum(b_size, n)) & (b_comp != components[i])
@@ -195,29 +183,10 @@ def _compare_block(rows: pa.Table, bounds: list[int], percent: int) -> list[tupl
         if not len(others):
             continue
         for j in second[others[bayes_prune(np.broadcast_to(signatures[i], (len(others), PERMUTATIONS)), b_sig[others], bounds)]]:
-            x, y = find(int(components[i])), find(int(components[j]))
-            if x != y and linked(sets[i], sets[j], percent):
-                label[max(x, y)] = min(x, y)
-                found.append((int(components[i]), int(components[j])))
-    return found
-
-
-def _compare_blocks(batches: Iterator[pa.RecordBatch], bounds: list[int], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of blocks of a partition, whose rows arrive sorted by (band, i, j); a pair of blocks is held at a time."""
-    pair = lambda found: pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        if not len(table):
-            continue
-        keys = np.stack([table.column(c).to_numpy() for c in ("band", "i", "j")])
-        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
-        found = [f for low, high in zip(starts, starts[1:]) for f in _compare_block(table.slice(low, high - low), bounds, percent)]  # noqa: B905
-        held = table.slice(starts[-1])  # the next batch may go on with it
-        yield pair(found)
-    if held is not None:
-        yield pair(_compare_block(held, bounds, percent))
+            x, y = int(components[i]), int(components[j])
+            if joined.apart(x, y) and linked(sets[i], sets[j], percent):
+                joined.join(x, y)
+    return joined.found
 
 
 def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
@@ -229,11 +198,9 @@ def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFram
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Exact links among the pairs, on the full sets of both texts."""
+    """Exact links among the pairs (hub, partner), on the full sets of both texts."""
     sets = _full_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("rep")))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInPandas(lambda it: _intersect(it, percent), "a long, b long")
+    return compare_hubs(pairs, sets.withColumnRenamed("shingles", "data"), lambda x, y: _linked_sets(x, y, percent))
 
 
 def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -241,40 +208,6 @@ def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.join(classes.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Deal the rows of unresolved buckets to pairs of blocks of at most BLOCK rows.
-
-    Rows of the bucket's largest component fill blocks of their own, which meet every block of the
-    others; blocks of the others meet each other and themselves.
-    """
-    sizes = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-    most = most.select("band", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
-    placed = rows.join(most, "band")
-    spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-    is_top = F.col("component") == F.col("top")
-    mine = F.when(is_top, F.pmod(spread, F.col("inner"))).otherwise(F.col("inner") + F.pmod(spread, F.col("outer"))).cast("int")
-    placed = placed.withColumn("mine", mine)
-    others = F.sequence(F.col("inner"), F.col("inner") + F.col("outer") - 1)
-    tops = F.sequence(F.lit(0), F.col("inner") - 1)
-    partner = F.when(is_top, others).otherwise(F.concat(tops, others))
-    return placed.withColumn("other", F.explode(partner)).select(
-        "band", "rep", "component", "signature", "shingles",
-        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("mine") == F.col("other")).alias("same"),
-    )
-
-
-def _labels(component: DataFrame, merged: DataFrame) -> DataFrame:
-    """node, label of all nodes with a link: `component` after `merged` has joined its components."""
-    own = [df.select(F.col(c).alias("node"), F.col(c).alias("label")) for df, c in ((component, "component"), (merged, "node"), (merged, "component"))]
-    first = component.select("node", F.col("component").alias("label"))
-    # A node that leads elsewhere has one entry besides its own, the smaller one.
-    first = first.unionAll(own[0]).unionAll(own[1]).unionAll(own[2]).groupBy("node").agg(F.min("label").alias("label"))
-    onward = merged.select(F.col("node").alias("__node"), F.col("component").alias("__to"))
-    return first.join(onward, first["label"] == onward["__node"], "left").select("node", F.coalesce("__to", "label").alias("label"))
-
-
 def near_rows(docs: DataFrame, percent: int = PERCENT, join_ids: bool = True) -> DataFrame:
     """doc_id, raw (a hash of the text), n_shingles, component_id and kept for each row of docs (doc_id, text).
 
@@ -319,13 +252,12 @@ def near_rows(docs: DataFrame, percent: int = PERCENT, join_ids: bool = True) ->
     rows = materialise(labelled.join(open_bands, "band", "left_semi"), "near-open")
     sets = _full_sets(docs, classes, rows.select("rep"))
     rows = rows.join(signatures.join(sets, "rep"), "rep")
-    dealt = _blocks(rows).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    found = dealt.mapInArrow(lambda it: _compare_blocks(it, bounds, percent), "a long, b long")
+    found = compare_blocks(rows, lambda block: _compare_block(block, bounds, percent))
     # The second pass joins components, not documents: its graph has only what the blocks added.
     merged = connected_components(found)
 
     # Each component's smallest doc_id, and the first of its classes that has it (or, without any id, the first of all).
-    nodes = _labels(component, merged).join(classes.select(F.col("rep").alias("__rep"), "low"), F.col("node") == F.col("__rep")).select("node", "label", "low")
+    nodes = labels_after(component, merged).join(classes.select(F.col("rep").alias("__rep"), "low"), F.col("node") == F.col("__rep")).select("node", "label", "low")
     rank = F.struct(F.col("low").isNull().alias("none"), "low", "node")
     best = nodes.groupBy("label").agg(F.min(rank).alias("best")).select(F.col("label").alias("__label"), "best")
     nodes = nodes.join(best, F.col("label") == F.col("__label")).select("node", F.col("best.low").alias("least"), F.col("best.node").alias("winner"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, exact_dedup, filter_audit, language, licenses, mixing, near_dedup, packing, quality, tokens, toxicity, warc
+from . import conversations, exact_dedup, filter_audit, language, licenses, mixing, near_dedup, ngram_join, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 
 ORACLES = {
