@@ -9,8 +9,9 @@
    partner. Those that occur once fill the prefix first, so what is left to index is little. Sets that are
    equal are one class from here on.
 3. Join. Classes that have an n-gram in both prefixes are candidates. In each bucket all are compared with
-   its smallest class (as many pairs as rows), and once components are known, those of different components
-   block by block (see `grouped`), each pair only in the bucket of the first n-gram that it shares.
+   its smallest class, the hub (as many pairs as rows). Buckets with one hub are one group from there on, as
+   near copies share many. Once components are known, those of different components in a group are compared
+   block by block (see `grouped`), each pair only in the group of the smallest hub that both have.
 4. Filters, in this order: length; position (an n-gram shared at places i and j leaves at most the shorter
    rest); suffix (what lies behind the place is cut at fixed pivots of the hash space; the smaller of two
    parts bounds what they share). Those that pass are verified on the full sets.
@@ -240,6 +241,12 @@ def first_shared(x: np.ndarray, y: np.ndarray, percent: int) -> int | None:
     return int(tx[i]) if enough(int(np.minimum(*behind).sum())) else None
 
 
+def _after_hubs(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hubs of a class, sorted, and its record."""
+    values = np.frombuffer(x, np.int64)
+    return values[1 : 1 + values[0]], values[1 + values[0] :]
+
+
 def _promising(x: bytes, y: bytes, percent: int) -> bool:
     return first_shared(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), percent) is not None
 
@@ -249,27 +256,29 @@ def _linked_sets(x: bytes, y: bytes, percent: int) -> bool:
 
 
 def _compare_block(rows: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Components that links of one block with another (or itself) join: only pairs whose first shared n-gram is the bucket's."""
+    """Components that links of one block with another (or itself) join: only pairs whose smallest common hub is the group's.
+
+    Sizes prune first, then the parts of all n-grams that can be shared, then the filters of single pairs.
+    """
     first, second, inside = sides(rows)
     if not len(first) or not len(second):
         return []
-    token = rows.column("band")[0].as_py()
+    hub = rows.column("band")[0].as_py()
     reps, components = (rows.column(c).to_numpy() for c in ("rep", "component"))
-    records = [np.frombuffer(x, np.int64) for x in rows.column("signature").to_pylist()]
+    hubs, records = zip(*map(_after_hubs, rows.column("signature").to_pylist()), strict=True)
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     sizes = np.array([r[0] for r in records])
-    before = np.array([(r[2 + PARTS :] == token).argmax() for r in records])  # n-grams before the bucket's that can be shared
-    behind = sizes - np.array([r[1] for r in records]) - before - 1
+    parts = np.array([r[2 : 2 + PARTS] + np.bincount(part_of(r[2 + PARTS :]), minlength=PARTS) for r in records])
     joined = Joined()
     for i in first:
         near = (100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i])) & (components[second] != components[i])
-        most = np.minimum(before[second], before[i]) + 1 + np.minimum(behind[second], behind[i])
-        near &= (100 + percent) * most >= percent * (sizes[second] + sizes[i])
         if inside:
             near &= reps[second] > reps[i]
-        for j in second[near]:
+        others = second[near]
+        others = others[(100 + percent) * np.minimum(parts[others], parts[i]).sum(axis=1) >= percent * (sizes[others] + sizes[i])]
+        for j in others:
             x, y = int(components[i]), int(components[j])
-            if joined.apart(x, y) and first_shared(records[i], records[j], percent) == token and linked(sets[i], sets[j], percent):
+            if joined.apart(x, y) and np.intersect1d(hubs[i], hubs[j])[0] == hub and first_shared(records[i], records[j], percent) is not None and linked(sets[i], sets[j], percent):
                 joined.join(x, y)
     return joined.found
 
@@ -281,6 +290,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], ["rep", "data"])
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [np.array([len(h), *h], np.int64).tobytes() + r for h, r in zip(batch.column("hubs").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], ["rep", "signature"])
+
+
 def _full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, data) of the classes with the given numbers, from one row of each class."""
     heads = classes.select("rep", F.col("head.doc_id").alias("__id"), F.col("head.raw").alias("__raw")).join(reps.distinct(), "rep", "left_semi")
@@ -312,14 +327,14 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = heads.join(records, F.col("digest") == F.col("__digest"), "left").drop("__digest").withColumn("rep", F.monotonically_increasing_id())
     classes = materialise(classes, "ngram-classes")
 
-    # Buckets of the index, each row with the smallest class of its bucket.
+    # Buckets of the index, each row with the smallest class of its bucket; then the groups of those.
     indexed = classes.where("record is not null").select("rep", "n", F.explode("tokens").alias("band"))
     hubs = indexed.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.max("rep").alias("__last")).where("hub.rep <> __last").drop("__last")
-    buckets = materialise(indexed.join(hubs, "band").where("rep <> hub.rep"), "ngram-buckets")
-    length = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-    stars = buckets.where(length).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    grouped = indexed.join(hubs, "band").where("rep <> hub.rep").select(F.col("hub.rep").alias("band"), "rep", "n", F.col("hub.n").alias("hub_n")).distinct()
+    grouped = materialise(grouped, "ngram-groups")
+    stars = grouped.where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select(F.col("band").alias("a"), F.col("rep").alias("b"))
     data = classes.where("record is not null").select("rep", F.col("record").alias("data"))
-    survivors = materialise(compare_hubs(materialise(stars, "ngram-stars"), data, lambda x, y: _promising(x, y, percent)), "ngram-survivors")
+    survivors = materialise(compare_hubs(stars, data, lambda x, y: _promising(x, y, percent)), "ngram-survivors")
     links = compare_hubs(survivors, _full_sets(docs, classes, survivors.select(F.explode(F.array("a", "b")).alias("rep"))), lambda x, y: _linked_sets(x, y, percent))
     # Classes that share a doc_id are one node.
     numbered = members.join(classes.select(F.col("digest").alias("__digest"), "rep", "low"), F.col("digest") == F.col("__digest"), "left")
@@ -329,11 +344,14 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = links.unionAll(numbered.join(shared, F.col("doc_id") == F.col("__id")).select(F.col("rep").alias("a"), F.col("first").alias("b")).where("a <> b"))
     component = connected_components(links)
 
-    # What the stars leave: members of one bucket in different components.
-    labelled = buckets.join(component, buckets["rep"] == component["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    # What the stars leave: members of one group in different components.
+    labelled = grouped.join(component, grouped["rep"] == component["node"], "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     open_bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rows = materialise(labelled.join(open_bands, "band", "left_semi").distinct(), "ngram-open")
-    payload = data.withColumnRenamed("data", "signature").join(_full_sets(docs, classes, rows.select("rep")).withColumnRenamed("data", "shingles"), "rep")
+    rows = materialise(labelled.join(open_bands, "band", "left_semi"), "ngram-open")
+    # A class's hubs are at most its n-grams: they go before its record.
+    own_hubs = grouped.join(rows.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list("band")).alias("hubs"))
+    led = own_hubs.join(data, "rep").select("rep", "hubs", "data").mapInArrow(_led, "rep long, signature binary")
+    payload = led.join(_full_sets(docs, classes, rows.select("rep")).withColumnRenamed("data", "shingles"), "rep")
     merged = connected_components(compare_blocks(rows.join(payload, "rep"), lambda block: _compare_block(block, percent)))
 
     nodes = labels_after(component, merged).join(classes.select(F.col("rep").alias("__rep"), F.col("low").alias("__low")), F.col("node") == F.col("__rep"))
