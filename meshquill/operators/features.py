@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import known, ratio
+from ..functions.geometry import clouds, meshes
 from . import hull, landmarks, mesh, midline, normalise, symmetry
 
 # Feature names in their order, by source.
@@ -140,14 +141,15 @@ def extract(normalised: DataFrame, marks: landmarks.LandmarkSet | None = None, m
     keep = ["capture_key", *IDS, *given]
     made = [*KERNEL, "hull_area"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [measure(symmetry.point_array(p), symmetry.triangle_array(t), method == "point_to_surface", fit_plane) for p, t in zip(frame["points"], frame["triangles"], strict=True)]
-            yield pd.concat([frame[keep].reset_index(drop=True), pd.DataFrame(found, columns=made, dtype=float)], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(p, t, method == "point_to_surface", fit_plane) for p, t in zip(clouds(batch.column("points")), meshes(batch.column("triangles")), strict=True)]
+            values = np.array([[f.get(c, np.nan) for c in made] for f in found], float).reshape(len(found), len(made))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(values[:, i]) for i in range(len(made)))], [*keep, *made])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` double" for c in made)])
-    out = rows.mapInPandas(run, schema).withColumns({c: known(c) for c in [*given, *made]})
+    out = rows.mapInArrow(run, schema).withColumns({c: known(c) for c in [*given, *made]})
     out = out.withColumns({
         "convexity": ratio("hull_area", "surface_area"), "interocular_face_width_ratio": ratio("interocular_distance", "face_width"), "eye_height_frac": ratio("__eye_height", "face_height"),
         "lm_jaw_cheekbone_ratio": ratio("lm_jaw_width", "lm_cheekbone_width"), "lm_mouth_nose_ratio": ratio("lm_mouth_width", "lm_nose_width"),
@@ -168,13 +170,19 @@ def long_form(wide: DataFrame, marks: landmarks.LandmarkSet | None = None) -> Da
 
 
 def build_feature_table(captures: DataFrame, convention: normalise.AxisConvention, origin: str = "centroid", scale: str = "centroid_size", procrustes: bool = False, marks: landmarks.LandmarkSet | None = None, method: str = "point_to_surface", fit_plane: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(features, problems): a capture that can't be normalised is a problem row and stops nothing."""
+    """(features, problems): a capture that can't be normalised is a problem row and stops nothing.
+
+    A cohort that can't be aligned (meshes of several sizes) is measured as it is, and a problem row without a key says so.
+    """
     n = normalise.normalise(captures, convention, origin, scale)
     problems = n.where("error IS NOT NULL").select("capture_key", "error")
     good = n.where("error IS NULL")
     if procrustes:
-        aligned, _ = normalise.generalised_procrustes(good)
-        good = good.drop("points").join(aligned, "capture_key")
+        try:
+            good, _ = normalise.generalised_procrustes(good)
+        except ValueError as e:
+            none = F.lit(None).cast(problems.schema["capture_key"].dataType).alias("capture_key")
+            problems = problems.unionByName(captures.sparkSession.range(1).select(none, F.lit(f"not aligned: {e}").alias("error")))
     return extract(good, marks, method, fit_plane), problems
 
 
@@ -187,6 +195,12 @@ def coverage(table: DataFrame, columns: list[str]) -> DataFrame:
     return rows.join(F.broadcast(distinct), "name").select("name", "n_rows", "n_present", "n_distinct", F.try_divide("n_present", "n_rows").alias("coverage"), kind.alias("kind"))
 
 
+def feature_columns(table: DataFrame) -> list[str]:
+    """The model's inputs: all numeric columns of a table that are no ids."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return [c for c, kind in table.dtypes if c not in (*IDS, "capture_key") and (kind in numeric or kind.startswith("decimal"))]
+
+
 def usable_columns(table: DataFrame, columns: list[str]) -> list[str]:
     """Columns with at least two different values."""
     row = table.agg(*(F.min(c).alias(f"lo_{c}") for c in columns), *(F.max(c).alias(f"hi_{c}") for c in columns)).first()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .symmetry import point_array
+from ..functions.geometry import clouds
 
 
 def convex_hull(points: np.ndarray) -> tuple[float, float] | None:
@@ -63,12 +63,11 @@ def convex_hulls(captures: DataFrame) -> DataFrame:
     """capture_key, hull_volume, hull_area; both NULL, with a reason, for flat or broken point sets."""
     key = captures.schema["capture_key"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [convex_hull(point_array(x)) for x in frame["points"]]
-            yield pd.DataFrame({
-                "capture_key": frame["capture_key"], "hull_volume": [f and f[0] for f in found], "hull_area": [f and f[1] for f in found],
-                "reason": [None if f else "points are flat, too few or not finite" for f in found],
-            })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [convex_hull(p) for p in clouds(batch.column("points"))]
+            values = [pa.array([f and f[i] for f in found], pa.float64()) for i in (0, 1)]
+            reasons = pa.array([None if f else "points are flat, too few or not finite" for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("capture_key"), *values, reasons], ["capture_key", "hull_volume", "hull_area", "reason"])
 
-    return captures.select("capture_key", "points").mapInPandas(run, f"capture_key {key}, hull_volume double, hull_area double, reason string")
+    return captures.select("capture_key", "points").mapInArrow(run, f"capture_key {key}, hull_volume double, hull_area double, reason string")

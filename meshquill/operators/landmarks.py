@@ -49,6 +49,9 @@ class LandmarkSet:
     def defined(self) -> list[str]:
         return sorted(self.indices)
 
+    def has(self, *names: str) -> bool:
+        return all(n in self.indices for n in names)
+
     def one_sided(self) -> list[tuple[str, str]]:
         return [(a, b) for a, b in PAIRS if (a in self.indices) != (b in self.indices)]
 
@@ -87,6 +90,18 @@ def missing(marks: LandmarkSet, feature: str) -> str:
     return "landmarks belong to another mesh topology"
 
 
+def report(marks: LandmarkSet) -> str:
+    """Each landmark with its vertex, the mesh that the set belongs to, and pairs that are set on one side only."""
+    lines = [f"{n:<20}{marks.indices.get(n, '-')}" for n in (*NAMES, *(n for n in marks.indices if n not in NAMES))]
+    head = f"{len(marks.indices)} landmarks of a mesh of {marks.vertex_count or '?'} vertices"
+    return "\n".join([head, *lines, *(f"on one side only: {a}, {b}" for a, b in marks.one_sided())])
+
+
+def mismatched(captures: DataFrame, marks: LandmarkSet) -> DataFrame:
+    """(capture_key, n_vertices) of captures to which the set doesn't apply."""
+    return captures.where(~marks.applies()).select("capture_key", F.size("points").alias("n_vertices"))
+
+
 def check(captures: DataFrame, marks: LandmarkSet) -> DataFrame:
     """(n_vertices, n_captures, applies) of the cohort's topologies."""
     return captures.select(F.size("points").alias("n_vertices"), marks.applies().alias("applies")).groupBy("n_vertices", "applies").agg(F.count(F.lit(1)).alias("n_captures"))

@@ -74,8 +74,12 @@ def evaluate(predictions: DataFrame) -> dict:
 
 
 def with_demographics(predictions: DataFrame, demographics: DataFrame, column: str) -> DataFrame:
-    """Predictions with the group of their participant (grp; NULL where none is known); further columns of the groups stay out."""
-    groups = demographics.select(F.col("participant_id").alias("__participant"), F.col(column).alias("grp"))
+    """Predictions with the group of their participant (grp; NULL where none is known); further columns of the groups stay out.
+
+    A participant with several rows has one group, or none where the rows disagree: predictions are never repeated.
+    """
+    value = F.col(column)
+    groups = demographics.groupBy(F.col("participant_id").alias("__participant")).agg(F.when(F.min(value) == F.max(value), F.min(value)).alias("grp"))
     return predictions.drop("grp").join(groups, F.col("participant_id") == F.col("__participant"), "left").drop("__participant")
 
 

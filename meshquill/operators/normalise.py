@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import skewness
+from ..functions.geometry import clouds, nested
 from ..sources.tables import vertices
-from .symmetry import nearest, point_array
+from .symmetry import Nearest, point_array
 
 AXES = "xyz"
 ORIGINS = ("centroid", "eye_midpoint", "nose_tip_extremum")
@@ -59,20 +60,21 @@ def mirror_error(captures: DataFrame) -> DataFrame:
     A kernel on each capture; NULL for a mesh without size.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, cell in zip(frame["capture_key"], frame["points"], strict=True):
-                p = point_array(cell)
-                p = p - p.mean(axis=0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for p in clouds(batch.column("points")):
+                p = p - p.mean(axis=0) if len(p) else p
                 size = float(np.sqrt((p * p).sum(axis=1).mean())) if len(p) else 0.0
+                near = Nearest(p) if size > 0 else None
                 for axis in range(3):
-                    d = nearest(np.where(np.arange(3) == axis, -p, p), p)[0][:, 0] if size > 0 else None
-                    out.append((key, axis, None if d is None else float(np.sqrt((d * d).mean())) / size))
-            yield pd.DataFrame(out, columns=["capture_key", "axis", "error"])
+                    d = near(np.where(np.arange(3) == axis, -p, p))[0][:, 0] if near else None
+                    errors.append(None if d is None else float(np.sqrt((d * d).mean())) / size)
+            keys = batch.column("capture_key").take(pa.array(np.repeat(np.arange(len(batch)), 3)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(3, dtype=np.int32), len(batch))), pa.array(errors, pa.float64())], ["capture_key", "axis", "error"])
 
     kind = captures.schema["capture_key"].dataType.simpleString()
-    return captures.select("capture_key", "points").mapInPandas(run, f"capture_key {kind}, axis int, error double")
+    return captures.select("capture_key", "points").mapInArrow(run, f"capture_key {kind}, axis int, error double")
 
 
 def axis_skewness(captures: DataFrame) -> DataFrame:
@@ -106,14 +108,21 @@ def eye_votes(captures: DataFrame) -> DataFrame:
 
 def detect_axes(captures: DataFrame) -> AxisConvention:
     """The cohort's convention: left-right by mirror symmetry, its sign by the eyes, front by skewness,
-    up by the eyes or the taper; four one-row aggregates reach the driver."""
+    up by the eyes or the taper; four one-row aggregates reach the driver.
+
+    World-space captures are judged in the face's own frame, in which their eyes are given; those that can't
+    be brought back have no vote, and evidence says how many.
+    """
+    captures = to_face_local(captures)
+    left_out = captures.where("frame_error IS NOT NULL").count() if "transform" in captures.columns else 0
+    captures = captures.where("frame_error IS NULL")
     errors = {r["axis"]: r["e"] for r in mirror_error(captures).groupBy("axis").agg(F.avg("error").alias("e")).collect()}
     if not errors or any(v is None for v in errors.values()):
         raise ValueError("no capture to detect the axes from")
     ranked = sorted(errors, key=lambda a: (errors[a], a))
     lr = ranked[0]
     margin = errors[ranked[1]] / errors[lr] if errors[lr] > 1e-12 else float("inf")
-    evidence = {"mirror_error": [errors[a] for a in range(3)], "margin": margin if margin < 1e6 else "> 1e6"}
+    evidence = {"mirror_error": [errors[a] for a in range(3)], "margin": margin if margin < 1e6 else "> 1e6"} | ({"captures_without_frame": left_out} if left_out else {})
     eyes = eye_votes(captures)
     diffs = eyes.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.col(f"l_{c}") - F.col(f"r_{c}")).alias(c) for c in AXES)).first()
     lr_sign = 1
@@ -157,24 +166,30 @@ def to_face_local(captures: DataFrame) -> DataFrame:
     """
     if not {"transform", "coordinate_space"} <= set(captures.columns):
         return captures.withColumn("frame_error", F.lit(None).cast("string"))
-    m = lambda i, j: F.col("transform")[4 * i + j]
-    minor = lambda i, j: (
-        m((i + 1) % 3, (j + 1) % 3) * m((i + 2) % 3, (j + 2) % 3) - m((i + 1) % 3, (j + 2) % 3) * m((i + 2) % 3, (j + 1) % 3)
-    )
     world = F.coalesce(F.col("coordinate_space") == "world", F.lit(False))
-    determinant = sum((m(0, j) * minor(0, j) for j in range(3)), F.lit(0.0))
-    affine = (m(3, 0) == 0) & (m(3, 1) == 0) & (m(3, 2) == 0) & (m(3, 3) == 1)
-    error = F.when(world & F.col("transform").isNull(), "world-space vertices without an anchor transform")
-    error = error.when(world & ~affine, "world-space vertices with an anchor transform that is not affine")
-    error = error.when(world & ((determinant == 0) | F.isnan(determinant)), "world-space vertices with an anchor transform without inverse")
-    inverse = F.array(*(F.try_divide(minor(j, i), determinant) for i in range(3) for j in range(3)))  # the adjugate over the determinant
 
-    def back(inv: Column) -> Column:
-        gap = lambda p: [p[a] - m(i, 3) for i, a in enumerate(AXES)]
-        return F.transform("points", lambda p: F.struct(*(sum((inv[3 * i + j] * g for j, g in enumerate(gap(p))), F.lit(0.0)).alias(a) for i, a in enumerate(AXES))))
+    def solved(t: Column) -> Column:
+        """error, and the points moved where there is none; t: the transform, computed once."""
+        m = lambda i, j: t[4 * i + j]
+        minor = lambda i, j: (
+            m((i + 1) % 3, (j + 1) % 3) * m((i + 2) % 3, (j + 2) % 3) - m((i + 1) % 3, (j + 2) % 3) * m((i + 2) % 3, (j + 1) % 3)
+        )
+        determinant = sum((m(0, j) * minor(0, j) for j in range(3)), F.lit(0.0))
+        affine = (m(3, 0) == 0) & (m(3, 1) == 0) & (m(3, 2) == 0) & (m(3, 3) == 1)
+        error = F.when(t.isNull(), "world-space vertices without an anchor transform")
+        error = error.when(~affine, "world-space vertices with an anchor transform that is not affine")
+        error = error.when((determinant == 0) | F.isnan(determinant), "world-space vertices with an anchor transform without inverse")
+        inverse = F.array(*(F.try_divide(minor(j, i), determinant) for i in range(3) for j in range(3)))  # the adjugate over the determinant
+
+        def back(inv: Column) -> Column:
+            gap = lambda p: [p[a] - m(i, 3) for i, a in enumerate(AXES)]
+            return F.transform("points", lambda p: F.struct(*(sum((inv[3 * i + j] * g for j, g in enumerate(gap(p))), F.lit(0.0)).alias(a) for i, a in enumerate(AXES))))
 
-    moved = F.when(world & error.isNull(), _let(inverse, back)).otherwise(F.col("points"))
-    return captures.withColumns({"frame_error": error, "points": moved})
+        return _let(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), _let(inverse, back)).otherwise(F.col("points")).alias("points")))
+
+    here = F.struct(F.lit(None).cast("string").alias("error"), F.col("points").alias("points"))
+    c = captures.withColumn("__local", F.when(world, _let(F.col("transform"), solved)).otherwise(here))
+    return c.withColumns({"frame_error": F.col("__local.error"), "points": F.col("__local.points")}).drop("__local")
 
 
 def normalise(captures: DataFrame, convention: AxisConvention, origin: str = "centroid", scale: str = "centroid_size") -> DataFrame:
@@ -247,20 +262,28 @@ def rotation(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def align(captures: DataFrame, shape: np.ndarray) -> DataFrame:
-    """Points centred and rotated onto a mean shape (n, 3), which every task gets; eyes turn with them."""
+    """The captures with points centred and rotated onto a mean shape (n, 3), which every task gets; eyes turn with them.
+
+    All other columns stay as they are. Row by row: nothing is shuffled.
+    """
     target = shape - shape.mean(axis=0)
+    eyes = [e for e in ("left_eye", "right_eye") if e in captures.columns]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for cell in frame["points"]:
-                p = point_array(cell)
-                p = p - p.mean(axis=0)
-                out.append([dict(zip(AXES, q, strict=True)) for q in (p @ rotation(p, target)).tolist()])
-            yield pd.DataFrame({"capture_key": frame["capture_key"], "points": out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, turns = [], []
+            for p in clouds(batch.column("points")):
+                centre = p.mean(axis=0)
+                turn = rotation(p - centre, target)
+                points.append((p - centre) @ turn)
+                turns.append((centre, turn))
+            columns = {"points": nested(points, batch.column("points").type)}
+            for e in eyes:
+                moved = [None if q is None else (np.array([q[a] for a in AXES]) - c) @ r for q, (c, r) in zip(batch.column(e).to_pylist(), turns, strict=True)]
+                columns[e] = pa.array([None if q is None else dict(zip(AXES, q.tolist(), strict=True)) for q in moved], batch.column(e).type)
+            yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in batch.schema.names], names=batch.schema.names)
 
-    key = captures.schema["capture_key"].dataType.simpleString()
-    return captures.select("capture_key", "points").mapInPandas(run, f"capture_key {key}, points array<struct<x:double,y:double,z:double>>")
+    return captures.mapInArrow(run, captures.schema)
 
 
 def mean_shape(captures: DataFrame) -> np.ndarray:
@@ -281,7 +304,7 @@ def generalised_procrustes(captures: DataFrame, rounds: int = 3, tolerance: floa
         raise ValueError("no captures to align")
     mean = point_array(first["points"])
     mean = mean - mean.mean(axis=0)
-    aligned = captures.select("capture_key", "points")
+    aligned = captures
     for _ in range(rounds):
         aligned = align(captures, mean)  # always from the given points: rotations to a shape don't pile up
         new = mean_shape(aligned)

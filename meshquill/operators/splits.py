@@ -115,3 +115,11 @@ def within_group_spread(table: DataFrame, features: list[str], column: str = COL
     return table.groupBy(column).agg(*(F.stddev_samp(f).alias(f) for f in features))
 
 
+
+
+def split_report(table: DataFrame, column: str = COLUMN) -> str:
+    """Captures, participants, and whether a split by rows would put one participant on both sides."""
+    g = captures_per_group(table, column).first()
+    several = table.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
+    note = f"{several} participants have several captures: a split by rows would leak" if several else "every participant has one capture"
+    return f"{g['n_rows']} captures of {g['n_groups']} participants, {g['min_n']} to {g['max_n']} each (median {g['median_n']:g})\n{note}"

@@ -1,8 +1,7 @@
 """Bilateral symmetry of captures: reflection, nearest neighbours, distance to the surface, fitted midplane.
 
 Captures are independent and small (about a thousand points), so a kernel works on one capture at a
-time inside mapInArrow-style passes without any shuffle; what SQL expresses (a fixed plane, nearest
-vertices) is also given as plain DataFrame operations.
+time inside Arrow passes without any shuffle.
 """
 
 from __future__ import annotations
@@ -10,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import vertices
+from ..functions.geometry import clouds, meshes
 
 CANDIDATES, MAX_ROUNDS, X_TOL, F_TOL = 12, 2000, 1e-7, 1e-12
 PAIRED, FLOOR_TIMES = 0.1, 2.0
@@ -30,23 +29,24 @@ def reflect(v: DataFrame, normal: tuple[float, float, float], offset: str = "0.0
 
 def nearest_vertices(captures: DataFrame, normal: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
     """(capture_key, vid, spacing, mirror): distance to the nearest other vertex, and of the mirror image
-    (in the plane through the centroid) to the nearest vertex. A kernel on each capture, in blocks; no shuffle."""
+    (in the plane through the centroid) to the nearest vertex. A kernel on each capture, by a k-d tree; no shuffle."""
     unit = np.asarray(normal, float) / np.linalg.norm(normal)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            spacing, mirror = [], []
-            for cell in frame["points"]:
-                p = point_array(cell)
-                spacing.append(nearest(p, p, 2)[0][:, 1] if len(p) > 1 else np.full(len(p), np.nan))
-                mirror.append(nearest(mirrored(p, unit, float(unit @ p.mean(axis=0))), p)[0][:, 0] if len(p) else np.empty(0))
-            sizes = [len(m) for m in mirror]
-            ids = np.concatenate([np.arange(k) for k in sizes]).astype(np.int32) if sizes else np.empty(0, np.int32)
-            out = pd.DataFrame({"capture_key": np.repeat(frame["capture_key"].to_numpy(), sizes), "vid": ids, "spacing": np.concatenate([*spacing, []]), "mirror": np.concatenate([*mirror, []])})
-            yield out.astype({"spacing": "Float64"})  # NaN: no other vertex, NULL
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spacing, mirror = [np.empty(0)], [np.empty(0)]
+            for p in clouds(batch.column("points")):
+                near = Nearest(p)
+                spacing.append(near(p, 2)[0][:, 1] if len(p) > 1 else np.full(len(p), np.nan))
+                mirror.append(near(mirrored(p, unit, float(unit @ p.mean(axis=0))))[0][:, 0] if len(p) else np.empty(0))
+            sizes = [len(m) for m in mirror[1:]]
+            ids = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in sizes)])
+            keys = batch.column("capture_key").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            # NaN: no other vertex, NULL
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids), pa.array(np.concatenate(spacing), from_pandas=True), pa.array(np.concatenate(mirror))], ["capture_key", "vid", "spacing", "mirror"])
 
     key = captures.schema["capture_key"].dataType.simpleString()
-    return captures.select("capture_key", "points").mapInPandas(run, f"capture_key {key}, vid int, spacing double, mirror double")
+    return captures.select("capture_key", "points").mapInArrow(run, f"capture_key {key}, vid int, spacing double, mirror double")
 
 
 def symmetry_fixed(captures: DataFrame) -> DataFrame:
@@ -75,6 +75,83 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int = 1) -> tuple[np.nda
     return np.take_along_axis(dist, order, 1), np.take_along_axis(ids, order, 1)
 
 
+class Nearest:
+    """The k nearest points of queries by a k-d tree, exactly; all queries go down the tree together.
+
+    Nodes are halved along their widest side, a level at a time, so that all nodes of a level have one size.
+    A query's own leaf gives it a bound; then it visits the nodes whose boxes are not beyond that. Clouds of
+    up to SMALL points are compared directly.
+    """
+
+    SMALL, LEAF, CHUNK = 400, 48, 2048
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.direct = points, len(points) <= self.SMALL or not np.isfinite(points).all()
+        if self.direct:
+            return
+        self.levels = max(0, int(np.ceil(np.log2(len(points) / self.LEAF))))
+        size = -(-len(points) // (1 << self.levels)) << self.levels
+        # Nodes of one size need placeholders; they stand where points all over the cloud are, and are never found.
+        spread = np.linspace(0, len(points) - 1, size - len(points)).astype(np.int64)
+        points, ids = np.r_[points, points[spread]], np.arange(size)[None]
+        for _ in range(self.levels):
+            p = points[ids]
+            along = np.take_along_axis(p, np.ptp(p, axis=1).argmax(axis=1)[:, None, None], axis=2)[:, :, 0]
+            ids = np.take_along_axis(ids, np.argpartition(along, along.shape[1] // 2, axis=1), axis=1).reshape(2 * len(ids), -1)
+        self.ids, self.leaves = ids, points[ids]
+        boxes = [(self.leaves.min(axis=1), self.leaves.max(axis=1))]
+        for _ in range(self.levels):
+            low, high = boxes[0]
+            boxes.insert(0, (np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])))
+        self.boxes = boxes
+
+    def _to_box(self, level: int, nodes: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        low, high = self.boxes[level]
+        gap = np.maximum(np.maximum(low[nodes] - queries, queries - high[nodes]), 0.0)
+        return (gap * gap).sum(axis=1)
+
+    def _to_points(self, leaves: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        d = np.linalg.norm(queries[:, None, :] - self.leaves[leaves], axis=2)
+        d[self.ids[leaves] >= len(self.points)] = np.inf
+        return d
+
+    def __call__(self, queries: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        if self.direct or k > self.ids.shape[1] or not np.isfinite(queries).all():
+            return nearest(queries, self.points, k)
+        parts = [self._search(queries[at : at + self.CHUNK], k) for at in range(0, len(queries), self.CHUNK)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        node = np.zeros(len(queries), np.int64)
+        for level in range(1, self.levels + 1):
+            left, right = (self._to_box(level, 2 * node + side, queries) for side in (0, 1))
+            node = 2 * node + (right < left)
+        bound = np.partition(self._to_points(node, queries), k - 1, axis=1)[:, k - 1]
+        if np.isinf(bound).any():  # a leaf of placeholders
+            return nearest(queries, self.points, k)
+        reach = bound * bound * (1 + 1e-12)
+        query, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        for level in range(1, self.levels + 1):
+            query, node = np.repeat(query, 2), (2 * node[:, None] + [0, 1]).reshape(-1)
+            near = self._to_box(level, node, queries[query]) <= reach[query]
+            query, node = query[near], node[near]
+        # The nearest of the boxes left tightens the bound once more.
+        gap = self._to_box(self.levels, node, queries[query])
+        order = np.lexsort((gap, query))
+        query, node, gap = query[order], node[order], gap[order]
+        best = np.partition(self._to_points(node[np.searchsorted(query, np.arange(len(queries)))], queries), k - 1, axis=1)[:, k - 1]
+        bound = np.minimum(bound, best)
+        near = gap <= (bound * bound * (1 + 1e-12))[query]
+        query, node = query[near], node[near]
+        d = self._to_points(node, queries[query])
+        row, column = np.nonzero(d <= bound[query][:, None])
+        owner, dist, ids = query[row], d[row, column], self.ids[node[row], column]
+        order = np.lexsort((dist, owner))
+        owner, dist, ids = owner[order], dist[order], ids[order]
+        first = np.searchsorted(owner, np.arange(len(queries)))[:, None] + np.arange(k)
+        return dist[first], ids[first]
+
+
 class NearestOfMoving:
     """Nearest distances of query points that move a little from call to call, exactly.
 
@@ -84,10 +161,10 @@ class NearestOfMoving:
     """
 
     def __init__(self, points: np.ndarray, k: int = 24):
-        self.points, self.k, self.base = points, min(k, len(points)), None
+        self.points, self.k, self.base, self.index = points, min(k, len(points)), None, Nearest(points)
 
     def _look(self, queries: np.ndarray, at: np.ndarray) -> None:
-        dist, ids = nearest(queries[at], self.points, self.k)
+        dist, ids = self.index(queries[at], self.k)
         self.ids[at], self.base[at] = ids, queries[at]
         self.reach[at] = dist[:, -1] if self.k < len(self.points) else np.inf
 
@@ -123,10 +200,10 @@ def triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray
         return np.where(inside, np.abs(dot(ap, n)) / np.sqrt(area), best)
 
 
-def surface_distance(queries: np.ndarray, points: np.ndarray, triangles: np.ndarray, candidates: int = CANDIDATES) -> np.ndarray:
+def surface_distance(queries: np.ndarray, points: np.ndarray, triangles: np.ndarray, candidates: int = CANDIDATES, index: Nearest | None = None) -> np.ndarray:
     """Distance to the triangles at each query's nearest vertices; to the nearest vertex where these have none."""
     k = min(candidates, len(points))
-    dist, ids = nearest(queries, points, k)
+    dist, ids = (index or Nearest(points))(queries, k)
     corner = triangles.reshape(-1)
     order = np.argsort(corner, kind="stable")
     start = np.searchsorted(corner[order], np.arange(len(points) + 1))
@@ -199,13 +276,14 @@ def measure(points: np.ndarray, triangles: np.ndarray | None, normal=(1.0, 0.0,
         if not converged:
             notes.append("the midplane fit has not converged")
     image = mirrored(points, n, offset)
-    spacing = float(np.median(nearest(points, points, min(2, len(points)))[0][:, -1]))
-    to_vertex = nearest(image, points)[0][:, 0]
+    index = Nearest(points)
+    spacing = float(np.median(index(points, min(2, len(points)))[0][:, -1]))
+    to_vertex = index(image)[0][:, 0]
     pairing = float((to_vertex < PAIRED * spacing).mean()) if spacing > 0 else 0.0
     if surface and (triangles is None or not len(triangles)):
         surface = False
         notes.append("no triangles: distances are to the nearest vertex")
-    e = (surface_distance(image, points, np.asarray(triangles)) if surface else to_vertex) / size
+    e = (surface_distance(image, points, np.asarray(triangles), index=index) if surface else to_vertex) / size
     rms, floor = float(np.sqrt((e * e).mean())), spacing / size
     effective = 0.0 if surface else floor * (1.0 - pairing)  # vertices with a mirror partner add nothing to it
     return {
@@ -220,36 +298,33 @@ SCHEMA = (
     "symmetry_rms double, symmetry_mean double, symmetry_max double, symmetry_p95 double, discretization_floor double, effective_floor double, pairing double, "
     "exceeds_floor boolean, normal array<double>, offset double, tilt_deg double, method string, converged boolean, notes array<string>, per_vertex array<double>, error string"
 )
-COLUMNS = [c.strip().split(" ")[0] for c in SCHEMA.split(", ")]
+_ARROW = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+_KINDS = {c.split(" ")[0]: _ARROW[c.split(" ")[1]] for c in SCHEMA.split(", ")}
 
 
 def point_array(cell) -> np.ndarray:
+    """The points of one row on the driver."""
     return np.array([(p["x"], p["y"], p["z"]) for p in cell], float).reshape(-1, 3)
 
 
-def triangle_array(cell) -> np.ndarray:
-    return np.array([(t["i"], t["j"], t["k"]) for t in cell], np.int64).reshape(-1, 3)
-
-
 def measure_symmetry(captures: DataFrame, method: str = "point_to_surface", fit_plane: bool = True, normal=(1.0, 0.0, 0.0)) -> DataFrame:
     """One row for each capture; an unusable capture gets NULL measures and its reason in error."""
     if method not in ("point_to_surface", "nearest_vertex"):
         raise ValueError(f"unknown method {method!r}")
     key = captures.schema["capture_key"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for points, triangles in zip(frame["points"], frame["triangles"], strict=True):
+            for points, triangles in zip(clouds(batch.column("points")), meshes(batch.column("triangles")), strict=True):
                 try:
-                    rows.append(measure(point_array(points), triangle_array(triangles), normal, method == "point_to_surface", fit_plane))
+                    rows.append(measure(points, triangles, normal, method == "point_to_surface", fit_plane))
                 except (ValueError, IndexError, TypeError) as e:
                     rows.append({"error": str(e)})
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            out.insert(0, "capture_key", frame["capture_key"].to_numpy())
-            yield out
+            out = [pa.array([r.get(c) for r in rows], kind) for c, kind in _KINDS.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("capture_key"), *out], ["capture_key", *_KINDS])
 
-    return captures.select("capture_key", "points", "triangles").mapInPandas(run, f"capture_key {key}, {SCHEMA}")
+    return captures.select("capture_key", "points", "triangles").mapInArrow(run, f"capture_key {key}, {SCHEMA}")
 
 
 def effective_floor(symmetry: DataFrame) -> DataFrame:

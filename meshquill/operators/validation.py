@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import vertices
-
 MIN_DIAGONAL, MAX_DIAGONAL = 0.05, 0.40
 MESSAGES = 5
 
@@ -144,6 +142,11 @@ def participants(statuses: DataFrame) -> DataFrame:
     )
 
 
+def repeated_participants(statuses: DataFrame) -> DataFrame:
+    """(participant_id, n_captures) of those with more than one capture: splits must keep them together."""
+    return statuses.groupBy("participant_id").agg(F.count(F.lit(1)).alias("n_captures")).where("n_captures > 1")
+
+
 def summary(statuses: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     return statuses.agg(F.count(F.lit(1)).alias("n_captures"), n("PASS").alias("n_pass"), n("WARN").alias("n_warn"), n("FAIL").alias("n_fail"), F.countDistinct("participant_id").alias("n_participants"))
@@ -172,6 +175,7 @@ def duplicate_flags(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def orphan_vertices(captures: DataFrame) -> DataFrame:
-    """(capture_key, vid) of vertices that no triangle refers to."""
-    used = captures.select("capture_key", F.explode("triangles").alias("t")).select("capture_key", F.explode(F.array("t.i", "t.j", "t.k")).alias("vid")).distinct()
-    return vertices(captures).select("capture_key", "vid").join(used, ["capture_key", "vid"], "left_anti")
+    """(capture_key, vid) of vertices that no triangle refers to; arrays of the row are compared, nothing is shuffled."""
+    used = F.flatten(F.transform("triangles", lambda t: F.array(t["i"], t["j"], t["k"])))
+    every = F.when(F.size("points") > 0, F.sequence(F.lit(0), F.size("points") - 1)).otherwise(F.array().cast("array<int>"))
+    return captures.select("capture_key", F.explode(F.array_except(every, F.coalesce(used.cast("array<int>"), F.array().cast("array<int>")))).alias("vid"))

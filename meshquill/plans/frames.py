@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.special import t_quantile
 from ..operators import metrics, models, normalise, ratings, shap, splits, symmetry, validation
 from ..sources import captures as json_captures
 from ..sources import tables
@@ -38,6 +39,44 @@ def frame_problems(spark, sf):
     return normalise.normalise(_spaces(spark, sf), CONVENTION).where("error IS NOT NULL").select("capture_key", "error")
 
 
+def _faces(spark: SparkSession, sf: str) -> DataFrame:
+    """`_spaces` with eyes, in the face's own frame as all eyes are: the second and third points before any transform."""
+    eyes = {e: F.col("points")[i] for i, e in ((1, "left_eye"), (2, "right_eye"))}
+    return _spaces(spark, sf).withColumns(eyes)
+
+
+_LOCAL = f"""{PTS}, o AS (SELECT capture_key, x AS tx, y AS ty, z AS tz FROM pts WHERE vid = 0),
+ loc AS (SELECT p.capture_key, p.vid, CASE WHEN p.capture_key % 4 = 1 THEN y - ty ELSE x END AS x, CASE WHEN p.capture_key % 4 = 1 THEN tx - x ELSE y END AS y,
+  CASE WHEN p.capture_key % 4 = 1 THEN (z - tz) / 2 ELSE z END AS z FROM pts p JOIN o ON o.capture_key = p.capture_key WHERE p.capture_key % 4 < 2),
+ sz AS (SELECT capture_key, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS size FROM loc GROUP BY capture_key)"""
+
+
+def _local_mirror(axis: int, c: str) -> str:
+    gap = " + ".join(f"pow(a.{k} - b.{k}, 2)" if k != c else f"pow(2 * s.c{k} - a.{k} - b.{k}, 2)" for k in "xyz")
+    return f"""SELECT {axis} AS axis, avg(e) AS e FROM (SELECT capture_key, sqrt(avg(d)) / max(size) AS e FROM (SELECT a.capture_key, a.vid, s.size, min({gap}) AS d
+ FROM loc a JOIN loc b ON b.capture_key = a.capture_key JOIN sz s ON s.capture_key = a.capture_key GROUP BY a.capture_key, a.vid, s.size) GROUP BY capture_key)"""
+
+
+def _local_skew(axis: int, c: str) -> str:
+    third = f"coalesce((avg(pow({c}, 3)) - 3 * avg({c}) * avg(pow({c}, 2)) + 2 * pow(avg({c}), 3)) / nullif(pow(stddev_pop({c}), 3), 0), 0)"
+    eyes = f"SELECT l.capture_key, l.{c} - r.{c} AS apart, (l.{c} + r.{c}) / 2 - s.c{c} AS above FROM pts l JOIN pts r ON r.capture_key = l.capture_key AND r.vid = 2 JOIN sz s ON s.capture_key = l.capture_key WHERE l.vid = 1"
+    return f"SELECT {axis} AS axis, (SELECT avg(k) FROM (SELECT {third} AS k FROM loc GROUP BY capture_key)) AS skew, avg(apart) AS apart, avg(above) AS above FROM ({eyes})"
+
+
+@query(f"""WITH {_LOCAL}, m AS ({' UNION ALL '.join(_local_mirror(i, c) for i, c in enumerate('xyz'))}), v AS ({' UNION ALL '.join(_local_skew(i, c) for i, c in enumerate('xyz'))}),
+ lr AS (SELECT axis FROM m ORDER BY e, axis LIMIT 1), ant AS (SELECT axis FROM v WHERE axis <> (SELECT axis FROM lr) ORDER BY abs(skew) DESC, axis LIMIT 1),
+ f AS (SELECT (SELECT axis FROM lr) AS l, (SELECT axis FROM ant) AS a, 3 - (SELECT axis FROM lr) - (SELECT axis FROM ant) AS s),
+ g AS (SELECT l, a, s, CASE WHEN vl.apart > 0 THEN 1 ELSE -1 END AS ls, CASE WHEN va.skew > 0 THEN 1 ELSE -1 END AS sa, CASE WHEN vs.above > 0 THEN 1 ELSE -1 END AS ss
+  FROM f JOIN v vl ON vl.axis = l JOIN v va ON va.axis = a JOIN v vs ON vs.axis = s)
+SELECT l AS left_axis, ls AS left_sign, s AS superior_axis, ss AS superior_sign, a AS anterior_axis,
+ CASE WHEN (l + 1) % 3 = s THEN ls * ss ELSE -ls * ss END AS anterior_sign, CAST((SELECT count(DISTINCT capture_key) FROM pts WHERE capture_key % 4 >= 2) AS BIGINT) AS left_out FROM g""")
+def axis_detection_world(spark, sf):
+    """The convention of face-local and world-space captures together: each votes in its own frame, and some have none."""
+    c = normalise.detect_axes(_faces(spark, sf))
+    row = (*c.left, *c.superior, *c.anterior, c.evidence["captures_without_frame"])
+    return spark.createDataFrame([row], "left_axis int, left_sign int, superior_axis int, superior_sign int, anterior_axis int, anterior_sign int, left_out long")
+
+
 # Names of units with the metres in them, and of spaces, as documents may give them.
 _UNIT_NAMES = ["m", "meter", "Meters", "metre", "metres", "cm", "centimeter", "centimeters", "mm", "millimeter", "Millimeters"]
 _METRES = [1, 1, 1, 1, 1, 0.01, 0.01, 0.01, 0.001, 0.001, 0.001]
@@ -105,6 +144,20 @@ def cohort_notes(spark, sf):
     return validation.cohort_notes(_uneven(spark, sf)).where("note <> 'captures share one geometry'")
 
 
+@query(f"""WITH {_UNEVEN}, a AS (SELECT capture_key, nv, nt FROM c UNION ALL SELECT -capture_key - 1, nv, nt FROM c WHERE capture_key % 5 = 0),
+ shapes AS (SELECT p.capture_key, string_agg(CAST(x AS VARCHAR) || ',' || CAST(y AS VARCHAR) || ',' || CAST(z AS VARCHAR), ';' ORDER BY vid) AS h FROM pts p JOIN c ON c.capture_key = p.capture_key AND p.vid < c.nv GROUP BY p.capture_key),
+ g AS (SELECT a.capture_key, s.h FROM a JOIN shapes s ON s.capture_key = CASE WHEN a.capture_key < 0 THEN -a.capture_key - 1 ELSE a.capture_key END)
+SELECT 'vertex counts differ' AS note, CAST(nv AS VARCHAR) AS detail, count(*) AS n FROM a WHERE (SELECT count(DISTINCT nv) FROM a) > 1 GROUP BY nv
+UNION ALL SELECT 'triangle counts differ', CAST(nt AS VARCHAR), count(*) FROM a WHERE (SELECT count(DISTINCT nt) FROM a) > 1 GROUP BY nt
+UNION ALL SELECT 'captures share one geometry', 'first: ' || CAST(min(capture_key) AS VARCHAR), count(*) FROM g GROUP BY h HAVING count(*) > 1""")
+def cohort_notes_all(spark, sf):
+    """All notes, those on shared geometry too; the hash in their detail is this library's own and left out."""
+    c = _uneven(spark, sf)
+    notes = validation.cohort_notes(c.unionByName(c.where("capture_key % 5 = 0").withColumn("capture_key", -F.col("capture_key") - 1)))
+    shared = F.col("note") == "captures share one geometry"
+    return notes.withColumn("detail", F.when(shared, F.regexp_replace("detail", "^[0-9a-f]+ ", "")).otherwise(F.col("detail")))
+
+
 # --- documents -----------------------------------------------------------------------------------
 @query("""WITH o AS (SELECT o_orderkey, o_orderstatus, CAST(o_orderkey % 3 AS INTEGER) AS n FROM orders),
  r AS (SELECT o_orderkey AS path, 'a' AS key_path, 0 AS depth, 'object' AS kind, 'object of 2 keys' AS preview FROM o
@@ -142,6 +195,22 @@ def target_summary(spark, sf):
     return rounded(ratings.target_summary(ratings.targets(tables.ratings(spark, sf))).drop("median_ci_width"))
 
 
+_T_VALUES = ", ".join(f"({df + 1}, {t_quantile(0.975, df)!r})" for df in range(1, 121))
+
+
+@query(f"""WITH {RAT}, t(n_key, t) AS (VALUES {_T_VALUES}), g AS (SELECT participant_id, avg(rating) AS m, stddev_samp(rating) AS sd, count(*) AS n FROM rat GROUP BY participant_id)
+SELECT count(*) AS n_participants, CAST(median(n) AS DOUBLE) AS median_ratings, min(n) AS min_ratings, max(n) AS max_ratings, {r6('avg(m)', 'mean_rating')}, {r6('stddev_samp(m)', 'sd_between')}, {r6('median(sd)', 'median_sd_within')},
+ {r6('median(2 * t * sd / sqrt(n))', 'median_ci_width')} FROM g LEFT JOIN t ON t.n_key = g.n""")
+def target_summary_all(spark, sf):
+    """With the median width of the intervals; groups of up to 121 ratings, as the SQL's table of t has them."""
+    return rounded(ratings.target_summary(ratings.targets(tables.ratings(spark, sf))))
+
+
+@query("""SELECT event_id AS path, 'k' AS key_path, 0 AS depth, 'number' AS kind, CAST(CAST(props ->> '$.k' AS BIGINT) AS VARCHAR) AS preview FROM events""")
+def json_key_tree_previews(spark, sf):
+    return json_captures.key_tree(tables.table(spark, sf, "events").select(F.col("event_id").alias("path"), F.col("props").alias("content")))
+
+
 @query(f"""WITH {PRED.replace('l_returnflag AS grp', 's_nationkey AS grp').replace('FROM lineitem, u)', 'FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 10 <> 0) s ON s_suppkey = l_suppkey, u)')},
  {_GROUPS[len(PRED) + 2:]} SELECT grp, n, round(mae, 4) + 0.0 AS mae, round(mb, 4) + 0.0 AS mean_bias, n < 10 AS underpowered FROM gm WHERE grp IS NOT NULL""")
 def demographic_audit(spark, sf):
