@@ -134,10 +134,13 @@ def feed(docs: DataFrame, index: DigestIndex, batches: int = BATCHES) -> DigestI
 def distinct_texts(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row for each text, the one with the largest id over all batches; without an index, through one that is dropped again."""
     mine = index or new_index(docs.sparkSession)
-    groups = feed(docs, mine).read().select("digest", "keep_id")
-    if index is None:
-        groups = materialise(groups, "digests-kept")
-        mine.drop()
+    try:
+        groups = feed(docs, mine).read().select("digest", "keep_id")
+        if index is None:
+            groups = materialise(groups, "digests-kept")
+    finally:
+        if index is None:
+            mine.drop()
     return _staying(docs, groups)
 
 
@@ -148,9 +151,10 @@ def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     index = new_index(spark)
-    result = materialise(feed(docs, index).annotate(docs), "digests-of-rows")
-    index.drop()  # the query's index is its own; one that lasts is made by name
-    return result
+    try:
+        return materialise(feed(docs, index).annotate(docs), "digests-of-rows")
+    finally:
+        index.drop()  # the query's index is its own; one that lasts is made by name
 
 
 ORACLE_SQL = """

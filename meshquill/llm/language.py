@@ -35,6 +35,8 @@ FOLDS, HELD_OUT = 3, 1
 #: Rows and bytes of text that the sample holds at most; every so-manieth of its rows is for calibration.
 MAX_TRAIN, MAX_BYTES, CALIBRATE = 7_500, 64 << 20, 5
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.3, 1e-3
+#: Words of the cuts on which the temperature is fitted too, and the spread of its prior in natural logarithms.
+CUTS, PRIOR_SPREAD = (1, 2, 4, 8), 1.0
 #: Code points that are handled at a time, so that long texts need little memory.
 BLOCK = 1 << 20
 UND = "und"
@@ -108,30 +110,46 @@ def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     return at, x / np.sqrt(x @ x)
 
 
+def cuts(text: str, turn: int) -> list[str]:
+    """Runs of 1, 2, 4 and 8 words of a text, from places that `turn` moves: what a model is least sure of."""
+    words = text.split()
+    return [" ".join(words[at : at + n]) for n in CUTS if len(words) > n for at in [turn * 7919 % (len(words) - n)]]
+
+
 def _temperature(scores: np.ndarray, truth: np.ndarray) -> float:
-    """The temperature in [0.05, 20] with the least negative log likelihood, by golden section on its logarithm."""
+    """The temperature in [0.05, 20] of the greatest posterior under a log-normal prior about 1, by golden section on its logarithm.
+
+    An optimum at an end is no calibration, and an error.
+    """
 
     def loss(t: float) -> float:
         s = scores / np.exp(t)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), truth]).mean())
+        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), truth]).sum()) + 0.5 * (t / PRIOR_SPREAD) ** 2
 
     low, high, ratio = np.log(0.05), np.log(20.0), (np.sqrt(5) - 1) / 2
+    ends = low + 0.01, high - 0.01
     for _ in range(40):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
         low, high = (low, b) if loss(a) < loss(b) else (a, high)
-    return float(np.exp((low + high) / 2))
+    if not ends[0] < (found := (low + high) / 2) < ends[1]:
+        raise ValueError(f"the temperature {np.exp(found):.3g} stands at an end of its range")
+    return float(np.exp(found))
 
 
 def _train(frames: Iterator[pd.DataFrame], idf: np.ndarray, languages: list[str]) -> Iterator[pd.DataFrame]:
     """One task over the bounded sample, in hash order. Yields feature -1 for the temperature."""
     index = {lang: i for i, lang in enumerate(languages)}
     columns = max(len(languages), 2)
-    model, rows, held = Ftrl(len(idf), columns, ALPHA, BETA, L1, L2), [], []
+    model, rows, held, n = Ftrl(len(idf), columns, ALPHA, BETA, L1, L2), [], [], 0
     for frame in frames:
         for text, lang in zip(frame["text"], frame["lang"], strict=True):
-            if (x := tfidf(text or "", idf)) is not None:
-                (held if (len(rows) + len(held)) % CALIBRATE == 1 else rows).append((*x, index[lang]))
+            if (x := tfidf(text or "", idf)) is None:
+                continue
+            if (n := n + 1) % CALIBRATE == 1:
+                held += [(*y, index[lang]) for part in (text, *cuts(text, n)) if (y := tfidf(part, idf)) is not None]
+            else:
+                rows.append((*x, index[lang]))
     eye = np.eye(columns)
     for _ in range(EPOCHS):
         for at, values, truth in rows:
@@ -155,8 +173,10 @@ def training_sample(train: DataFrame, most: int = MAX_TRAIN, most_bytes: int = M
     counts = materialise(counts.select(F.col("lang").alias("__lang"), "n"), "language-counts")
     share = most / max(counts.count(), 1)
     drawn = train.join(small(counts), F.col("lang") == F.col("__lang")).where(_uniform(5, "doc_id", "text") < F.lit(share) / F.col("n"))
-    ordered = drawn.select("doc_id", "text", "lang", _uniform(6, "doc_id", "text").alias("rank"))
-    return bounded_sample(ordered, ["rank", "doc_id", "lang"], most, most_bytes)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    ordered = drawn.select("doc_id", "lang", _uniform(6, "doc_id", "text").alias("rank"), F.xxhash64("text").alias("tie"), size)
+    texts = train.select("doc_id", F.xxhash64("text").alias("tie"), "text", F.col("lang").alias("__own"))
+    return bounded_sample(ordered, texts, ["rank", "doc_id", "lang"], most, most_bytes).where("lang = __own").drop("__own")
 
 
 def fit(docs: DataFrame, most: int = MAX_TRAIN, most_bytes: int = MAX_BYTES) -> dict | None:

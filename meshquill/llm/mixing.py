@@ -103,7 +103,7 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, temper: float =
     table = rates(docs, weights, temper, epochs).select(F.col("source").alias("__source"), "rate", lowest(F.col("rate")).alias("__low"))
     kind = table.schema["__source"].dataType.simpleString()
     table = table.mapInArrow(_with_thresholds, f"__source {kind}, rate double, __low long, __cdf array<double>")
-    joined = docs.join(small(table, MAX_SOURCES), F.col("source").eqNullSafe(F.col("__source")), "inner")
+    joined = docs.join(small(table, MAX_SOURCES, F.size("__cdf")), F.col("source").eqNullSafe(F.col("__source")), "inner")
     draw = uniform(seed, F.col("doc_id"))
     counted = joined.withColumn("__u", draw).withColumn("copies", F.col("__low") + F.size(F.filter("__cdf", lambda c: c < F.col("__u"))))
     counted = counted.where("copies > 0")

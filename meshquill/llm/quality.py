@@ -40,7 +40,7 @@ from .shared import Memo, hash_cache, materialise, small, windows, word_hashes
 MIN_WORDS = 20
 REPEAT_WINDOW, REPEAT_PERCENT = 8, 30
 #: Share of a group that the concentration steps keep; the fall of a log determinant that counts as none; steps at most.
-CORE_SHARE, SETTLED, STEPS = 0.75, 1e-3, 30
+CORE_SHARE, SETTLED, STEPS = 0.75, 1e-3, 200
 #: Documents that the estimate of the next wider group counts for.
 PRIOR = 50.0
 MAX_GROUPS = 10_000
@@ -231,15 +231,17 @@ def fit(stats: DataFrame) -> DataFrame:
         *(F.avg(F.tanh(F.col(f"x{i}")) * F.tanh(F.col(f"x{j}"))).alias(f"t{i}_{j}") for i, j in PAIRS),
     )
     model = materialise(spread.mapInPandas(_starts, MODEL), "quality-start")
-    # Estimates that have settled leave the steps; the others go on.
+    # Estimates that have settled (or rise, as a step by an approximate cut can) leave the steps; the others go on.
+    # Of all steps the one with the least determinant counts. Falls end, as a ridge bounds determinants below.
     done, active = [], model
     for _ in range(STEPS):
-        active = _concentrate(rows, active, hint)
-        done.append(active.where(F.col("fall") <= SETTLED))
-        active = active.where(F.col("fall") > SETTLED)
+        step = _concentrate(rows, active, hint)
+        done.append(step)
+        active = step.where(F.col("fall") > SETTLED)
         if not active.limit(1).count():
             break
-    done.append(active)
+    else:
+        raise RuntimeError(f"covariance estimates have not settled after {STEPS} steps")
     model = done[0]
     for more in done[1:]:
         model = model.unionAll(more)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast once they have been counted (two longs each: 16 MB at most).
 BROADCAST_ROWS = 1_000_000
+#: Numbers in the arrays of rows that may be broadcast (32 MB).
+BROADCAST_NUMBERS = 4_000_000
+#: Bytes that a cache of a Python worker may hold, and characters of the longest key that it keeps.
+CACHE_BYTES, CACHE_KEY = 64 << 20, 64
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,16 +54,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the counted rows stay below the bound; else Spark joins by shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, numbers: Column | None = None, most_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """Hint a broadcast only if the counted rows, and the numbers that they hold in arrays, stay below the bounds; else Spark joins by shuffle."""
+    held = F.lit(0) if numbers is None else F.coalesce(F.sum(numbers), F.lit(0))
+    rows, inside = df.agg(F.count(F.lit(1)), held).first()
+    return F.broadcast(df) if rows <= most and inside <= most_numbers else df
 
 
-def bounded_sample(rows: DataFrame, order: list[str], most_rows: int, most_bytes: int) -> DataFrame:
-    """The first rows in order, at most so many, and of these the ones before which texts hold fewer than so many bytes; one partition."""
+def bounded_sample(rows: DataFrame, texts: DataFrame, order: list[str], most_rows: int, most_bytes: int) -> DataFrame:
+    """The rows (order columns, doc_id, tie, n_bytes and others) that come first, with their texts, in one sorted partition.
+
+    At most so many rows, and of these the ones before which texts hold fewer than so many bytes. They are
+    chosen by their lengths alone: texts (doc_id, tie: xxhash64 of the text, text) are fetched for the chosen
+    rows only, so no task holds more of them than the bounds.
+    """
     first = rows.orderBy(*order).limit(most_rows)
-    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return first.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) < most_bytes).drop("__before")
+    before = F.sum("n_bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    chosen = first.withColumn("__before", before).where(F.coalesce("__before", F.lit(0)) < most_bytes).drop("__before", "n_bytes").distinct()
+    chosen = materialise(chosen, "sample")
+    found = texts.join(F.broadcast(chosen.withColumnsRenamed({"doc_id": "__id", "tie": "__tie"})), texts["doc_id"].eqNullSafe(F.col("__id")) & (texts["tie"] == F.col("__tie")))
+    return found.drop("__id", "__tie").repartition(1).sortWithinPartitions(*order)
 
 
 def fold(column: str, parts: int) -> Column:
@@ -67,16 +82,24 @@ def fold(column: str, parts: int) -> Column:
 
 
 class Memo(dict):
-    """A bounded cache: forgets everything when it is full, so memory stays flat on endless vocabularies."""
+    """A cache of bounded bytes: long keys are never kept, and it forgets everything when it is full.
+
+    Memory stays flat on endless vocabularies and on words of any length.
+    """
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most_bytes: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most_bytes, self.held = make, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        if len(key) > CACHE_KEY:
+            return value
+        if self.held > self.most_bytes:
             self.clear()
-        value = self[key] = self.make(key)
+            self.held = 0
+        self.held += sys.getsizeof(key) + sys.getsizeof(value) + 100  # and an entry of the table
+        self[key] = value
         return value
 
 

@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import CACHE_BYTES, CACHE_KEY
+
 CONTEXT = 1024
 #: Bytes of text that are looked up together, and bytes of unseen pieces in one call of the encoder.
 GROUP_BYTES, BATCH_BYTES = 1 << 20, 1 << 18
-CACHE_PIECES = 600_000
 #: Characters from which texts are cut for sentencepiece models, and of each part.
 LONG_TEXT, PART_CHARS = 1 << 18, 1 << 16
 _WORD_GAP = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
@@ -59,6 +61,7 @@ class LengthEncoder:
 
     def __init__(self, path: str):
         self.lengths: dict[str, int] = {}
+        self.held = 0
         self.pieces = path.endswith(".model")
         if self.pieces:
             import sentencepiece
@@ -97,11 +100,19 @@ class LengthEncoder:
         if self.pieces:
             return [sum(len(x) for x in self.model.encode(self._parts(t), num_threads=1)) for t in texts]
         cut = [pieces_of(t) for t in texts]
-        if len(self.lengths) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self.lengths.clear()
-        self._encode(list(set().union(*cut) - self.lengths.keys()))
+            self.held = 0
+        new = list(set().union(*cut) - self.lengths.keys())
+        self._encode(new)
         get = self.lengths.__getitem__
-        return [sum(map(get, pieces)) for pieces in cut]
+        out = [sum(map(get, pieces)) for pieces in cut]
+        for piece in new:  # long pieces seldom come again: they would hold the memory of thousands of words
+            if len(piece) > CACHE_KEY:
+                del self.lengths[piece]
+            else:
+                self.held += sys.getsizeof(piece) + 130
+        return out
 
 
 def _encoder(path: str) -> LengthEncoder:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, probabilities
-from .shared import bounded_sample, fold, small
+from .shared import bounded_sample, fold
 
 BITS = 20
 FOLDS = 5
@@ -98,9 +98,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_bytes: i
     """Feature ids and weights (at most 2^BITS, mostly zero under L1) of the fitted model."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", FOLDS) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.withColumn("rank", F.xxhash64(F.col("doc_id"), F.lit(2))).orderBy("rank", "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(small(sample), "doc_id").select("rank", "doc_id", F.xxhash64("text").alias("tie"), "text", "toxic")
-    one = bounded_sample(rows, ["rank", "doc_id", "tie"], most, most_bytes).select("text", "toxic")
+    texts = docs.select(F.col("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")).join(known, "doc_id")
+    rows = rows.withColumn("rank", F.xxhash64(F.col("doc_id"), F.lit(2)))
+    one = bounded_sample(rows, texts, ["rank", "doc_id", "tie"], most, most_bytes).select("text", "toxic")
     found = one.mapInPandas(_train, "feature long, weight double").toPandas()
     return found["feature"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
