@@ -7,14 +7,16 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import stores
-from . import metrics, splits
+from . import metrics, ranks, splits
+from .boosting import Boosted, fit_boosted
 from .features import usable_columns
 
 MODELS = ("linear", "ridge", "random_forest", "gbt")
@@ -41,8 +43,7 @@ def assemble(features: DataFrame, targets: DataFrame, columns: list[str], min_ra
 
 def medians(train: DataFrame, features: list[str]) -> dict[str, float]:
     """Exact medians of the training rows; 0 where a column is empty there."""
-    row = train.agg(*(F.median(f).alias(f) for f in features)).first()
-    return {f: 0.0 if row[f] is None else float(row[f]) for f in features}
+    return {f: 0.0 if v is None else v for f, v in ranks.quantiles(train, features).items()}
 
 
 def impute(df: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -107,12 +108,11 @@ def fit_ridge(train: DataFrame, features: list[str], label: str, weight: str | N
 
 
 def build_model(name: str, seed: int = 42, trees: int = 500, rounds: int = 600):
+    """Spark's own estimator of a name; ridge and gbt (whose rounds are given) are fitted by this library."""
     if name == "linear":
         return LinearRegression(featuresCol="x", solver="normal")
     if name == "random_forest":
         return RandomForestRegressor(featuresCol="x", numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
-    if name == "gbt":
-        return GBTRegressor(featuresCol="x", maxIter=rounds, stepSize=0.03, maxDepth=3, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
     raise ValueError(f"unknown model {name!r}; one of {MODELS}")
 
 
@@ -123,11 +123,11 @@ class Fitted:
     name: str
     features: list[str]
     values: dict[str, float]
-    model: PipelineModel | Ridge
+    model: PipelineModel | Ridge | Boosted
 
     def transform(self, df: DataFrame) -> DataFrame:
         ready = impute(df, self.values)
-        if isinstance(self.model, Ridge):
+        if isinstance(self.model, Ridge | Boosted):
             return self.model.transform(ready)
         return self.model.transform(ready).drop("x", "__y").withColumnRenamed("prediction", "predicted")
 
@@ -137,6 +137,8 @@ class Fitted:
         if isinstance(self.model, Ridge):
             m = self.model
             about["ridge"] = {"centre": m.centre.tolist(), "scale": m.scale.tolist(), "coefficients": m.coefficients.tolist(), "intercept": m.intercept, "alpha": m.alpha}
+        elif isinstance(self.model, Boosted):
+            about["boosted"] = {"base": self.model.base, "trees": [[{"id": i, **n} for i, n in t.items()] for t in self.model.trees]}
         else:
             self.model.write().overwrite().save(f"{path}/pipeline")
         stores.write_document(spark, about, f"{path}/about.json")
@@ -147,14 +149,16 @@ class Fitted:
         about = stores.read_document(spark, f"{path}/about.json")
         if ridge := about.get("ridge"):
             model = Ridge(about["features"], np.array(ridge["centre"]), np.array(ridge["scale"]), np.array(ridge["coefficients"]), ridge["intercept"], ridge["alpha"])
+        elif boosted := about.get("boosted"):
+            model = Boosted(about["features"], boosted["base"], [{n["id"]: {k: v for k, v in n.items() if k != "id"} for n in t} for t in boosted["trees"]])
         else:
             model = PipelineModel.load(f"{path}/pipeline")
         return cls(about["name"], about["features"], about["values"], model)
 
     def importance(self, top: int | None = None) -> pd.DataFrame:
         """Tree importances or absolute coefficients, largest first; the first `top` of them if given."""
-        last = self.model if isinstance(self.model, Ridge) else self.model.stages[-1]
-        values = np.abs(last.coefficients.toArray() if hasattr(last.coefficients, "toArray") else last.coefficients) if hasattr(last, "coefficients") else last.featureImportances.toArray()
+        last = self.model if isinstance(self.model, Ridge | Boosted) else self.model.stages[-1]
+        values = last.gains() if isinstance(last, Boosted) else np.abs(last.coefficients.toArray() if hasattr(last.coefficients, "toArray") else last.coefficients) if hasattr(last, "coefficients") else last.featureImportances.toArray()
         return pd.DataFrame({"feature": self.features, "importance": values}).sort_values(["importance", "feature"], ascending=[False, True], ignore_index=True).head(top or len(values))
 
 
@@ -163,6 +167,8 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "mean_rat
     ready = impute(train, values)
     if name == "ridge":
         return Fitted(name, features, values, fit_ridge(ready, features, label, weight))
+    if name == "gbt":
+        return Fitted(name, features, values, fit_boosted(ready, features, label, weight, sizes.get("rounds", 600), seed=seed))
     model = build_model(name, seed, **sizes).setLabelCol("__y")
     if weight:
         model = model.setWeightCol(weight)
@@ -175,8 +181,8 @@ def predictions(fitted: Fitted, df: DataFrame, label: str = "mean_rating") -> Da
 
 
 def cross_validate(data: TrainingData, name: str, n_splits: int = 5, label: str = "mean_rating", weight: str | None = "n_ratings", **options) -> DataFrame:
-    """Out-of-fold predictions; folds hold whole participants."""
-    folds = splits.participant_folds(data.table, n_splits)
+    """Out-of-fold predictions; folds hold whole participants, are dealt once and kept for all fits and predictions."""
+    folds = splits.participant_folds(data.table, n_splits).persist(StorageLevel.DISK_ONLY)
     out = None
     for k in range(n_splits):
         held = predictions(fit(folds.where(F.col("fold") != k), data.features, name, label, weight, **options), folds.where(F.col("fold") == k), label)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import known
 from ..functions.special import t_quantile
+from . import ranks
 
 MAX_DF = 1000
 
@@ -109,38 +111,67 @@ def targets(ratings: DataFrame, confidence: float = 0.95, min_ratings: int = 0)
 
 
 def target_summary(consensus: DataFrame) -> DataFrame:
-    """One row on a cohort's targets: participants, ratings of each, spread between and within participants, width of the intervals."""
+    """One row on a cohort's targets: participants, ratings of each, spread between and within participants, width of the intervals.
+
+    Medians are found by counted ranges, as no task may hold a column of all participants.
+    """
+    middle = ranks.quantiles(consensus, ["n_ratings", "std_rating", "ci_width"])
+    median = lambda c: F.lit(middle[c]).cast("double")
     return consensus.agg(
-        F.count(F.lit(1)).alias("n_participants"), F.median("n_ratings").alias("median_ratings"), F.min("n_ratings").alias("min_ratings"), F.max("n_ratings").alias("max_ratings"),
-        F.avg("mean_rating").alias("mean_rating"), F.stddev_samp("mean_rating").alias("sd_between"), F.median("std_rating").alias("median_sd_within"), F.median("ci_width").alias("median_ci_width"),
+        F.count(F.lit(1)).alias("n_participants"), median("n_ratings").alias("median_ratings"), F.min("n_ratings").alias("min_ratings"), F.max("n_ratings").alias("max_ratings"),
+        F.avg("mean_rating").alias("mean_rating"), F.stddev_samp("mean_rating").alias("sd_between"), median("std_rating").alias("median_sd_within"), median("ci_width").alias("median_ci_width"),
     )
 
 
-def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile bootstrap interval of the mean. Ratings are first counted by value, so that a
-    participant of any popularity is one small row; resampling counts is a multinomial draw."""
-    counted = clean(ratings).groupBy("participant_id", "rating").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.groupBy("participant_id").agg(F.array_sort(F.collect_list(F.struct("rating", "n"))).alias("counts"))
-    tail = (1 - confidence) / 2
+#: Distinct values of one participant that are resampled together.
+CHUNK = 4096
+
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for pid, cell in zip(frame["participant_id"], frame["counts"], strict=True):
-                values = np.array([c["rating"] for c in cell], float)
-                n = np.array([c["n"] for c in cell], np.int64)
-                total = int(n.sum())
-                if total < 2:
-                    out.append((pid, total, None, None))
-                    continue
-                rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{pid}"))
-                means = rng.multinomial(total, n / total, size=resamples) @ values / total
-                low, high = np.quantile(means, [tail, 1 - tail])
-                out.append((pid, total, float(low), float(high)))
-            yield pd.DataFrame(out, columns=["participant_id", "n_ratings", "boot_low", "boot_high"])
+def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 2000, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """Percentile bootstrap interval of the mean, by Poisson weights.
+
+    Each of a participant's ratings counts Poisson(1) times in a resample. Ratings are counted by value first,
+    as n ratings of one value count Poisson(n) times together; the draws depend on participant and value
+    alone. So sums over a participant's values can be taken in parts of at most `chunk` values, wherever
+    they are, and added up; a participant of any size is never in one row. A resample without any
+    rating is left out.
+    """
+    tail = (1 - confidence) / 2
+    counted = clean(ratings).groupBy("participant_id", "rating").agg(F.count(F.lit(1)).alias("n"))
+    values = counted.groupBy("participant_id").agg(F.count(F.lit(1)).alias("__values"), F.sum("n").alias("n_ratings"))
+    values = values.withColumnRenamed("participant_id", "__participant")
+    dealt = counted.join(values, F.col("participant_id").eqNullSafe(F.col("__participant"))).where("n_ratings > 1")
+    part = F.pmod(F.xxhash64("rating"), F.ceil(F.col("__values") / chunk)).cast("int")
+    parts = dealt.groupBy("participant_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("rating", "n"))).alias("counts"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights, totals = [], []
+            for pid, cell in zip(batch.column("participant_id").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                w, t = np.zeros(resamples), np.zeros(resamples)
+                for c in cell:
+                    draw = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{pid}:{c['rating']!r}")).poisson(c["n"], resamples)
+                    w += draw
+                    t += draw * c["rating"]
+                weights.append(w.tolist())
+                totals.append(t.tolist())
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("participant_id"), pa.array(weights, kind), pa.array(totals, kind)], ["participant_id", "w", "t"])
 
     kind = ratings.schema["participant_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"participant_id {kind}, n_ratings long, boot_low double, boot_high double")
+    summed = parts.select("participant_id", "counts").mapInArrow(sums, f"participant_id {kind}, w array<double>, t array<double>")
+    # Parts are added up place by place: rows of resamples numbers, as many as a participant has parts.
+    added = summed.groupBy("participant_id").agg(F.collect_list("w").alias("w"), F.collect_list("t").alias("t"))
+    plus = lambda c: F.aggregate(c, F.array_repeat(F.lit(0.0), resamples), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    means = F.array_sort(F.array_compact(F.zip_with(plus("w"), plus("t"), lambda w, t: F.try_divide(t, w))))
+
+    def quantile(share: float) -> Column:
+        at = (F.size("__means") - 1) * share
+        low, high = F.get("__means", F.floor(at).cast("int")), F.get("__means", F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    found = added.select(F.col("participant_id").alias("__found"), means.alias("__means")).select("__found", quantile(tail).alias("boot_low"), quantile(1 - tail).alias("boot_high"))
+    return values.join(found, F.col("__participant").eqNullSafe(F.col("__found")), "left").select(F.col("__participant").alias("participant_id"), "n_ratings", "boot_low", "boot_high")
 
 
 def cells(ratings: DataFrame) -> DataFrame:
@@ -149,34 +180,39 @@ def cells(ratings: DataFrame) -> DataFrame:
 
 
 def complete_block(ratings: DataFrame) -> tuple[DataFrame, bool]:
-    """Cells of participants whom all (remaining) raters rated, and whether raters had to go.
+    """Cells of participants whom all (remaining) raters rated, and whether all raters remain.
 
-    Participants with gaps go first; while fewer than two are left, the rater with the most gaps goes.
-    Only one row for each rater reaches the driver.
+    Participants with gaps go first; while fewer than two are left, the rater with the most gaps goes (of
+    equal ones that of the least id). A rater's gaps don't depend on who else has gone, so raters go in one
+    order, and a participant is complete for the first m raters that stay if those are among its own. The
+    length of that run, one number for each participant, settles it: the largest m that two participants
+    reach. No rater is collected and nothing is repeated.
     """
     c = cells(ratings)
-    whole = True
-    raters = [r[0] for r in c.select("rater_id").distinct().orderBy("rater_id").collect()]
-    while len(raters) >= 2:
-        part = c.where(F.col("rater_id").isin(raters))
-        full = part.groupBy("participant_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == len(raters)).select("participant_id")
-        if full.limit(2).count() >= 2:
-            return part.join(full, "participant_id", "left_semi"), whole
-        seen = {r["rater_id"]: r["n"] for r in part.groupBy("rater_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-        raters.remove(min(raters, key=lambda r: (seen.get(r, 0), raters.index(r))))
-        whole = False
-    return c.where(F.lit(False)), False
+    raters = c.groupBy("rater_id").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = ranks.global_rank(raters, F.desc("__n"), F.desc("rater_id")).select(F.col("rater_id").alias("__rater"), F.col("rank").alias("__rank"))
+    placed = c.join(ranked, F.col("rater_id").eqNullSafe(F.col("__rater"))).drop("__rater")
+    at = F.row_number().over(Window.partitionBy("participant_id").orderBy("__rank")) - 1
+    runs = placed.withColumn("__at", at).groupBy("participant_id").agg(F.count_if(F.col("__at") == F.col("__rank")).alias("__run"))
+    top = runs.groupBy("__run").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("__run")).limit(2).collect()
+    n = ranked.count()
+    reached = next((r["__run"] for r, k in zip(top, (top[0]["k"], 2), strict=False) if k >= 2), 0) if top else 0
+    if reached < 2:
+        return c.where(F.lit(False)), False
+    full = runs.where(F.col("__run") >= reached).select(F.col("participant_id").alias("__full"))
+    block = placed.where(F.col("__rank") < reached).join(full, F.col("participant_id").eqNullSafe(F.col("__full")), "left_semi")
+    return block.select("participant_id", "rater_id", "v"), reached == n
 
 
 def icc(block: DataFrame) -> DataFrame:
     """ICC(2,1) and ICC(2,k) of a complete block (participant_id, rater_id, v), as one row; no pivot.
 
-    The means of raters, one row for each, are broadcast: a few raters would be a few tasks in a window.
+    The means of raters are joined, and broadcast only where Spark finds them small: a few raters would be a few tasks in a window.
     """
     row = Window.partitionBy("participant_id")
     raters = block.groupBy(F.col("rater_id").alias("__rater")).agg(F.avg("v").alias("c"))
     totals = F.broadcast(block.agg(F.avg("v").alias("g"), F.countDistinct("participant_id").alias("n"), F.countDistinct("rater_id").alias("k")))
-    m = block.withColumn("r", F.avg("v").over(row)).join(F.broadcast(raters), F.col("rater_id").eqNullSafe(F.col("__rater"))).crossJoin(totals)
+    m = block.withColumn("r", F.avg("v").over(row)).join(raters, F.col("rater_id").eqNullSafe(F.col("__rater"))).crossJoin(totals)
     s = m.agg(
         F.max("n").alias("n_participants"), F.max("k").alias("n_raters"),
         (F.sum(F.pow(F.col("r") - F.col("g"), 2)) / F.max(F.col("n") - 1)).alias("ms_rows"),

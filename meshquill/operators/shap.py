@@ -1,4 +1,4 @@
-"""Shapley values of tree ensembles, path-dependent: how much each feature moves a row's prediction from the mean.
+"""Shapley values: how much each feature moves a row's prediction from the mean. Of tree ensembles (path-dependent), of linear models, and by sampling of any.
 
 A leaf gives its value where all conditions on the way to it hold. Over a set of known features, the
 others' conditions count with the share of training rows that took the same turns. So a leaf is a product
@@ -9,15 +9,17 @@ features. All rows of a batch are treated together, leaf by leaf; the model is w
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .boosting import Boosted
 from .models import Fitted, Ridge, impute
 
 
@@ -34,6 +36,10 @@ class Leaf:
 
 def tree_nodes(fitted: Fitted, folder: str, spark: SparkSession) -> list[tuple[float, dict[int, dict]]]:
     """(weight, nodes by id) of each tree, through the model's own files in `folder`. As large as the model, whatever the data."""
+    if isinstance(fitted.model, Boosted):
+        leaf = {"leftChild": -1, "rightChild": -1, "feature": None, "threshold": None}
+        inner = lambda i: {"leftChild": 2 * i + 1, "rightChild": 2 * i + 2}
+        return [(1.0, {i: {**leaf, **n, "prediction": n["value"], **(inner(i) if "feature" in n else {})} for i, n in t.items()}) for t in fitted.model.trees]
     if isinstance(fitted.model, Ridge) or not hasattr(fitted.model.stages[-1], "treeWeights"):
         raise ValueError(f"{fitted.name} has no trees")
     model = fitted.model.stages[-1]
@@ -92,9 +98,67 @@ def expected(found: list[Leaf]) -> float:
     return float(sum(leaf.value * leaf.share.prod() for leaf in found))
 
 
-def shap_values(fitted: Fitted, df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """(keys, feature, value, shap) for each row and feature; values are imputed as the model imputes them."""
-    found, names = leaves(tree_nodes(fitted, folder, df.sparkSession)), fitted.features
+def linear_terms(fitted: Fitted, background: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(weights, means of the background) of a linear model; None for others. One row reaches the driver."""
+    m = fitted.model
+    if isinstance(m, Ridge):
+        return m.coefficients / m.scale, m.centre
+    if isinstance(m, Boosted) or not hasattr(m.stages[-1], "coefficients"):
+        return None
+    row = impute(background, fitted.values).agg(*(F.avg(f).alias(f"m{i}") for i, f in enumerate(fitted.features))).first()
+    return m.stages[-1].coefficients.toArray(), np.array([row[f"m{i}"] or 0.0 for i in range(len(fitted.features))])
+
+
+def _long(wide: DataFrame, keys: list[str], names: list[str], values: list) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"), v.alias("shap")) for n, v in zip(names, values, strict=True)))
+    return wide.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")
+
+
+def sampled_shap(fitted: Fitted, df: DataFrame, background: DataFrame, keys: list[str], pairs: int = 8, most: int = 100, seed: int = 42) -> DataFrame:
+    """Shapley values of any model by permutations in antithetic pairs, against at most `most` rows of a background.
+
+    Along a permutation features pass from a background row to the row's own, one after the other, and each
+    gets the change of the prediction; a permutation and its reverse go together. Each row meets the same
+    background rows, so its values add up to its prediction less the mean prediction of these. The mixed
+    rows are made and predicted in Spark, (features + 1) * 2 * pairs for each row.
+    """
+    names, d = fitted.features, len(fitted.features)
+    rows = impute(df, fitted.values).select(*keys, *names)
+    order = F.xxhash64(F.lit(seed), *names)
+    others = [[float(r[f]) for f in names] for r in impute(background, fitted.values).select(*names).orderBy(order, *names).limit(most).collect()]
+    rng = np.random.default_rng(seed)
+    paths = []
+    for k in range(pairs):
+        forward, other = rng.permutation(d), others[k % len(others)]
+        for way in (forward, forward[::-1]):
+            rank = np.argsort(way)
+            paths += [{"path": len(paths) // (d + 1), "done": done, "own": (rank < done).tolist(), "other": other, "feature": int(way[done - 1]) if done else -1} for done in range(d + 1)]
+    steps = F.from_json(F.lit(json.dumps(paths)), "array<struct<path: int, done: int, own: array<boolean>, other: array<double>, feature: int>>")
+    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
+    mixed = keyed.select("*", F.inline(steps))
+    mixed = mixed.select(*keys, "__row", "path", "done", "feature", *(F.col(f).alias(f"__own_{i}") for i, f in enumerate(names)), *(F.when(F.get("own", F.lit(i)), F.col(f)).otherwise(F.get("other", F.lit(i))).alias(f) for i, f in enumerate(names)))
+    gains = fitted.transform(mixed)
+    # A change belongs to the feature that has just passed over: +1 for the prediction with it, -1 for the one before.
+    after = F.lead("feature").over(Window.partitionBy("__row", "path").orderBy("done"))
+    signed = gains.withColumn("__next", after)
+    terms = [F.sum(F.when(F.col("feature") == i, F.col("predicted")).otherwise(0.0) - F.when(F.col("__next") == i, F.col("predicted")).otherwise(0.0)) / (2 * pairs) for i in range(d)]
+    firsts = [F.first(c).alias(c) for c in keys]
+    wide = signed.groupBy("__row").agg(*firsts, *(F.first(f"__own_{i}").alias(f) for i, f in enumerate(names)), *(t.alias(f"__shap_{i}") for i, t in enumerate(terms)))
+    return _long(wide, keys, names, [F.col(f"__shap_{i}") for i in range(d)])
+
+
+def shap_values(fitted: Fitted, df: DataFrame, folder: str, keys: list[str], background: DataFrame | None = None) -> DataFrame:
+    """(keys, feature, value, shap) for each row and feature; values are imputed as the model imputes them.
+
+    Trees by their leaves; linear models in closed form, about the means they were fitted with (or those of
+    the background, by default the rows themselves).
+    """
+    names = fitted.features
+    if (linear := linear_terms(fitted, background if background is not None else df)) is not None:
+        weights, means = linear
+        rows = impute(df, fitted.values).select(*keys, *names)
+        return _long(rows, keys, names, [(F.col(f) - float(m)) * float(w) for f, w, m in zip(names, weights, means, strict=True)])
+    found = leaves(tree_nodes(fitted, folder, df.sparkSession))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -104,8 +168,7 @@ def shap_values(fitted: Fitted, df: DataFrame, folder: str, keys: list[str]) ->
     rows = impute(df, fitted.values).select(*keys, *names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"__shap_{i} double" for i in range(len(names)))])
     wide = rows.mapInPandas(run, schema)
-    each = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("value"), F.col(f"__shap_{i}").alias("shap")) for i, n in enumerate(names)))
-    return wide.select(*keys, F.explode(each).alias("e")).select(*keys, "e.*")
+    return _long(wide, keys, names, [F.col(f"__shap_{i}") for i in range(len(names))])
 
 
 def shap_importance(values: DataFrame, top: int | None = None) -> DataFrame:

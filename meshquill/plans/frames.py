@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import t_quantile
-from ..operators import metrics, models, normalise, ratings, shap, splits, symmetry, validation
+from ..operators import metrics, models, normalise, ranks, ratings, shap, splits, symmetry, validation
 from ..sources import captures as json_captures
 from ..sources import tables
 from .queries import _GROUPS, _ISSUES, _NN, _TRAIN, _UNEVEN, CONVENTION, ORACLES, PRED, PTS, RAT, TARGETS, WIDE, _encoded, _training, _uneven, query, r6, rounded
@@ -236,6 +236,42 @@ ORACLES["drop_constant_columns"] = f"WITH {WIDE}, {TARGETS.replace(' HAVING coun
 )
 
 
+_COORDINATES = 64
+
+
+@query(f"SELECT CAST(i AS INTEGER) AS coordinate, {r6('median(CAST(embedding[i + 1] AS DOUBLE))', 'median')} FROM embeddings, range({_COORDINATES}) r(i) GROUP BY i UNION ALL SELECT {_COORDINATES} + k, {r6('median(v)', 'median')} FROM (SELECT 0 AS k, CAST(vec_id AS DOUBLE) AS v FROM embeddings UNION ALL SELECT 1, CAST(label AS DOUBLE) FROM embeddings) GROUP BY k")
+def column_medians(spark, sf):
+    """Exact medians of 66 columns over all rows."""
+    e = tables.table(spark, sf, "embeddings")
+    wide = e.select(*(F.col("embedding")[i].cast("double").alias(f"c{i}") for i in range(_COORDINATES)), F.col("vec_id").alias(f"c{_COORDINATES}"), F.col("label").alias(f"c{_COORDINATES + 1}"))
+    found = ranks.quantiles(wide, wide.columns)
+    return rounded(spark.createDataFrame([(int(c[1:]), v) for c, v in found.items()], "coordinate int, median double"))
+
+
+@query("SELECT quantile_cont(l_extendedprice, 0.9) AS price, quantile_cont(l_quantity, 0.9) AS quantity, quantile_cont(l_discount, 0.9) AS discount FROM lineitem")
+def exact_quantiles(spark, sf):
+    found = ranks.quantiles(tables.table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity", "l_discount"], 0.9)
+    return spark.createDataFrame([tuple(found.values())], "price double, quantity double, discount double")
+
+
+@query(f"""WITH {RAT}, cells AS (SELECT participant_id % 40 AS p, rater_id AS r, avg(rating) AS v FROM rat GROUP BY ALL), n AS (SELECT r, row_number() OVER (ORDER BY count(*) DESC, r DESC) - 1 AS k FROM cells GROUP BY r),
+ runs AS (SELECT p, count(*) FILTER (WHERE i = k) AS run FROM (SELECT c.p, n.k, row_number() OVER (PARTITION BY c.p ORDER BY n.k) - 1 AS i FROM cells c JOIN n ON n.r = c.r) GROUP BY p),
+ m AS (SELECT run AS m FROM runs ORDER BY run DESC LIMIT 1 OFFSET 1)
+SELECT c.p AS participant_id, c.r AS rater_id, {r6('c.v', 'v')} FROM cells c JOIN n ON n.r = c.r JOIN runs ON runs.p = c.p, m WHERE m.m >= 2 AND n.k < m.m AND runs.run >= m.m""")
+def rating_block(spark, sf):
+    """The complete block of forty groups of parts rated by many suppliers, most of them with gaps."""
+    r = tables.ratings(spark, sf).withColumn("participant_id", F.col("participant_id") % 40)
+    return rounded(ratings.complete_block(r)[0])
+
+
+@query()
+def shap_linear(spark, sf):
+    """Mean absolute Shapley values of a ridge over its held-out rows, in closed form."""
+    t = splits.participant_split(_training(spark, sf))
+    fitted = models.fit(t.where("side = 'train'"), _TRAIN, "ridge")
+    return rounded(shap.shap_importance(shap.shap_values(fitted, t.where("side = 'test'"), "", ["l_orderkey", "l_linenumber"])), 4)
+
+
 @query()
 def shap_importance(spark, sf):
     """Mean absolute Shapley values of a forest of 5 trees over its held-out rows."""
