@@ -187,12 +187,21 @@ def build_feature_table(captures: DataFrame, convention: normalise.AxisConventio
 
 
 def coverage(table: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, n_rows, n_present, n_distinct, coverage, kind) of each column, in one pass."""
-    stats = F.array(*[F.struct(F.lit(c).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_present")) for c in columns])
-    distinct = table.agg(*(F.countDistinct(c).alias(c) for c in columns)).select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n_distinct")) for c in columns])).alias("d")).select("d.*")
-    rows = table.agg(stats.alias("s")).select(F.explode("s").alias("s")).select("s.name", "s.n_rows", "s.n_present")
-    kind = F.when(F.col("n_present") == 0, "dead").when(F.col("n_distinct") == 1, "constant").when(F.col("n_present") < F.col("n_rows"), "partial").otherwise("full")
-    return rows.join(F.broadcast(distinct), "name").select("name", "n_rows", "n_present", "n_distinct", F.try_divide("n_present", "n_rows").alias("coverage"), kind.alias("kind"))
+    """(name, n_rows, n_present, n_distinct, coverage, kind) of each column.
+
+    Values are stacked as (column, value) and counted twice: by column and value, then by column. A row
+    becomes one narrow row for each value it has, folded map-side, and not a wide one for each column.
+    """
+    numeric = {"tinyint", "smallint", "int", "float", "double", "boolean"}
+    kind = "double" if {k for c, k in table.dtypes if c in columns} <= numeric else "string"
+    values = F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast(kind).alias("v")) for i, c in enumerate(columns)))
+    counted = table.select(F.explode(values).alias("e")).select("e.c", "e.v").where("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    stats = counted.groupBy("c").agg(F.sum("n").alias("n_present"), F.count(F.lit(1)).alias("n_distinct"))
+    names = F.array(*(F.struct(F.lit(i).alias("__c"), F.lit(c).alias("name")) for i, c in enumerate(columns)))
+    every = table.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.inline(names))  # one row for each column
+    rows = every.join(stats, F.col("__c") == F.col("c"), "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_present", "n_distinct")})
+    label = F.when(F.col("n_present") == 0, "dead").when(F.col("n_distinct") == 1, "constant").when(F.col("n_present") < F.col("n_rows"), "partial").otherwise("full")
+    return rows.select("name", "n_rows", "n_present", "n_distinct", F.try_divide("n_present", "n_rows").alias("coverage"), label.alias("kind"))
 
 
 def feature_columns(table: DataFrame) -> list[str]:

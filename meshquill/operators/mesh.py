@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -94,3 +94,18 @@ def profile_summary(captures: DataFrame) -> DataFrame:
         "capture_key", ratio("w1", "w6").alias("lower_upper"), ratio("w4", "w6").alias("mid_upper"), "width_max",
         (F.col("wb") / (BANDS - 1)).alias("width_at"), "depth_max", (F.col("db") / (BANDS - 1)).alias("depth_at"),
     )
+
+
+class ExplodeMesh:
+    """Table function: the corners of a capture's triangles, one row for each (triangle, corner, vid, x, y, z)."""
+
+    def eval(self, points: list, triangles: list):
+        for number, t in enumerate(triangles or ()):
+            for corner, vid in enumerate((t["i"], t["j"], t["k"])):
+                p = points[vid] if points and 0 <= vid < len(points) else None
+                yield number, corner, vid, p and p["x"], p and p["y"], p and p["z"]
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes explode_mesh(points, triangles) known to SQL, for lateral joins: FROM captures, LATERAL explode_mesh(points, triangles)."""
+    spark.udtf.register("explode_mesh", F.udtf(ExplodeMesh, returnType="triangle int, corner int, vid int, x double, y double, z double"))

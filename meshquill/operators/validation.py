@@ -65,13 +65,16 @@ def capture_issues(captures: DataFrame, bounds: tuple[float, float] = (MIN_DIAGO
     return c.select("capture_key", F.explode(F.concat(F.array_compact(fixed), noted)).alias("issue")).select("capture_key", "issue.*")
 
 
+def geometry_hash() -> Column:
+    """Equal geometry, equal hash: a digest of the shortest exact decimal forms, 16 hex digits of it."""
+    return F.substring(F.sha2(F.concat_ws(";", F.transform("points", lambda p: F.concat_ws(",", *(p[a].cast("string") for a in "xyz")))), 256), 1, 16)
+
+
 def counts(captures: DataFrame) -> DataFrame:
     """Keys with vertex and triangle counts and the geometry hash; what the cohort rules need."""
     c = with_defaults(captures)
-    text = F.concat_ws(";", F.transform("points", lambda p: F.concat_ws(",", *(p[a].cast("string") for a in "xyz"))))
     keep = ("capture_key", "participant_id", "capture_id", "path")
-    # Equal geometry, equal hash: a digest of the shortest exact decimal forms, 16 hex digits of it.
-    return c.where("error IS NULL").select(*keep, F.size("points").alias("nv"), F.size("triangles").alias("nt"), F.substring(F.sha2(text, 256), 1, 16).alias("geometry_hash"))
+    return c.where("error IS NULL").select(*keep, F.size("points").alias("nv"), F.size("triangles").alias("nt"), geometry_hash().alias("geometry_hash"))
 
 
 def topology_mode(captures: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import t_quantile
-from ..operators import metrics, models, normalise, ranks, ratings, shap, splits, symmetry, validation
+from ..operators import mesh, metrics, midline, models, normalise, ranks, ratings, shap, splits, symmetry, validation
 from ..sources import captures as json_captures
 from ..sources import tables
-from .queries import _GROUPS, _ISSUES, _NN, _TRAIN, _UNEVEN, CONVENTION, ORACLES, PRED, PTS, RAT, TARGETS, WIDE, _encoded, _training, _uneven, query, r6, rounded
+from .queries import _CURVE, _GROUPS, _ISSUES, _NN, _TRAIN, _UNEVEN, CONVENTION, ORACLES, PRED, PTS, RAT, TARGETS, WIDE, _encoded, _training, _uneven, CLOUD, query, r6, rounded
 
 
 # --- world-space captures ------------------------------------------------------------------------
@@ -236,6 +236,138 @@ ORACLES["drop_constant_columns"] = f"WITH {WIDE}, {TARGETS.replace(' HAVING coun
 )
 
 
+@query(f"""WITH {PTS}, t AS (SELECT unnest(range({tables.N_POINTS - 2})) AS i), c AS (SELECT unnest(range(3)) AS k)
+SELECT p.capture_key, CAST(t.i AS INTEGER) AS triangle, CAST(c.k AS INTEGER) AS corner, p.vid, {r6('p.x', 'x')}, {r6('p.y', 'y')}, {r6('p.z', 'z')} FROM t, c, pts p WHERE p.vid = t.i + c.k""")
+def explode_mesh(spark, sf):
+    """The table function in SQL, by a lateral join."""
+    mesh.register_functions(spark)
+    tables.captures(spark, sf).createOrReplaceTempView("__captures")
+    return rounded(spark.sql("SELECT c.capture_key, m.* FROM __captures c, LATERAL explode_mesh(c.points, c.triangles) m"))
+
+
+# Faults by capture_key modulo 16, and the codes that they must give besides those that all captures have.
+_FAULTS = ["nan_vertices", "inf_vertices", "no_vertices", "no_topology", "missing_participant_id", "vertex_count_mismatch", "triangle_count_mismatch", "collapsed_mesh", "duplicate_vertex_positions", "load_failed", "assumption", "missing_capture_id"]
+
+
+def _faulty(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures that have all that they can have, each with the fault that stands at its key modulo 16, or none."""
+    c = tables.captures(spark, sf)
+    k = F.col("capture_key") % 16
+    spoilt = lambda v: F.transform("points", lambda p, i: F.struct(F.when(i == 2, F.lit(v)).otherwise(p["x"]).alias("x"), p["y"].alias("y"), p["z"].alias("z")))
+    scaled = F.transform("points", lambda p: F.struct(*((p[a] * 0.1).alias(a) for a in "xyz")))
+    c = c.withColumn("points", scaled)
+    same = F.transform("points", lambda p: F.struct(*(F.lit(0.5).alias(a) for a in "xyz")))
+    twice = F.transform("points", lambda p, i: F.when(i == 1, F.col("points")[0]).otherwise(p))
+    none = lambda kind: F.array().cast(kind)
+    points = F.when(k == 0, spoilt(float("nan"))).when(k == 1, spoilt(float("inf"))).when(k == 2, none("array<struct<x:double,y:double,z:double>>")).when(k == 7, same).when(k == 8, twice).otherwise(F.col("points"))
+    eye = F.struct(*(F.lit(0.0).alias(a) for a in "xyz"))
+    return c.select(
+        "capture_key", F.when(k != 4, F.col("participant_id").cast("string")).alias("participant_id"), F.when(k != 11, F.col("capture_key").cast("string")).alias("capture_id"), points.alias("points"),
+        F.when(F.col("capture_key") % 16 == 3, none("array<struct<i:int,j:int,k:int>>")).otherwise(F.col("triangles")).alias("triangles"), F.when(k == 5, 20).otherwise(F.when(k == 2, 0).otherwise(21)).alias("declared_vertices"),
+        F.when(k == 6, 18).otherwise(F.when(k == 3, 0).otherwise(19)).alias("declared_triangles"), eye.alias("left_eye"), eye.alias("right_eye"), F.create_map(F.lit("jawOpen"), F.lit(0.5)).alias("blend_shapes"),
+        F.array_repeat(F.lit(1.0), 16).alias("transform"), F.when(k == 10, F.array(F.lit("units_assumed"))).alias("assumptions"), F.when(k == 9, "not JSON").alias("error"),
+    )
+
+
+@query(f"""WITH {PTS}, k AS (SELECT DISTINCT capture_key, CAST(capture_key % 16 AS INTEGER) AS k FROM pts), f(k, code, severity) AS (VALUES {', '.join(f"({i}, '{c}', '{'WARNING' if c == 'missing_capture_id' else 'INFO' if c in ('assumption', 'duplicate_vertex_positions') else 'ERROR'}')" for i, c in enumerate(_FAULTS))}),
+ ext AS (SELECT p.capture_key, p.capture_key % 16 AS k, 0.1 * sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)) AS d, 0.1 * sqrt(pow(max(x) FILTER (WHERE vid <> 1) - min(x) FILTER (WHERE vid <> 1), 2)
+   + pow(max(y) FILTER (WHERE vid <> 1) - min(y) FILTER (WHERE vid <> 1), 2) + pow(max(z) FILTER (WHERE vid <> 1) - min(z) FILTER (WHERE vid <> 1), 2)) AS d1 FROM pts p GROUP BY p.capture_key)
+SELECT k.capture_key, f.severity, f.code FROM k JOIN f ON f.k = k.k
+UNION ALL SELECT capture_key, 'INFO', 'duplicate_vertex_positions' FROM k WHERE k = 7
+UNION ALL SELECT capture_key, 'WARNING', 'implausible_scale' FROM ext WHERE k NOT IN (0, 1, 2, 7, 9) AND CASE WHEN k = 8 THEN d1 ELSE d END NOT BETWEEN 0.05 AND 0.40""")
+def planted_faults(spark, sf):
+    """Every code of a single capture, where it was planted and nowhere else."""
+    return validation.capture_issues(_faulty(spark, sf)).select("capture_key", "severity", "code")
+
+
+@query(f"""WITH {PTS}, k AS (SELECT DISTINCT capture_key, participant_id, CAST(capture_key % 16 AS INTEGER) AS k FROM pts), s AS (SELECT *, k < 8 OR k = 9 AS bad FROM k)
+SELECT count(*) AS n_captures, count(*) FILTER (WHERE bad) AS n_fail, count(DISTINCT CASE WHEN k <> 4 THEN participant_id END) AS n_participants FROM s""")
+def fault_summary(spark, sf):
+    c = _faulty(spark, sf)
+    return validation.summary(validation.status(c, validation.capture_issues(c))).select("n_captures", "n_fail", "n_participants")
+
+
+@query(f"SELECT CAST(label AS VARCHAR) AS participant_id, count(*) AS n_captures FROM embeddings GROUP BY label HAVING count(*) > 1")
+def repeated_participants(spark, sf):
+    c = tables.captures(spark, sf).withColumn("participant_id", F.col("participant_id").cast("string"))
+    return validation.repeated_participants(c)
+
+
+def _full_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Captures as JSON with every field, in the shapes that exports give them: padded points, nested triangles, column-major and nested matrices, named and listed blend shapes."""
+    c = tables.captures(spark, sf)
+    k, x = F.col("capture_key"), F.col("points")[0]["x"]
+    padded = F.transform("points", lambda p: F.array(p["x"], p["y"], p["z"], F.lit(1.0)))
+    tri = F.transform("triangles", lambda t: F.array(t["i"], t["j"], t["k"]))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    columns = F.array(one, zero, zero, zero, zero, one, zero, zero, zero, zero, one, zero, x, F.lit(2.0), F.lit(3.0), one)  # one column after the other
+    rows = F.array(F.array(one, zero, zero, x), F.array(zero, one, zero, F.lit(2.0)), F.array(zero, zero, one, F.lit(3.0)), F.array(zero, zero, zero, one))
+    shapes = F.when(k % 2 == 0, F.to_json(F.create_map(F.lit("jawOpen"), x))).otherwise(F.to_json(F.array(F.struct(F.lit("jawOpen").alias("name"), x.alias("value")))))
+    stamp = F.when(k % 3 == 0, F.to_json(F.array(F.lit("2024-05-06T07:08:09+02:00")))).when(k % 3 == 1, F.to_json(F.array(F.lit(1.7e9) + k))).otherwise(F.lit('["soon"]'))
+    fields = {
+        "participantId": F.to_json(F.array(F.concat(F.lit("P"), F.col("participant_id")))), "captureId": F.to_json(F.array(F.concat(F.lit("c"), k))), "vertices": F.to_json(F.array(padded)), "triangleIndices": F.to_json(F.array(tri)),
+        "leftEyeTransform": F.to_json(F.array(rows)), "rightEyeTransform": F.to_json(F.array(columns)), "timestamp": stamp, "lookAtPoint": F.to_json(F.array(F.array(x, zero, one))),
+        "textureCoordinates": F.to_json(F.array(F.array(F.array(x, one)))), "vertexCount": F.to_json(F.array(F.size("points"))), "triangleCount": F.to_json(F.array(F.size("triangles"))), "coordinateSpace": F.lit('["face"]'), "units": F.lit('["m"]'),
+    }
+    inner = lambda v: F.substring(v, 2, F.length(v) - 2)  # noqa: E731 - of an array of one
+    text = F.concat(F.lit('{"blendShapes": '), shapes, *(F.concat(F.lit(f', "{n}": '), inner(v)) for n, v in fields.items()), F.lit("}"))
+    return c.select(k.cast("string").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)
+SELECT vec_id AS capture_key, 'P' || label AS participant_id, 'c' || vec_id AS capture_id, 21 AS n_points, 19 AS n_triangles, {r6('x', 'left_eye_x')}, 2.0 AS left_eye_y, {r6('x', 'right_eye_x')}, 3.0 AS right_eye_z, {r6('x', 'jaw_open')}, {r6('x', 'look_x')}, {r6('x', 'u')},
+ CAST(CASE vec_id % 3 WHEN 0 THEN 1714972089 WHEN 1 THEN 1700000000 + vec_id END AS DOUBLE) AS timestamp_epoch, 21 AS declared_vertices, 19 AS declared_triangles, 'face_local' AS coordinate_space, CAST(NULL AS VARCHAR) AS error FROM e""")
+def capture_fields(spark, sf):
+    """What parsing finds in full documents: ids, padded points, both orders of matrices, blend shapes, times, counts."""
+    p = json_captures.parse_captures(_full_documents(spark, sf))
+    return rounded(p.select(
+        F.col("path").cast("long").alias("capture_key"), "participant_id", "capture_id", F.size("points").alias("n_points"), F.size("triangles").alias("n_triangles"), F.col("left_eye.x").alias("left_eye_x"), F.col("left_eye.y").alias("left_eye_y"),
+        F.col("right_eye.x").alias("right_eye_x"), F.col("right_eye.z").alias("right_eye_z"), F.col("blend_shapes")["jawOpen"].alias("jaw_open"), F.col("look_at.x").alias("look_x"), F.col("uv")[0]["u"].alias("u"), "timestamp_epoch",
+        "declared_vertices", "declared_triangles", "coordinate_space", "error",
+    ))
+
+
+def _linear_sql(alphas: list[float], name: str) -> str:
+    """A ridge (or, with alpha 0, plain least squares) of four columns by normal equations; of several alphas the one with the least leave-one-out error."""
+    k = range(4)
+    cells = [(i, j) for i in k for j in k]
+    steps = [f"m0 AS (SELECT alpha, n, my, {', '.join(f'g{min(i, j)}{max(i, j)}' + (' + alpha' if i == j else '') + f' AS m{i}{j}' for i, j in cells)}, {', '.join(f'{float(i == j)} AS e{i}{j}' for i, j in cells)}, {', '.join(f'r{i}' for i in k)} FROM gram, al)"]
+    for p in k:  # Gauss and Jordan
+        cell = lambda c, i, j: f"{c}{i}{j} / m{p}{p} AS {c}{i}{j}" if i == p else f"{c}{i}{j} - m{i}{p} * {c}{p}{j} / m{p}{p} AS {c}{i}{j}"  # noqa: B023, E731
+        steps.append(f"m{p + 1} AS (SELECT alpha, n, my, {', '.join(cell(c, i, j) for c in 'me' for i, j in cells)}, {', '.join(f'r{i}' for i in k)} FROM m{p})")
+    beta = ", ".join(f"{' + '.join(f'e{i}{j} * r{j}' for j in k)} AS b{i}" for i in k)
+    fitted = " + ".join(f"z{i} * b{i}" for i in k)
+    leverage = " + ".join(f"z{i} * z{j} * e{i}{j}" for i, j in cells)
+    return f"""WITH tr AS (SELECT l_suppkey AS p, CAST(l_quantity AS DOUBLE) AS c0, CAST(l_discount AS DOUBLE) AS c1, CAST(l_tax AS DOUBLE) AS c2, CAST(l_linenumber AS DOUBLE) AS c3, l_extendedprice / 1000 AS y FROM lineitem),
+ ids AS (SELECT DISTINCT p FROM tr), k AS (SELECT p, row_number() OVER (ORDER BY md5('42:' || CAST(p AS VARCHAR)), p) AS r FROM ids), cut AS (SELECT ceil(0.2 * count(*)) AS c FROM ids),
+ s AS (SELECT tr.*, k.r <= cut.c AS test FROM tr JOIN k ON k.p = tr.p, cut), st AS (SELECT avg(y) AS my, {', '.join(f'avg(c{i}) AS a{i}, stddev_pop(c{i}) AS s{i}' for i in k)} FROM s WHERE NOT test),
+ z AS (SELECT y, test, {', '.join(f'(c{i} - a{i}) / s{i} AS z{i}' for i in k)} FROM s, st), al AS (SELECT unnest([{', '.join(map(repr, alphas))}]) AS alpha),
+ gram AS (SELECT count(*) AS n, max(my) AS my, {', '.join(f'sum(z{i} * z{j}) AS g{i}{j}' for i in k for j in k if i <= j)}, {', '.join(f'sum(z{i} * (y - my)) AS r{i}' for i in k)} FROM z, st WHERE NOT test),
+ {', '.join(steps)}, b AS (SELECT *, {beta} FROM m4),
+ loo AS (SELECT alpha, sum(pow((y - my - ({fitted})) / greatest(1 - 1.0 / n - ({leverage}), 1e-12), 2)) AS e FROM z, b WHERE NOT test GROUP BY alpha),
+ best AS (SELECT b.* FROM b WHERE alpha = (SELECT alpha FROM loo ORDER BY e, alpha LIMIT 1)),
+ f AS (SELECT y AS t, my + {fitted} AS p FROM z, best WHERE test), a AS (SELECT avg(t) AS m FROM f)
+SELECT count(*) AS n, {', '.join(f'round({x}, 4) + 0.0 AS {c}' for x, c in (('avg(abs(p - t))', 'mae'), ('sqrt(avg(pow(p - t, 2)))', 'rmse'), ('1 - sum(pow(p - t, 2)) / (count(*) * var_pop(t))', 'r2'), ('covar_pop(t, p) / sqrt(var_pop(t) * var_pop(p))', 'pearson_r'), ('avg(abs(t - m))', 'baseline_mae'), ('sqrt(avg(pow(t - m, 2)))', 'baseline_rmse')))}, '{name}' AS model FROM f, a"""
+
+
+ORACLES["ols_fit"] = _linear_sql([0.0], "linear")
+ORACLES["ridge_loo"] = _linear_sql(list(models.ALPHAS), "ridge")
+
+_DENSE = _CURVE.replace(PTS, f"cl AS (SELECT capture_key AS c, x, y, z FROM ({PTS.removeprefix('pts AS (').removesuffix(')')})), pts AS (SELECT CAST(floor(c / {CLOUD}) AS BIGINT) AS capture_key, x, y, z FROM cl)")
+_AT = lambda name, c: f"max(CASE WHEN idx = {name} THEN {c} END)"
+ORACLES["midline_landmarks"] = f"""WITH {_DENSE}, o AS (SELECT capture_key, y, z, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY capture_key) AS n, first_value(z) OVER w AS z0, last_value(z) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS zn,
+  lag(z, 1) OVER w AS a1, lag(z, 2) OVER w AS a2, lead(z, 1) OVER w AS b1, lead(z, 2) OVER w AS b2 FROM curve WINDOW w AS (PARTITION BY capture_key ORDER BY bin)),
+ s AS (SELECT capture_key, y, idx, n, (z + coalesce(a1, z0) + coalesce(b1, zn) + coalesce(a2, z0) + coalesce(b2, zn)) / 5 AS zs FROM o WHERE n >= {midline.FEWEST}),
+ e AS (SELECT *, idx >= {midline.MARGIN} AND idx < n - {midline.MARGIN} AND zs < lag(zs) OVER w AND zs < lead(zs) OVER w AS low, idx >= {midline.MARGIN} AND idx < n - {midline.MARGIN} AND zs > lag(zs) OVER w AND zs > lead(zs) OVER w AS high FROM s WINDOW w AS (PARTITION BY capture_key ORDER BY idx)),
+ t AS (SELECT capture_key, arg_min(idx, (-zs, idx)) AS tip FROM e GROUP BY capture_key),
+ u AS (SELECT e.capture_key, any_value(tip) AS tip, min(idx) FILTER (WHERE low AND idx > tip) AS nas, max(idx) FILTER (WHERE low AND idx < tip) AS sub FROM e JOIN t ON t.capture_key = e.capture_key GROUP BY e.capture_key),
+ v AS (SELECT u.*, (SELECT max(idx) FROM e WHERE e.capture_key = u.capture_key AND high AND idx < u.sub) AS pog FROM u),
+ m AS (SELECT e.capture_key, {', '.join(f"{_AT(k, c)} AS {k}_{c}" for k in ('tip', 'nas', 'sub', 'pog') for c in ('y', 'zs'))}, {_AT('0', 'y')} AS men_y FROM e JOIN v ON v.capture_key = e.capture_key GROUP BY e.capture_key),
+ top AS (SELECT capture_key, max(y) AS top FROM pts GROUP BY capture_key)
+SELECT top.capture_key, {r6('abs(nas_y - sub_y)', 'middle_third_height')}, {r6('abs(sub_y - men_y)', 'lower_third_height')}, {r6('abs(nas_y - men_y)', 'nasion_menton_height')}, {r6('top - nas_y', 'upper_region_height')},
+ {r6('abs(nas_y - sub_y) / nullif(abs(sub_y - men_y), 0)', 'third_ratio_middle_lower')}, {r6('tip_zs - sub_zs', 'nose_projection')}, {r6('abs(tip_y - sub_y)', 'nose_height')}, {r6('pog_zs - sub_zs', 'chin_projection')},
+ {r6('abs(pog_y - men_y)', 'chin_height')}, {r6('tip_zs - nas_zs', 'nasion_depth')} FROM top LEFT JOIN m ON m.capture_key = top.capture_key"""
+
 _COORDINATES = 64
 
 

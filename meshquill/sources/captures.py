@@ -304,14 +304,16 @@ def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: di
     return row
 
 
-def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
-    """SCHEMA rows from (path, content); works on batch and streaming inputs alike."""
+def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, list[str]] = ALIASES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """SCHEMA rows from (path, content), with the columns to keep; works on batch and streaming inputs alike."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([parse_capture(p, c, strict, aliases) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=FIELDS)
+            rows = pd.DataFrame([parse_capture(p, c, strict, aliases) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=FIELDS)
+            yield pd.concat([rows, frame[list(keep)].reset_index(drop=True)], axis=1) if keep else rows
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    kinds = dict(files.dtypes)
+    return files.select("path", "content", *keep).mapInPandas(run, ", ".join([SCHEMA, *(f"`{c}` {kinds[c]}" for c in keep)]))
 
 
 def load_captures(spark: SparkSession, root: str, strict: bool = True, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
