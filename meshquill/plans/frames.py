@@ -11,7 +11,7 @@ from ..functions.special import t_quantile
 from ..operators import mesh, metrics, midline, models, normalise, ranks, ratings, shap, splits, symmetry, validation
 from ..sources import captures as json_captures
 from ..sources import tables
-from .queries import _CURVE, _GROUPS, _ISSUES, _NN, _TRAIN, _UNEVEN, CONVENTION, ORACLES, PRED, PTS, RAT, TARGETS, WIDE, _encoded, _training, _uneven, CLOUD, query, r6, rounded
+from .queries import _CURVE, _GROUPS, _ISSUES, _NN, _TRAIN, _UNEVEN, CONVENTION, ORACLES, PRED, PTS, RAT, TARGETS, WIDE, _encoded, _mirror_sql, _skew, _training, _uneven, CLOUD, SIZE, query, r6, rounded
 
 
 # --- world-space captures ------------------------------------------------------------------------
@@ -327,8 +327,11 @@ def capture_fields(spark, sf):
     ))
 
 
-def _linear_sql(alphas: list[float], name: str) -> str:
-    """A ridge (or, with alpha 0, plain least squares) of four columns by normal equations; of several alphas the one with the least leave-one-out error."""
+def _linear_sql(alphas: list[float], final: str, held: str = "k.r <= cut.c") -> str:
+    """A ridge (or, with alpha 0, plain least squares) of four columns by normal equations; of several alphas the one with the least leave-one-out error.
+
+    final: the SELECT over z (standardised rows), best (coefficients) and f (held-out truths and predictions).
+    """
     k = range(4)
     cells = [(i, j) for i in k for j in k]
     steps = [f"m0 AS (SELECT alpha, n, my, {', '.join(f'g{min(i, j)}{max(i, j)}' + (' + alpha' if i == j else '') + f' AS m{i}{j}' for i, j in cells)}, {', '.join(f'{float(i == j)} AS e{i}{j}' for i, j in cells)}, {', '.join(f'r{i}' for i in k)} FROM gram, al)"]
@@ -340,18 +343,42 @@ def _linear_sql(alphas: list[float], name: str) -> str:
     leverage = " + ".join(f"z{i} * z{j} * e{i}{j}" for i, j in cells)
     return f"""WITH tr AS (SELECT l_suppkey AS p, CAST(l_quantity AS DOUBLE) AS c0, CAST(l_discount AS DOUBLE) AS c1, CAST(l_tax AS DOUBLE) AS c2, CAST(l_linenumber AS DOUBLE) AS c3, l_extendedprice / 1000 AS y FROM lineitem),
  ids AS (SELECT DISTINCT p FROM tr), k AS (SELECT p, row_number() OVER (ORDER BY md5('42:' || CAST(p AS VARCHAR)), p) AS r FROM ids), cut AS (SELECT ceil(0.2 * count(*)) AS c FROM ids),
- s AS (SELECT tr.*, k.r <= cut.c AS test FROM tr JOIN k ON k.p = tr.p, cut), st AS (SELECT avg(y) AS my, {', '.join(f'avg(c{i}) AS a{i}, stddev_pop(c{i}) AS s{i}' for i in k)} FROM s WHERE NOT test),
+ s AS (SELECT tr.*, {held} AS test FROM tr JOIN k ON k.p = tr.p, cut), st AS (SELECT avg(y) AS my, {', '.join(f'avg(c{i}) AS a{i}, stddev_pop(c{i}) AS s{i}' for i in k)} FROM s WHERE NOT test),
  z AS (SELECT y, test, {', '.join(f'(c{i} - a{i}) / s{i} AS z{i}' for i in k)} FROM s, st), al AS (SELECT unnest([{', '.join(map(repr, alphas))}]) AS alpha),
  gram AS (SELECT count(*) AS n, max(my) AS my, {', '.join(f'sum(z{i} * z{j}) AS g{i}{j}' for i in k for j in k if i <= j)}, {', '.join(f'sum(z{i} * (y - my)) AS r{i}' for i in k)} FROM z, st WHERE NOT test),
  {', '.join(steps)}, b AS (SELECT *, {beta} FROM m4),
  loo AS (SELECT alpha, sum(pow((y - my - ({fitted})) / greatest(1 - 1.0 / n - ({leverage}), 1e-12), 2)) AS e FROM z, b WHERE NOT test GROUP BY alpha),
  best AS (SELECT b.* FROM b WHERE alpha = (SELECT alpha FROM loo ORDER BY e, alpha LIMIT 1)),
  f AS (SELECT y AS t, my + {fitted} AS p FROM z, best WHERE test), a AS (SELECT avg(t) AS m FROM f)
-SELECT count(*) AS n, {', '.join(f'round({x}, 4) + 0.0 AS {c}' for x, c in (('avg(abs(p - t))', 'mae'), ('sqrt(avg(pow(p - t, 2)))', 'rmse'), ('1 - sum(pow(p - t, 2)) / (count(*) * var_pop(t))', 'r2'), ('covar_pop(t, p) / sqrt(var_pop(t) * var_pop(p))', 'pearson_r'), ('avg(abs(t - m))', 'baseline_mae'), ('sqrt(avg(pow(t - m, 2)))', 'baseline_rmse')))}, '{name}' AS model FROM f, a"""
+{final}"""
+
+
+def _scores(name: str) -> str:
+    columns = (("avg(abs(p - t))", "mae"), ("sqrt(avg(pow(p - t, 2)))", "rmse"), ("1 - sum(pow(p - t, 2)) / (count(*) * var_pop(t))", "r2"), ("covar_pop(t, p) / sqrt(var_pop(t) * var_pop(p))", "pearson_r"), ("avg(abs(t - m))", "baseline_mae"), ("sqrt(avg(pow(t - m, 2)))", "baseline_rmse"))
+    return f"SELECT count(*) AS n, {', '.join(f'round({x}, 4) + 0.0 AS {c}' for x, c in columns)}, '{name}' AS model FROM f, a"
+
 
+_EACH = lambda expression, over, c: " UNION ALL ".join(f"SELECT '{n}' AS feature, {expression.format(i=i)} AS {c} FROM {over}" for i, n in enumerate(_TRAIN))
+ORACLES["ols_fit"] = _linear_sql([0.0], _scores("linear"))
+ORACLES["ridge_loo"] = _linear_sql(list(models.ALPHAS), _scores("ridge"))
+ORACLES["model_importance"] = _linear_sql(list(models.ALPHAS), _EACH("round(abs(b{i}), 6) + 0.0", "best", "importance"), held="false")
+ORACLES["shap_linear"] = _linear_sql(list(models.ALPHAS), _EACH("round(avg(abs(z{i} * b{i})), 4) + 0.0", "z, best WHERE test", "mean_abs_shap"))
 
-ORACLES["ols_fit"] = _linear_sql([0.0], "linear")
-ORACLES["ridge_loo"] = _linear_sql(list(models.ALPHAS), "ridge")
+
+def _taper_sql(up: int, side: int) -> str:
+    """Mean taper of the cohort with one axis taken as up and one as lateral."""
+    y, x = "xyz"[up], "xyz"[side]
+    inner = f"SELECT avg(CASE WHEN {y} >= q75 THEN abs({x}) END) - avg(CASE WHEN {y} <= q25 THEN abs({x}) END) AS t FROM (SELECT *, quantile_cont({y}, 0.25) OVER w AS q25, quantile_cont({y}, 0.75) OVER w AS q75 FROM pts WINDOW w AS (PARTITION BY capture_key)) GROUP BY capture_key"
+    return f"SELECT {up} AS up, {side} AS side, (SELECT avg(t) FROM ({inner})) AS t"
+
+
+ORACLES["axis_detection"] = f"""WITH {PTS}, {SIZE}, m AS (SELECT axis, avg(error) AS e FROM ({' UNION ALL '.join(_mirror_sql(i, c) for i, c in enumerate('xyz'))}) GROUP BY axis),
+ sk AS ({' UNION ALL '.join(f"SELECT {i} AS axis, (SELECT avg(k) FROM (SELECT {_skew(c)} AS k FROM pts GROUP BY capture_key)) AS skew" for i, c in enumerate('xyz'))}),
+ tp AS ({' UNION ALL '.join(_taper_sql(u, v) for u in range(3) for v in range(3) if u != v)}),
+ lr AS (SELECT axis FROM m ORDER BY e, axis LIMIT 1), ant AS (SELECT axis FROM sk WHERE axis <> (SELECT axis FROM lr) ORDER BY abs(skew) DESC, axis LIMIT 1),
+ f AS (SELECT (SELECT axis FROM lr) AS l, (SELECT axis FROM ant) AS a, 3 - (SELECT axis FROM lr) - (SELECT axis FROM ant) AS s),
+ g AS (SELECT l, a, s, CASE WHEN tp.t > 0 THEN 1 ELSE -1 END AS ss FROM f JOIN tp ON tp.up = s AND tp.side = l)
+SELECT l AS left_axis, 1 AS left_sign, s AS superior_axis, ss AS superior_sign, a AS anterior_axis, CASE WHEN (l + 1) % 3 = s THEN ss ELSE -ss END AS anterior_sign, true AS right_handed FROM g"""
 
 _DENSE = _CURVE.replace(PTS, f"cl AS (SELECT capture_key AS c, x, y, z FROM ({PTS.removeprefix('pts AS (').removesuffix(')')})), pts AS (SELECT CAST(floor(c / {CLOUD}) AS BIGINT) AS capture_key, x, y, z FROM cl)")
 _AT = lambda name, c: f"max(CASE WHEN idx = {name} THEN {c} END)"
