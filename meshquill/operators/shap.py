@@ -39,7 +39,8 @@ def tree_nodes(fitted: Fitted, folder: str, spark: SparkSession) -> list[tuple[f
     if isinstance(fitted.model, Boosted):
         leaf = {"leftChild": -1, "rightChild": -1, "feature": None, "threshold": None}
         inner = lambda i: {"leftChild": 2 * i + 1, "rightChild": 2 * i + 2}
-        return [(1.0, {i: {**leaf, **n, "prediction": n["value"], **(inner(i) if "feature" in n else {})} for i, n in t.items()}) for t in fitted.model.trees]
+        base = (1.0, {0: {**leaf, "prediction": fitted.model.base, "cover": 1.0}})  # what the trees add to
+        return [base, *((1.0, {i: {**leaf, **n, "prediction": n["value"], **(inner(i) if "feature" in n else {})} for i, n in t.items()}) for t in fitted.model.trees)]
     if isinstance(fitted.model, Ridge) or not hasattr(fitted.model.stages[-1], "treeWeights"):
         raise ValueError(f"{fitted.name} has no trees")
     model = fitted.model.stages[-1]
