@@ -15,7 +15,7 @@ NAMES = (
     "left_zygion", "right_zygion", "trichion", "glabella",
 )
 PAIRS = (
-    ("nose_left_ala", "nose_right_ala"), ("left_eye_inner", "right_eye_inner"), ("left_eye_outer", "right_eye_outer"),
+    ("left_eye_inner", "right_eye_inner"), ("left_eye_outer", "right_eye_outer"), ("nose_left_ala", "nose_right_ala"),
     ("mouth_left_corner", "mouth_right_corner"), ("left_gonion", "right_gonion"), ("left_zygion", "right_zygion"),
 )
 # Measured distances and the landmarks they lie between.
