@@ -82,3 +82,18 @@ def test_one_group_of_twenty_thousand_keeps_its_share(spark):
     judged = quality.judge(df, quality.fit(df)).groupBy((F.col("doc_id") >= n).alias("planted")).agg(F.avg(F.col("kept").cast("int")).alias("share"))
     share = {r["planted"]: r["share"] for r in judged.collect()}
     assert share[True] == 0.0 and share[False] > 0.97
+
+
+def test_pipeline_of_long_texts_and_clashing_columns(spark, tmp_path):
+    """Very long texts go through all stages whole, and columns that stages use themselves stay out of their way."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"word{i}" for i in rng.integers(0, 5000, n))
+    rows = [(i, text(60 + i % 40), "en", "a", 1) for i in range(60)] + [(100, text(60_000), "en", "a", 1), (101, None, None, None, None), (102, "", "en", "a", 0)]
+    docs = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"n_chars": "Int64"})
+    docs.assign(rep=1, kept="x", rate=0.5, copy="y", digest=None, sequence_id=3, start="s", length=1.0).to_parquet(tmp_path / "documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(out.doc_id) <= set(range(60)) | {100} and not {101, 102} & set(out.doc_id) and len(set(out.doc_id)) > 40
+    for _, pieces in out[out.start == 0].groupby("doc_id"):
+        assert (pieces.doc_tokens > 0).all()
