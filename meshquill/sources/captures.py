@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import native
+
 # Canonical fields and the key paths under which exporters put them, in order of preference.
 ALIASES: dict[str, list[str]] = {
     "capture_id": ["capture_id", "captureId", "capture", "id", "frame_id", "frameId", "metadata.capture_id"],
@@ -241,6 +243,19 @@ def parse_time(raw: Any) -> tuple[str | None, float | None]:
     return str(raw), (at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp()
 
 
+def canonical(value: Any) -> str:
+    """JSON with sorted keys and no spaces; whole numbers have no point."""
+
+    def whole(v: Any) -> Any:
+        if isinstance(v, dict):
+            return {k: whole(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [whole(x) for x in v]
+        return int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 1e15 else v
+
+    return json.dumps(whole(value), sort_keys=True, separators=(",", ":"))
+
+
 def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: dict[str, list[str]] = ALIASES) -> dict:
     """One row of SCHEMA for one document; everything that goes wrong ends up in error."""
     row: dict[str, Any] = dict.fromkeys(FIELDS)
@@ -290,8 +305,8 @@ def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: di
             uv = [uv[i : i + 2] for i in range(0, len(uv), 2)] if len(uv) % 2 == 0 else None
         row["uv"] = [{"u": float(a), "v": float(b)} for a, b in uv] if isinstance(uv, list) and all(isinstance(p, list) and len(p) == 2 for p in uv) else None
         row["blend_shapes"] = coerce_blend_shapes(got["blend_shapes"], notes)
-        row["camera"] = json.dumps(got["camera"]) if got["camera"] is not None else None
-        row |= {f: v if isinstance(v, str) else json.dumps(v) for f in BUNDLE if (v := got.get(f)) is not None}
+        row["camera"] = canonical(got["camera"]) if got["camera"] is not None else None
+        row |= {f: v if isinstance(v, str) else canonical(v) for f in BUNDLE if (v := got.get(f)) is not None}
         row["declared_vertices"], row["declared_triangles"] = (int(v) if isinstance(v, int | float) and not isinstance(v, bool) else None for v in (got["vertex_count"], got["triangle_count"]))
     except UnicodeDecodeError as e:
         row["error"] = f"not UTF-8: byte {e.start}"
@@ -305,7 +320,11 @@ def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: di
 
 
 def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, list[str]] = ALIASES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """SCHEMA rows from (path, content), with the columns to keep; works on batch and streaming inputs alike."""
+    """SCHEMA rows from (path, content), with the columns to keep; works on batch and streaming inputs alike.
+
+    Well-formed documents are parsed and coerced in the JVM (`native`); those with anything in doubt, or
+    with an error, go through `parse_capture` in Python, with the same rows.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -313,7 +332,14 @@ def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, lis
             yield pd.concat([rows, frame[list(keep)].reset_index(drop=True)], axis=1) if keep else rows
 
     kinds = dict(files.dtypes)
-    return files.select("path", "content", *keep).mapInPandas(run, ", ".join([SCHEMA, *(f"`{c}` {kinds[c]}" for c in keep)]))
+    files = files.select("path", "content", *keep)
+    schema = ", ".join([SCHEMA, *(f"`{c}` {kinds[c]}" for c in keep)])
+    every = {f: [f] for f in ALIASES} | aliases
+    if any(not paths or any(p.count(".") > MAX_DEPTH for p in paths) for paths in every.values()):  # beyond the levels that are searched
+        return files.mapInPandas(run, schema)
+    docs = native.read(files.withColumn("__text", F.col("content").cast("string")), "__text", every, BUNDLE, UNITS, SPACES, norm, strict, MAX_DEPTH)
+    easy = docs.where("__good").select("path", *[F.col(f"__r_{f}").alias(f) for f in FIELDS[1:]], *keep)
+    return easy.unionAll(docs.where("NOT __good").select("path", "content", *keep).mapInPandas(run, schema))
 
 
 def load_captures(spark: SparkSession, root: str, strict: bool = True, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
@@ -364,19 +390,6 @@ def tree_rows(node: Any, depth: int, level: int = 0, prefix: str = "") -> Iterat
 ODD_JSON = r"[0-9][eE]|[0-9]{16,}|-0|0\.0000|\\u|[^\x00-\x7F]"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _items(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
-
-
-def _fields(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
-
-
 def _variant_kind(v: Column) -> Column:
     kind = F.schema_of_variant(v)
     word = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array")
@@ -391,21 +404,21 @@ def _dumped(v: Column) -> Column:
 
 def _described(v: Column, kind: Column) -> Column:
     """`describe` of a variant."""
-    items, fields = _items(v), lambda x: F.map_keys(_fields(x))
+    items, fields = native.items(v), lambda x: F.map_keys(native.fields(x))
     head = F.get(items, F.lit(0))
     of = _variant_kind(head)
     n = F.size(items).cast("string")
     array = F.when(F.size(items) == 0, "empty array")
     array = array.when(of == "object", F.concat(F.lit("array of "), n, F.lit(" objects with keys "), F.array_join(F.slice(F.array_sort(fields(head)), 1, 5), ", ")))
-    array = array.when(of == "array", F.concat(F.lit("array of "), n, F.lit(" arrays of "), F.size(_items(head)).cast("string")))
+    array = array.when(of == "array", F.concat(F.lit("array of "), n, F.lit(" arrays of "), F.size(native.items(head)).cast("string")))
     array = array.otherwise(F.concat(F.lit("array of "), n, F.lit(": "), F.array_join(F.transform(F.slice(items, 1, 3), _dumped), ", ")))
-    scalar = _let(_dumped(v), lambda t: F.when(F.length(t) <= MAX_TEXT, t).otherwise(F.concat(F.substring(t, 1, MAX_TEXT - 3), F.lit("..."))))
+    scalar = native.let(_dumped(v), lambda t: F.when(F.length(t) <= MAX_TEXT, t).otherwise(F.concat(F.substring(t, 1, MAX_TEXT - 3), F.lit("..."))))
     return F.when(kind == "object", F.concat(F.lit("object of "), F.size(fields(v)).cast("string"), F.lit(" keys"))).when(kind == "array", array).otherwise(scalar)
 
 
 def _plain_array(v: Column) -> Column:
     """Whether a variant array holds only scalars, objects first, or arrays first: what previews show without writing nested values."""
-    items = _items(v)
+    items = native.items(v)
     first = _variant_kind(F.get(items, F.lit(0)))
     return first.isin("object", "array") | ~F.exists(F.slice(items, 1, 3), lambda x: _variant_kind(x).isin("object", "array"))
 
@@ -416,17 +429,17 @@ def _variant_tree(v: Column, depth: int) -> Column:
 
     def below(node: Column, level: Column) -> Column:
         path = lambda e: F.when(node["prefix"] == "", e["key"]).otherwise(F.concat(node["prefix"], F.lit("."), e["key"]))
-        return F.transform(F.map_entries(_fields(node["value"])), lambda e: F.struct(path(e).alias("key_path"), level.alias("depth"), e["value"].alias("value"), _variant_kind(e["value"]).alias("kind")))
+        return F.transform(F.map_entries(native.fields(node["value"])), lambda e: F.struct(path(e).alias("key_path"), level.alias("depth"), e["value"].alias("value"), _variant_kind(e["value"]).alias("kind")))
 
     def onward(entries: Column) -> Column:
         objects = F.transform(F.filter(entries, lambda e: e["kind"] == "object"), lambda e: F.struct(e["key_path"].alias("prefix"), e["value"].alias("value")))
-        items = lambda e: _items(e["value"])
+        items = lambda e: native.items(e["value"])
         short = F.filter(F.filter(entries, lambda e: e["kind"] == "array"), lambda e: (F.size(items(e)) > 0) & (F.size(items(e)) <= MAX_ARRAY) & (_variant_kind(F.get(items(e), F.lit(0))) == "object"))
         return F.concat(objects, F.transform(short, lambda e: F.struct(F.concat(e["key_path"], F.lit("[0]")).alias("prefix"), F.get(items(e), F.lit(0)).alias("value"))))
 
     def step(state: Column, level: Column) -> Column:
         entries = F.flatten(F.transform(state["nodes"], lambda n: below(n, level)))
-        return _let(entries, lambda e: F.struct(F.concat(state["rows"], e).alias("rows"), onward(e).alias("nodes")))
+        return native.let(entries, lambda e: F.struct(F.concat(state["rows"], e).alias("rows"), onward(e).alias("nodes")))
 
     start = F.struct(F.array().cast(f"array<{row}>").alias("rows"), F.array(F.struct(F.lit("").alias("prefix"), v.alias("value"))).alias("nodes"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, step, lambda s: s["rows"])
