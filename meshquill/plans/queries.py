@@ -341,7 +341,7 @@ def _encoded(spark: SparkSession, sf: str) -> DataFrame:
  CASE WHEN vec_id % 5 < 4 THEN {_N} END AS n_points, CASE WHEN vec_id % 5 < 4 THEN 'ok' ELSE 'error' END AS outcome,
  CASE vec_id % 5 WHEN 1 THEN 'vertices_reshaped_from_flat_xyz' WHEN 2 THEN 'vertices_from_dict_records' WHEN 3 THEN 'vertices_from_component_arrays' ELSE '' END AS shape FROM embeddings""")
 def coerce_shapes(spark, sf):
-    p = json_captures.parse_captures(_encoded(spark, sf))
+    p = json_captures.parse_captures(_encoded(spark, sf), jvm=True)
     key = F.regexp_extract("path", r"([^/]+)\.json$", 1)
     shape = F.coalesce(F.array_join(F.filter("assumptions", lambda a: a.startswith("vertices_")), ","), F.lit(""))
     pid = F.coalesce("participant_id", F.regexp_extract("path", r"raw/([^/]+)/", 1))

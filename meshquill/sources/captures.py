@@ -319,11 +319,12 @@ def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: di
     return row
 
 
-def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, list[str]] = ALIASES, keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, list[str]] = ALIASES, keep: tuple[str, ...] = (), jvm: bool = False) -> DataFrame:
     """SCHEMA rows from (path, content), with the columns to keep; works on batch and streaming inputs alike.
 
-    Well-formed documents are parsed and coerced in the JVM (`native`); those with anything in doubt, or
-    with an error, go through `parse_capture` in Python, with the same rows.
+    jvm: well-formed documents are parsed and coerced in the JVM (`native`), without a Python worker; those
+    with anything in doubt, or with an error, go through `parse_capture` in Python, with the same rows.
+    Plans that use the points many times should write such rows first, as their expressions may be repeated.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,7 +336,7 @@ def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, lis
     files = files.select("path", "content", *keep)
     schema = ", ".join([SCHEMA, *(f"`{c}` {kinds[c]}" for c in keep)])
     every = {f: [f] for f in ALIASES} | aliases
-    if any(not paths or any(p.count(".") > MAX_DEPTH for p in paths) for paths in every.values()):  # beyond the levels that are searched
+    if not jvm or any(not paths or any(p.count(".") > MAX_DEPTH for p in paths) for paths in every.values()):  # beyond the levels that are searched
         return files.mapInPandas(run, schema)
     docs = native.read(files.withColumn("__text", F.col("content").cast("string")), "__text", every, BUNDLE, UNITS, SPACES, norm, strict, MAX_DEPTH)
     easy = docs.where("__good").select("path", *[F.col(f"__r_{f}").alias(f) for f in FIELDS[1:]], *keep)

@@ -51,7 +51,7 @@ def test_rows_equal_the_python_reader(spark, strict):
     texts = {f"raw/P7/{k}.v1.json": json.dumps(v) for k, v in {**WELL_FORMED, **IN_DOUBT}.items()} | {f"{k}.json": v for k, v in RAW.items()}
     texts["plain"] = json.dumps(doc())
     frame = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()] + [("bytes.json", bytearray(b"\xff"))], "path string, content binary")
-    got = {r["path"]: plain(r) for r in c.parse_captures(frame, strict).collect()}
+    got = {r["path"]: plain(r) for r in c.parse_captures(frame, strict, jvm=True).collect()}
     assert len(got) == len(texts) + 1
     for path, text in {**texts, "bytes.json": b"\xff"}.items():
         expected = plain(c.parse_capture(path, text, strict))
@@ -69,4 +69,4 @@ def test_a_field_map_of_ones_own(spark):
     blob = {"who": {"name": "P3"}, "shape": {"pts": FLAT}, "shape_faces": T}
     own = {"participant_id": ["who.name"], "vertices": ["shape.pts"], "triangle_indices": ["shapeFaces"]}
     frame = spark.createDataFrame([("a/b.json", bytearray(json.dumps(blob).encode()))], "path string, content binary")
-    assert plain(c.parse_captures(frame, aliases=own).first()) == plain(c.parse_capture("a/b.json", json.dumps(blob), aliases=own))
+    assert plain(c.parse_captures(frame, aliases=own, jvm=True).first()) == plain(c.parse_capture("a/b.json", json.dumps(blob), aliases=own))
