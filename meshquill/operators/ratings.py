@@ -123,8 +123,8 @@ def target_summary(consensus: DataFrame) -> DataFrame:
     )
 
 
-#: Distinct values of one participant that are resampled together.
-CHUNK = 4096
+#: Distinct values of one participant that are resampled together; participants whose intervals leave a task together.
+CHUNK, ROWS = 4096, 256
 
 
 def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 2000, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -133,45 +133,75 @@ def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 200
     Each of a participant's ratings counts Poisson(1) times in a resample. Ratings are counted by value first,
     as n ratings of one value count Poisson(n) times together; the draws depend on participant and value
     alone. So sums over a participant's values can be taken in parts of at most `chunk` values, wherever
-    they are, and added up; a participant of any size is never in one row. A resample without any
-    rating is left out.
+    they are, and added up; a participant of any size is never in one row. A participant with one part, as
+    nearly all are, gets its interval where it is resampled, and none of its resamples are kept or shuffled; of
+    others each part gives one row for each resample. A resample without any rating is left out.
     """
     tail = (1 - confidence) / 2
     counted = clean(ratings).groupBy("participant_id", "rating").agg(F.count(F.lit(1)).alias("n"))
     values = counted.groupBy("participant_id").agg(F.count(F.lit(1)).alias("__values"), F.sum("n").alias("n_ratings"))
     values = values.withColumnRenamed("participant_id", "__participant")
-    dealt = counted.join(values, F.col("participant_id").eqNullSafe(F.col("__participant"))).where("n_ratings > 1")
-    part = F.pmod(F.xxhash64("rating"), F.ceil(F.col("__values") / chunk)).cast("int")
-    parts = dealt.groupBy("participant_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("rating", "n"))).alias("counts"))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            weights, totals = [], []
-            for pid, cell in zip(batch.column("participant_id").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                w, t = np.zeros(resamples), np.zeros(resamples)
-                for c in cell:
-                    draw = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{pid}:{c['rating']!r}")).poisson(c["n"], resamples)
-                    w += draw
-                    t += draw * c["rating"]
-                weights.append(w.tolist())
-                totals.append(t.tolist())
-            kind = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("participant_id"), pa.array(weights, kind), pa.array(totals, kind)], ["participant_id", "w", "t"])
+    dealt = counted.join(values, F.col("participant_id").eqNullSafe(F.col("__participant"))).withColumn("__parts", F.ceil(F.col("__values") / chunk))
+    part = F.pmod(F.xxhash64("rating"), F.col("__parts")).cast("int")
+    # A given number of partitions: few bytes make much work here, and adaptive execution would join them to a few tasks.
+    spread = dealt.withColumn("part", part).repartition(int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "participant_id", "part")
+    parts = spread.groupBy("participant_id", "n_ratings", "__parts", "part").agg(F.array_sort(F.collect_list(F.struct("rating", "n"))).alias("counts"))
+
+    def resampled(pid, counts: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
+        w, t = np.zeros(resamples), np.zeros(resamples)
+        for rating, n in counts:
+            draw = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{pid}:{rating!r}")).poisson(n, resamples)
+            w += draw
+            t += draw * rating
+        return w, t
+
+    def interval(w: np.ndarray, t: np.ndarray) -> tuple[float | None, float | None]:
+        means = np.sort(t[w > 0] / w[w > 0])
+        ends = []
+        for at in ((len(means) - 1) * share for share in (tail, 1 - tail)):
+            low = means[int(np.floor(at))] if len(means) else None
+            ends.append(None if low is None else float(low + (means[int(np.ceil(at))] - low) * (at - np.floor(at))))
+        return ends[0], ends[1]
+
+    names = ["participant_id", "n_ratings", "k", "w", "t", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        double = pa.float64()
+        for whole in batches:
+            for first in range(0, len(whole), ROWS):
+                batch = whole.slice(first, ROWS)
+                done, lows, highs = [], [], []
+                for i in range(len(batch)):
+                    pid, n = batch.column("participant_id")[i].as_py(), batch.column("n_ratings")[i].as_py()
+                    cell = batch.column("counts")[i].values
+                    counts = zip(cell.field("rating").to_pylist(), cell.field("n").to_pylist(), strict=True)
+                    if batch.column("__parts")[i].as_py() == 1:
+                        low, high = interval(*resampled(pid, counts)) if n > 1 else (None, None)
+                        done.append(i)
+                        lows.append(low)
+                        highs.append(high)
+                    else:
+                        w, t = resampled(pid, counts)
+                        own = batch.select(["participant_id", "n_ratings"]).take(pa.array(np.full(resamples, i)))
+                        none = pa.nulls(resamples, double)
+                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.arange(resamples, dtype=np.int32)), pa.array(w), pa.array(t), none, none], names)
+                own = batch.select(["participant_id", "n_ratings"]).take(pa.array(done, pa.int64()))
+                none = pa.nulls(len(done), double)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.nulls(len(done), pa.int32()), none, none, pa.array(lows, double), pa.array(highs, double)], names)
 
     kind = ratings.schema["participant_id"].dataType.simpleString()
-    summed = parts.select("participant_id", "counts").mapInArrow(sums, f"participant_id {kind}, w array<double>, t array<double>")
-    # Parts are added up place by place: rows of resamples numbers, as many as a participant has parts.
-    added = summed.groupBy("participant_id").agg(F.collect_list("w").alias("w"), F.collect_list("t").alias("t"))
-    plus = lambda c: F.aggregate(c, F.array_repeat(F.lit(0.0), resamples), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    means = F.array_sort(F.array_compact(F.zip_with(plus("w"), plus("t"), lambda w, t: F.try_divide(t, w))))
+    found = parts.select("participant_id", "n_ratings", "__parts", "counts").mapInArrow(run, f"participant_id {kind}, n_ratings long, k int, w double, t double, low double, high double")
+    # Parts are added up resample by resample; of a participant, as many means as resamples come together.
+    ends = [F.max(c).alias(c) for c in ("low", "high")]
+    added = found.groupBy("participant_id", "n_ratings", "k").agg(F.sum("w").alias("w"), F.sum("t").alias("t"), *ends)
+    each = added.groupBy("participant_id", "n_ratings").agg(F.array_sort(F.collect_list(F.try_divide("t", "w"))).alias("means"), *ends)
 
     def quantile(share: float) -> Column:
-        at = (F.size("__means") - 1) * share
-        low, high = F.get("__means", F.floor(at).cast("int")), F.get("__means", F.ceil(at).cast("int"))
+        at = (F.size("means") - 1) * share
+        low, high = F.get("means", F.floor(at).cast("int")), F.get("means", F.ceil(at).cast("int"))
         return low + (high - low) * (at - F.floor(at))
 
-    found = added.select(F.col("participant_id").alias("__found"), means.alias("__means")).select("__found", quantile(tail).alias("boot_low"), quantile(1 - tail).alias("boot_high"))
-    return values.join(found, F.col("__participant").eqNullSafe(F.col("__found")), "left").select(F.col("__participant").alias("participant_id"), "n_ratings", "boot_low", "boot_high")
+    return each.select("participant_id", "n_ratings", F.coalesce("low", quantile(tail)).alias("boot_low"), F.coalesce("high", quantile(1 - tail)).alias("boot_high"))
 
 
 def cells(ratings: DataFrame) -> DataFrame:
