@@ -7,7 +7,9 @@ import pyarrow as pa
 
 
 def _tables(column: pa.ListArray, fields: str, kind: type) -> list[np.ndarray]:
-    values, offsets = column.values, column.offsets.to_numpy()
+    offsets = column.offsets.to_numpy()
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0])  # of a slice, its own
+    offsets = offsets - offsets[0]
     table = np.stack([values.field(f).to_numpy(zero_copy_only=False) for f in fields], axis=1).astype(kind, copy=False)
     return [table[low:high] for low, high in zip(offsets[:-1], offsets[1:], strict=True)]
 

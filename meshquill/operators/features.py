@@ -100,7 +100,7 @@ def _midline(p: np.ndarray) -> dict[str, float]:
     }
 
 
-def measure(p: np.ndarray, triangles: np.ndarray, surface: bool, fit_plane: bool) -> dict[str, float | None]:
+def measure(p: np.ndarray, triangles: np.ndarray, surface: bool, fit_plane: bool, plane: tuple[np.ndarray, bool] | None = None) -> dict[str, float | None]:
     """KERNEL of one capture, with hull_area; NaN where there is no value."""
     if not len(p) or not np.isfinite(p).all():
         return {}
@@ -111,7 +111,7 @@ def measure(p: np.ndarray, triangles: np.ndarray, surface: bool, fit_plane: bool
         out |= {"pca_elongation": _quotient(l2, l1), "pca_flatness": _quotient(l3, l1)}
     if found := hull.convex_hull(p):
         out |= {"convex_hull_volume": found[0], "hull_area": found[1]}
-    sym = symmetry.measure(p, triangles, surface=surface, fit=fit_plane)
+    sym = symmetry.measure(p, triangles, surface=surface, fit=fit_plane, plane=plane)
     if sym["error"] is None:
         out |= {f"symmetry_{k}": sym[f"symmetry_{k}"] for k in ("rms", "p95", "max")} | {"symmetry_midplane_tilt_deg": sym["tilt_deg"], "symmetry_discretization_floor": sym["effective_floor"]}
     return out | _profile(p) | _midline(p)
@@ -142,8 +142,10 @@ def extract(normalised: DataFrame, marks: landmarks.LandmarkSet | None = None, m
     made = [*KERNEL, "hull_area"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [measure(p, t, method == "point_to_surface", fit_plane) for p, t in zip(clouds(batch.column("points")), meshes(batch.column("triangles")), strict=True)]
+        for batch in (whole.slice(at, symmetry.FITTED) for whole in batches for at in range(0, len(whole), symmetry.FITTED)):
+            points = clouds(batch.column("points"))
+            planes = symmetry.fit_planes(points) if fit_plane else [None] * len(points)
+            found = [measure(p, t, method == "point_to_surface", fit_plane, plane) for p, t, plane in zip(points, meshes(batch.column("triangles")), planes, strict=True)]
             values = np.array([[f.get(c, np.nan) for c in made] for f in found], float).reshape(len(found), len(made))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(values[:, i]) for i in range(len(made)))], [*keep, *made])
 

@@ -227,10 +227,15 @@ def symmetry_surface_nofit(spark, sf):
     return rounded(symmetry.measure_symmetry(tables.captures(spark, sf), fit_plane=False).drop("normal", "notes", "per_vertex"))
 
 
+def _spread(captures: DataFrame) -> DataFrame:
+    """Dealt to a given number of tasks: captures are few bytes and much work, and adaptive execution would join them to one task."""
+    return captures.repartition(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), "capture_key")
+
+
 @query()
 def symmetry_fitted(spark, sf):
     c = tables.captures(spark, sf)
-    return rounded(symmetry.verdict(symmetry.measure_symmetry(c.repartition("capture_key"))).drop("normal", "notes", "per_vertex"), 4)
+    return rounded(symmetry.verdict(symmetry.measure_symmetry(_spread(c))).drop("normal", "notes", "per_vertex"), 4)
 
 
 @query()
@@ -538,7 +543,7 @@ def feature_table(spark, sf):
 @query()
 def feature_table_fitted(spark, sf):
     """With the library's default, a midplane fitted to each capture."""
-    wide, _ = features.build_feature_table(tables.captures(spark, sf).repartition("capture_key"), CONVENTION, marks=MARKS)
+    wide, _ = features.build_feature_table(_spread(tables.captures(spark, sf)), CONVENTION, marks=MARKS)
     return rounded(wide, 4)
 
 

@@ -3,7 +3,9 @@
 import contextlib
 import time
 
-from meshquill.operators import ratings
+import numpy as np
+
+from meshquill.operators import ratings, symmetry
 
 
 @contextlib.contextmanager
@@ -30,3 +32,18 @@ def test_bootstrap_keeps_no_resamples_of_whole_participants(spark):
         got = {r["participant_id"]: r for r in ratings.bootstrap(df, chunk=100).collect()}
     assert len(got) == 301 and all(r["boot_low"] < r["boot_high"] for r in got.values())
     assert 0 < sum(sizes) < 1_000_000  # 300 participants of 2 x 2,000 doubles were several times that
+
+
+def test_small_planes_are_fitted_together_and_alike(spark):
+    rng = np.random.default_rng(3)
+    points = [*rng.normal(size=(30, 21, 3)), *rng.normal(size=(5, 8, 3)), np.zeros((0, 3)), np.full((4, 3), np.nan), np.ones((5, 3)), rng.normal(size=(40, 3))]
+    triangles, together = np.array([[0, 1, 2], [1, 2, 3]]), symmetry.fit_planes(points)
+    assert [i for i, found in enumerate(together) if found is None] == [35, 36, 38]
+    for p, found in list(zip(points, together, strict=True))[:35]:
+        assert symmetry.measure(p, triangles, plane=found) == symmetry.measure(p, triangles)
+    began = time.perf_counter()
+    symmetry.fit_planes(list(rng.normal(size=(300, 21, 3))))
+    many = time.perf_counter() - began
+    began = time.perf_counter()
+    [symmetry.measure(p, triangles) for p in rng.normal(size=(20, 21, 3))]
+    assert many / 300 < (time.perf_counter() - began) / 20 / 3
