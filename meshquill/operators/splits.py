@@ -33,7 +33,8 @@ def participant_split(table: DataFrame, test_size: float = 0.2, seed: int = 42,
     """Adds side: `test` for ceil(test_size * groups) participants, the first by a seeded hash, `train` for the others.
 
     Ids are counted by the first digits of their hash (16^DIGITS counts at most reach the driver); only those of the
-    one prefix in which the cut falls are sorted.
+    one prefix in which the cut falls are sorted. The last id of the test side then tells every row's side, so that
+    the table itself is neither joined nor shuffled, however often its sides are read. A row without an id is of `train`.
     """
     n = _require(table, column, 2)
     ids = table.select(column).distinct().withColumn("__order", _order(column, seed)).withColumn("__prefix", F.substring("__order", 1, DIGITS))
@@ -44,8 +45,15 @@ def participant_split(table: DataFrame, test_size: float = 0.2, seed: int = 42,
             break
         left -= row["n"]
     rest = ids.where(F.col("__prefix") == edge).orderBy("__order", column).limit(left)
-    chosen = ids.where(F.col("__prefix") < edge).unionAll(rest).select(column, F.lit(True).alias("__test"))
-    return table.join(chosen, column, "left").withColumn("side", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
+    last = rest.agg(F.max(F.struct("__order", F.col(column).alias("id"))).alias("last")).first()["last"]
+    order = _order(column, seed)
+    if last is not None:
+        at = F.lit(last["id"]).cast(table.schema[column].dataType)
+        test = (order < last["__order"]) | ((order == last["__order"]) & (F.col(column) <= at))
+    else:
+        test = F.substring(order, 1, DIGITS) < edge
+    ordered = table.select(column, *(c for c in table.columns if c != column))
+    return ordered.withColumn("side", F.when(F.col(column).isNotNull() & test, "test").otherwise("train"))
 
 
 def _runs(loads: list[int], n: int, k: int) -> list[tuple[int, list[int]]]:

@@ -1,11 +1,13 @@
 """What is shuffled, and held at once, does not grow beyond what the work needs."""
 
 import contextlib
+import hashlib
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from meshquill.operators import ratings, symmetry
+from meshquill.operators import ratings, splits, symmetry
 
 
 @contextlib.contextmanager
@@ -47,3 +49,25 @@ def test_small_planes_are_fitted_together_and_alike(spark):
     began = time.perf_counter()
     [symmetry.measure(p, triangles) for p in rng.normal(size=(20, 21, 3))]
     assert many / 300 < (time.perf_counter() - began) / 20 / 3
+
+
+def test_sides_are_told_row_by_row(spark):
+    """No row of a table is shuffled to find its side; sides are those of sorting all ids by their hash."""
+    ids = spark.range(40_000).select((F.col("id") % 501).alias("participant_id"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    table = ids.withColumn("participant_id", F.when(F.col("participant_id") != 500, F.col("participant_id")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more participants than can be broadcast
+    try:
+        split = splits.participant_split(table)
+        with written(spark) as sizes:
+            rows = split.select("participant_id", "side").distinct().collect()
+            split.agg(F.avg("a"), F.avg("b"), F.count_if(F.col("side") == "test")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < sum(sizes) < 100_000  # 40,000 rows were about 700,000 bytes
+    order = sorted((hashlib.md5((f"42:{p}" if p is not None else "42").encode()).hexdigest(), p) for p in [*range(500), None])
+    first = {p for _, p in order[:101]} - {None}
+    assert {r["participant_id"] for r in rows if r["side"] == "test"} == first and len(rows) == 501
+    assert splits.participant_split(table, 0.0).where("side = 'test'").count() == 0
+    named = splits.participant_split(table.withColumn("participant_id", F.concat(F.lit("P"), F.col("participant_id"))), seed=7).select("participant_id", "side").distinct().collect()
+    order = sorted((hashlib.md5(p.encode()).hexdigest(), p) for p in ["7", *(f"7:P{i}" for i in range(500))])
+    assert {f"7:{r['participant_id']}" for r in named if r["side"] == "test"} == {p for _, p in order[:101]} - {"7"}
