@@ -319,6 +319,10 @@ def parse_capture(path: str, text: bytes | str, strict: bool = True, aliases: di
     return row
 
 
+#: Documents whose rows leave a Python worker together; parsed, a document takes many times its bytes.
+TOGETHER = 64
+
+
 def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, list[str]] = ALIASES, keep: tuple[str, ...] = (), jvm: bool = False) -> DataFrame:
     """SCHEMA rows from (path, content), with the columns to keep; works on batch and streaming inputs alike.
 
@@ -328,7 +332,7 @@ def parse_captures(files: DataFrame, strict: bool = True, aliases: dict[str, lis
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (whole.iloc[at : at + TOGETHER] for whole in frames for at in range(0, len(whole), TOGETHER)):
             rows = pd.DataFrame([parse_capture(p, c, strict, aliases) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=FIELDS)
             yield pd.concat([rows, frame[list(keep)].reset_index(drop=True)], axis=1) if keep else rows
 

@@ -5,9 +5,11 @@ import hashlib
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from meshquill.operators import ratings, splits, symmetry
+from meshquill.sources import captures
 
 
 @contextlib.contextmanager
@@ -71,3 +73,24 @@ def test_sides_are_told_row_by_row(spark):
     named = splits.participant_split(table.withColumn("participant_id", F.concat(F.lit("P"), F.col("participant_id"))), seed=7).select("participant_id", "side").distinct().collect()
     order = sorted((hashlib.md5(p.encode()).hexdigest(), p) for p in ["7", *(f"7:P{i}" for i in range(500))])
     assert {f"7:{r['participant_id']}" for r in named if r["side"] == "test"} == {p for _, p in order[:101]} - {"7"}
+
+
+def test_parsed_documents_leave_a_worker_in_small_frames():
+    class Files:
+        """Stands for a DataFrame; gives the function that would run on its batches."""
+
+        dtypes = [("path", "string"), ("content", "binary"), ("tag", "int")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run
+
+    n = 300
+    text = b'{"participantId": "P", "vertices": [[0, 0, 0], [1, 0, 0], [0, 1, 0]], "triangles": [[0, 1, 2]]}'
+    frame = pd.DataFrame({"path": [f"{i}.json" for i in range(n)], "content": [text] * n, "tag": range(n)})
+    frames = list(captures.parse_captures(Files(), keep=("tag",))(iter([frame])))
+    assert max(map(len, frames)) <= 64
+    whole = pd.concat(frames, ignore_index=True)
+    assert whole["path"].tolist() == frame["path"].tolist() and whole["tag"].tolist() == list(range(n)) and whole["error"].isna().all()
