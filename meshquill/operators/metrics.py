@@ -29,11 +29,15 @@ def _finish(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def regression_metrics(predictions: DataFrame) -> DataFrame:
-    """One row: MAE, RMSE, R2, Pearson, and the errors of always predicting the mean."""
+    """One row: MAE, RMSE, R2, Pearson, and the errors of always predicting the mean.
+
+    Two passes, as predictions are made anew in each: the second, for the errors from the mean, carries the sums of the first.
+    """
     f = finite(predictions)
-    mean = F.broadcast(f.agg(F.avg("t").alias("m")))
-    base = f.crossJoin(mean).agg(F.avg(F.abs(F.col("t") - F.col("m"))).alias("b"), F.sqrt(F.avg(F.pow(F.col("t") - F.col("m"), 2))).alias("c"))
-    out = _finish(f.agg(*_aggregates())).crossJoin(F.broadcast(base))
+    sums = f.agg(*_aggregates(), F.avg("t").alias("m"))
+    off = F.col("t") - F.col("m")
+    both = f.select("t").crossJoin(F.broadcast(sums)).agg(F.avg(F.abs(off)).alias("b"), F.sqrt(F.avg(F.pow(off, 2))).alias("c"), *(F.first(c).alias(c) for c in sums.columns))
+    out = _finish(both.withColumn("n", F.coalesce("n", F.lit(0))), "b", "c")
     return out.select("n", "mae", "rmse", "r2", "pearson_r", F.when(F.col("n") >= 2, F.col("b")).alias("baseline_mae"), F.when(F.col("n") >= 2, F.col("c")).alias("baseline_rmse"))
 
 

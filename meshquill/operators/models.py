@@ -162,7 +162,15 @@ class Fitted:
         return pd.DataFrame({"feature": self.features, "importance": values}).sort_values(["importance", "feature"], ascending=[False, True], ignore_index=True).head(top or len(values))
 
 
-def fit(train: DataFrame, features: list[str], name: str, label: str = "mean_rating", weight: str | None = None, seed: int = 42, **sizes) -> Fitted:
+def fit(train: DataFrame, features: list[str], name: str, label: str = "mean_rating", weight: str | None = None, seed: int = 42, keep: bool = True, **sizes) -> Fitted:
+    """Fitting passes over the rows several times: unless keep is false, the columns that it needs are kept on disk until it
+    is done, so that rows are read and made (and the side of a split told) once."""
+    if keep:
+        kept = train.select(*dict.fromkeys([*features, label, *([weight] if weight else [])])).persist(StorageLevel.DISK_ONLY)
+        try:
+            return fit(kept, features, name, label, weight, seed, keep=False, **sizes)
+        finally:
+            kept.unpersist()
     values = medians(train, features)
     ready = impute(train, values)
     if name == "ridge":
@@ -185,7 +193,7 @@ def cross_validate(data: TrainingData, name: str, n_splits: int = 5, label: str
     folds = splits.participant_folds(data.table, n_splits).persist(StorageLevel.DISK_ONLY)
     out = None
     for k in range(n_splits):
-        held = predictions(fit(folds.where(F.col("fold") != k), data.features, name, label, weight, **options), folds.where(F.col("fold") == k), label)
+        held = predictions(fit(folds.where(F.col("fold") != k), data.features, name, label, weight, keep=False, **options), folds.where(F.col("fold") == k), label)
         out = held if out is None else out.unionByName(held)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +21,13 @@ def _order(column: str, seed: int):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")))
 
 
-def _require(table: DataFrame, column: str, least: int) -> int:
+def _ids(table: DataFrame, column: str) -> DataFrame:
     if column not in table.columns:
         raise ValueError(f"no column {column}")
-    n = table.select(column).distinct().count()
+    return table.select(column).distinct()
+
+
+def _enough(n: int, least: int) -> int:
     if n < least:
         raise ValueError(f"{n} participants, {least} are needed")
     return n
@@ -35,21 +39,25 @@ def participant_split(table: DataFrame, test_size: float = 0.2, seed: int = 42,
     Ids are counted by the first digits of their hash (16^DIGITS counts at most reach the driver); only those of the
     one prefix in which the cut falls are sorted. The last id of the test side then tells every row's side, so that
     the table itself is neither joined nor shuffled, however often its sides are read. A row without an id is of `train`.
+    The table is read once to find its ids, which are kept on disk meanwhile; to tell a side takes one hash of the id.
     """
-    n = _require(table, column, 2)
-    ids = table.select(column).distinct().withColumn("__order", _order(column, seed)).withColumn("__prefix", F.substring("__order", 1, DIGITS))
-    left, edge = math.ceil(test_size * n), ""
-    for row in ids.groupBy("__prefix").agg(F.count(F.lit(1)).alias("n")).orderBy("__prefix").collect():
-        edge = row["__prefix"]
-        if row["n"] >= left:
-            break
-        left -= row["n"]
-    rest = ids.where(F.col("__prefix") == edge).orderBy("__order", column).limit(left)
-    last = rest.agg(F.max(F.struct("__order", F.col(column).alias("id"))).alias("last")).first()["last"]
+    ids = _ids(table, column).withColumn("__order", _order(column, seed)).withColumn("__prefix", F.substring("__order", 1, DIGITS)).persist(StorageLevel.DISK_ONLY)
+    try:
+        counts = ids.groupBy("__prefix").agg(F.count(F.lit(1)).alias("n")).orderBy("__prefix").collect()
+        left, edge = math.ceil(test_size * _enough(sum(row["n"] for row in counts), 2)), ""
+        for row in counts:
+            edge = row["__prefix"]
+            if row["n"] >= left:
+                break
+            left -= row["n"]
+        rest = ids.where(F.col("__prefix") == edge).orderBy("__order", column).limit(left)
+        last = rest.agg(F.max(F.struct("__order", F.col(column).alias("id"))).alias("last")).first()["last"]
+    finally:
+        ids.unpersist()
     order = _order(column, seed)
     if last is not None:
         at = F.lit(last["id"]).cast(table.schema[column].dataType)
-        test = (order < last["__order"]) | ((order == last["__order"]) & (F.col(column) <= at))
+        test = F.struct(order.alias("o"), F.col(column).alias("i")) <= F.struct(F.lit(last["__order"]).alias("o"), at.alias("i"))
     else:
         test = F.substring(order, 1, DIGITS) < edge
     ordered = table.select(column, *(c for c in table.columns if c != column))
@@ -83,7 +91,7 @@ def participant_folds(table: DataFrame, n_splits: int = 5, column: str = COLUMN)
     rows) and works out the turns that folds take; groups are ranked among those of their size within
     ranges of (size, id), with offsets added over the ranges.
     """
-    _require(table, column, n_splits)
+    _enough(_ids(table, column).count(), n_splits)
     sizes = table.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     loads, turns = [0] * n_splits, []
     for row in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -565,8 +566,12 @@ def _model(name: str, **options):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         t = splits.participant_split(_training(spark, sf))
         fitted = models.fit(t.where("side = 'train'"), _TRAIN, name, weight="n_ratings", **options)
-        held = models.predictions(fitted, t.where("side = 'test'"))
-        return rounded(metrics.regression_metrics(held).withColumn("model", F.lit(name)), 4)
+        held = models.predictions(fitted, t.where("side = 'test'")).select("truth", "predicted").persist(StorageLevel.DISK_ONLY)  # predicted once
+        try:
+            found = rounded(metrics.regression_metrics(held).withColumn("model", F.lit(name)), 4)
+            return spark.createDataFrame(found.collect(), found.schema)
+        finally:
+            held.unpersist()
 
     return run
 

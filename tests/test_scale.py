@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from meshquill.operators import ratings, splits, symmetry
+from meshquill.operators import metrics, models, ratings, splits, symmetry
 from meshquill.sources import captures
 
 
@@ -94,3 +94,35 @@ def test_parsed_documents_leave_a_worker_in_small_frames():
     assert max(map(len, frames)) <= 64
     whole = pd.concat(frames, ignore_index=True)
     assert whole["path"].tolist() == frame["path"].tolist() and whole["tag"].tolist() == list(range(n)) and whole["error"].isna().all()
+
+
+def test_models_read_and_predict_rows_once(spark):
+    """Fitting has the rows made once; scores take two passes over predictions; a row's side takes one hash of its id; nothing stays cached."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    n = 2_000
+    rows = spark.range(n).select((F.col("id") % 101).alias("participant_id"), (F.col("id") % 37).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    table = rows.select("participant_id", "a", counted("b").alias("b"), (F.col("a") + 3 * F.col("b")).alias("mean_rating"), F.lit(2.0).alias("n_ratings"))
+    plain = rows.withColumns({"mean_rating": F.col("a") + 3 * F.col("b"), "n_ratings": F.lit(2.0)})
+    for name, options in (("random_forest", {"trees": 3}), ("linear", {}), ("ridge", {}), ("gbt", {"rounds": 2})):
+        before = made.value
+        fitted = models.fit(table, ["a", "b"], name, weight="n_ratings", **options)
+        assert made.value - before == n, name
+        again = models.fit(plain, ["a", "b"], name, weight="n_ratings", keep=False, **options)
+        assert fitted.importance().equals(again.importance()), name
+    before = made.value
+    scores = metrics.regression_metrics(rows.select(F.col("a").alias("truth"), counted("b").alias("predicted"))).first()
+    assert made.value - before <= 3 * n  # a pass to tell which are finite and to add up, and one for the errors from the mean
+    x = np.arange(n)
+    assert scores["n"] == n and np.isclose(scores["mae"], np.abs(x % 37 - x % 11).mean()) and np.isclose(scores["baseline_mae"], np.abs(x % 37 - (x % 37).mean()).mean())
+    none = metrics.regression_metrics(rows.select(F.col("a").alias("truth"), F.lit(None).cast("double").alias("predicted"))).first().asDict()
+    assert none.pop("n") == 0 and set(none.values()) == {None}
+    for side in ("train", "test"):
+        plan = splits.participant_split(plain).where(F.col("side") == side).select("a")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("md5(") == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
