@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -125,6 +126,79 @@ def target_summary(consensus: DataFrame) -> DataFrame:
 
 #: Distinct values of one participant that are resampled together; participants whose intervals leave a task together.
 CHUNK, ROWS = 4096, 256
+#: Values whose draws are made at once; the largest rate whose draws are read from a table.
+BLOCK, TABLED = 128, 8
+_STEP, _OPEN = np.uint64(0x9E3779B97F4A7C15), 0xFFFF
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """64 uniform bits for each state of a counter (splitmix64); z is overwritten."""
+    shifted = np.empty_like(z)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(z, np.uint64(shift), out=shifted)
+        np.bitwise_xor(z, shifted, out=z)
+        if factor:
+            np.multiply(z, np.uint64(factor), out=z)
+    return z
+
+
+@cache
+def _poisson() -> tuple[np.ndarray, np.ndarray]:
+    """Of each rate up to TABLED, the cumulative shares, and the two counts that 16 leading bits tell; _OPEN where further bits decide."""
+    k, low = np.arange(1, 80), np.arange(1 << 16) / (1 << 16)
+    shares = np.stack([np.cumsum(np.exp(-n) * np.cumprod(np.r_[1.0, n / k])) for n in range(TABLED + 1)])
+    told = np.full((TABLED + 1, 1 << 16), _OPEN, np.uint16)
+    for n in range(1, TABLED + 1):
+        first, last = _inverted(shares[n], low), _inverted(shares[n], low + 1 / (1 << 16) - 2.0**-50)
+        told[n] = np.where(first == last, first, _OPEN)
+    return shares, told.reshape(-1)
+
+
+def _inverted(shares: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Two independent counts in one number's bytes: the first by x, the second by where x lies within the first's share."""
+    ones = np.searchsorted(shares, x, "right")
+    edges = np.r_[0.0, shares, 1.0]
+    twos = np.searchsorted(shares, (x - edges[ones]) / (edges[ones + 1] - edges[ones]), "right")
+    return (ones | twos << 8).astype(np.uint16)
+
+
+def poisson_draws(keys: np.ndarray, n: np.ndarray, resamples: int) -> np.ndarray:
+    """(keys, resamples): Poisson counts at rates n, by inversion of uniform numbers that depend on the key and the resample alone.
+
+    16 bits tell nearly all pairs of counts; the few that they leave open are told by 64 further ones, so no probability is
+    rounded to the table. Counts at rates above TABLED are NumPy's.
+    """
+    shares, told = _poisson()
+    pairs, tabled = -(-resamples // 2), np.minimum(n, TABLED).astype(np.int64)
+    words = -(-pairs // 4)
+    lead = _mixed(keys[:, None] + np.arange(1, words + 1, dtype=np.uint64) * _STEP).view(np.uint16)[:, :pairs]
+    both = told.take(lead + (tabled << 16)[:, None], mode="clip")
+    i, j = np.nonzero(both == _OPEN)
+    more = _mixed(keys[i] + (j + (words + 1)).astype(np.uint64) * _STEP)
+    x = (lead[i, j] + more / 2.0**64) / (1 << 16)
+    for rate in np.unique(tabled[i]):
+        here = tabled[i] == rate
+        both[i[here], j[here]] = _inverted(shares[rate], x[here])
+    counts = both.view(np.uint8)[:, :resamples].astype(float)
+    for i in np.flatnonzero(n > TABLED):
+        counts[i] = np.random.default_rng(int(keys[i])).poisson(n[i], resamples)
+    return counts
+
+
+def resample(keys: Callable[[int, int], list[int]], ratings: np.ndarray, n: np.ndarray, ends: np.ndarray, resamples: int) -> np.ndarray:
+    """(participants, 2, resamples): how many ratings each resample has, and their sum.
+
+    Participant p has the values ends[p] to ends[p + 1]; n[i] ratings of one value count Poisson(n[i]) times together. Keys
+    are asked for by first and last value.
+    """
+    out, terms = np.zeros((len(ends) - 1, 2, resamples)), np.stack([np.ones(len(n)), ratings])
+    for first in range(0, len(n), BLOCK):
+        last = min(first + BLOCK, len(n))
+        counts = poisson_draws(np.array(keys(first, last), np.uint64), n[first:last], resamples)
+        for p in range(int(np.searchsorted(ends, first, "right")) - 1, int(np.searchsorted(ends, last, "left"))):
+            a, b = max(ends[p], first), min(ends[p + 1], last)
+            out[p] += np.ascontiguousarray(terms[:, a:b]) @ counts[a - first : b - first]
+    return out
 
 
 def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 2000, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -135,7 +209,8 @@ def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 200
     alone. So sums over a participant's values can be taken in parts of at most `chunk` values, wherever
     they are, and added up; a participant of any size is never in one row. A participant with one part, as
     nearly all are, gets its interval where it is resampled, and none of its resamples are kept or shuffled; of
-    others each part gives one row for each resample. A resample without any rating is left out.
+    others each part gives one row for each resample. A resample without any rating is left out. The draws of
+    all values of a part are made together.
     """
     tail = (1 - confidence) / 2
     counted = clean(ratings).groupBy("participant_id", "rating").agg(F.count(F.lit(1)).alias("n"))
@@ -147,14 +222,6 @@ def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 200
     spread = dealt.withColumn("part", part).repartition(int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "participant_id", "part")
     parts = spread.groupBy("participant_id", "n_ratings", "__parts", "part").agg(F.array_sort(F.collect_list(F.struct("rating", "n"))).alias("counts"))
 
-    def resampled(pid, counts: list[tuple[float, int]]) -> tuple[np.ndarray, np.ndarray]:
-        w, t = np.zeros(resamples), np.zeros(resamples)
-        for rating, n in counts:
-            draw = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{pid}:{rating!r}")).poisson(n, resamples)
-            w += draw
-            t += draw * rating
-        return w, t
-
     def interval(w: np.ndarray, t: np.ndarray) -> tuple[float | None, float | None]:
         means = np.sort(t[w > 0] / w[w > 0])
         ends = []
@@ -171,17 +238,21 @@ def bootstrap(ratings: DataFrame, confidence: float = 0.95, resamples: int = 200
             for first in range(0, len(whole), ROWS):
                 batch = whole.slice(first, ROWS)
                 done, lows, highs = [], [], []
-                for i in range(len(batch)):
-                    pid, n = batch.column("participant_id")[i].as_py(), batch.column("n_ratings")[i].as_py()
-                    cell = batch.column("counts")[i].values
-                    counts = zip(cell.field("rating").to_pylist(), cell.field("n").to_pylist(), strict=True)
-                    if batch.column("__parts")[i].as_py() == 1:
-                        low, high = interval(*resampled(pid, counts)) if n > 1 else (None, None)
+                ids, sizes, parts_of = (batch.column(c).to_pylist() for c in ("participant_id", "n_ratings", "__parts"))
+                cells, ends = batch.column("counts").flatten(), np.r_[0, np.cumsum(batch.column("counts").value_lengths().to_numpy())]
+                values, counts = cells.field("rating").to_numpy(), cells.field("n").to_numpy()
+                owners = np.repeat(np.arange(len(batch)), np.diff(ends)).tolist()
+
+                def keys(a: int, b: int) -> list[int]:
+                    return [xxhash.xxh64_intdigest(f"{seed}:{ids[p]}:{rating!r}") for p, rating in zip(owners[a:b], values[a:b].tolist(), strict=True)]  # noqa: B023
+
+                for i, (w, t) in enumerate(resample(keys, values, counts, ends, resamples)):
+                    if parts_of[i] == 1:
+                        low, high = interval(w, t) if sizes[i] > 1 else (None, None)
                         done.append(i)
                         lows.append(low)
                         highs.append(high)
                     else:
-                        w, t = resampled(pid, counts)
                         own = batch.select(["participant_id", "n_ratings"]).take(pa.array(np.full(resamples, i)))
                         none = pa.nulls(resamples, double)
                         yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.arange(resamples, dtype=np.int32)), pa.array(w), pa.array(t), none, none], names)

@@ -38,6 +38,37 @@ def test_bootstrap_keeps_no_resamples_of_whole_participants(spark):
     assert 0 < sum(sizes) < 1_000_000  # 300 participants of 2 x 2,000 doubles were several times that
 
 
+def test_bootstrap_draws_are_poisson_and_made_together():
+    """Counts have the shares of their rate, depend on key and resample alone, and take a small part of a generator's time for each value."""
+    rng = np.random.default_rng(11)
+    keys = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+    for rate in (1, 2, ratings.TABLED, ratings.TABLED + 1):
+        draws = ratings.poisson_draws(keys, np.full(600, rate), 1001)
+        k = np.arange(120)
+        want = np.exp(-rate) * np.cumprod(np.r_[1.0, rate / k[1:]]) * draws.size
+        often = want > 20
+        assert (((np.bincount(draws.astype(int).ravel(), minlength=120) - want) ** 2 / np.maximum(want, 1e-300))[often]).sum() < 3 * often.sum() + 15
+        assert all(abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.01 for a, b in ((draws[:, 0:-1:2], draws[:, 1::2]), (draws[:, 1:-1:2], draws[:, 2::2]), (draws[:300], draws[300:])))
+        assert np.array_equal(draws[5:9], ratings.poisson_draws(keys[5:9], np.full(4, rate), 1001))
+    mixed = ratings.poisson_draws(keys[:4], np.array([1, 50, 2, 1]), 1001)
+    assert np.array_equal(mixed[[0, 3]], ratings.poisson_draws(keys[[0, 3]], np.array([1, 1]), 1001)) and abs(mixed[1].mean() - 50) < 2
+    value, ends = rng.normal(size=600), np.r_[np.arange(0, 600, 23), 600]
+    sums = ratings.resample(lambda a, b: keys[a:b].tolist(), value, np.ones(600, int), ends, 100)
+    draws = ratings.poisson_draws(keys, np.ones(600, int), 100)
+    for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        assert np.array_equal(sums[p, 0], draws[a:b].sum(axis=0)) and np.allclose(sums[p, 1], value[a:b] @ draws[a:b])
+    together, apart = [], []
+    for _ in range(5):
+        began = time.perf_counter()
+        ratings.resample(lambda a, b: keys[a:b].tolist(), value, np.ones(600, int), ends, 2000)
+        together.append(time.perf_counter() - began)
+        began = time.perf_counter()
+        for key in keys.tolist():
+            np.random.default_rng(key).poisson(1, 2000)
+        apart.append(time.perf_counter() - began)
+    assert min(together) < min(apart) / 2
+
+
 def test_small_planes_are_fitted_together_and_alike(spark):
     rng = np.random.default_rng(3)
     points = [*rng.normal(size=(30, 21, 3)), *rng.normal(size=(5, 8, 3)), np.zeros((0, 3)), np.full((4, 3), np.nan), np.ones((5, 3)), rng.normal(size=(40, 3))]
