@@ -1,9 +1,12 @@
 """Gradient boosting of regression trees with second-order gains and an L2 term.
 
-Features are binned once. For each level of a tree one Spark job adds up gradients and curvatures by node,
-feature and bin, inside its tasks first; the driver sees these sums (at most nodes x features x bins of
-them), picks the splits, and sends the small tree back. Every SPAN rounds the rows' predictions are brought
-up to date, so no task walks more than SPAN trees.
+Features are binned once, and rows that are alike in all bins, a cell, come together. All rows of a cell have one
+prediction, so what a tree needs to know of them is the weight that it draws there and the sum of weighted labels.
+One pass over the rows draws for a span of trees; their levels are then found from cells alone, as many as there
+are, without the rows. For each level of a tree one Spark job adds up gradients and curvatures by node, feature
+and bin, inside its tasks first; the driver sees these sums (at most nodes x features x bins of them for each
+task, or of them all where tasks are many), picks the splits, and sends the small tree back. Where cells are
+nearly as many as rows, spans are short, so that cells take little more room than rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS, DEPTH, RATE, L2, ROWS, COLUMNS = 64, 3, 0.03, 2.0, 0.8, 0.8
-SPAN = 25
+#: Most trees drawn for in one pass; least where cells are many; trees after which cells' predictions are brought up to date.
+SPAN, SHORT, STEP = 100, 8, 10
+#: Cells of a task; tasks whose sums the driver adds up itself.
+CELLS, FEW = 8192, 8
 #: Curvature that a child must have: the weight of one row.
 LEAST = 1.0
 
@@ -97,97 +103,151 @@ def best_split(g: np.ndarray, h: np.ndarray, used: np.ndarray, l2: float, least:
     return float(gain[feature, at]), int(feature), int(at)
 
 
-def fit_boosted(
-    train: DataFrame, features: list[str], label: str, weight: str | None = None, rounds: int = 600, depth: int = DEPTH, rate: float = RATE,
-    l2: float = L2, rows: float = ROWS, columns: float = COLUMNS, bins: int = BINS, seed: int = 42,
-) -> Boosted:
-    """Squared error; train has no missing values. Rows are drawn for each tree by a hash of their values."""
-    cuts, d = cut_points(train, features, bins), len(features)
+def code_bytes(codes: np.ndarray) -> pa.Array:
+    """One value of a byte for each feature and row."""
+    n, d = codes.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * d + 1, d, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
+
+
+def byte_codes(column: pa.Array, d: int) -> np.ndarray:
+    start = np.frombuffer(column.buffers()[1], np.int32, 1, column.offset * 4)[0] if len(column) else 0
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * d, start).reshape(len(column), d) if len(column) else np.zeros((0, d), np.uint8)
+
+
+def clustered(train: DataFrame, features: list[str], label: str, weight: str | None, cuts: list[np.ndarray]) -> tuple[DataFrame, int, int]:
+    """(rows by cell, cells, rows): bins b, label y, weight w and a hash of the values as key; rows of a cell are of one task, in one run.
+
+    A cell with more rows than a task's share is dealt to several tasks by key.
+    """
+    d, parts = len(features), int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     used = train.select(*(F.col(f).cast("double").alias(f) for f in features), F.col(label).cast("double").alias("__y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
     used = used.withColumn("__key", F.xxhash64(*features, "__y"))
-    base = used.agg(F.sum(F.col("__y") * F.col("__w")) / F.sum("__w")).first()[0]
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.stack([np.searchsorted(cuts[i], batch.column(f).to_numpy(zero_copy_only=False)) for i, f in enumerate(features)], axis=1).astype(np.uint8)
-            flat = pa.array([x.tobytes() for x in codes], pa.binary())
-            yield pa.RecordBatch.from_arrays([flat, batch.column("__y"), batch.column("__w"), batch.column("__key"), pa.array(np.full(len(batch), base))], ["b", "y", "w", "key", "p"])
+            codes = np.stack([np.searchsorted(cuts[i], batch.column(i).to_numpy(zero_copy_only=False)) for i in range(d)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([code_bytes(codes), *batch.columns[d:]], ["b", "y", "w", "key"])
+
+    coded = used.mapInArrow(binned, "b binary, y double, w double, key long")
+    size = coded.groupBy("b").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    slices = max(1, -(-(size["most"] or 0) * parts // max(size["n"] or 0, 1)))
+    return coded.repartition(parts, "b", F.pmod("key", F.lit(slices))).sortWithinPartitions("b"), size["cells"] * min(slices, parts), size["n"] or 0
 
-    def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        codes = np.frombuffer(b"".join(batch.column("b").to_pylist()), np.uint8).reshape(len(batch), d)
-        return (codes, *(batch.column(c).to_numpy() for c in ("y", "w", "key", "p")))
+
+def runs(codes: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    return np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)]) if len(codes) else np.zeros(0, int)
+
+
+def fit_boosted(
+    train: DataFrame, features: list[str], label: str, weight: str | None = None, rounds: int = 600, depth: int = DEPTH, rate: float = RATE,
+    l2: float = L2, rows: float = ROWS, columns: float = COLUMNS, bins: int = BINS, seed: int = 42,
+) -> Boosted:
+    """Squared error; train has no missing values. Rows are drawn for each tree by a hash of their values."""
+    cuts, d = cut_points(train, features, bins), len(features)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    base = train.agg(F.sum(F.col(label).cast("double") * w) / F.sum(w)).first()[0]
 
     def after(codes: np.ndarray, p: np.ndarray, trees: list[dict[int, dict]]) -> np.ndarray:
         return p + sum((leaf_values(t, lambda i, n: codes[:, n["feature"]] <= n["bin"], len(p)) for t in trees), np.zeros(len(p)))
 
-    def updated(trees: list[dict[int, dict]]):
+    def drawn(done: list[dict[int, dict]], numbers: range):
+        """Cells of a batch with their prediction and, for each tree, weights drawn and sums of weighted labels, as bytes of one row."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                codes, *_, p = parts(batch)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(after(codes, p, trees))], batch.schema.names)
+                codes = byte_codes(batch.column("b"), d)
+                at = runs(codes)
+                if not len(at):
+                    continue
+                key, w = batch.column("key").to_numpy(), batch.column("w").to_numpy()
+                y, sums = w * batch.column("y").to_numpy(), np.zeros((2 * len(numbers), len(at)))
+                for k, number in enumerate(numbers):
+                    take = _mixed(key, seed * 1_000_003 + number) < rows
+                    sums[2 * k], sums[2 * k + 1] = (np.add.reduceat(np.where(take, v, 0.0), at) for v in (w, y))
+                cell = np.ascontiguousarray(codes[at])
+                p = after(cell, np.full(len(at), base), done)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (cell, p, sums)], ["b", "p", "sums"])
 
-        return run
+        return run, "b binary, p binary, sums binary"
 
-    def sums(trees: list[dict[int, dict]], tree: dict[int, dict], drawn: int, level: int):
-        size = (1 << level) * d * bins
+    def step(fresh: list[dict[int, dict]], first: int):
+        """Cells with what was drawn for the next trees of a span alone, and their prediction after those before."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, h = np.zeros(size), np.zeros(size)
-            for batch in batches:
-                codes, y, w, key, p = parts(batch)
-                if not len(y):
-                    continue
-                node = place(tree, lambda i, n: codes[:, n["feature"]] <= n["bin"], len(y)) - ((1 << level) - 1)  # noqa: B023
-                take = (node >= 0) & (_mixed(key, drawn) < rows)
-                gradient = w * (after(codes, p, trees) - y)
+        def run(block: tuple[bytes, bytes, bytes]) -> tuple[bytes, bytes, bytes]:
+            b, p, s = block
+            p = after(np.frombuffer(b, np.uint8).reshape(-1, d), np.frombuffer(p), fresh)
+            return b, p.tobytes(), s[first * len(p) * 16 : (first + STEP) * len(p) * 16]
+
+        return run
+
+    def sums(trees: list[dict[int, dict]], tree: dict[int, dict], level: int):
+        size, k = (1 << level) * d * bins, len(trees)
+
+        def run(blocks) -> Iterator[np.ndarray]:
+            total = np.zeros((2, size))
+            for b, p, s in blocks:
+                codes, p = np.frombuffer(b, np.uint8).reshape(-1, d), np.frombuffer(p)
+                w, y = np.frombuffer(s).reshape(-1, len(p))[2 * k : 2 * k + 2]
+                node = place(tree, lambda i, n: codes[:, n["feature"]] <= n["bin"], len(p)) - ((1 << level) - 1)  # noqa: B023
+                take = (node >= 0) & (w > 0)
+                gradient = w * after(codes, p, trees) - y
                 at = ((node[take, None] * d + np.arange(d)) * bins + codes[take]).reshape(-1)
-                g += np.bincount(at, np.repeat(gradient[take], d), size)
-                h += np.bincount(at, np.repeat(w[take], d), size)
-            at = np.flatnonzero(h)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at]), pa.array(h[at])], ["at", "g", "h"])
+                total += [np.bincount(at, np.repeat(v[take], d), size) for v in (gradient, w)]
+            yield total
 
         return run
 
-    schema = "b binary, y double, w double, key long, p double"
-    table = used.mapInArrow(binned, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    done: list[dict[int, dict]] = []
-    fresh: list[dict[int, dict]] = []
+    def grow(blocks, fresh: list[dict[int, dict]]) -> dict[int, dict]:
+        chosen = np.zeros(d, bool)
+        chosen[rng.choice(d, max(1, round(columns * d)), replace=False)] = True
+        tree: dict[int, dict] = {0: {"value": 0.0, "cover": 0.0}}
+        for level in range(depth):
+            parts = blocks.mapPartitions(sums(fresh, tree, level))
+            g, h = (parts.treeReduce(np.add) if tasks > FEW else parts.reduce(np.add)).reshape(2, -1, d, bins)
+            grown = False
+            for k in range(1 << level):
+                i = (1 << level) - 1 + k
+                if i not in tree:
+                    continue
+                if level == 0:
+                    tree[0] = {"value": -rate * g[0, 0].sum() / (h[0, 0].sum() + l2), "cover": h[0, 0].sum()}
+                split = best_split(g[k], h[k], chosen, l2, LEAST)
+                if split is None:
+                    continue
+                gain, feature, at = split
+                tree[i] |= {"feature": feature, "bin": at, "threshold": float(cuts[feature][at]), "gain": gain}
+                for child, part in ((2 * i + 1, slice(0, at + 1)), (2 * i + 2, slice(at + 1, bins))):
+                    own_g, own_h = g[k, feature, part].sum(), h[k, feature, part].sum()
+                    tree[child] = {"value": -rate * own_g / (own_h + l2), "cover": own_h}
+                grown = True
+            if not grown:
+                break
+        return tree
+
+    table, cells, n = clustered(train, features, label, weight, cuts)
+    table = table.persist(StorageLevel.DISK_ONLY)
+    tasks = max(1, min(-(-cells // CELLS), int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    span = min(SPAN, max(SHORT, 8 * n // max(cells, 1)))
+    trees: list[dict[int, dict]] = []
     rng = np.random.default_rng(seed)
     try:
-        for number in range(rounds):
-            chosen = np.zeros(d, bool)
-            chosen[rng.choice(d, max(1, round(columns * d)), replace=False)] = True
-            tree: dict[int, dict] = {0: {"value": 0.0, "cover": 0.0}}
-            for level in range(depth):
-                found = table.mapInArrow(sums(fresh, tree, seed * 1_000_003 + number, level), "at long, g double, h double").groupBy("at").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-                g, h = np.zeros((1 << level) * d * bins), np.zeros((1 << level) * d * bins)
-                for r in found:
-                    g[r["at"]], h[r["at"]] = r["g"], r["h"]
-                g, h = g.reshape(-1, d, bins), h.reshape(-1, d, bins)
-                grown = False
-                for k in range(1 << level):
-                    i = (1 << level) - 1 + k
-                    if i not in tree:
-                        continue
-                    if level == 0:
-                        tree[0] = {"value": -rate * g[0, 0].sum() / (h[0, 0].sum() + l2), "cover": h[0, 0].sum()}
-                    split = best_split(g[k], h[k], chosen, l2, LEAST)
-                    if split is None:
-                        continue
-                    gain, feature, at = split
-                    tree[i] |= {"feature": feature, "bin": at, "threshold": float(cuts[feature][at]), "gain": gain}
-                    for child, part in ((2 * i + 1, slice(0, at + 1)), (2 * i + 2, slice(at + 1, bins))):
-                        own_g, own_h = g[k, feature, part].sum(), h[k, feature, part].sum()
-                        tree[child] = {"value": -rate * own_g / (own_h + l2), "cover": own_h}
-                    grown = True
-                if not grown:
-                    break
-            fresh.append(tree)
-            if len(fresh) == SPAN:
-                older, table = table, table.mapInArrow(updated(fresh), schema).persist(StorageLevel.MEMORY_AND_DISK)
-                table.count()
-                older.unpersist()
-                done, fresh = done + fresh, []
+        for first in range(0, rounds, span):
+            fresh: list[dict[int, dict]] = []
+            # As an RDD: some hundred jobs on a few blocks of bytes, which a query plan for each would outlast.
+            found = table.mapInArrow(*drawn(trees, range(first, min(first + span, rounds)))).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                found.count()
+                for at in range(0, min(span, rounds - first), STEP):
+                    blocks = found.map(step(list(fresh), at)).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+                    recent: list[dict[int, dict]] = []
+                    for _ in range(min(STEP, span - at, rounds - first - at)):
+                        recent.append(grow(blocks, recent))
+                    blocks.unpersist()
+                    fresh += recent
+            finally:
+                found.unpersist()
+            trees += fresh
     finally:
         table.unpersist()
-    return Boosted(list(features), float(base), done + fresh)
+    return Boosted(list(features), float(base), trees)

@@ -1,5 +1,6 @@
 """Rank selection, boosting, Shapley values, bootstrap and block selection against plain versions."""
 
+import inspect
 from itertools import combinations
 from math import factorial
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshquill.operators import boosting, models, ranks, ratings, shap
+from meshquill.plans import queries
 
 
 def test_quantiles_are_exact(spark):
@@ -72,6 +74,33 @@ def test_boosting_equals_exact_search(spark, monkeypatch):
     assert model.gains().sum() == pytest.approx(1) and model.gains()[2] < 0.2
 
 
+def test_boosting_takes_all_rounds_from_cells(spark, monkeypatch):
+    """The query fits the library's 600 rounds; rows alike in all bins are one cell, and a span of trees takes one pass over rows."""
+    asked = []
+
+    def fit(train, features, name, **options):
+        asked.append({**options, "name": name})
+        raise StopIteration
+
+    monkeypatch.setattr(models, "fit", fit)
+    with pytest.raises(StopIteration):
+        queries.QUERIES["gbt"](spark, "/root/testdata/sf0.001")
+    assert asked == [{"name": "gbt", "weight": "n_ratings"}] and inspect.signature(boosting.fit_boosted).parameters["rounds"].default == 600
+    monkeypatch.undo()
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.integers(0, 4, size=(20, 2)), 30, axis=0).astype(float)
+    y = x[:, 0] + 2 * (x[:, 1] > 1) + rng.normal(size=600)
+    df = spark.createDataFrame(pd.DataFrame(np.c_[x, y], columns=["a", "b", "mean_rating"]))
+    table, cells, n = boosting.clustered(df, ["a", "b"], "mean_rating", None, boosting.cut_points(df, ["a", "b"]))
+    assert n == 600 and cells == len(np.unique(x, axis=0)) * max(1, cells // len(np.unique(x, axis=0))) and table.count() == 600
+    monkeypatch.setattr(boosting, "STEP", 3)
+    model = boosting.fit_boosted(df, ["a", "b"], "mean_rating", rounds=8, rate=0.3, rows=1.1, columns=1.0)
+    got = model.transform(df).groupBy("a", "b").agg(F.first("predicted").alias("predicted")).toPandas()
+    want = pd.DataFrame(np.c_[x, exact_boosting(x, y, 8, 3, 0.3, 2.0)], columns=["a", "b", "want"]).drop_duplicates(["a", "b"])
+    joined = got.merge(want, on=["a", "b"])
+    assert len(joined) == len(want) and np.allclose(joined.predicted, joined.want)
+
+
 def test_boosting_samples_rows_and_columns_and_is_saved(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 4))
