@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 BINS, DEPTH, RATE, L2, ROWS, COLUMNS = 64, 3, 0.03, 2.0, 0.8, 0.8
 #: Most trees drawn for in one pass; least where cells are many; trees after which cells' predictions are brought up to date.
 SPAN, SHORT, STEP = 100, 8, 10
-#: Cells of a task; tasks whose sums the driver adds up itself.
-CELLS, FEW = 8192, 8
+#: Cells of a task; tasks whose sums the driver adds up itself; cells times trees that a span may have in any case.
+CELLS, FEW, SMALL = 8192, 8, 1 << 20
 #: Curvature that a child must have: the weight of one row.
 LEAST = 1.0
 
@@ -43,7 +43,7 @@ class Boosted:
 
         @F.pandas_udf("double")
         def predicted(x: pd.DataFrame) -> pd.Series:
-            values = x[names].to_numpy(float)
+            values = np.asfortranarray(x[names].to_numpy(float))
             return pd.Series(base + sum((leaf_values(t, lambda i, n: values[:, n["feature"]] <= n["threshold"], len(values)) for t in trees), np.zeros(len(values))))
 
         return df.withColumn("predicted", predicted(F.struct(*(F.col(f).cast("double").alias(f) for f in names))))
@@ -68,11 +68,11 @@ def place(tree: dict[int, dict], goes_left, n: int) -> np.ndarray:
     return at
 
 
-def leaf_values(tree: dict[int, dict], goes_left, n: int) -> np.ndarray:
-    value = np.zeros(max(tree) + 1)
-    for i, node in tree.items():
-        value[i] = node["value"]
-    return value[place(tree, goes_left, n)]
+def leaf_values(tree: dict[int, dict], goes_left, n: int, i: int = 0) -> np.ndarray:
+    """The value of the node without children that each row ends in, from the leaves up."""
+    if "feature" not in tree[i]:
+        return np.full(n, tree[i]["value"]) if i == 0 else tree[i]["value"]
+    return np.where(goes_left(i, tree[i]), leaf_values(tree, goes_left, n, 2 * i + 1), leaf_values(tree, goes_left, n, 2 * i + 2))
 
 
 def _mixed(key: np.ndarray, seed: int) -> np.ndarray:
@@ -114,7 +114,7 @@ def byte_codes(column: pa.Array, d: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8, len(column) * d, start).reshape(len(column), d) if len(column) else np.zeros((0, d), np.uint8)
 
 
-def clustered(train: DataFrame, features: list[str], label: str, weight: str | None, cuts: list[np.ndarray]) -> tuple[DataFrame, int, int]:
+def clustered(train: DataFrame, features: list[str], label: str, weight: str | None, cuts: list[np.ndarray], order: tuple[str, ...] = ("b",)) -> tuple[DataFrame, int, int]:
     """(rows by cell, cells, rows): bins b, label y, weight w and a hash of the values as key; rows of a cell are of one task, in one run.
 
     A cell with more rows than a task's share is dealt to several tasks by key.
@@ -131,7 +131,7 @@ def clustered(train: DataFrame, features: list[str], label: str, weight: str | N
     coded = used.mapInArrow(binned, "b binary, y double, w double, key long")
     size = coded.groupBy("b").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
     slices = max(1, -(-(size["most"] or 0) * parts // max(size["n"] or 0, 1)))
-    return coded.repartition(parts, "b", F.pmod("key", F.lit(slices))).sortWithinPartitions("b"), size["cells"] * min(slices, parts), size["n"] or 0
+    return coded.repartition(parts, "b", F.pmod("key", F.lit(slices))).sortWithinPartitions(*order), size["cells"] * min(slices, parts), size["n"] or 0
 
 
 def runs(codes: np.ndarray) -> np.ndarray:
@@ -228,7 +228,7 @@ def fit_boosted(
     table, cells, n = clustered(train, features, label, weight, cuts)
     table = table.persist(StorageLevel.DISK_ONLY)
     tasks = max(1, min(-(-cells // CELLS), int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    span = min(SPAN, max(SHORT, 8 * n // max(cells, 1)))
+    span = min(SPAN, max(SHORT, 8 * n // max(cells, 1), SMALL // max(cells, 1)))
     trees: list[dict[int, dict]] = []
     rng = np.random.default_rng(seed)
     try:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from ..sources import stores
 from . import metrics, ranks, splits
 from .boosting import Boosted, fit_boosted
 from .features import usable_columns
+from .forest import fit_forest
 
 MODELS = ("linear", "ridge", "random_forest", "gbt")
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 25))
@@ -107,12 +108,10 @@ def fit_ridge(train: DataFrame, features: list[str], label: str, weight: str | N
     return Ridge(list(features), centre, scale, betas[best][1:], float(betas[best][0]), alphas[best])
 
 
-def build_model(name: str, seed: int = 42, trees: int = 500, rounds: int = 600):
-    """Spark's own estimator of a name; ridge and gbt (whose rounds are given) are fitted by this library."""
+def build_model(name: str):
+    """Spark's own estimator of a name; ridge, random_forest and gbt are fitted by this library."""
     if name == "linear":
         return LinearRegression(featuresCol="x", solver="normal")
-    if name == "random_forest":
-        return RandomForestRegressor(featuresCol="x", numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
     raise ValueError(f"unknown model {name!r}; one of {MODELS}")
 
 
@@ -177,7 +176,9 @@ def fit(train: DataFrame, features: list[str], name: str, label: str = "mean_rat
         return Fitted(name, features, values, fit_ridge(ready, features, label, weight))
     if name == "gbt":
         return Fitted(name, features, values, fit_boosted(ready, features, label, weight, sizes.get("rounds", 600), seed=seed))
-    model = build_model(name, seed, **sizes).setLabelCol("__y")
+    if name == "random_forest":
+        return Fitted(name, features, values, fit_forest(ready, features, label, weight, sizes.get("trees", 500), seed=seed))
+    model = build_model(name).setLabelCol("__y")
     if weight:
         model = model.setWeightCol(weight)
     ready = ready.withColumn("__y", F.col(label).cast("double"))

@@ -576,7 +576,7 @@ def _model(name: str, **options):
     return run
 
 
-for _name, _key, _options in (("linear", "ols_fit", {}), ("ridge", "ridge_loo", {}), ("random_forest", "random_forest", {"trees": 20}), ("gbt", "gbt", {})):
+for _name, _key, _options in (("linear", "ols_fit", {}), ("ridge", "ridge_loo", {}), ("random_forest", "random_forest", {}), ("gbt", "gbt", {})):
     query(name=_key)(_model(_name, **_options))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meshquill.operators import boosting, models, ranks, ratings, shap
+from meshquill.operators import boosting, forest, models, ranks, ratings, shap
 from meshquill.plans import queries
 
 
@@ -101,6 +101,50 @@ def test_boosting_takes_all_rounds_from_cells(spark, monkeypatch):
     assert len(joined) == len(want) and np.allclose(joined.predicted, joined.want)
 
 
+def exact_tree(x, y, count, depth):
+    """Predictions of one tree on one feature, by trying each cut of each node over rows that count so many times."""
+    p, nodes = np.zeros(len(x)), [(np.arange(len(x)), 0)]
+    score = lambda r: (count[r] * y[r]).sum() ** 2 / count[r].sum()
+    while nodes:
+        rows, level = nodes.pop()
+        p[rows] = (count[rows] * y[rows]).sum() / count[rows].sum()
+        best = (1e-9, None)
+        for t in np.unique(x[rows])[:-1] if level < depth else []:
+            a, b = rows[x[rows] <= t], rows[x[rows] > t]
+            if min(count[a].sum(), count[b].sum()) >= 2 and (gain := score(a) + score(b) - score(rows)) > best[0] + 1e-12:
+                best = (gain, (a, b))
+        nodes += [(r, level + 1) for r in best[1] or ()]
+    return p
+
+
+def test_forest_takes_all_trees_and_equals_exact_search(spark, monkeypatch):
+    """The query fits the library's 500 trees; with one feature each tree is that of exact search over the rows that it drew."""
+    asked = []
+
+    def fit(train, features, name, **options):
+        asked.append({**options, "name": name})
+        raise StopIteration
+
+    monkeypatch.setattr(models, "fit", fit)
+    with pytest.raises(StopIteration):
+        queries.QUERIES["random_forest"](spark, "/root/testdata/sf0.001")
+    assert asked == [{"name": "random_forest", "weight": "n_ratings"}] and inspect.signature(forest.fit_forest).parameters["trees"].default == 500
+    monkeypatch.undo()
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 20, 300).astype(float)
+    y = np.sin(x) + rng.normal(size=300)
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "mean_rating": y}))
+    df = df.unionByName(df.where("a < 3"))  # equal rows are drawn by their number
+    model = forest.fit_forest(df, ["a"], "mean_rating", trees=4)
+    rows = df.groupBy("a", "mean_rating", F.xxhash64("a", "mean_rating").alias("key")).count().toPandas()
+    count = forest.poisson_draws(rows["key"].to_numpy().view(np.uint64) + np.uint64(42 * 1_000_003), rows["count"].to_numpy(), 4)
+    want = np.mean([exact_tree(rows["a"].to_numpy(), rows["mean_rating"].to_numpy(), count[:, t], 5) for t in range(4)], axis=0)
+    got = model.transform(rows_df := spark.createDataFrame(rows[["a", "mean_rating"]])).toPandas()["predicted"].to_numpy()
+    assert rows_df.count() == len(rows) and np.allclose(got, want)
+    full = models.fit(df.withColumns({"b": F.rand(1), "n": F.lit(2.0)}), ["a", "b"], "random_forest", weight="n").model.trees
+    assert len(full) == 500 and abs(np.mean([t[0]["cover"] for t in full]) / (2 * df.count()) - 1) < 0.02 and len({str(t) for t in full}) == 500
+
+
 def test_boosting_samples_rows_and_columns_and_is_saved(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 4))
